@@ -1,0 +1,39 @@
+"""Optional byte-pair token count as an Arrow UDF. The default is `fields.text_tokens`."""
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..constants import CHARS_PER_TOKEN
+
+
+def named_encoding(name: str = "cl100k_base"):
+    """Load a public encoding by name; needs its vocabulary file on every worker."""
+    import tiktoken
+
+    return tiktoken.get_encoding(name)
+
+
+def bpe_tokens(load_encoding: Callable = named_encoding):
+    """UDF counting tokens of a text column. The encoding is loaded once per task, not per batch.
+
+    A text the encoding refuses falls back to one token per three characters; no text counts 0.
+    """
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = load_encoding()
+
+        def size(text) -> int:
+            if not text:
+                return 0
+            try:
+                return len(encoding.encode(text))
+            except ValueError:
+                return len(text) // CHARS_PER_TOKEN
+
+        for texts in batches:
+            yield texts.map(size).astype("int64")
+
+    return count
