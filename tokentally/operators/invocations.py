@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_REGION, REGION_PRICES, REGIONS
+from ..constants import DEFAULT_REGION, REGIONS
 from ..functions import fields
 from . import pricing
 from .filters import like_pattern
@@ -166,20 +166,27 @@ def by_region(cells: DataFrame) -> DataFrame:
 
 def priced_in_regions(cells: DataFrame, regions: Sequence[str] = REGIONS) -> DataFrame:
     """What the same usage costs at each region's prices."""
-    per_model = cells.groupBy(fields.model_name(F.col("model_id")).alias("model_name")).agg(*_sums())
+    model = fields.model_name(F.col("model_id")).alias("model_name")
+    per_model = cells.groupBy(model).agg(*_sums())
+    # Regions with the same price list share one look-up.
+    units: dict[pricing.PriceList, str] = {}
+    for region in regions:
+        listed = pricing.price_list(region)
+        if listed not in units:
+            units[listed] = f"unit_{len(units)}"
+            per_model = per_model.withColumn(
+                units[listed], pricing.price(F.col("model_name"), listed)
+            )
+    tokens = (F.col("total_input_tokens"), F.col("total_output_tokens"))
     costs = [
         F.struct(
             F.lit(region).alias("region"),
-            pricing.cost(
-                F.col("total_input_tokens"),
-                F.col("total_output_tokens"),
-                pricing.price(F.col("model_name"), region, REGION_PRICES),
-            ).alias("cost"),
+            pricing.cost(*tokens, F.col(units[pricing.price_list(region)])).alias("cost"),
         )
         for region in regions
     ]
     return (
-        per_model.select("total_input_tokens", "total_output_tokens", F.inline(F.array(*costs)))
+        per_model.select(*tokens, F.inline(F.array(*costs)))
         .groupBy("region")
         .agg(
             F.sum("total_input_tokens").alias("total_input_tokens"),

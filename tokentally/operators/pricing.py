@@ -24,10 +24,14 @@ def _listed_price(key: Column, prices: PriceList) -> Column:
     return listed
 
 
-def price(model: Column, region: str = DEFAULT_REGION, prices: RegionPrices = REGION_PRICES) -> Column:
-    """Price struct of a model: its region's list (unknown region: default), else the fallback."""
-    listed = _listed_price(fields.price_key(model), prices.get(region, prices[DEFAULT_REGION]))
-    return F.coalesce(listed, _price(*FALLBACK_PRICE))
+def price_list(region: str, prices: RegionPrices = REGION_PRICES) -> PriceList:
+    """The list of a region; an unknown region has the default list."""
+    return prices.get(region, prices[DEFAULT_REGION])
+
+
+def price(model: Column, listed: PriceList) -> Column:
+    """Price struct of a model: the first match in a price list, else the fallback."""
+    return F.coalesce(_listed_price(fields.price_key(model), listed), _price(*FALLBACK_PRICE))
 
 
 def cost(input_tokens: Column, output_tokens: Column, unit: Column) -> Column:
@@ -42,6 +46,12 @@ def _sums_cost(unit: Column) -> Column:
     return cost(F.col("total_input_tokens"), F.col("total_output_tokens"), unit)
 
 
+def _costed(df: DataFrame, unit: Column) -> DataFrame:
+    # A column of its own keeps the list from being searched once for input and once for output.
+    priced = df.withColumn("unit", unit)
+    return priced.withColumn("estimated_cost_usd", _sums_cost(F.col("unit"))).drop("unit")
+
+
 def with_cost(
     df: DataFrame,
     model_column: str = "model_name",
@@ -52,7 +62,7 @@ def with_cost(
 
     Use it after aggregation, so that every group is priced once.
     """
-    return df.withColumn("estimated_cost_usd", _sums_cost(price(F.col(model_column), region, prices)))
+    return _costed(df, price(F.col(model_column), price_list(region, prices)))
 
 
 def with_cost_by_region(
@@ -62,12 +72,13 @@ def with_cost_by_region(
     prices: RegionPrices = REGION_PRICES,
 ) -> DataFrame:
     """Like `with_cost`, with the price list of each row's own region."""
-    unit = price(F.col(model_column), DEFAULT_REGION, prices)
-    for region in prices:
-        if prices[region] != prices[DEFAULT_REGION]:
-            regional = price(F.col(model_column), region, prices)
+    default = prices[DEFAULT_REGION]
+    unit = price(F.col(model_column), default)
+    for region, listed in prices.items():
+        if listed != default:
+            regional = price(F.col(model_column), listed)
             unit = F.when(F.col(region_column) == region, regional).otherwise(unit)
-    return df.withColumn("estimated_cost_usd", _sums_cost(unit))
+    return _costed(df, unit)
 
 
 def with_flat_cost(df: DataFrame) -> DataFrame:
@@ -87,39 +98,44 @@ def price_table(spark: SparkSession, prices: RegionPrices = REGION_PRICES) -> Da
 
 
 def with_table_cost(
-    df: DataFrame, table: DataFrame, model_column: str = "model_name", region: str = DEFAULT_REGION
+    models: DataFrame,
+    table: DataFrame,
+    model_column: str = "model_name",
+    region: str = DEFAULT_REGION,
 ) -> DataFrame:
-    """Like `with_cost`, with the prices in a table of any size.
+    """Like `with_cost` for sums with one row per model, with the prices in a table of any size.
 
-    "Key contained in name" is an equi-join on the substrings of the distinct model names, which
-    are short and few; neither side has to be small enough to broadcast, and no cross join arises.
+    "Key contained in name" is an equi-join on the substrings of the model names, which are short
+    and few: no side has to be small enough to broadcast, no cross join arises, and the sums are
+    computed once.
     """
-    own = table.where(F.col("region") == region)
     default = table.where(F.col("region") == DEFAULT_REGION)
-    listed = own.unionByName(default.where(~own.exists())) if region != DEFAULT_REGION else default
-
+    own = table.where(F.col("region") == region)
+    listed = default
+    if region != DEFAULT_REGION:
+        listed = own.unionByName(default.where(~own.exists()))
+    listed = listed.select(
+        "model_key",
+        "ord",
+        F.struct(F.col("in_price").alias("input"), F.col("out_price").alias("output")).alias("unit"),
+    )
     key = fields.price_key(F.col(model_column))
-    starts = F.sequence(F.lit(1), F.length(key))
+    size = F.length(key)
     parts = F.transform(
-        starts,
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.length(key) - s + F.lit(1)), lambda n: F.substring(key, s, n)
+        F.sequence(F.lit(1), size),
+        lambda start: F.transform(
+            F.sequence(F.lit(1), size - start + 1), lambda length: F.substring(key, start, length)
         ),
     )
-    models = df.select(model_column).where(F.length(key) > 0).distinct()
-    matched = (
-        models.select(model_column, F.explode(F.array_distinct(F.flatten(parts))).alias("model_key"))
-        .join(listed, "model_key")
-        .groupBy(model_column)
-        .agg(
-            F.min_by(
-                F.struct(F.col("in_price").alias("input"), F.col("out_price").alias("output")), "ord"
-            ).alias("unit")
+    parts = F.when(size > 0, F.array_distinct(F.flatten(parts)))
+    others = [name for name in models.columns if name != model_column]
+    priced = (
+        models.select(
+            model_column, F.struct(*others).alias("sums"), F.explode_outer(parts).alias("model_key")
         )
+        .join(listed, "model_key", "left")
+        .groupBy(model_column)
+        .agg(F.any_value("sums").alias("sums"), F.min_by("unit", "ord").alias("unit"))
+        .select(model_column, "sums.*", "unit")
     )
-    unit = F.coalesce(F.col("unit"), _price(*FALLBACK_PRICE))
-    return (
-        df.join(matched, model_column, "left")
-        .withColumn("estimated_cost_usd", _sums_cost(unit))
-        .drop("unit")
-    )
+    return _costed(priced, F.coalesce("unit", _price(*FALLBACK_PRICE)))

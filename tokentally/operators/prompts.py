@@ -179,28 +179,40 @@ def peak_hour(prompts: DataFrame) -> DataFrame:
     return hours_in_kst(prompts).orderBy(F.desc("requests"), "utc_hour").limit(1)
 
 
+def _sample_step(count: Column, max_files: int) -> Column:
+    """Every how many-th file is taken from a listing of `count` files."""
+    step = F.floor(count / F.lit(max_files))
+    return F.when(count > max_files, step).otherwise(F.lit(1).cast("bigint"))
+
+
+def sample_factor(count: Column, max_files: int) -> Column:
+    """All files by sampled files: the factor that carries totals of the sample on to all."""
+    return count / F.ceil(count / _sample_step(count, max_files))
+
+
 def systematic_sample(files: DataFrame, group: str, name: str, max_files: int) -> DataFrame:
     """Every n-th file of a listing ordered by `group`, then `name`, as soon as it is too long.
 
-    The step is the number of files divided by `max_files`, whole; up to twice `max_files - 1`
-    files may remain. Positions are counted within each group (a day's directory) and shifted by
-    the sizes of the groups before, so the listing is never sorted as a whole. The one window over
-    all groups sees one row per directory.
+    The step is the number of files divided by `max_files`, whole; less than twice `max_files`
+    files remain. Positions are counted within each group (a day's directory) and shifted by the
+    sizes of the groups before, so the listing is never sorted as a whole. The window over all
+    groups sees one row per directory.
     """
     sizes = files.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(
-        F.sum("size").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
+    upto = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy(group).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    offsets = sizes.select(
+        group,
+        (F.sum("size").over(upto) - F.col("size")).alias("offset"),
+        _sample_step(F.sum("size").over(whole), max_files).alias("step"),
     )
-    offsets = sizes.select(group, before.alias("offset"))
-    count = files.agg(F.count(F.lit(1))).scalar()
-    step = F.greatest(F.floor(count / F.lit(max_files)), F.lit(1).cast("bigint"))
     within = F.row_number().over(Window.partitionBy(group).orderBy(name)) - 1
     return (
         files.withColumn("within", within)
         .join(offsets, group)
         .withColumn("position", F.col("offset") + F.col("within"))
-        .withColumn("step", F.when(count > max_files, step).otherwise(1))
         .where(F.col("position") % F.col("step") == 0)
         .drop("within", "offset", "step")
     )

@@ -100,20 +100,27 @@ def compare_costs(billed: DataFrame, computed: DataFrame) -> DataFrame:
     )
 
 
+def _cost_sum() -> Column:
+    return F.sum(F.col("cost").cast(_MONEY)).alias("cost")
+
+
 def bill_by_usage_type(bill: DataFrame) -> DataFrame:
-    """Cost per usage type, highest first, and the grand total with usage type NULL."""
+    """Cost per usage type, highest first, and the grand total with usage type NULL.
+
+    The bill is summed per usage type before the rollup, which would otherwise double its rows.
+    """
+    per_type = bill.groupBy("usage_type").agg(_cost_sum())
     return (
-        bill.rollup("usage_type")
-        .agg(F.sum(F.col("cost").cast(_MONEY)).cast("double").alias("cost"), F.grouping("usage_type").alias("is_total"))
-        .withColumn("is_total", F.col("is_total") == 1)
+        per_type.rollup("usage_type")
+        .agg(
+            F.sum("cost").cast("double").alias("cost"),
+            (F.grouping("usage_type") == 1).alias("is_total"),
+        )
         .orderBy("is_total", F.desc("cost"), "usage_type")
     )
 
 
 def bill_by_day(bill: DataFrame) -> DataFrame:
     """Cost per day and usage type."""
-    return (
-        bill.groupBy("day", "usage_type")
-        .agg(F.sum(F.col("cost").cast(_MONEY)).cast("double").alias("cost"))
-        .orderBy("day", "usage_type")
-    )
+    grouped = bill.groupBy("day", "usage_type").agg(_cost_sum())
+    return grouped.withColumn("cost", F.col("cost").cast("double")).orderBy("day", "usage_type")

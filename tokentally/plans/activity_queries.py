@@ -4,9 +4,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions.fields import whole_number
 from ..operators import activity, estimates, filters, invocations
 from . import views
-from .registry import query
+from .registry import query, rounded
 
 START, END = date(2023, 12, 25), date(2024, 1, 20)
 DAYS = (END - START).days + 1
@@ -35,7 +36,7 @@ _SUMS = ", ".join(
 
 
 def _reports(spark, folder):
-    return filters.in_report_days(views.activity(spark, folder), START, END)
+    return filters.in_report_days(views.activity(spark, folder, START, END), START, END)
 
 
 @query(
@@ -44,9 +45,8 @@ def _reports(spark, folder):
     WHERE d BETWEEN DATE '2023-12-28' AND DATE '2024-01-03'""",
 )
 def _(spark, folder):
-    rows = filters.in_report_days(
-        views.activity(spark, folder), date(2023, 12, 28), date(2024, 1, 3)
-    )
+    start, end = date(2023, 12, 28), date(2024, 1, 3)
+    rows = filters.in_report_days(views.activity(spark, folder, start, end), start, end)
     return rows.select("UserId", "Date", F.col("Chat_MessagesSent").cast("bigint").alias("Chat_MessagesSent"))
 
 
@@ -137,7 +137,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     features = activity.by_feature(_reports(spark, folder)).select("feature_type", "total_count")
-    return invocations.with_share(features, "total_count").withColumn("share", F.round("share", 8))
+    return rounded(invocations.with_share(features, "total_count"), 8, "share")
 
 
 _ALL = f"""t AS (SELECT {_SUMS}, {_total('doc', 'total_doc_events')},
@@ -198,7 +198,7 @@ def _limit_sql(name: str, column: str, allowed: int) -> str:
 def _(spark, folder):
     totals = activity.totals(_reports(spark, folder), "total_transformation_lines")
     limits = estimates.official_limits(totals, DAYS)
-    return limits.withColumn("percentage", F.round("percentage", 6))
+    return rounded(limits, 6, "percentage")
 
 
 _DAILY = """d AS (SELECT Date AS date_str, CAST(COALESCE(SUM(chat), 0) + COALESCE(SUM(suggestions), 0)
@@ -213,7 +213,7 @@ _DAILY = """d AS (SELECT Date AS date_str, CAST(COALESCE(SUM(chat), 0) + COALESC
 )
 def _(spark, folder):
     spikes = activity.daily_spikes(_reports(spark, folder))
-    return spikes.withColumn("threshold", F.round("threshold", 6))
+    return rounded(spikes, 6, "threshold")
 
 
 @query(
@@ -225,13 +225,10 @@ def _(spark, folder):
     COUNT(*) FILTER (activity > (SELECT AVG(activity) FROM d) * 3) > 0 AS anomaly_detected FROM d""",
 )
 def _(spark, folder):
-    table = activity.trends(_reports(spark, folder))
-    for name in ("daily_avg", "anomaly_threshold"):
-        table = table.withColumn(name, F.round(name, 6))
-    return table
+    return rounded(activity.trends(_reports(spark, folder)), 6, "daily_avg", "anomaly_threshold")
 
 
-def _cost_sql(source: str, tokens_in: str, tokens_out: str, days: str, key: str) -> str:
+def cost_sql(source: str, tokens_in: str, tokens_out: str, days: str, key: str) -> str:
     return f"""v AS (SELECT {key}{tokens_in} * 0.003::DOUBLE / 1000 AS input_cost,
       {tokens_out} * 0.015::DOUBLE / 1000 AS output_cost, 19.0::DOUBLE * ({days} / 30) AS prorated
       FROM {source}),
@@ -244,44 +241,38 @@ def _cost_sql(source: str, tokens_in: str, tokens_out: str, days: str, key: str)
     FROM w"""
 
 
-_COSTS = (
+COST_COLUMNS = (
     "input_cost", "output_cost", "virtual_cost", "prorated_subscription", "saving",
     "saving_percent", "loss_percent",
 )
 
 
-def _rounded(df):
-    for name in _COSTS:
-        df = df.withColumn(name, F.round(name, 6))
-    return df
-
-
 _TOKENS = ("estimated_input_tokens", "estimated_output_tokens")
 
 
 @query(
     "met_04_virtual_cost_calendar_days",
     f"{_V}, {_ALL}, {_SCENARIOS}, e AS ({_estimates('t', False)}), "
-    + _cost_sql("e", *_TOKENS, str(DAYS), "estimation_type, "),
+    + cost_sql("e", *_TOKENS, str(DAYS), "estimation_type, "),
 )
 def _(spark, folder):
     tokens = estimates.estimate_tokens(activity.totals(_reports(spark, folder)))
-    return _rounded(
-        estimates.virtual_cost(tokens, *_TOKENS, F.lit(DAYS), keep=("estimation_type",))
-    )
+    costs = estimates.virtual_cost(tokens, *_TOKENS, F.lit(DAYS), keep=("estimation_type",))
+    return rounded(costs, 6, *COST_COLUMNS)
 
 
 @query(
     "met_04_virtual_cost_active_days",
     f"{_V}, {_ALL}, {_SCENARIOS}, e AS ({_estimates('t', False)}), "
     "ea AS (SELECT * FROM e, (SELECT active_days FROM t) WHERE estimation_type = 'average'), "
-    + _cost_sql("ea", *_TOKENS, "active_days", "estimation_type, "),
+    + cost_sql("ea", *_TOKENS, "active_days", "estimation_type, "),
 )
 def _(spark, folder):
     totals = activity.totals(_reports(spark, folder))
     days = totals.select("active_days").scalar()
     tokens = estimates.estimate_tokens(totals, "average")
-    return _rounded(estimates.virtual_cost(tokens, *_TOKENS, days, keep=("estimation_type",)))
+    costs = estimates.virtual_cost(tokens, *_TOKENS, days, keep=("estimation_type",))
+    return rounded(costs, 6, *COST_COLUMNS)
 
 
 @query(
@@ -292,9 +283,7 @@ def _(spark, folder):
 def _(spark, folder):
     totals = activity.totals(_reports(spark, folder))
     table = estimates.month_projection(totals, "total_chat_messages", DAYS)
-    return table.withColumn("per_day", F.round("per_day", 6)).withColumn(
-        "projected_month", F.round("projected_month", 6)
-    )
+    return rounded(table, 6, "per_day", "projected_month")
 
 
 @query(
@@ -316,8 +305,6 @@ def _(spark, folder):
     FROM events GROUP BY event_type""",
 )
 def _(spark, folder):
-    from ..functions.fields import whole_number
-
     event = F.col("event_id")
     text = F.when(event % 3 == 0, "").when(event % 3 == 1, event.cast("string")).otherwise("n/a")
     events = views.table(spark, folder, "events")

@@ -9,7 +9,7 @@ from ..functions.periods import resolve_period
 from ..operators import filters, invocations, pricing
 from ..sources import sinks, tables
 from . import views
-from .registry import query
+from .registry import query, rounded
 
 START, END = date(2024, 1, 5), date(2024, 1, 20)
 EDGE_START, EDGE_END = date(2023, 12, 28), date(2024, 1, 3)
@@ -35,11 +35,9 @@ def _cells(spark, folder):
     return invocations.as_cells(_calls(spark, folder))
 
 
-def _cents(df, *names):
+def _cents(df, name="estimated_cost_usd"):
     """Costs rounded to eight decimals, the precision the price list allows."""
-    for name in names or ("estimated_cost_usd",):
-        df = df.withColumn(name, F.round(name, 8))
-    return df
+    return rounded(df, 8, name)
 
 
 @query("src_08_row_count", "SELECT COUNT(*) AS row_count FROM events")
@@ -159,11 +157,9 @@ _BY_MODEL = f"""g AS (SELECT model_id, model_name, {_SUMS},
     total_input_tokens, total_output_tokens, round({_COST}, 8) AS estimated_cost_usd
     FROM g JOIN unit u ON g.model_name IS NOT DISTINCT FROM u.model_name""",
 )
-def usage_by_model(spark, folder):
+def _(spark, folder):
     table = invocations.by_model(_cells(spark, folder))
-    for name in ("avg_input_tokens", "avg_output_tokens"):
-        table = table.withColumn(name, F.round(name, 6))
-    return _cents(table)
+    return _cents(rounded(table, 6, "avg_input_tokens", "avg_output_tokens"))
 
 
 @query(

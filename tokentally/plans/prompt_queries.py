@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.fields import text_tokens
 from ..operators import estimates, filters, prompts
 from . import views
-from .activity_queries import _cost_sql, _rounded
-from .registry import query
+from .activity_queries import COST_COLUMNS, cost_sql
+from .registry import query, rounded
 
 DAYS = 30
 SAMPLE = 100
@@ -41,9 +42,7 @@ def _(spark, folder):
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'""",
 )
 def _(spark, folder):
-    from ..functions.fields import text_tokens
-
-    pairs = views._turns(spark, folder, text_tokens(F.col("text")))
+    pairs = views.turns(spark, folder, text_tokens(F.col("text")))
     return pairs.select(
         "conv_id",
         "turn",
@@ -73,8 +72,6 @@ def _(spark, folder):
     """SELECT doc_id, CAST(length(text) // 3 AS BIGINT) AS tokens FROM documents""",
 )
 def _(spark, folder):
-    from ..functions.fields import text_tokens
-
     documents = views.table(spark, folder, "documents")
     return documents.select("doc_id", text_tokens(F.col("text")).alias("tokens"))
 
@@ -123,6 +120,9 @@ def _(spark, folder):
     return prompts.peak_hour(views.prompts(spark, folder))
 
 
+_CONTEXT = ("usage_percent", "daily_average", "daily_percent")
+
+
 @query(
     "met_05_context_use",
     _V + f""", t AS (SELECT {_TOTAL} FROM v4) SELECT total_tokens,
@@ -132,7 +132,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     total = prompts.totals(views.prompts(spark, folder))
-    return _context(estimates.context_use(total, "total_tokens", DAYS))
+    return rounded(estimates.context_use(total, "total_tokens", DAYS), 6, *_CONTEXT)
 
 
 @query(
@@ -145,15 +145,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     conversations = prompts.by_conversation(views.chat_prompts(spark, folder))
-    return _context(
-        estimates.context_use(conversations, "total_tokens", 1, keep=("conversation_id",))
-    )
-
-
-def _context(df):
-    for name in ("usage_percent", "daily_average", "daily_percent"):
-        df = df.withColumn(name, F.round(name, 6))
-    return df
+    use = estimates.context_use(conversations, "total_tokens", 1, keep=("conversation_id",))
+    return rounded(use, 6, *_CONTEXT)
 
 
 @query(
@@ -165,21 +158,18 @@ def _context(df):
 )
 def _(spark, folder):
     table = prompts.by_type(views.prompts(spark, folder))
-    for name in ("percent", "avg_input", "avg_output", "avg_total"):
-        table = table.withColumn(name, F.round(name, 6))
-    return table
+    return rounded(table, 6, "percent", "avg_input", "avg_output", "avg_total")
 
 
 @query(
     "met_04_virtual_cost_of_prompts",
     _V + f""", t AS (SELECT CAST(SUM(input_tokens) AS BIGINT) AS tin, CAST(SUM(output_tokens) AS BIGINT)
-      AS tout FROM v4), """ + _cost_sql("t", "tin", "tout", str(DAYS), ""),
+      AS tout FROM v4), """ + cost_sql("t", "tin", "tout", str(DAYS), ""),
 )
 def _(spark, folder):
     total = prompts.totals(views.prompts(spark, folder))
-    return _rounded(
-        estimates.virtual_cost(total, "input_tokens", "output_tokens", F.lit(DAYS))
-    )
+    costs = estimates.virtual_cost(total, "input_tokens", "output_tokens", F.lit(DAYS))
+    return rounded(costs, 6, *COST_COLUMNS)
 
 
 @query("ord_05_prompt_users", _V + f" SELECT user_id, {_SUMS}, {_TOTAL} FROM v4 GROUP BY user_id")
@@ -205,14 +195,9 @@ _SAMPLED = f""", f AS (SELECT DISTINCT file FROM v4),
     WHERE position % CASE WHEN n > {SAMPLE} THEN n // {SAMPLE} ELSE 1 END = 0)"""
 
 
-def _files(rows):
-    folder_of = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
-    return rows.select("file").distinct().withColumn("folder", folder_of)
-
-
 @query("src_09_sampled_files", _V + _SAMPLED + " SELECT file, position FROM s")
 def _(spark, folder):
-    files = _files(views.prompts(spark, folder))
+    files = views.prompt_files(spark, folder)
     sample = prompts.systematic_sample(files, "folder", "file", SAMPLE)
     return sample.select("file", "position")
 
@@ -227,10 +212,9 @@ def _(spark, folder):
     CAST(trunc(total_tokens * factor) AS BIGINT) AS total_tokens FROM t, x""",
 )
 def _(spark, folder):
-    rows = views.prompts(spark, folder)
-    files = _files(rows)
+    files = views.prompt_files(spark, folder)
     sample = prompts.systematic_sample(files, "folder", "file", SAMPLE).select("file")
     # A sample has less than twice SAMPLE files, so it may be broadcast at any scale.
-    sampled = rows.join(F.broadcast(sample), "file", "left_semi")
-    factor = files.agg(F.count(F.lit(1))).scalar() / sample.agg(F.count(F.lit(1))).scalar()
-    return prompts.scaled(prompts.totals(sampled), factor)
+    rows = views.prompts(spark, folder).join(F.broadcast(sample), "file", "left_semi")
+    count = files.agg(F.count(F.lit(1))).scalar()
+    return prompts.scaled(prompts.totals(rows), prompts.sample_factor(count, SAMPLE))

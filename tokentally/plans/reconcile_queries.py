@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..constants import DEFAULT_REGION
 from ..operators import filters, pricing, reconcile
 from . import views
-from .registry import query
+from .registry import query, rounded
 
 _SIDES = "WITH" + views.SQL_INVOCATIONS + "," + views.SQL_SIDES
 _PRICED = "WITH" + views.SQL_INVOCATIONS + "," + views.SQL_PRICES + "," + views.SQL_SIDES
@@ -77,9 +78,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rates = reconcile.match_rates(_comparison(spark, folder))
-    for name in ("match_percent", "difference_percent"):
-        rates = rates.withColumn(name, F.round(name, 6))
-    return rates
+    return rounded(rates, 6, "match_percent", "difference_percent")
 
 
 def _model_sums(points):
@@ -106,10 +105,11 @@ def _model_sums(points):
 def _(spark, folder):
     metrics, log = views.two_sides(spark, folder)
     all_sums = _model_sums(reconcile.log_totals(metrics))
-    unit = pricing.price(F.col("model"))
+    unit = F.col("unit")
     nothing = F.lit(0)
     # The bill lists input and output of a model apart.
-    billed = all_sums.select(
+    listed = pricing.price_list(DEFAULT_REGION)
+    billed = all_sums.withColumn("unit", pricing.price(F.col("model"), listed)).select(
         "model",
         F.explode(
             F.array(
@@ -121,9 +121,7 @@ def _(spark, folder):
     priced = pricing.with_cost(_model_sums(reconcile.log_totals(log)), "model")
     computed = priced.select("model", F.col("estimated_cost_usd").alias("cost"))
     table = reconcile.compare_costs(billed, computed)
-    for name in ("billed_cost", "computed_cost", "difference"):
-        table = table.withColumn(name, F.round(name, 8))
-    return table
+    return rounded(table, 8, "billed_cost", "computed_cost", "difference")
 
 
 _COST = "round(CAST(SUM(CAST(cost AS DECIMAL(28, 10))) AS DOUBLE), 4) AS cost"
@@ -134,7 +132,7 @@ _COST = "round(CAST(SUM(CAST(cost AS DECIMAL(28, 10))) AS DOUBLE), 4) AS cost"
     _BILL + f" SELECT day, usage_type, {_COST} FROM v6 GROUP BY day, usage_type",
 )
 def _(spark, folder):
-    return reconcile.bill_by_day(views.bill(spark, folder)).withColumn("cost", F.round("cost", 4))
+    return rounded(reconcile.bill_by_day(views.bill(spark, folder)), 4, "cost")
 
 
 @query(
@@ -153,4 +151,4 @@ def _(spark, folder):
 )
 def _(spark, folder):
     bill = reconcile.bill_by_usage_type(filters.charged(views.bill(spark, folder)))
-    return bill.withColumn("cost", F.round("cost", 4))
+    return rounded(bill, 4, "cost")

@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,3 +29,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return build
 
     return register
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """Round doubles, so that a sum does not depend on the order of its rows."""
+    return df.withColumns({name: F.round(name, digits) for name in names})

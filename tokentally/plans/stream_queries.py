@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs, trends
 from . import views
-from .registry import query
+from .registry import query, rounded
 
 _V = "WITH" + views.SQL_INVOCATIONS
 _TOKENS = "CAST(SUM(tin + tout) AS BIGINT) AS total_tokens, COUNT(*) AS requests"
@@ -85,6 +85,4 @@ def _(spark, folder):
     )
     late = F.timestamp_millis(F.unix_millis("event_time") + F.col("lag_ms"))
     table = trends.lag_by_hour(events.withColumn("ingestion_time", late))
-    for name in ("median_lag", "p95_lag", "max_lag"):
-        table = table.withColumn(name, F.round(name, 6))
-    return table
+    return rounded(table, 6, "median_lag", "p95_lag", "max_lag")

@@ -2,12 +2,10 @@
 
 from datetime import UTC, datetime
 
-from pyspark.sql import functions as F
-
 from ..functions import fields
 from ..operators import filters, invocations, tagged
 from . import views
-from .registry import query
+from .registry import query, rounded
 
 _V = "WITH" + views.SQL_INVOCATIONS
 _VP = _V + "," + views.SQL_PRICES
@@ -19,12 +17,6 @@ def _calls(spark, folder):
     return views.invocations(spark, folder)
 
 
-def _rounded(df, *names):
-    for name in names or ("avg_tokens",):
-        df = df.withColumn(name, F.round(name, 6))
-    return df
-
-
 def _flat(df):
     return df.withColumnRenamed("requestId", "request_id")
 
@@ -129,7 +121,7 @@ def _(spark, folder):
     CAST(SUM(tout) AS BIGINT) AS total_output_tokens, {_STATS} FROM v1 GROUP BY application_name""",
 )
 def _(spark, folder):
-    return _rounded(tagged.by_application(_calls(spark, folder)))
+    return rounded(tagged.by_application(_calls(spark, folder)), 6, "avg_tokens")
 
 
 @query(
@@ -137,7 +129,7 @@ def _(spark, folder):
     _V + f" SELECT application_name, environment, {_STATS} FROM v1 GROUP BY ALL",
 )
 def _(spark, folder):
-    return _rounded(tagged.by_application_environment(_calls(spark, folder)))
+    return rounded(tagged.by_application_environment(_calls(spark, folder)), 6, "avg_tokens")
 
 
 @query(
@@ -146,12 +138,12 @@ def _(spark, folder):
     WHERE regexp_matches(tenant_id, 'tenant-') GROUP BY ALL""",
 )
 def _(spark, folder):
-    return _rounded(tagged.by_tenant_application(_calls(spark, folder)))
+    return rounded(tagged.by_tenant_application(_calls(spark, folder)), 6, "avg_tokens")
 
 
 @query("agg_14_usage_by_tenant", _V + f" SELECT tenant_id, {_STATS} FROM v1 GROUP BY tenant_id")
 def _(spark, folder):
-    return _rounded(tagged.by_tenant(_calls(spark, folder)))
+    return rounded(tagged.by_tenant(_calls(spark, folder)), 6, "avg_tokens")
 
 
 @query(
@@ -168,7 +160,7 @@ def _(spark, folder):
     AND application_name = 'CustomerServiceApp' AND tin + tout > 100 GROUP BY tenant_id""",
 )
 def _(spark, folder):
-    return _rounded(tagged.heavy_by_tenant(_calls(spark, folder)))
+    return rounded(tagged.heavy_by_tenant(_calls(spark, folder)), 6, "avg_tokens")
 
 
 @query(
@@ -188,7 +180,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     sizes = tagged.output_sizes(_calls(spark, folder))
-    return _rounded(sizes, "avg_output", "median_output", "p95_output")
+    return rounded(sizes, 6, "avg_output", "median_output", "p95_output")
 
 
 @query("agg_18_output_sizes_approx")
@@ -211,7 +203,7 @@ def _(spark, folder):
     FROM v1 WHERE experiment_id = 'prompt-test-001' GROUP BY variant""",
 )
 def _(spark, folder):
-    return _rounded(tagged.by_variant(_calls(spark, folder), "prompt-test-001"), "avg_output")
+    return rounded(tagged.by_variant(_calls(spark, folder), "prompt-test-001"), 6, "avg_output")
 
 
 def _chargeback_sql(*keys):
@@ -225,18 +217,14 @@ def _chargeback_sql(*keys):
     FROM g JOIN unit u ON g.model_name IS NOT DISTINCT FROM u.model_name GROUP BY ALL"""
 
 
-def _charged(df):
-    return df.withColumn("estimated_cost_usd", F.round("estimated_cost_usd", 8))
-
-
 @query("joi_07_cost_by_tenant", _chargeback_sql("tenant_id"))
 def _(spark, folder):
-    return _charged(tagged.chargeback(_calls(spark, folder), "tenant_id"))
+    return rounded(tagged.chargeback(_calls(spark, folder), "tenant_id"), 8, "estimated_cost_usd")
 
 
 @query("joi_07_cost_by_cost_center_team", _chargeback_sql("cost_center", "team"))
 def _(spark, folder):
-    return _charged(tagged.chargeback(_calls(spark, folder), "cost_center", "team"))
+    return rounded(tagged.chargeback(_calls(spark, folder), "cost_center", "team"), 8, "estimated_cost_usd")
 
 
 @query(
@@ -256,4 +244,4 @@ def _(spark, folder):
 def _(spark, folder):
     usage = tagged.by_application(_calls(spark, folder)).select("application_name", "total_tokens")
     shares = invocations.with_share(usage, "total_tokens")
-    return shares.withColumn("share", F.round("share", 8))
+    return rounded(shares, 8, "share")

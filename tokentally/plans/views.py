@@ -9,101 +9,93 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields
+from ..operators.prompts import flatten_records
+from ..schemas import PROMPT_RECORD
 
-_ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+_TEXT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 _EPOCH_2024 = 1_704_067_200
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+# Declared, so that planning does not open files to infer them.
+_SCHEMAS = {
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
+      value double, props string""",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+      l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+      l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+}
 
 
-def _case(key: Column, values: list) -> Column:
-    """Value number `key`; NULL beyond the list."""
-    chosen = F.lit(None).cast("string")
-    for i, value in enumerate(values):
-        chosen = F.when(key == i, value).otherwise(chosen)
-    return chosen
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _text(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
+# Columns as SQL text: one expression each, where nested calls would be hundreds.
+_INVOCATION = (
+    f"date_format(ts, \"{_TEXT}\") AS timestamp",
+    "'111111111111' AS accountId",
+    """named_struct('arn', CASE user_id % 5
+      WHEN 0 THEN concat('arn:aws:sts::111111111111:assumed-role/CustomerService-Role/s', user_id)
+      WHEN 1 THEN concat('arn:aws:sts::111111111111:assumed-role/DataAnalysis-Role/s', user_id)
+      WHEN 2 THEN concat('arn:aws:iam::111111111111:user/dev', user_id)
+      WHEN 3 THEN 'arn:aws:iam::111111111111:role/Chatbot-Role'
+      ELSE 'arn:aws:iam::111111111111:role/user-service' END) AS identity""",
+    """element_at(array('us-east-1', 'us-west-2', 'eu-central-1', 'ap-northeast-1',
+      'ap-northeast-2', 'ap-southeast-1', 'sa-east-1'), int(user_id % 7 + 1)) AS region""",
+    "concat('req-', event_id) AS requestId",
+    "'Converse' AS operation",
+    """CASE WHEN event_id % 101 = 0 THEN NULL
+      WHEN event_type = 'view' THEN 'us.anthropic.claude-3-haiku-20240307-v1:0'
+      WHEN event_type = 'click' THEN 'anthropic.claude-3-5-sonnet-20240620-v1:0'
+      WHEN event_type = 'purchase' THEN concat('arn:aws:models:us-east-1:111111111111:',
+        'inference-profile/us.anthropic.claude-sonnet-4-5-20250929-v1:0')
+      WHEN event_type = 'signup' THEN 'vendor.other-model-v1'
+      WHEN event_id % 2 = 0 THEN 'us.anthropic.claude-opus-4-20250514-v1:0'
+      ELSE 'claude-3-opus-20240229' END AS modelId""",
+    """named_struct('inputTokenCount',
+      CASE WHEN event_id % 97 <> 0 THEN int(floor(value * 20)) END) AS input""",
+    """named_struct('outputTokenCount',
+      CASE WHEN event_id % 89 <> 0 THEN int(event_id * 7 % 6000) END) AS output""",
+    """map(
+      'application_name', CASE event_id % 5 WHEN 0 THEN 'CustomerServiceApp'
+        WHEN 1 THEN 'SalesAssistantApp' WHEN 2 THEN 'DeveloperToolsApp'
+        WHEN 3 THEN 'DocumentAnalysisApp' END,
+      'application_id', CASE WHEN event_id % 5 < 4 AND user_id % 13 <> 0
+        THEN concat('app-00', event_id % 5 + 1) END,
+      'environment', CASE event_id % 5 WHEN 2 THEN 'development' WHEN 4 THEN NULL
+        ELSE 'production' END,
+      'team', CASE event_id % 5 WHEN 0 THEN 'customer-support' WHEN 1 THEN 'sales'
+        WHEN 2 THEN 'engineering' WHEN 3 THEN 'product' END,
+      'cost_center', CASE event_id % 5 WHEN 0 THEN 'CS-123' WHEN 1 THEN 'SALES-456'
+        WHEN 2 THEN 'ENG-789' WHEN 3 THEN 'PROD-999' END,
+      'tenant_id', CASE event_id % 5 WHEN 0 THEN concat('tenant-', user_id % 3 + 101)
+        WHEN 1 THEN concat('prospect-', user_id % 2 + 301)
+        WHEN 3 THEN CASE user_id % 3 WHEN 0 THEN 'acme-corp' WHEN 1 THEN 'globex-inc'
+          ELSE 'initech-llc' END END,
+      'user_id', CASE WHEN event_id % 5 < 4 THEN concat('user-', user_id) END,
+      'experiment_id', CASE WHEN event_id % 5 < 4 AND event_id % 3 = 0 THEN 'prompt-test-001' END,
+      'variant', CASE WHEN event_id % 5 < 4 AND event_id % 3 = 0
+        THEN if(user_id % 2 = 0, 'version-a', 'version-b') END,
+      'user_email', CASE WHEN event_id % 5 < 4 AND user_id % 17 = 0 THEN 'someone@example.com' END
+    ) AS requestMetadata""",
+    "string(year(ts)) AS year",
+    "string(month(ts)) AS month",
+    "string(day(ts)) AS day",
+)
 
 
 def invocations_of(events: DataFrame) -> DataFrame:
     """Tagged invocation records from events, batch or stream."""
-    event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    role = "arn:aws:sts::111111111111:assumed-role/"
-    arn = _case(
-        user % 5,
-        [
-            _text(role + "CustomerService-Role/s", user),
-            _text(role + "DataAnalysis-Role/s", user),
-            _text("arn:aws:iam::111111111111:user/dev", user),
-            F.lit("arn:aws:iam::111111111111:role/Chatbot-Role"),
-            F.lit("arn:aws:iam::111111111111:role/user-service"),
-        ],
-    )
-    profile = "arn:aws:models:us-east-1:111111111111:inference-profile/"
-    model = (
-        F.when(event % 101 == 0, F.lit(None).cast("string"))
-        .when(kind == "view", "us.anthropic.claude-3-haiku-20240307-v1:0")
-        .when(kind == "click", "anthropic.claude-3-5-sonnet-20240620-v1:0")
-        .when(kind == "purchase", profile + "us.anthropic.claude-sonnet-4-5-20250929-v1:0")
-        .when(kind == "signup", "vendor.other-model-v1")
-        .when(event % 2 == 0, "us.anthropic.claude-opus-4-20250514-v1:0")
-        .otherwise("claude-3-opus-20240229")
-    )
-    regions = [
-        "us-east-1", "us-west-2", "eu-central-1", "ap-northeast-1", "ap-northeast-2",
-        "ap-southeast-1", "sa-east-1",
-    ]
-    tokens_in = F.when(event % 97 != 0, F.floor(F.col("value") * 20).cast("int"))
-    tokens_out = F.when(event % 89 != 0, (event * 7 % 6000).cast("int"))
-    app = event % 5
-    tenant = _case(
-        app,
-        [
-            _text("tenant-", user % 3 + 101),
-            _text("prospect-", user % 2 + 301),
-            F.lit(None),
-            _case(user % 3, [F.lit("acme-corp"), F.lit("globex-inc"), F.lit("initech-llc")]),
-        ],
-    )
-    metadata = {
-        "application_name": _case(
-            app,
-            ["CustomerServiceApp", "SalesAssistantApp", "DeveloperToolsApp", "DocumentAnalysisApp"],
-        ),
-        "application_id": F.when((app < 4) & (user % 13 != 0), _text("app-00", app + 1)),
-        "environment": _case(app, ["production", "production", "development", "production"]),
-        "team": _case(app, ["customer-support", "sales", "engineering", "product"]),
-        "cost_center": _case(app, ["CS-123", "SALES-456", "ENG-789", "PROD-999"]),
-        "tenant_id": tenant,
-        "user_id": F.when(app < 4, _text("user-", user)),
-        "experiment_id": F.when((app < 4) & (event % 3 == 0), "prompt-test-001"),
-        "variant": F.when(
-            (app < 4) & (event % 3 == 0), F.when(user % 2 == 0, "version-a").otherwise("version-b")
-        ),
-        "user_email": F.when((app < 4) & (user % 17 == 0), "someone@example.com"),
-    }
-    pairs = [item for key, value in metadata.items() for item in (F.lit(key), value)]
-    time = F.col("ts")
-    return events.select(
-        F.date_format(time, _ISO).alias("timestamp"),
-        F.lit("111111111111").alias("accountId"),
-        F.struct(arn.alias("arn")).alias("identity"),
-        _case(user % 7, regions).alias("region"),
-        _text("req-", event).alias("requestId"),
-        F.lit("Converse").alias("operation"),
-        model.alias("modelId"),
-        F.struct(tokens_in.alias("inputTokenCount")).alias("input"),
-        F.struct(tokens_out.alias("outputTokenCount")).alias("output"),
-        F.create_map(*pairs).alias("requestMetadata"),
-        F.year(time).cast("string").alias("year"),
-        F.month(time).cast("string").alias("month"),
-        F.dayofmonth(time).cast("string").alias("day"),
-    )
+    return events.selectExpr(*_INVOCATION)
+
+
+def _between(events: DataFrame, start: date, end: date) -> DataFrame:
+    """Events of the days `start` to `end`: a plain range, so files and row groups are skipped."""
+    first = F.lit(f"{start} 00:00:00").cast("timestamp_ntz")
+    after = F.lit(f"{end + timedelta(days=1)} 00:00:00").cast("timestamp_ntz")
+    return events.where((F.col("ts") >= first) & (F.col("ts") < after))
 
 
 def invocations(
@@ -112,19 +104,14 @@ def invocations(
     """Invocation records. With days given, the scan skips files and row groups of other days."""
     events = table(spark, folder, "events")
     if start is not None and end is not None:
-        first = F.lit(f"{start} 00:00:00").cast("timestamp_ntz")
-        after = F.lit(f"{end + timedelta(days=1)} 00:00:00").cast("timestamp_ntz")
-        events = events.where((F.col("ts") >= first) & (F.col("ts") < after))
+        events = _between(events, start, end)
     return invocations_of(events)
 
 
 def invocation_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same records as a stream of files."""
-    schema = table(spark, folder, "events").schema
-    events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder)
-    )
-    return invocations_of(events)
+    files = spark.readStream.schema(_SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet")
+    return invocations_of(files.parquet(folder))
 
 
 SQL_INVOCATIONS = """
@@ -202,38 +189,37 @@ unit AS (
   GROUP BY m.model_name)"""
 
 
-def activity(spark: SparkSession, folder: str) -> DataFrame:
+_ACTIVITY_KEYS = (
+    "concat('user-', user_id) AS UserId",
+    """CASE WHEN user_id % 50 = 7 AND day(ts) = 3 THEN 'n/a' ELSE date_format(
+      if(user_id % 10 = 0, ts - INTERVAL 10 DAYS, ts), 'MM-dd-yyyy') END AS Date""",
+)
+_ACTIVITY_COUNTERS = (
+    "int(sum(if(event_type = 'view', if(day(ts) = 10, 50, 1), 0))) AS Chat_MessagesSent",
+    "int(nullif(count_if(event_type = 'click'), 0)) AS Inline_SuggestionsCount",
+    "int(count_if(event_type = 'purchase')) AS Inline_AcceptanceCount",
+    "int(sum(if(event_type = 'view', event_id % 7, 0))) AS Chat_AICodeLines",
+    "int(sum(if(event_type = 'click', event_id % 5, 0))) AS Inline_AICodeLines",
+    "int(count_if(event_type = 'signup')) AS Dev_GenerationEventCount",
+    "int(count_if(event_type = 'error' AND event_id % 2 = 0)) AS TestGeneration_EventCount",
+    "int(count_if(event_type = 'error' AND event_id % 6 = 1)) AS DocGeneration_EventCount",
+    "int(sum(if(event_type = 'purchase', event_id % 50, 0))) AS Transformation_LinesIngested",
+)
+
+
+def activity(
+    spark: SparkSession, folder: str, start: date | None = None, end: date | None = None
+) -> DataFrame:
     """Activity rows: events counted per user and day.
 
-    Some users are active over New Year, some dates are broken, some counters are empty, and one
-    day is far busier than the others.
+    Some users report ten days early and so are active over New Year, some dates are broken, some
+    counters are empty, and one day is far busier than the others.
     """
-    user, time, kind, event = (F.col(c) for c in ("user_id", "ts", "event_type", "event_id"))
-    shifted = F.to_date(F.when(user % 10 == 0, time - F.expr("INTERVAL 10 DAYS")).otherwise(time))
-    day = F.date_format(shifted, "MM-dd-yyyy")
-    broken = (user % 50 == 7) & (F.dayofmonth(time) == 3)
-
-    def counted(condition: Column) -> Column:
-        return F.count_if(condition).cast("int")
-
-    def summed(condition: Column, value: Column) -> Column:
-        return F.sum(F.when(condition, value).otherwise(0)).cast("int")
-
-    busy = F.when(F.dayofmonth(time) == 10, 50).otherwise(1)
     events = table(spark, folder, "events")
-    return events.groupBy(
-        _text("user-", user).alias("UserId"), F.when(broken, "n/a").otherwise(day).alias("Date")
-    ).agg(
-        summed(kind == "view", busy).alias("Chat_MessagesSent"),
-        F.nullif(counted(kind == "click"), F.lit(0)).alias("Inline_SuggestionsCount"),
-        counted(kind == "purchase").alias("Inline_AcceptanceCount"),
-        summed(kind == "view", event % 7).alias("Chat_AICodeLines"),
-        summed(kind == "click", event % 5).alias("Inline_AICodeLines"),
-        counted(kind == "signup").alias("Dev_GenerationEventCount"),
-        counted((kind == "error") & (event % 2 == 0)).alias("TestGeneration_EventCount"),
-        counted((kind == "error") & (event % 6 == 1)).alias("DocGeneration_EventCount"),
-        summed(kind == "purchase", event % 50).alias("Transformation_LinesIngested"),
-    )
+    if start is not None and end is not None:
+        events = _between(events, start, end + timedelta(days=10))
+    keys = [F.expr(key) for key in _ACTIVITY_KEYS]
+    return events.groupBy(*keys).agg(*[F.expr(counter) for counter in _ACTIVITY_COUNTERS])
 
 
 SQL_ACTIVITY = """
@@ -253,136 +239,101 @@ v3 AS (
   FROM events GROUP BY 1, 2)"""
 
 
-def _log_time(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(F.lit(_EPOCH_2024) + seconds), _ISO)
-
-
-def _chat_time() -> Column:
-    conv = F.col("conv_id")
-    return F.when(conv % 17 != 0, _log_time(conv * 3600 + F.col("turn") * 60))
+def _log_time(seconds: str) -> str:
+    return f"date_format(timestamp_seconds({_EPOCH_2024} + {seconds}), \"{_TEXT}\")"
 
 
-def _chat_user() -> Column:
-    conv = F.col("conv_id")
-    named = F.when(conv % 31 == 0, "").otherwise(_text("User-", conv % 23))
-    return F.when(conv % 29 != 0, named)
+def _file(kind: str, seconds: str, name: str) -> str:
+    day = f"date_format(timestamp_seconds({_EPOCH_2024} + {seconds}), 'yyyy/MM/dd')"
+    return f"concat({day}, '/{kind}/', {name}, '.json.gz')"
 
 
-def _inline_time() -> Column:
-    doc = F.col("doc_id")
-    full = _log_time(doc * 60)
-    return F.when(doc % 43 == 0, F.substring(full, 1, 10)).when(doc % 37 != 0, full)
+_CHAT_TIME = f"CASE WHEN conv_id % 17 <> 0 THEN {_log_time('conv_id * 3600 + turn * 60')} END"
+_CHAT_USER = """CASE WHEN conv_id % 29 = 0 THEN NULL WHEN conv_id % 31 = 0 THEN ''
+  ELSE concat('User-', conv_id % 23) END"""
+_CHAT_FILE = _file("GenerateAssistantResponse", "conv_id * 3600", "'c-', conv_id") + " AS file"
+_INLINE_TIME = f"""CASE WHEN doc_id % 43 = 0 THEN left({_log_time('doc_id * 60')}, 10)
+  WHEN doc_id % 37 <> 0 THEN {_log_time('doc_id * 60')} END"""
+_INLINE_FILE = _file("GenerateCompletions", "doc_id * 60", "'d-', doc_id") + " AS file"
 
 
-def _chat_file() -> Column:
-    day = F.date_format(F.timestamp_seconds(F.lit(_EPOCH_2024) + F.col("conv_id") * 3600), "yyyy/MM/dd")
-    return F.concat(day, F.lit("/GenerateAssistantResponse/c-"), F.col("conv_id"), F.lit(".json.gz"))
-
-
-def _inline_file() -> Column:
-    day = F.date_format(F.timestamp_seconds(F.lit(_EPOCH_2024) + F.col("doc_id") * 60), "yyyy/MM/dd")
-    return F.concat(day, F.lit("/GenerateCompletions/d-"), F.col("doc_id"), F.lit(".json.gz"))
-
-
-def _turns(spark: SparkSession, folder: str, text: Column) -> DataFrame:
+def turns(spark: SparkSession, folder: str, text: Column) -> DataFrame:
     """User turns with `text` of the turn and of the assistant turn right after it.
 
     Joined on (conversation, turn), which is as good as unique, so a conversation that holds most
     turns still spreads over all tasks; a window per conversation would not.
     """
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", text.alias("x"))
-    asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("x").alias("asked"))
-    answered = turns.where(F.col("role") == "assistant").select(
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", text.alias("x"))
+    asked = said.where(F.col("role") == "user").select("conv_id", "turn", F.col("x").alias("asked"))
+    answered = said.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("answered")
     )
     return asked.join(answered, ["conv_id", "turn"], "left")
 
 
-def _inline_request() -> Column:
-    doc, text = F.col("doc_id"), F.col("text")
-    half = F.floor(F.length(text) / 2).cast("int")
-    left = F.when(doc % 41 != 0, F.substr(text, F.lit(1), half))
-    return F.struct(
-        left.alias("leftContext"),
-        F.substr(text, half + 1).alias("rightContext"),
-        _inline_time().alias("timeStamp"),
-        _text("dev-", doc % 31).alias("userId"),
-        F.concat(F.lit("src/f"), doc, F.lit(".py")).alias("fileName"),
-    )
-
-
-def _inline_response() -> Column:
-    doc = F.col("doc_id")
-    contents = [
-        F.col("lang"),
-        F.when(doc % 3 != 0, F.col("source")),
-        F.substr(F.col("text"), F.lit(1), (doc % 50).cast("int")),
+def _records(**parts: str) -> str:
+    """A `records` array of one record; the parts not given are NULL."""
+    pairs = [
+        f"'{field.name}', "
+        + parts.get(field.name, f"CAST(NULL AS {field.dataType.simpleString()})")
+        for field in PROMPT_RECORD
     ]
-    return F.struct(F.array(*[F.struct(c.alias("content")) for c in contents]).alias("completions"))
-
-
-def _no_record(kind: str) -> Column:
-    from ..schemas import PROMPT_RECORD
-
-    return F.lit(None).cast(PROMPT_RECORD[kind].dataType).alias(kind)
+    return f"array(named_struct({', '.join(pairs)})) AS records"
+
+
+_CHAT_RECORDS = _records(
+    generateAssistantResponseEventRequest=f"""named_struct('prompt', asked,
+      'timeStamp', {_CHAT_TIME}, 'userId', {_CHAT_USER})""",
+    generateAssistantResponseEventResponse="""named_struct('assistantResponse', answered,
+      'messageMetadata', named_struct('conversationId', concat('c-', conv_id)))""",
+)
+_INLINE_RECORDS = _records(
+    generateCompletionsEventRequest=f"""named_struct(
+      'leftContext', CASE WHEN doc_id % 41 <> 0 THEN left(text, int(length(text) div 2)) END,
+      'rightContext', substr(text, int(length(text) div 2 + 1)),
+      'timeStamp', {_INLINE_TIME}, 'userId', concat('dev-', doc_id % 31),
+      'fileName', concat('src/f', doc_id, '.py'))""",
+    generateCompletionsEventResponse="""named_struct('completions', array(
+      named_struct('content', lang),
+      named_struct('content', CASE WHEN doc_id % 3 <> 0 THEN source END),
+      named_struct('content', left(text, int(doc_id % 50)))))""",
+)
 
 
 def prompt_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Raw prompt-log documents of one record each, with whole texts: chats and inline requests."""
-    chat = _turns(spark, folder, F.col("text")).select(
-        F.array(
-            F.struct(
-                F.struct(
-                    F.col("asked").alias("prompt"),
-                    _chat_time().alias("timeStamp"),
-                    _chat_user().alias("userId"),
-                ).alias("generateAssistantResponseEventRequest"),
-                F.struct(
-                    F.col("answered").alias("assistantResponse"),
-                    F.struct(_text("c-", F.col("conv_id")).alias("conversationId")).alias("messageMetadata"),
-                ).alias("generateAssistantResponseEventResponse"),
-                _no_record("generateCompletionsEventRequest"),
-                _no_record("generateCompletionsEventResponse"),
-            )
-        ).alias("records"),
-        _chat_file().alias("file"),
-    )
-    inline = inline_logs(spark, folder)
-    return chat.unionByName(inline)
+    chat = turns(spark, folder, F.col("text")).selectExpr(_CHAT_RECORDS, _CHAT_FILE)
+    return chat.unionByName(inline_logs(spark, folder))
 
 
 def inline_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Raw documents of the inline requests only."""
-    return table(spark, folder, "documents").select(
-        F.array(
-            F.struct(
-                _no_record("generateAssistantResponseEventRequest"),
-                _no_record("generateAssistantResponseEventResponse"),
-                _inline_request().alias("generateCompletionsEventRequest"),
-                _inline_response().alias("generateCompletionsEventResponse"),
-            )
-        ).alias("records"),
-        _inline_file().alias("file"),
-    )
+    return table(spark, folder, "documents").selectExpr(_INLINE_RECORDS, _INLINE_FILE)
+
+
+def prompt_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Listing of the prompt-log files with their directory: names only, no text is read."""
+    asked = table(spark, folder, "conversations").where(F.col("role") == "user")
+    chat = asked.select("conv_id").distinct().selectExpr(_CHAT_FILE)
+    inline = table(spark, folder, "documents").selectExpr(_INLINE_FILE)
+    return chat.unionByName(inline).withColumn("folder", F.substring_index("file", "/", 4))
 
 
 def chat_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Flat chat rows. Texts are counted before the turns are paired: only numbers are shuffled."""
-    return _turns(spark, folder, fields.text_tokens(F.col("text"))).select(
-        F.lit("chat").alias("type"),
-        F.col("asked").alias("input_tokens"),
-        F.coalesce("answered", F.lit(0).cast("bigint")).alias("output_tokens"),
-        _chat_time().alias("timestamp"),
-        _chat_user().alias("user_id"),
-        _text("c-", F.col("conv_id")).alias("conversation_id"),
-        _chat_file().alias("file"),
+    return turns(spark, folder, fields.text_tokens(F.col("text"))).selectExpr(
+        "'chat' AS type",
+        "asked AS input_tokens",
+        "coalesce(answered, 0) AS output_tokens",
+        f"{_CHAT_TIME} AS timestamp",
+        f"{_CHAT_USER} AS user_id",
+        "concat('c-', conv_id) AS conversation_id",
+        _CHAT_FILE,
     )
 
 
 def inline_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Flat inline rows."""
-    from ..operators.prompts import flatten_records
-
     return flatten_records(inline_logs(spark, folder), fields.text_tokens, "file").drop(
         "conversation_id"
     )

@@ -4,7 +4,6 @@ from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def report_name(service: str, key: str, region: str, now: datetime) -> str:
@@ -56,18 +55,6 @@ def preview_text(df: DataFrame, title: str, max_rows: int = 20) -> str:
     return "\n".join(lines)
 
 
-def partitioned_by(df: DataFrame, column: str, path: str) -> None:
-    """One directory per value of a column, such as a report per application pattern."""
+def write_csv_by(df: DataFrame, column: str, path: str) -> None:
+    """One CSV directory per value of a column, such as one report per application pattern."""
     df.write.partitionBy(column).option("header", True).mode("errorifexists").csv(path)
-
-
-def combined(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """All analyses in one frame: the analysis name and each row as JSON text."""
-    parts = [
-        df.select(F.lit(key).alias("analysis"), F.to_json(F.struct("*")).alias("record"))
-        for key, df in frames.items()
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
