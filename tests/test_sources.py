@@ -1,0 +1,308 @@
+import gzip
+import json
+from datetime import UTC, date, datetime
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tokentally import schemas
+from tokentally.functions.periods import Period
+from tokentally.operators import filters, invocations, prompts, tagged
+from tokentally.sources import activity, sinks, tables
+from tokentally.sources import invocations as logs
+from tokentally.sources import prompts as prompt_logs
+from tokentally.streaming import trends
+
+NOW = datetime(2024, 2, 1, 12, 30, 45)
+
+
+def put(path, text, zipped=False):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    if zipped:
+        path.write_bytes(gzip.compress(text.encode()))
+    else:
+        path.write_text(text)
+
+
+def call(arn="arn:aws:iam::1:user/dev1", model="x.claude-3-haiku-20240307-v1:0", i=10, o=20, **more):
+    record = {
+        "timestamp": "2024-01-30T10:54:44Z",
+        "accountId": "1",
+        "region": "us-east-1",
+        "modelId": model,
+        "identity": {"arn": arn},
+        "input": {"inputTokenCount": i, "inputBodyJson": {"messages": [{"role": "user"}]}},
+        "output": {"outputTokenCount": o},
+    }
+    return record | more
+
+
+@pytest.fixture
+def log_root(tmp_path):
+    root = tmp_path / "log"
+    for day, count in (("2024/01/30", 2), ("2024/01/31", 1), ("2024/02/01", 3), ("2024/02/02", 1)):
+        text = "\n".join(json.dumps(call(i=n)) for n in range(count))
+        # One day has its files in hour directories.
+        name = f"{day}/10/a.json.gz" if day == "2024/02/01" else f"{day}/a.json.gz"
+        put(root / name, text, zipped=True)
+    return str(root)
+
+
+def test_days_come_from_the_path_as_text(spark, log_root):
+    calls = logs.read_invocations(spark, log_root)
+    counts = calls.groupBy("year", "month", "day").count().orderBy("month", "day")
+    assert rows(counts) == [
+        ("2024", "01", "30", 2), ("2024", "01", "31", 1), ("2024", "02", "01", 3), ("2024", "02", "02", 1),
+    ]
+
+
+def test_a_period_lists_only_its_days(spark, log_root):
+    period = Period(date(2024, 1, 31), date(2024, 2, 1))
+    calls = logs.read_invocations(spark, log_root, period)
+    assert sorted(path.split("/log/")[1][:10] for path in calls.inputFiles()) == ["2024/01/31", "2024/02/01"]
+    assert filters.in_days(calls, period.start, period.end).count() == 4
+    # Days without a directory are no error.
+    late = Period(date(2024, 1, 15), date(2024, 2, 20))
+    assert logs.read_invocations(spark, log_root, late).count() == 7
+
+
+def test_message_bodies_are_not_read(spark, log_root):
+    calls = logs.read_invocations(spark, log_root)
+    text = calls._jdf.queryExecution().executedPlan().toString()
+    assert "inputBodyJson" not in text
+
+
+def test_a_broken_record_stops_the_query(spark, tmp_path):
+    put(tmp_path / "2024/01/01/a.json", json.dumps(call()) + '\n{"timestamp": ')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        logs.read_invocations(spark, str(tmp_path)).select("modelId").collect()
+
+
+def test_tagged_records_keep_unknown_metadata(spark, tmp_path):
+    records = [
+        call(requestId="r1", requestMetadata={"tenant_id": "t-1", "subscription_tier": "gold"}),
+        call(requestId="r2"),
+    ]
+    put(tmp_path / "2024/01/01/a.json", "\n".join(map(json.dumps, records)))
+    calls = logs.read_tagged_invocations(spark, str(tmp_path))
+    found = calls.select("requestId", F.col("requestMetadata")["subscription_tier"])
+    assert rows(found.orderBy("requestId")) == [("r1", "gold"), ("r2", None)]
+    missing = {r["requestId"]: r["missing_keys"] for r in tagged.metadata_violations(calls).collect()}
+    everything = "application_name,application_id,environment,team,cost_center"
+    assert missing == {"r1": everything, "r2": everything}
+
+
+def test_catalogue_table_sees_attached_days_only(spark, log_root):
+    logs.create_table(spark, "calls", log_root)
+    try:
+        assert spark.table("calls").count() == 0
+        for day in (date(2024, 1, 30), date(2024, 2, 2)):
+            logs.attach_day(spark, "calls", log_root, day)
+            logs.attach_day(spark, "calls", log_root, day)
+        assert spark.table("calls").count() == 3
+        one = filters.in_days(spark.table("calls"), date(2024, 2, 2), date(2024, 2, 2))
+        text = one._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull" in text or "PartitionFilters: [(cast(concat" in text
+        assert one.count() == 1
+        logs.repair_day(spark, "calls", log_root, date(2024, 2, 2))
+        assert spark.table("calls").count() == 3
+        counted = tables.row_count(spark.table("calls"), date(2024, 1, 30))
+        assert rows(counted) == [(2,)]
+    finally:
+        tables.drop_table(spark, "calls")
+    tables.drop_table(spark, "calls")
+    assert not spark.catalog.tableExists("calls")
+
+
+def test_compacted_days_are_pruned(spark, log_root, tmp_path):
+    target = str(tmp_path / "compact")
+    logs.compact(logs.read_invocations(spark, log_root), target)
+    calls = logs.read_compacted(spark, target)
+    assert calls.schema["day"].dataType.simpleString() == "string"
+    period = filters.in_days(calls, date(2024, 1, 31), date(2024, 2, 1))
+    text = period._jdf.queryExecution().executedPlan().toString()
+    assert "cast(concat(year" in text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert period.count() == 4
+    direct = invocations.by_day(invocations.as_cells(logs.read_invocations(spark, log_root)))
+    assert rows(invocations.by_day(invocations.as_cells(calls))) == rows(direct)
+
+
+def event(at, received, app, tenant, i, o, latency):
+    metadata = {"application_name": app, "timestamp": "2025-12-03T19:54:43.924902"}
+    if tenant:
+        metadata["tenant_id"] = tenant
+    record = call(i=i, o=o, model="anthropic.claude-3-haiku-20240307-v1:0", requestMetadata=metadata)
+    record["timestamp"] = datetime.fromtimestamp(at / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    record["output"]["outputBodyJson"] = {
+        "stopReason": "end_turn",
+        "metrics": {"latencyMs": latency},
+        "usage": {"inputTokens": i, "outputTokens": o, "totalTokens": i + o},
+    }
+    return {"timestamp": at, "message": record, "ingestionTime": received}
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    base = 1764759284000
+    document = {
+        "events": [
+            event(base, base + 11865, "DeveloperToolsApp", None, 23, 319, 2866),
+            event(base + 4000, base + 11900, "DeveloperToolsApp", None, 15, 507, 4087),
+            event(base + 9000, base + 21900, "DocumentAnalysisApp", "acme-corp", 17, 90, 1220),
+            event(base + 11000, base + 21900, "DocumentAnalysisApp", "globex-inc", 17, 129, 1723),
+            event(base + 14000, base + 21900, "DocumentAnalysisApp", "initech-llc", 17, 78, 1165),
+        ]
+    }
+    put(tmp_path / "events.json", json.dumps(document, indent=1))
+    return logs.read_log_events(spark, str(tmp_path / "events.json"))
+
+
+def test_log_events(spark, events):
+    total = events.agg(F.sum("input.inputTokenCount"), F.sum("output.outputTokenCount"), F.sum("total_tokens"))
+    assert rows(total) == [(89, 1123, 1212)]
+    by_app = tagged.by_application(events).select("application_name", "total_tokens", "requests")
+    assert rows(by_app) == [("DeveloperToolsApp", 864, 2), ("DocumentAnalysisApp", 348, 3)]
+    by_tenant = tagged.by_tenant(events).select("tenant_id", "total_tokens")
+    assert rows(by_tenant) == [(None, 864), ("globex-inc", 146), ("acme-corp", 107), ("initech-llc", 95)]
+    assert rows(events.agg(F.max("latency_ms"), F.min("stop_reason"))) == [(4087, "end_turn")]
+    cost = tagged.chargeback(events, "application_name").agg(F.sum("estimated_cost_usd"))
+    assert rows(cost)[0][0] == pytest.approx(0.001426, abs=5e-7)
+
+
+def test_ingestion_lag(spark, events):
+    lags = trends.ingestion_lag(events).orderBy("event_time").select("lag_seconds")
+    assert rows(lags) == [(11.865,), (7.9,), (12.9,), (10.9,), (7.9,)]
+    hour = rows(trends.lag_by_hour(events).select("events", "median_lag", "max_lag"))
+    assert hour == [(5, 10.9, 12.9)]
+
+
+def test_activity_columns_are_taken_by_position(spark, tmp_path):
+    names = schemas.ACTIVITY_COUNTER_NAMES
+    assert len(names) == 44
+    counters = [str(n) for n in range(44)]
+    counters[2] = ""
+    counters[3] = "many"
+    header = ",".join(["User", "Day", *[f"c{n}" for n in range(44)]])
+    line = ",".join(['"a, \\"b\\""', "12-31-2024", *counters])
+    put(tmp_path / "2024/12/31/r.csv", f"{header}\n{line}\n")
+    reports = activity.read_activity(spark, str(tmp_path))
+    row = reports.collect()[0]
+    assert (row["UserId"], row["Date"]) == ('a, "b"', "12-31-2024")
+    assert row["Chat_AICodeLines"] == 0
+    assert row["Chat_MessagesSent"] is None
+    assert row["CodeFix_AcceptanceEventCount"] is None
+    assert row["Transformation_LinesIngested"] == 43
+
+
+def chat(prompt="p" * 9, answer="a" * 6, at="2024-01-05T07:08:09Z", user="U1"):
+    return {
+        "generateAssistantResponseEventRequest": {"prompt": prompt, "timeStamp": at, "userId": user},
+        "generateAssistantResponseEventResponse": {
+            "assistantResponse": answer, "messageMetadata": {"conversationId": "c1"},
+        },
+    }
+
+
+def inline(left="l" * 3, right="r" * 3, contents=("x",), at="2024-01-05T08:00:00Z", user="U2"):
+    return {
+        "generateCompletionsEventRequest": {
+            "leftContext": left, "rightContext": right, "timeStamp": at, "userId": user, "fileName": "f.py",
+        },
+        "generateCompletionsEventResponse": {"completions": [{"content": c} for c in contents]},
+    }
+
+
+@pytest.fixture
+def prompt_root(tmp_path):
+    root = tmp_path / "prompts"
+
+    def log(kind, day, name, records):
+        put(root / kind / "us-east-1" / day / name, json.dumps({"records": records}), zipped=True)
+
+    log("GenerateAssistantResponse", "2024/01/05", "a.json.gz", [
+        chat(), chat(prompt="", answer=None), {"otherEventRequest": {}}, chat(prompt=None, user=None, at=None),
+    ])
+    log("GenerateCompletions", "2024/01/05", "b.json.gz", [
+        inline(), inline(left=None, contents=("ab", None, "cd")), inline(at="2024-01-05"),
+    ])
+    log("GenerateAssistantResponse", "2024/01/06", "c.json.gz", [chat(prompt="가" * 7)])
+    log("GenerateAssistantResponse", "2024/01/09", "d.json.gz", [chat()])
+    put(root / "GenerateAssistantResponse/us-east-1/2024/01/05/broken.json.gz", "no json", zipped=True)
+    put(root / "GenerateAssistantResponse/us-east-1/2024/01/05/not-gzip.json.gz", "plain text")
+    put(root / "GenerateAssistantResponse/us-east-1/2024/01/05/note.txt", '{"records": []}')
+    return str(root)
+
+
+PERIOD = Period(date(2024, 1, 4), date(2024, 1, 6))
+
+
+def test_prompt_logs(spark, prompt_root):
+    found = prompt_logs.read_prompts(spark, prompt_root, PERIOD)
+    assert tuple(found.columns) == prompts.COLUMNS
+    counts = rows(found.select("type", "input_tokens", "output_tokens").orderBy("type", "input_tokens", "output_tokens"))
+    assert counts == [
+        ("chat", 0, 0), ("chat", 0, 2), ("chat", 2, 2), ("chat", 3, 2),
+        ("inline", 1, 2), ("inline", 2, 0), ("inline", 2, 0),
+    ]
+
+
+def test_prompt_logs_of_one_kind(spark, prompt_root):
+    found = prompt_logs.read_prompts(spark, prompt_root, PERIOD, kind="inline")
+    assert rows(found.groupBy("type", "file_name").count()) == [("inline", "f.py", 3)]
+
+
+def test_no_prompt_logs_give_zeros(spark, prompt_root):
+    found = prompt_logs.read_prompts(spark, prompt_root, Period(date(2023, 1, 1), date(2023, 1, 2)))
+    assert rows(prompts.totals(found)) == [(0, 0, 0, 0)]
+
+
+def test_prompt_sample(spark, tmp_path):
+    for n in range(25):
+        folder = tmp_path / "GenerateCompletions/us-east-1" / f"2024/01/{n % 5 + 1:02d}"
+        put(folder / f"{n:02d}.json.gz", json.dumps({"records": [inline(left="l" * 30)]}), zipped=True)
+    period = Period(date(2024, 1, 1), date(2024, 1, 5))
+    sample, factor = prompt_logs.read_prompt_sample(spark, str(tmp_path), period, max_files=10)
+    assert sample.count() == 13
+    assert factor == pytest.approx(25 / 13)
+    everything, factor = prompt_logs.read_prompt_sample(spark, str(tmp_path), period)
+    assert (everything.count(), factor) == (25, 1.0)
+    scaled = prompts.scaled(prompts.totals(sample), F.lit(25 / 13))
+    assert rows(scaled.select("requests", "input_tokens")) == [(25, int(13 * 11 * 25 / 13))]
+
+
+def test_sample_paths_takes_every_file_up_to_twice_the_limit():
+    paths = [str(n) for n in range(999)]
+    assert prompt_logs.sample_paths(paths, 500) == paths
+    assert len(prompt_logs.sample_paths([*paths, "x"], 500)) == 500
+
+
+def test_csv_and_json_sinks(spark, tmp_path):
+    frames = {
+        "user": spark.createDataFrame([("가", 1), (None, 2)], "u string, n bigint"),
+        "daily": spark.createDataFrame([("2024-01-01", 1.5)], "d string, x double"),
+    }
+    paths = sinks.write_csv(frames, str(tmp_path), "usage", "us-east-1", NOW)
+    assert [p.rsplit("/", 1)[1] for p in paths] == [
+        "usage_user_us-east-1_20240201_123045.csv", "usage_daily_us-east-1_20240201_123045.csv",
+    ]
+    back = spark.read.option("header", True).csv(paths[0])
+    assert rows(back.orderBy("n")) == [("가", "1"), (None, "2")]
+    path = sinks.write_json(frames, str(tmp_path), "usage", "us-east-1", NOW)
+    both = spark.read.json(path)
+    assert rows(both.groupBy("analysis").count().orderBy("analysis")) == [("daily", 1), ("user", 2)]
+
+
+def test_csv_by_pattern(spark, tmp_path):
+    frame = spark.createDataFrame([("A", 1), ("B", 2)], "pattern string, n bigint")
+    sinks.write_csv_by(frame, "pattern", str(tmp_path / "out"))
+    assert (tmp_path / "out" / "pattern=A").is_dir()
+
+
+def test_preview_text(spark):
+    frame = spark.range(25).orderBy("id")
+    text = sinks.preview_text(frame, "Ids", 20)
+    assert text.splitlines()[0] == "Ids"
+    assert text.endswith("... (5 more rows)")
+    assert sinks.preview_text(spark.range(3), "Ids").endswith("2")
+    assert sinks.preview_text(spark.range(0), "Ids") == "Ids: no data"

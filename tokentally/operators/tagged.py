@@ -88,6 +88,12 @@ def by_role(df: DataFrame) -> DataFrame:
     )
 
 
+def _named_percentiles(sizes: DataFrame) -> DataFrame:
+    q = F.col("q")
+    named = sizes.withColumns({"median_output": q[0], "p95_output": q[1]})
+    return named.drop("q").orderBy(_APPLICATION)
+
+
 def output_sizes(df: DataFrame) -> DataFrame:
     """Smallest, largest, mean, median and 95th percentile output per application; exact.
 
@@ -104,10 +110,9 @@ def output_sizes(df: DataFrame) -> DataFrame:
             F.try_divide(
                 F.sum(F.col("size") * F.col("n")), F.sum(F.when(F.col("size").isNotNull(), F.col("n")))
             ).alias("avg_output"),
-            F.percentile("size", F.lit(0.5), F.col("n")).alias("median_output"),
-            F.percentile("size", F.lit(0.95), F.col("n")).alias("p95_output"),
+            F.percentile("size", F.lit([0.5, 0.95]), F.col("n")).alias("q"),
         )
-        .orderBy(_APPLICATION)
+        .transform(_named_percentiles)
     )
 
 
@@ -123,11 +128,7 @@ def output_sizes_approx(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
             F.avg(size).alias("avg_output"),
             quantiles.alias("q"),
         )
-        .select(
-            _APPLICATION, "min_output", "max_output", "avg_output",
-            F.col("q")[0].alias("median_output"), F.col("q")[1].alias("p95_output"),
-        )
-        .orderBy(_APPLICATION)
+        .transform(_named_percentiles)
     )
 
 

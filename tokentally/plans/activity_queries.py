@@ -9,12 +9,13 @@ from ..operators import activity, estimates, filters, invocations
 from . import views
 from .registry import query, rounded
 
-START, END = date(2023, 12, 25), date(2024, 1, 20)
+# The period of most queries: all days of the reports.
+START, END = date(2023, 12, 15), date(2024, 1, 31)
 DAYS = (END - START).days + 1
 
 _V = "WITH" + views.SQL_ACTIVITY + """,
 a AS (SELECT *, CAST(try_strptime(Date, '%m-%d-%Y') AS DATE) AS d FROM v3),
-r AS (SELECT * FROM a WHERE d BETWEEN DATE '2023-12-25' AND DATE '2024-01-20')"""
+r AS (SELECT * FROM a WHERE d BETWEEN DATE '2023-12-15' AND DATE '2024-01-31')"""
 
 
 def _total(column: str, name: str) -> str:

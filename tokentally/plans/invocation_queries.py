@@ -11,7 +11,8 @@ from ..sources import sinks, tables
 from . import views
 from .registry import query, rounded
 
-START, END = date(2024, 1, 5), date(2024, 1, 20)
+# The period of most queries: all days of the table.
+START, END = date(2024, 1, 1), date(2024, 1, 31)
 EDGE_START, EDGE_END = date(2023, 12, 28), date(2024, 1, 3)
 PATTERNS = ("CustomerService", "DataAnalysis", "Chatbot", "DocumentProcessor")
 
@@ -21,7 +22,7 @@ _SUMS = (
     "COUNT(*) AS call_count, CAST(COALESCE(SUM(tin), 0) AS BIGINT) AS total_input_tokens, "
     "CAST(COALESCE(SUM(tout), 0) AS BIGINT) AS total_output_tokens"
 )
-_DAYS = "date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
+_DAYS = "date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"
 _COST = "total_input_tokens * pin / 1000 + total_output_tokens * pout / 1000"
 _FLAT = "total_input_tokens * 0.00025::DOUBLE / 1000 + total_output_tokens * 0.00125::DOUBLE / 1000"
 

@@ -296,7 +296,7 @@ _INLINE_RECORDS = _records(
     generateCompletionsEventResponse="""named_struct('completions', array(
       named_struct('content', lang),
       named_struct('content', CASE WHEN doc_id % 3 <> 0 THEN source END),
-      named_struct('content', left(text, int(doc_id % 50)))))""",
+      named_struct('content', text)))""",
 )
 
 
@@ -364,7 +364,7 @@ v4 AS (
   SELECT 'inline',
     CASE WHEN doc_id % 41 = 0 THEN (length(text) - length(text) // 2) // 3 ELSE length(text) // 3 END,
     length(lang || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END || chr(10)
-      || substr(text, 1, doc_id % 50)) // 3,
+      || text) // 3,
     CASE WHEN doc_id % 43 = 0 THEN strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d')
       WHEN doc_id % 37 = 0 THEN NULL
       ELSE strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') END,

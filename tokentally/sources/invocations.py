@@ -38,6 +38,21 @@ def read_invocations(
     return _with_day_keys(reader.option("recursiveFileLookup", True).json(path))
 
 
+def stream_invocations(
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType = schemas.TAGGED_INVOCATION,
+    files_per_batch: int = 1000,
+) -> DataFrame:
+    """The records of day directories as a stream, new files in bounded batches.
+
+    The file count bounds the work of a batch, also of the first one over a long archive.
+    """
+    reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _with_day_keys(reader.option("recursiveFileLookup", True).json(root))
+
+
 def read_tagged_invocations(
     spark: SparkSession, root: str, period: Period | None = None
 ) -> DataFrame:

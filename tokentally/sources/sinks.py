@@ -48,7 +48,8 @@ def preview_text(df: DataFrame, title: str, max_rows: int = 20) -> str:
     cells = [df.columns] + [["" if v is None else str(v) for v in row] for row in rows]
     widths = [max(len(line[i]) for line in cells) for i in range(len(df.columns))]
     lines = [title]
-    lines += ["  ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)) for line in cells]
+    for line in cells:
+        lines.append("  ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)).rstrip())
     more = df.count() - len(rows) if len(rows) == max_rows else 0
     if more > 0:
         lines.append(f"... ({more} more rows)")

@@ -76,9 +76,15 @@ def lag_by_hour(events: DataFrame) -> DataFrame:
         counted.groupBy("hour")
         .agg(
             F.sum("n").alias("events"),
-            F.percentile("lag_seconds", F.lit(0.5), F.col("n")).alias("median_lag"),
-            F.percentile("lag_seconds", F.lit(0.95), F.col("n")).alias("p95_lag"),
+            F.percentile("lag_seconds", F.lit([0.5, 0.95]), F.col("n")).alias("q"),
             F.max("lag_seconds").alias("max_lag"),
         )
+        .select(
+            "hour",
+            "events",
+            F.col("q")[0].alias("median_lag"),
+            F.col("q")[1].alias("p95_lag"),
+            "max_lag",
+        )
         .orderBy("hour")
     )
