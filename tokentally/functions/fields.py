@@ -34,8 +34,8 @@ def identity_label(arn: Column) -> Column:
 
 
 def model_name(model_id: Column) -> Column:
-    """What follows the last slash of a model id."""
-    return F.regexp_substr(model_id, F.lit("[^/]+$"))
+    """What follows the last slash of a model id; NULL if nothing does."""
+    return F.nullif(F.substring_index(model_id, "/", -1), F.lit(""))
 
 
 def price_key(model: Column) -> Column:

@@ -54,6 +54,12 @@ def _sums() -> list[Column]:
     return [fields.or_zero(F.sum(name)).alias(name) for name in _SUMS]
 
 
+def _per_model(cells: DataFrame, *keys: str) -> DataFrame:
+    """Sums per keys and model. Rows are grouped by raw ids; names are made once per group."""
+    grouped = cells.groupBy(*keys, "model_id").agg(*_sums())
+    return grouped.withColumn("model_name", fields.model_name(F.col("model_id")))
+
+
 def by_model(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     """Calls, token averages, token sums and cost per model id, most called first."""
     grouped = cells.groupBy("model_id").agg(
@@ -74,8 +80,7 @@ def by_model(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
 
 def totals(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     """One row: calls, tokens and the cost summed over models; zeros if there is no call."""
-    per_model = cells.groupBy(fields.model_name(F.col("model_id")).alias("model_name")).agg(*_sums())
-    return pricing.with_cost(per_model, region=region).agg(
+    return pricing.with_cost(_per_model(cells), region=region).agg(
         fields.or_zero(F.sum("call_count")).alias("total_calls"),
         fields.or_zero(F.sum("total_input_tokens")).alias("total_input_tokens"),
         fields.or_zero(F.sum("total_output_tokens")).alias("total_output_tokens"),
@@ -99,11 +104,9 @@ def by_identity(cells: DataFrame) -> DataFrame:
 
 def by_label(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     """Usage per identity label, the sessions of a role merged, with cost from the real models."""
-    label = fields.identity_label(F.col("arn")).alias("user_or_app")
-    model = fields.model_name(F.col("model_id")).alias("model_name")
-    priced = pricing.with_cost(cells.groupBy(label, model).agg(*_sums()), region=region)
+    priced = pricing.with_cost(_per_model(cells, "arn"), region=region)
     return (
-        priced.groupBy("user_or_app")
+        priced.groupBy(fields.identity_label(F.col("arn")).alias("user_or_app"))
         .agg(*_sums(), F.sum("estimated_cost_usd").alias("estimated_cost_usd"))
         .orderBy(F.desc("estimated_cost_usd"), "user_or_app")
     )
@@ -111,11 +114,8 @@ def by_label(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
 
 def by_identity_model(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     """Usage and cost per ARN and model id, by label, then most calls first."""
-    named = (
-        cells.groupBy("arn", "model_id")
-        .agg(*_sums())
-        .withColumn("user_or_app", fields.identity_label(F.col("arn")))
-        .withColumn("model_name", fields.model_name(F.col("model_id")))
+    named = _per_model(cells, "arn").withColumn(
+        "user_or_app", fields.identity_label(F.col("arn"))
     )
     return (
         pricing.with_cost(named, region=region)
@@ -155,8 +155,7 @@ def hour_display(hourly: DataFrame) -> DataFrame:
 
 def by_region(cells: DataFrame) -> DataFrame:
     """Usage per region at that region's prices, most calls first."""
-    model = fields.model_name(F.col("model_id")).alias("model_name")
-    priced = pricing.with_cost_by_region(cells.groupBy("region", model).agg(*_sums()))
+    priced = pricing.with_cost_by_region(_per_model(cells, "region"))
     return (
         priced.groupBy("region")
         .agg(*_sums(), F.sum("estimated_cost_usd").alias("estimated_cost_usd"))
@@ -166,8 +165,7 @@ def by_region(cells: DataFrame) -> DataFrame:
 
 def priced_in_regions(cells: DataFrame, regions: Sequence[str] = REGIONS) -> DataFrame:
     """What the same usage costs at each region's prices."""
-    model = fields.model_name(F.col("model_id")).alias("model_name")
-    per_model = cells.groupBy(model).agg(*_sums())
+    per_model = _per_model(cells)
     # Regions with the same price list share one look-up.
     units: dict[pricing.PriceList, str] = {}
     for region in regions:
@@ -204,8 +202,7 @@ def by_pattern(
 
     A call counts for every pattern it matches, as in one run per pattern.
     """
-    model = fields.model_name(F.col("model_id")).alias("model_name")
-    priced = pricing.with_cost(cells.groupBy("arn", model).agg(*_sums()), region=region)
+    priced = pricing.with_cost(_per_model(cells, "arn"), region=region)
     measures = (*_SUMS, "estimated_cost_usd")
     sums = [
         F.struct(

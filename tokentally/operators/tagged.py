@@ -155,14 +155,14 @@ def tenant_totals(df: DataFrame) -> DataFrame:
 
 def chargeback(df: DataFrame, *keys: str, region: str = DEFAULT_REGION) -> DataFrame:
     """Cost per metadata keys: token sums per key and model, priced, then summed per key."""
-    model = fields.model_name(F.col("modelId")).alias("model_name")
-    per_model = df.groupBy(*_keys(*keys), model).agg(
+    per_model = df.groupBy(*_keys(*keys), "modelId").agg(
         F.count(F.lit(1)).alias("requests"),
         F.sum(fields.input_tokens()).alias("total_input_tokens"),
         F.sum(fields.output_tokens()).alias("total_output_tokens"),
     )
+    named = per_model.withColumn("model_name", fields.model_name(F.col("modelId")))
     return (
-        pricing.with_cost(per_model, region=region)
+        pricing.with_cost(named, region=region)
         .groupBy(*keys)
         .agg(
             F.sum("requests").alias("requests"),
