@@ -27,8 +27,8 @@ def golden(spark):
     )
 
 
-def test_token_estimate_and_cost(spark):
-    tokens = estimates.estimate_tokens(activity.totals(golden(spark)), "average")
+def test_estimated_tokens_and_cost(spark):
+    tokens = estimates.estimated_tokens(activity.totals(golden(spark)), "average")
     assert rows(tokens) == [("average", 122_310, 520_610, 642_920)]
     cost = estimates.virtual_cost(
         tokens, "estimated_input_tokens", "estimated_output_tokens", F.lit(15)
@@ -41,7 +41,7 @@ def test_token_estimate_and_cost(spark):
 
 def test_unknown_scenario_is_average(spark):
     totals = activity.totals(golden(spark))
-    assert rows(estimates.estimate_tokens(totals, "wild")) == rows(estimates.estimate_tokens(totals, "average"))
+    assert rows(estimates.estimated_tokens(totals, "wild")) == rows(estimates.estimated_tokens(totals, "average"))
 
 
 def test_no_days_and_no_tokens_do_not_divide_by_zero(spark):

@@ -140,10 +140,20 @@ def test_prompt_user_filter(spark):
 
 
 def test_systematic_sample_equals_slicing(spark):
-    listing = [(f"2024/01/{d:02d}/{kind}", f"{n:03d}") for d in (1, 2, 3) for kind in "AB" for n in range(d * 17 % 40)]
+    # Small ranges would be merged into one; here they must stay apart.
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        check_systematic_sample(spark)
+    finally:
+        spark.conf.unset(coalesce)
+
+
+def check_systematic_sample(spark):
+    listing = [(f"2024/01/{d:02d}/{kind}", f"{n:03d}") for d in (1, 2, 3) for kind in "AB" for n in range(d * d * 17)]
     for limit in (7, 20, 60, 500):
         frame = spark.createDataFrame(listing, "folder string, name string").repartition(3)
-        found = prompts.systematic_sample(frame, "folder", "name", limit).select("folder", "name")
+        found = prompts.systematic_sample(frame, ["folder", "name"], limit).select("folder", "name")
         ordered = sorted(listing)
         step = len(ordered) // limit if len(ordered) > limit else 1
         assert sorted(rows(found)) == ordered[::step]

@@ -103,7 +103,7 @@ def test_catalogue_table_sees_attached_days_only(spark, log_root):
         assert spark.table("calls").count() == 3
         one = filters.in_days(spark.table("calls"), date(2024, 2, 2), date(2024, 2, 2))
         text = one._jdf.queryExecution().executedPlan().toString()
-        assert "PartitionFilters: [isnotnull" in text or "PartitionFilters: [(cast(concat" in text
+        assert "cast(year" in text.split("PartitionFilters: [")[1]
         assert one.count() == 1
         logs.repair_day(spark, "calls", log_root, date(2024, 2, 2))
         assert spark.table("calls").count() == 3
@@ -122,7 +122,7 @@ def test_compacted_days_are_pruned(spark, log_root, tmp_path):
     assert calls.schema["day"].dataType.simpleString() == "string"
     period = filters.in_days(calls, date(2024, 1, 31), date(2024, 2, 1))
     text = period._jdf.queryExecution().executedPlan().toString()
-    assert "cast(concat(year" in text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "cast(year" in text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
     assert period.count() == 4
     direct = invocations.by_day(invocations.as_cells(logs.read_invocations(spark, log_root)))
     assert rows(invocations.by_day(invocations.as_cells(calls))) == rows(direct)

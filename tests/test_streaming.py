@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tokentally.plans import views
 from tokentally.sources import invocations as logs
+from tokentally.sources.shared import shared_folder
 from tokentally.streaming import jobs, trends
 
 SCHEMA = """timestamp string, input struct<inputTokenCount: int>, output struct<outputTokenCount: int>,
@@ -102,7 +103,7 @@ def test_stream_over_day_directories(spark, tmp_path):
 
 def test_shared_folder_is_the_cluster_setting(spark):
     root = spark.conf.get("spark.checkpoint.dir")
-    first, second = (jobs.shared_folder(spark, "x") for _ in range(2))
+    first, second = (shared_folder(spark, "x") for _ in range(2))
     assert first.startswith(root + "/x-")
     assert first != second
 
@@ -117,4 +118,4 @@ def test_a_cluster_without_shared_folder_is_refused():
         sparkContext = type("Context", (), {"master": "yarn"})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        jobs.shared_folder(Session(), "x")
+        shared_folder(Session(), "x")

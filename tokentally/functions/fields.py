@@ -44,8 +44,18 @@ def price_key(model: Column) -> Column:
     return F.when(model.contains("."), F.substring_index(last, "-v", 1)).otherwise(model)
 
 
+def partition_number() -> Column:
+    """The string partition keys as the number yyyymmdd, padded or not.
+
+    It orders days like `partition_day` and is much cheaper where the keys are plain columns. Where
+    they are partition keys, a filter on it is evaluated on the partition values, so it prunes.
+    """
+    year, month, day = (F.col(key).cast("int") for key in ("year", "month", "day"))
+    return year * 10000 + month * 100 + day
+
+
 def partition_day() -> Column:
-    """Date of the string partition keys; evaluated on partition values, so it prunes."""
+    """Date of the string partition keys."""
     text = F.concat(
         F.col("year"), F.lit("-"), F.lpad("month", 2, "0"), F.lit("-"), F.lpad("day", 2, "0")
     )
@@ -58,8 +68,12 @@ def event_time() -> Column:
 
 
 def event_hour() -> Column:
-    """Hour of the event as two digits; the session time zone must be UTC."""
-    return F.date_format(event_time(), "HH")
+    """Hour of the event as a number; the session time zone must be UTC."""
+    return F.hour(event_time())
+
+
+def two_digits(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
 
 
 def report_day(text: Column) -> Column:
@@ -84,8 +98,7 @@ def text_tokens(text: Column) -> Column:
 
 def joined_completions(completions: Column) -> Column:
     """All completion texts, one per line; a missing text is an empty line."""
-    contents = F.transform(completions, lambda c: F.coalesce(c["content"], F.lit("")))
-    return F.array_join(contents, "\n")
+    return F.array_join(completions["content"], "\n", "")
 
 
 def log_date(timestamp: Column) -> Column:

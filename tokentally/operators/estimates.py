@@ -48,7 +48,7 @@ _OUTPUT = {
 }
 
 
-def estimate_tokens(totals: DataFrame, scenario: str | None = None) -> DataFrame:
+def estimated_tokens(totals: DataFrame, scenario: str | None = None) -> DataFrame:
     """Estimated tokens of activity totals (or of users' totals), one row per scenario.
 
     One scenario may be asked for; an unknown one means `average`.

@@ -11,7 +11,8 @@ from ..functions import fields
 
 def in_days(df: DataFrame, start: date, end: date) -> DataFrame:
     """Calls of the days `start` to `end`, both included, by partition keys."""
-    return df.where(fields.partition_day().between(F.lit(start), F.lit(end)))
+    first, last = (int(f"{day:%Y%m%d}") for day in (start, end))
+    return df.where(fields.partition_number().between(first, last))
 
 
 def on_day(df: DataFrame, day: date) -> DataFrame:

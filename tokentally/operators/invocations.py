@@ -127,7 +127,7 @@ def by_identity_model(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFra
 def by_day(cells: DataFrame) -> DataFrame:
     """Usage per day, in order of days."""
     return (
-        cells.groupBy("year", "month", "day").agg(*_sums()).orderBy(fields.partition_day())
+        cells.groupBy("year", "month", "day").agg(*_sums()).orderBy(fields.partition_number())
     )
 
 
@@ -136,7 +136,8 @@ def by_hour(cells: DataFrame) -> DataFrame:
     return (
         cells.groupBy("year", "month", "day", "hour")
         .agg(*_sums())
-        .orderBy(fields.partition_day(), "hour")
+        .withColumn("hour", fields.two_digits(F.col("hour")))
+        .orderBy(fields.partition_number(), "hour")
     )
 
 
@@ -149,7 +150,7 @@ def day_display(daily: DataFrame) -> DataFrame:
 def hour_display(hourly: DataFrame) -> DataFrame:
     """Hourly table with `yyyy-MM-dd HH:00` text in place of the partition keys."""
     day = F.date_format(fields.partition_day(), "yyyy-MM-dd")
-    text = F.concat(day, F.lit(" "), F.lpad("hour", 2, "0"), F.lit(":00"))
+    text = F.concat(day, F.lit(" "), F.col("hour"), F.lit(":00"))
     return hourly.select(text.alias("datetime"), *_SUMS).orderBy("datetime")
 
 
@@ -219,9 +220,18 @@ def by_pattern(
     return priced.agg(F.array(*sums).alias("rows")).select(F.inline("rows")).orderBy("pattern")
 
 
+def _daily(cells: DataFrame) -> DataFrame:
+    """Sums per date; grouped by a number, which is made a date once per group."""
+    number = F.col("number")
+    date = F.make_date(
+        F.floor(number / 10000).cast("int"), F.floor(number / 100).cast("int") % 100, number % 100
+    )
+    grouped = cells.groupBy(fields.partition_number().alias("number")).agg(*_sums())
+    return grouped.select(date.alias("date"), *_SUMS)
+
+
 def by_calendar(cells: DataFrame, grains: Sequence[str] = ("week", "month", "quarter")) -> DataFrame:
     """Usage per week, month and quarter. The log is reduced to days first."""
-    daily = cells.groupBy(fields.partition_day().alias("date")).agg(*_sums())
     starts = [
         F.struct(
             F.lit(grain).alias("grain"), F.date_trunc(grain, "date").cast("date").alias("period_start")
@@ -229,7 +239,8 @@ def by_calendar(cells: DataFrame, grains: Sequence[str] = ("week", "month", "qua
         for grain in grains
     ]
     return (
-        daily.select(*_SUMS, F.inline(F.array(*starts)))
+        _daily(cells)
+        .select(*_SUMS, F.inline(F.array(*starts)))
         .groupBy("grain", "period_start")
         .agg(*_sums())
         .orderBy("grain", "period_start")
@@ -238,7 +249,6 @@ def by_calendar(cells: DataFrame, grains: Sequence[str] = ("week", "month", "qua
 
 def month_to_date(cells: DataFrame) -> DataFrame:
     """Daily usage with running sums within the month: windows of at most 31 rows."""
-    daily = cells.groupBy(fields.partition_day().alias("date")).agg(*_sums())
     month = F.date_trunc("month", "date").cast("date")
     window = (
         Window.partitionBy("month")
@@ -246,7 +256,8 @@ def month_to_date(cells: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        daily.withColumn("month", month)
+        _daily(cells)
+        .withColumn("month", month)
         .select(
             "date",
             *_SUMS,

@@ -1,9 +1,12 @@
 """Prompt logs: flat rows with token counts, breakdowns, scaling of sampled totals."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields
+from ..sources.shared import written
 
 COLUMNS = (
     "type", "input_tokens", "output_tokens", "timestamp", "user_id", "conversation_id", "file_name",
@@ -16,7 +19,8 @@ def flatten_records(logs: DataFrame, count_tokens=fields.text_tokens, *keep: str
     `count_tokens` maps a text column to its token count. Only the counts leave the scan, so no
     text is shuffled later. `keep` names columns of `logs` to carry along, such as the file.
     """
-    record = logs.select(*keep, F.explode("records").alias("r"))
+    # The outer form adds no filter on the whole array; records of no kind are dropped below.
+    record = logs.select(*keep, F.explode_outer("records").alias("r"))
     chat = F.col("r.generateAssistantResponseEventRequest")
     reply = F.col("r.generateAssistantResponseEventResponse")
     inline = F.col("r.generateCompletionsEventRequest")
@@ -190,31 +194,36 @@ def sample_factor(count: Column, max_files: int) -> Column:
     return count / F.ceil(count / _sample_step(count, max_files))
 
 
-def systematic_sample(files: DataFrame, group: str, name: str, max_files: int) -> DataFrame:
-    """Every n-th file of a listing ordered by `group`, then `name`, as soon as it is too long.
+def systematic_sample(files: DataFrame, order: Sequence[str], max_files: int) -> DataFrame:
+    """Every n-th file of a listing in the given order, with its `position` from 0.
+
+    The step is the number of files divided by `max_files`, whole, so less than twice `max_files`
+    files remain; a listing that is not longer stays whole. `order` must tell all files apart.
 
-    The step is the number of files divided by `max_files`, whole; less than twice `max_files`
-    files remain. Positions are counted within each group (a day's directory) and shifted by the
-    sizes of the groups before, so the listing is never sorted as a whole. The window over all
-    groups sees one row per directory.
+    Positions come from ranges: the listing is split into ranges of about even size, however the
+    files spread over directories, and counted within each. The ranges are written down first, as
+    sampling their bounds anew in each branch of the plan could move files between them. The windows
+    over all ranges see one row per range.
     """
-    sizes = files.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    upto = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy(group).rowsBetween(
+    in_ranges = files.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
+    ranges = written(in_ranges, "listing")
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.orderBy("range").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     offsets = sizes.select(
-        group,
+        "range",
         (F.sum("size").over(upto) - F.col("size")).alias("offset"),
         _sample_step(F.sum("size").over(whole), max_files).alias("step"),
     )
-    within = F.row_number().over(Window.partitionBy(group).orderBy(name)) - 1
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
     return (
-        files.withColumn("within", within)
-        .join(offsets, group)
+        ranges.withColumn("within", within)
+        .join(offsets, "range")
         .withColumn("position", F.col("offset") + F.col("within"))
         .where(F.col("position") % F.col("step") == 0)
-        .drop("within", "offset", "step")
+        .drop("range", "within", "offset", "step")
     )
 
 

@@ -204,13 +204,12 @@ def newest_first(df: DataFrame) -> DataFrame:
 
 def metadata_violations(df: DataFrame) -> DataFrame:
     """Calls that lack a required metadata key or carry a forbidden one, with those keys."""
-    sent = F.map_filter("requestMetadata", lambda _, value: value.isNotNull())
-    present = F.coalesce(F.map_keys(sent), F.array().cast("array<string>"))
-    required = F.array(*[F.lit(key) for key in REQUIRED_METADATA])
-    forbidden = F.array(*[F.lit(key) for key in FORBIDDEN_METADATA])
+    sent = F.col("requestMetadata")
+    missing = F.filter(F.lit(list(REQUIRED_METADATA)), lambda key: sent[key].isNull())
+    unwanted = F.filter(F.lit(list(FORBIDDEN_METADATA)), lambda key: sent[key].isNotNull())
     found = df.select(
         "requestId",
-        F.array_join(F.array_except(required, present), ",").alias("missing_keys"),
-        F.array_join(F.array_intersect(forbidden, present), ",").alias("forbidden_keys"),
+        F.array_join(missing, ",").alias("missing_keys"),
+        F.array_join(unwanted, ",").alias("forbidden_keys"),
     )
     return found.where((F.col("missing_keys") != "") | (F.col("forbidden_keys") != ""))

@@ -165,12 +165,12 @@ def _estimates(totals: str, with_docs: bool, key: str = "") -> str:
 
 @query("met_01_estimated_tokens", f"{_V}, {_ALL}, {_SCENARIOS} {_estimates('t', False)}")
 def _(spark, folder):
-    return estimates.estimate_tokens(activity.totals(_reports(spark, folder)))
+    return estimates.estimated_tokens(activity.totals(_reports(spark, folder)))
 
 
 @query("met_01_estimated_tokens_with_docs", f"{_V}, {_ALL}, {_SCENARIOS} {_estimates('t', True)}")
 def _(spark, folder):
-    return estimates.estimate_tokens(activity.totals(_reports(spark, folder), "total_doc_events"))
+    return estimates.estimated_tokens(activity.totals(_reports(spark, folder), "total_doc_events"))
 
 
 @query(
@@ -179,7 +179,7 @@ def _(spark, folder):
     FROM r GROUP BY UserId), {_SCENARIOS} {_estimates('u', True, 'user_id, ')}""",
 )
 def _(spark, folder):
-    return estimates.estimate_tokens(activity.by_user(_reports(spark, folder)))
+    return estimates.estimated_tokens(activity.by_user(_reports(spark, folder)))
 
 
 def _limit_sql(name: str, column: str, allowed: int) -> str:
@@ -257,7 +257,7 @@ _TOKENS = ("estimated_input_tokens", "estimated_output_tokens")
     + cost_sql("e", *_TOKENS, str(DAYS), "estimation_type, "),
 )
 def _(spark, folder):
-    tokens = estimates.estimate_tokens(activity.totals(_reports(spark, folder)))
+    tokens = estimates.estimated_tokens(activity.totals(_reports(spark, folder)))
     costs = estimates.virtual_cost(tokens, *_TOKENS, F.lit(DAYS), keep=("estimation_type",))
     return rounded(costs, 6, *COST_COLUMNS)
 
@@ -271,7 +271,7 @@ def _(spark, folder):
 def _(spark, folder):
     totals = activity.totals(_reports(spark, folder))
     days = totals.select("active_days").scalar()
-    tokens = estimates.estimate_tokens(totals, "average")
+    tokens = estimates.estimated_tokens(totals, "average")
     costs = estimates.virtual_cost(tokens, *_TOKENS, days, keep=("estimation_type",))
     return rounded(costs, 6, *COST_COLUMNS)
 

@@ -198,14 +198,14 @@ _SAMPLED = f""", f AS (SELECT DISTINCT file FROM v4),
 @query("src_09_sampled_files", _V + _SAMPLED + " SELECT file, position FROM s")
 def _(spark, folder):
     files = views.prompt_files(spark, folder)
-    sample = prompts.systematic_sample(files, "folder", "file", SAMPLE)
+    sample = prompts.systematic_sample(files, ["folder", "file"], SAMPLE)
     return sample.select("file", "position")
 
 
 def _scaled(spark, folder, summarise):
     """A summary of the sampled files, carried on to all files."""
     files = views.prompt_files(spark, folder)
-    sample = prompts.systematic_sample(files, "folder", "file", SAMPLE).select("file")
+    sample = prompts.systematic_sample(files, ["folder", "file"], SAMPLE).select("file")
     # A sample has less than twice SAMPLE files, so it may be broadcast at any scale.
     rows = views.prompts(spark, folder).join(F.broadcast(sample), "file", "left_semi")
     summary = summarise(rows).withColumn("files", files.agg(F.count(F.lit(1))).scalar())

@@ -55,7 +55,7 @@ def activity_report(
     )
     with _kept(wanted.select("UserId", "Date", *activity.MEASURES.values())) as rows:
         summary = activity.totals(rows, "total_doc_events", "total_transformation_lines")
-        tokens = estimates.estimate_tokens(summary)
+        tokens = estimates.estimated_tokens(summary)
         yield {
             "summary": summary,
             "user": activity.by_user(rows),

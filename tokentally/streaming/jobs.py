@@ -1,26 +1,9 @@
 """Running a stream to a table, with its checkpoint in the cluster's shared folder."""
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder.
-
-    Only a local session, whose executors share the driver's disk, may do without that setting.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..sources.shared import shared_folder
 
 def write_stream(
     df: DataFrame,
