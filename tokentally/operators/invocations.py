@@ -141,6 +141,16 @@ def by_hour(cells: DataFrame) -> DataFrame:
     )
 
 
+def peak_hour(cells: DataFrame) -> DataFrame:
+    """The hour of day (UTC) with the most calls; the earliest of equals."""
+    hours = cells.groupBy("hour").agg(*_sums())
+    return (
+        hours.withColumn("hour", fields.two_digits(F.col("hour")))
+        .orderBy(F.desc("call_count"), "hour")
+        .limit(1)
+    )
+
+
 def day_display(daily: DataFrame) -> DataFrame:
     """Daily table with `yyyy-MM-dd` text in place of the partition keys."""
     text = F.date_format(fields.partition_day(), "yyyy-MM-dd")

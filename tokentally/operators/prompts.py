@@ -145,6 +145,18 @@ def by_user(prompts: DataFrame) -> DataFrame:
     )
 
 
+def by_date(prompts: DataFrame) -> DataFrame:
+    """Requests and tokens per date of the log, in order; rows without a date are left out."""
+    dated = prompts.withColumn("date", fields.log_date(F.col("timestamp")))
+    return (
+        dated.where(F.col("date").isNotNull())
+        .groupBy("date")
+        .agg(*_sums())
+        .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+        .orderBy("date")
+    )
+
+
 def top_users(prompts: DataFrame, n: int = 3) -> DataFrame:
     """The `n` heaviest users with their rank; the rank window sees only those `n` rows."""
     top = by_user(prompts).limit(n)

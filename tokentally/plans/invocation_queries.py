@@ -272,6 +272,15 @@ def _(spark, folder):
     return invocations.by_hour(_cells(spark, folder))
 
 
+@query(
+    "ord_07_peak_hour_of_calls",
+    _V + f""" SELECT strftime(ts, '%H') AS hour, {_SUMS} FROM v1 GROUP BY 1
+    ORDER BY call_count DESC, hour LIMIT 1""",
+)
+def _(spark, folder):
+    return invocations.peak_hour(invocations.as_cells(views.invocations(spark, folder)))
+
+
 @query(
     "joi_01_price_table_lookup",
     _VP + f""", g AS (SELECT model_name, {_SUMS} FROM v1m GROUP BY model_name)

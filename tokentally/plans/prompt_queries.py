@@ -93,6 +93,15 @@ def _(spark, folder):
     return prompts.breakdowns(views.prompts(spark, folder))
 
 
+@query(
+    "agg_20_prompts_by_date",
+    _V + f""", k AS (SELECT *, split_part("timestamp", 'T', 1) AS date FROM v4 WHERE "timestamp" <> '')
+    SELECT date, {_SUMS}, {_TOTAL} FROM k GROUP BY date""",
+)
+def _(spark, folder):
+    return prompts.by_date(views.prompts(spark, folder))
+
+
 @query("agg_20_prompt_totals", _V + f" SELECT {_SUMS}, {_TOTAL} FROM v4")
 def _(spark, folder):
     return prompts.totals(views.prompts(spark, folder))

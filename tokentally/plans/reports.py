@@ -78,7 +78,7 @@ def activity_report(
 def prompt_report(
     rows: DataFrame, period: Period, user_text: str | None = None
 ) -> Iterator[dict[str, DataFrame]]:
-    """Breakdowns, kinds, users, hours, context use and cost comparison of prompt rows.
+    """Breakdowns, kinds, users, dates, hours, context use and cost comparison of prompt rows.
 
     `rows` are flat rows with token counts: the texts are not kept, only the counts.
     """
@@ -89,6 +89,7 @@ def prompt_report(
             "summary": total,
             "by_type": prompts.by_type(kept),
             "by_user": prompts.by_user(kept),
+            "by_date": prompts.by_date(kept),
             "by_hour": prompts.hours_in_kst(kept),
             "context": estimates.context_use(total, "total_tokens", period.days),
             "cost": estimates.virtual_cost(
