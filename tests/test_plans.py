@@ -2,16 +2,13 @@
 
 import pytest
 
+from tokentally.operators import prompts
 from tokentally.plans import views
 from tokentally.plans.catalogue import QUERIES
 
 BATCH = sorted(name for name in QUERIES if not name.endswith("_stream"))
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().toString()
-
-
 def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -45,10 +42,7 @@ def test_usage_by_model_shuffles_once_before_the_sort(spark, tables):
 
 
 def test_breakdowns_read_once_and_shuffle_once(spark, tables):
-    chat = views.inline_prompts(spark, tables)
-    from tokentally.operators import prompts
-
-    text = physical(prompts.breakdowns(chat))
+    text = physical(prompts.breakdowns(views.inline_prompts(spark, tables)))
     assert text.count("FileScan") == 1
     assert text.count("Exchange ") == 1
 
