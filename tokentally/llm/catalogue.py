@@ -1,6 +1,11 @@
 """All registered queries of the training-data operators."""
 
-from . import token_queries  # noqa: F401  (importing registers the queries)
+from . import (  # noqa: F401  (importing registers the queries)
+    mixing_queries,
+    near_duplicate_queries,
+    substring_queries,
+    token_queries,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
