@@ -1,24 +1,52 @@
-"""The corpus pipeline: documents in, token files' index out."""
+"""The corpus pipeline: toxic documents go, one of each group of near duplicates stays, documents with
+benchmark items go, sources are mixed to their weights, and token files are written and indexed.
+
+Each stage takes the rows that the stage before it kept. All but the last return the documents' columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentally.llm.token_files import tokens_through_files
+from tokentally.llm import decontamination, mixing, near_duplicates, token_files, toxicity
+from tokentally.llm.registry import table
 
 #: SQL cannot express the stages; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens_through_files(docs)
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.without_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def token_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.tokens_through_files(docs)
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed_sources),
+    ("token_files", token_index),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -1,10 +1,16 @@
 """All registered queries of the training-data operators."""
 
 from . import (  # noqa: F401  (importing registers the queries)
+    decontamination_queries,
+    language_model_queries,
+    license_queries,
     mixing_queries,
     near_duplicate_queries,
+    nearest_queries,
     substring_queries,
     token_queries,
+    toxicity_queries,
+    url_queries,
 )
 from .registry import QUERIES, SQL
 

@@ -48,7 +48,7 @@ class Powers:
 
     def to(self, count: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < count:
-            size = max(count, 2 * len(self.up))
+            size = count + count // 8
             self.up, self.down = (
                 np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, base, _U)]))
                 for base in (self.base, pow(self.base, -1, 1 << 64))
@@ -126,12 +126,14 @@ def text_parts(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def chunks(column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The words of all texts; with `lower`, A-Z are lower-cased."""
+def chunks(
+    column: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES, between: np.ndarray = SPACE
+) -> Iterator[Chunk]:
+    """The words of all texts; with `lower`, A-Z are lower-cased. `between` marks the bytes between words."""
     for first, data, offsets in text_parts(column, limit):
         if lower:
             data = LOWER[data]
-        full = ~SPACE[data]
+        full = ~between[data]
         edges = offsets[(offsets > 0) & (offsets < len(data))]
         before = np.concatenate([[False], full[:-1]]) if len(full) else full
         after = np.concatenate([full[1:], [False]]) if len(full) else full
