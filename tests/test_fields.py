@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tokentally.functions import fields
 from tokentally.functions.periods import Period, day_directories, day_glob, resolve_period
-from tokentally.functions.tokenizers import bpe_tokens
 
 
 def applied(spark, function, values, kind="string"):
@@ -117,21 +116,3 @@ def test_day_directories(start, end, expected):
 
 def test_day_glob_is_one_pattern():
     assert day_glob(Period(date(2024, 1, 30), date(2024, 1, 31))) == "{2024/01/30,2024/01/31}"
-
-
-def test_bpe_tokens(spark):
-    pytest.importorskip("tiktoken")
-
-    def one_token_per_byte():
-        import tiktoken
-
-        return tiktoken.Encoding(
-            name="bytes",
-            pat_str=r"\s+|\S+",
-            mergeable_ranks={bytes([i]): i for i in range(256)},
-            special_tokens={"<|end|>": 256},
-        )
-
-    # The last text holds a special token, which the encoding refuses: three characters a token.
-    texts = ["abc", "가", "", None, "a <|end|> b"]
-    assert applied(spark, bpe_tokens(one_token_per_byte), texts) == [3, 3, 0, 0, 3]

@@ -1,11 +1,13 @@
 from datetime import UTC, date, datetime
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tokentally.functions.periods import Period
 from tokentally.operators import filters, invocations, prompts, tagged
 from tokentally.plans import reports, views
+from tokentally.streaming import trends
 
 SCHEMA = """timestamp string, region string, requestId string, modelId string,
   identity struct<arn: string>, input struct<inputTokenCount: int>,
@@ -94,6 +96,13 @@ def test_prompt_report(spark, tables):
         kinds = report["by_type"].collect()
         assert [k["type"] for k in kinds] == ["chat", "inline"]
         assert sum(k["requests"] for k in kinds) == total["requests"]
+        raw = views.prompts(spark, tables)
+        for name, table in (
+            ("summary", prompts.totals(raw)), ("by_type", prompts.by_type(raw)), ("by_user", prompts.by_user(raw)),
+            ("by_date", prompts.by_date(raw)), ("by_hour", prompts.hours_in_kst(raw)),
+        ):
+            assert sorted(rows(report[name]), key=str) == sorted(rows(table), key=str), name
+        assert sorted(rows(report["breakdowns"]), key=str) == sorted(rows(prompts.breakdowns(raw)), key=str)
 
 
 def test_event_time_bounds_are_half_open_and_zoned(spark):
@@ -139,29 +148,27 @@ def test_prompt_user_filter(spark):
     assert sorted(str(r[0]) for r in kept) == ["", "Ann", "BANNER", "None"]
 
 
-def test_systematic_sample_equals_slicing(spark):
-    # Small ranges would be merged into one; here they must stay apart.
-    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(coalesce, "false")
-    try:
-        check_systematic_sample(spark)
-    finally:
-        spark.conf.unset(coalesce)
-
-
-def check_systematic_sample(spark):
-    listing = [(f"2024/01/{d:02d}/{kind}", f"{n:03d}") for d in (1, 2, 3) for kind in "AB" for n in range(d * d * 17)]
-    for limit in (7, 20, 60, 500):
-        frame = spark.createDataFrame(listing, "folder string, name string").repartition(3)
-        found = prompts.systematic_sample(frame, ["folder", "name"], limit).select("folder", "name")
-        ordered = sorted(listing)
-        step = len(ordered) // limit if len(ordered) > limit else 1
-        assert sorted(rows(found)) == ordered[::step]
-        factor = spark.range(1).select(prompts.sample_factor(F.lit(len(ordered)), limit)).first()[0]
-        assert factor == len(ordered) / len(ordered[::step])
+def test_pattern_rows_repeat_and_stay_without_calls(spark):
+    frame = calls(spark, (ROLE + "s1", HAIKU, 1000, 1000, 1, {}), (ROLE + "s2", None, 1, None, 1, {}))
+    found = invocations.by_pattern(invocations.as_cells(frame), ["App", "s1", "s1", "Other"])
+    got = [(r["pattern"], r["call_count"], r["total_input_tokens"], r["estimated_cost_usd"]) for r in found.collect()]
+    assert got == [("App", 2, 1001, 0.00150025), ("Other", 0, 0, 0.0), ("s1", 1, 1000, 0.0015), ("s1", 1, 1000, 0.0015)]
 
 
-def test_shares_add_up(spark, tables):
-    table = tagged.by_tenant(views.invocations(spark, tables)).select("tenant_id", "total_tokens")
-    total = invocations.with_share(table, "total_tokens").agg(F.sum("share")).first()[0]
-    assert abs(total - 1) < 1e-9
+@pytest.mark.parametrize("zone", ["Asia/Seoul", "Asia/Kolkata", "America/New_York"])
+def test_hours_are_utc_in_any_session(spark, zone):
+    frame = calls(spark, ("a", HAIKU, 1, 1, 1, {}))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        cells = invocations.as_cells(frame)
+        assert [r["hour"] for r in cells.collect()] == [10]
+        assert invocations.peak_hour(cells).first()["hour"] == "10"
+        events = frame.select(
+            F.to_timestamp("timestamp").alias("event_time"),
+            F.timestamp_seconds(F.unix_seconds(F.to_timestamp("timestamp")) + 90).alias("ingestion_time"),
+        )
+        hour = trends.lag_by_hour(events).select(F.unix_seconds("hour"), "median_lag").first()
+        assert tuple(hour) == (int(datetime(2024, 1, 1, 10, tzinfo=UTC).timestamp()), 90.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

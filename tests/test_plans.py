@@ -41,10 +41,45 @@ def test_usage_by_model_shuffles_once_before_the_sort(spark, tables):
     assert text.count("partial_sum") >= 1
 
 
-def test_breakdowns_read_once_and_shuffle_once(spark, tables):
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_breakdowns_read_once_and_multiply_reduced_rows_only(spark, tables, no_broadcast):
     text = physical(prompts.breakdowns(views.inline_prompts(spark, tables)))
     assert text.count("FileScan") == 1
-    assert text.count("Exchange ") == 1
+    # From the scan upwards: reduced, shuffled, and only then multiplied by the grouping sets.
+    assert "Expand" not in text.split("Exchange")[-1]
+
+
+def test_activity_totals_multiply_sums_only(spark, tables, no_broadcast):
+    text = physical(QUERIES["agg_07_activity_totals"](spark, tables))
+    assert "Expand" not in text.split("Exchange")[-1]
+
+
+@pytest.mark.parametrize("name", ["agg_24_usage_by_pattern", "joi_03_exact_cost_by_label"])
+def test_identities_are_not_shuffled(spark, tables, name, no_broadcast):
+    text = physical(QUERIES[name](spark, tables))
+    keys = [line for line in text.split("\n") if "hashpartitioning" in line]
+    assert keys and not any("arn#" in line for line in keys)
+
+
+def test_virtual_cost_reads_the_reports_once(spark, tables, no_broadcast):
+    text = physical(QUERIES["met_04_virtual_cost_active_days"](spark, tables))
+    assert text.count("FileScan") == 1
+
+
+def test_lags_of_an_hour_are_not_gathered(spark, tables, no_broadcast):
+    text = physical(QUERIES["str_06_ingestion_lag_by_hour"](spark, tables))
+    assert "percentile(" not in text
+
+
+def test_raw_prompt_records_shuffle_nothing(spark, tables, no_broadcast):
+    assert "Exchange" not in physical(QUERIES["src_05_prompt_records"](spark, tables))
 
 
 def test_feature_table_reads_the_reports_once(spark, tables):

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 from conftest import rows
@@ -20,7 +21,19 @@ def costs(df):
 
 def test_known_cost(spark):
     df = usage(spark, ("us.anthropic.claude-3-7-sonnet-20250219-v1:0", 506, 4576))
-    assert rows(pricing.with_cost(df).select("estimated_cost_usd"))[0][0] == pytest.approx(0.070158)
+    assert rows(pricing.with_cost(df).select("estimated_cost_usd")) == [(0.070158,)]
+
+
+def test_sums_of_costs_do_not_depend_on_the_order(spark):
+    """Costs from a millionth of a dollar to a billion, added up in different partitions."""
+    chance = random.Random(3)
+    records = [("claude-3-opus-20240229", chance.randrange(10**chance.randrange(1, 14)), k) for k in range(3000)]
+    df = usage(spark, *records)
+    sums = {
+        pricing.with_cost(df.repartition(n), exact=True).agg(pricing.cost_sum()).first()[0] for n in (1, 3, 7, 16)
+    }
+    exact = sum(Decimal(i) * Decimal("0.015") + Decimal(o) * Decimal("0.075") for _, i, o in records) / 1000
+    assert sums == {float(exact)} and exact > 10**9
 
 
 def test_flat_costs(spark):
@@ -96,3 +109,14 @@ def test_table_prices_do_not_multiply_rows_or_join_across(spark):
     text = priced._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text
     assert "NestedLoopJoin" not in text
+
+
+def test_table_prices_keep_every_row(spark):
+    rows_ = [(who, model, n, n) for n, who in enumerate("abc") for model in ("x.claude-3-opus-20240229", "other", None)]
+    df = spark.createDataFrame(rows_ * 2, "who string, model_name string, total_input_tokens bigint, total_output_tokens bigint")
+    priced = pricing.with_table_cost(df, pricing.price_table(spark))
+    assert priced.columns == [*df.columns, "estimated_cost_usd"]
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, priced.collect())) == sorted(map(key, pricing.with_cost(df).collect()))
+    empty = pricing.with_table_cost(df, pricing.price_table(spark).limit(0))
+    assert empty.count() == 18

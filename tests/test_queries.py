@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from tokentally.operators import tagged
+from tokentally.plans import views
 from tokentally.plans.catalogue import QUERIES, SQL
 
 TABLES = (
@@ -44,13 +46,14 @@ def test_query_equals_sql(spark, duck, tables, name):
     assert comparable(df.toArrow().to_pylist()) == comparable(table.to_pylist())
 
 
-def test_every_query_has_sql_but_the_approximate_one():
-    assert set(QUERIES) - set(SQL) == {"agg_18_output_sizes_approx"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_approximate_percentiles_are_close(spark, tables):
-    exact = {r[0]: r for r in QUERIES["agg_18_output_sizes"](spark, tables).collect()}
-    for row in QUERIES["agg_18_output_sizes_approx"](spark, tables).collect():
+    calls = views.invocations(spark, tables)
+    exact = {r[0]: r for r in tagged.output_sizes(calls).collect()}
+    for row in tagged.output_sizes_approx(calls).collect():
         assert row["min_output"] == exact[row[0]]["min_output"]
         assert row["max_output"] == exact[row[0]]["max_output"]
         # Discrete against interpolated: at most one gap between neighbouring sizes apart.

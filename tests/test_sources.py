@@ -1,12 +1,13 @@
 import gzip
 import json
 from datetime import UTC, date, datetime
+from pathlib import Path
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tokentally import schemas
+from tokentally import constants
 from tokentally.functions.periods import Period
 from tokentally.operators import filters, invocations, prompts, tagged
 from tokentally.sources import activity, sinks, tables
@@ -67,6 +68,19 @@ def test_a_period_lists_only_its_days(spark, log_root):
     assert logs.read_invocations(spark, log_root, late).count() == 7
 
 
+def test_a_period_without_directories_gives_zeros(spark, log_root):
+    calls = logs.read_invocations(spark, log_root, Period(date(2020, 1, 1), date(2020, 1, 3)))
+    assert rows(invocations.totals(invocations.as_cells(calls))) == [(0, 0, 0, 0.0)]
+    assert filters.in_days(calls, date(2020, 1, 1), date(2020, 1, 3)).count() == 0
+
+
+def test_a_stray_file_is_no_call(spark, log_root):
+    put(Path(log_root) / "stray.json", json.dumps(call()))
+    calls = logs.read_invocations(spark, log_root)
+    assert filters.in_days(calls, date(2024, 1, 1), date(2024, 12, 31)).count() == 7
+    assert sum(r["call_count"] for r in invocations.by_day(invocations.as_cells(calls)).collect()) == 7
+
+
 def test_message_bodies_are_not_read(spark, log_root):
     calls = logs.read_invocations(spark, log_root)
     text = calls._jdf.queryExecution().executedPlan().toString()
@@ -77,6 +91,22 @@ def test_a_broken_record_stops_the_query(spark, tmp_path):
     put(tmp_path / "2024/01/01/a.json", json.dumps(call()) + '\n{"timestamp": ')
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         logs.read_invocations(spark, str(tmp_path)).select("modelId").collect()
+    logs.create_table(spark, "broken_calls", str(tmp_path))
+    try:
+        logs.attach_day(spark, "broken_calls", str(tmp_path), date(2024, 1, 1))
+        with pytest.raises(Exception, match="MALFORMED_RECORD"):
+            spark.table("broken_calls").select("modelId").collect()
+    finally:
+        tables.drop_table(spark, "broken_calls")
+
+
+def test_a_cut_log_event_file_stops_the_query(spark, tmp_path):
+    document = json.dumps({"events": [event(1764759284000, 1764759285000, "A", None, 1, 2, 3)]})
+    put(tmp_path / "whole.json", document)
+    put(tmp_path / "cut.json", document[: len(document) // 2])
+    assert logs.read_log_events(spark, str(tmp_path / "whole.json")).count() == 1
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        logs.read_log_events(spark, str(tmp_path)).select("modelId").collect()
 
 
 def test_tagged_records_keep_unknown_metadata(spark, tmp_path):
@@ -118,6 +148,11 @@ def test_catalogue_table_sees_attached_days_only(spark, log_root):
 def test_compacted_days_are_pruned(spark, log_root, tmp_path):
     target = str(tmp_path / "compact")
     logs.compact(logs.read_invocations(spark, log_root), target)
+    # Run again, for all days and for one of them: each call still counts once.
+    logs.compact(logs.read_invocations(spark, log_root), target)
+    again = Period(date(2024, 2, 1), date(2024, 2, 1))
+    logs.compact(logs.read_invocations(spark, log_root, again), target)
+    assert logs.read_compacted(spark, target).count() == 7
     calls = logs.read_compacted(spark, target)
     assert calls.schema["day"].dataType.simpleString() == "string"
     period = filters.in_days(calls, date(2024, 1, 31), date(2024, 2, 1))
@@ -178,7 +213,7 @@ def test_ingestion_lag(spark, events):
 
 
 def test_activity_columns_are_taken_by_position(spark, tmp_path):
-    names = schemas.ACTIVITY_COUNTER_NAMES
+    names = constants.ACTIVITY_COUNTERS
     assert len(names) == 44
     counters = [str(n) for n in range(44)]
     counters[2] = ""
@@ -238,7 +273,7 @@ PERIOD = Period(date(2024, 1, 4), date(2024, 1, 6))
 
 
 def test_prompt_logs(spark, prompt_root):
-    found = prompt_logs.read_prompts(spark, prompt_root, PERIOD)
+    found = prompt_logs.read_prompts(spark, prompt_root, PERIOD, skip_broken=True)
     assert tuple(found.columns) == prompts.COLUMNS
     counts = rows(found.select("type", "input_tokens", "output_tokens").orderBy("type", "input_tokens", "output_tokens"))
     assert counts == [
@@ -257,24 +292,15 @@ def test_no_prompt_logs_give_zeros(spark, prompt_root):
     assert rows(prompts.totals(found)) == [(0, 0, 0, 0)]
 
 
-def test_prompt_sample(spark, tmp_path):
-    for n in range(25):
-        folder = tmp_path / "GenerateCompletions/us-east-1" / f"2024/01/{n % 5 + 1:02d}"
-        put(folder / f"{n:02d}.json.gz", json.dumps({"records": [inline(left="l" * 30)]}), zipped=True)
-    period = Period(date(2024, 1, 1), date(2024, 1, 5))
-    sample, factor = prompt_logs.read_prompt_sample(spark, str(tmp_path), period, max_files=10)
-    assert sample.count() == 13
-    assert factor == pytest.approx(25 / 13)
-    everything, factor = prompt_logs.read_prompt_sample(spark, str(tmp_path), period)
-    assert (everything.count(), factor) == (25, 1.0)
-    scaled = prompts.scaled(prompts.totals(sample), F.lit(25 / 13))
-    assert rows(scaled.select("requests", "input_tokens")) == [(25, int(13 * 11 * 25 / 13))]
-
-
-def test_sample_paths_takes_every_file_up_to_twice_the_limit():
-    paths = [str(n) for n in range(999)]
-    assert prompt_logs.sample_paths(paths, 500) == paths
-    assert len(prompt_logs.sample_paths([*paths, "x"], 500)) == 500
+def test_broken_prompt_files_stop_unless_skipped_and_are_counted(spark, prompt_root):
+    with pytest.raises(Exception, match="not in gzip format|MALFORMED|FAILED_READ_FILE|Not in GZIP"):
+        prompt_logs.read_prompts(spark, prompt_root, PERIOD).collect()
+    assert rows(prompt_logs.file_counts(spark, prompt_root, PERIOD)) == [(5, 3, 2)]
+    one = Period(date(2024, 1, 6), date(2024, 1, 6))
+    assert rows(prompt_logs.file_counts(spark, prompt_root, one)) == [(1, 1, 0)]
+    assert prompt_logs.read_prompts(spark, prompt_root, one).count() == 1
+    none = Period(date(2023, 1, 1), date(2023, 1, 2))
+    assert rows(prompt_logs.file_counts(spark, prompt_root, none)) == [(0, 0, 0)]
 
 
 def test_csv_and_json_sinks(spark, tmp_path):

@@ -1,5 +1,7 @@
 import json
+import os
 import shutil
+import time
 from pathlib import Path
 
 import pytest
@@ -25,10 +27,10 @@ def stream(spark, folder, delay):
     return trends.with_event_time(source, delay)
 
 
-def run(df, base, mode="append"):
+def run(df, base, mode="append", keys=()):
     query = jobs.write_stream(df, str(base / "out"), str(base / "checkpoint"), mode)
     query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(str(base / "out"))
+    return jobs.read_result(df.sparkSession, str(base / "out"), df.schema, mode, keys)
 
 
 def test_windows_close_once_and_late_records_are_dropped(spark, tmp_path):
@@ -62,13 +64,61 @@ def test_running_totals_are_refreshed(spark, tmp_path):
     assert sorted(rows(run(totals, tmp_path, "complete"))) == [("a", 22, 2), ("b", 2, 1)]
 
 
-def test_update_mode_writes_the_changed_rows(spark, tmp_path):
+def test_update_mode_keeps_all_keys(spark, tmp_path):
     source = tmp_path / "in"
     write_batch(spark, source, ("2024-01-01T00:10:00Z", "a", 1, 1), ("2024-01-01T00:10:00Z", "b", 1, 1))
     totals = trends.running_totals(stream(spark, source, None))
-    run(totals, tmp_path, "update")
-    write_batch(spark, source, ("2024-01-01T00:10:00Z", "a", 10, 10))
-    assert rows(run(totals, tmp_path, "update")) == [("a", 22, 2)]
+    run(totals, tmp_path, "update", ["application_name"])
+    write_batch(spark, source, ("2024-01-01T00:10:00Z", "a", 10, 10), ("2024-01-01T00:10:00Z", None, 1, 0))
+    found = run(totals, tmp_path, "update", ["application_name"])
+    assert sorted(rows(found), key=str) == [("a", 22, 2), ("b", 2, 1), (None, 1, 1)]
+
+
+def test_update_mode_survives_a_last_batch_without_rows(spark, tmp_path):
+    source = tmp_path / "in"
+    write_batch(spark, source, ("2024-01-01T00:10:00Z", "a", 1, 1), ("2024-01-01T05:00:00Z", "b", 1, 1))
+    trend = trends.usage_trend(stream(spark, source, "10 minutes"))
+    keys = ["window_start", "window_end", "application_name"]
+    for _ in range(2):  # the second run has nothing new
+        found = run(trend, tmp_path, "update", keys)
+        assert sorted(rows(found.select("application_name", "total_tokens"))) == [("a", 2), ("b", 2)]
+
+
+def test_complete_mode_keeps_one_batch(spark, tmp_path):
+    source = tmp_path / "in"
+    for n in (1, 2, 3):
+        write_batch(spark, source, ("2024-01-01T00:10:00Z", "a", 1, 0))
+        totals = trends.running_totals(stream(spark, source, None))
+        assert rows(run(totals, tmp_path, "complete")) == [("a", n, n)]
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 1
+
+
+def test_old_files_count(spark, tmp_path):
+    """A file far older than the newest one, seen in a later run."""
+    folder = tmp_path / "log/2024/01/02"
+    folder.mkdir(parents=True)
+
+    def put(name, days_old):
+        record = {"timestamp": "2024-01-02T05:00:00Z", "input": {"inputTokenCount": 1}, "output": {"outputTokenCount": 2}}
+        (folder / name).write_text(json.dumps(record))
+        then = time.time() - days_old * 86_400
+        os.utime(folder / name, (then, then))
+
+    calls = logs.stream_invocations(spark, str(tmp_path / "log"))
+    put("new.json", 0)
+    put("older.json", 1)
+    per_day = calls.groupBy("year", "month", "day").count()
+    assert rows(run(per_day, tmp_path, "complete")) == [("2024", "01", "02", 2)]
+    put("restored.json", 400)
+    assert rows(run(per_day, tmp_path, "complete")) == [("2024", "01", "02", 3)]
+
+
+def test_run_available_into_a_folder_of_the_caller(spark, tmp_path):
+    source = tmp_path / "in"
+    write_batch(spark, source, ("2024-01-01T00:10:00Z", "a", 1, 1))
+    totals = trends.running_totals(stream(spark, source, None))
+    found = jobs.run_available(totals, "x", "complete", folder=str(tmp_path / "mine"))
+    assert rows(found) == [("a", 2, 1)] and (tmp_path / "mine/table").is_dir()
 
 
 def test_stream_over_several_files_equals_batch(spark, tables, tmp_path):

@@ -71,7 +71,6 @@ VIRTUAL_PRICE = (0.003, 0.015)
 ALARM_TOKENS_PER_HOUR = 10_000
 KST_OFFSET_HOURS = 9
 LARGE_REQUEST_TOKENS = 5000
-MAX_SAMPLED_FILES = 500
 CHARS_PER_TOKEN = 3
 
 # Request metadata that every call should carry, and that none may carry.
@@ -79,22 +78,49 @@ REQUIRED_METADATA = ("application_name", "application_id", "environment", "team"
 FORBIDDEN_METADATA = ("user_email", "password", "api_key")
 
 # Counters of the daily activity report, in file order after UserId and Date.
-ACTIVITY_COUNTERS = {
-    "Chat": ("AICodeLines", "MessagesInteracted", "MessagesSent"),
-    "CodeFix": ("AcceptanceEventCount", "AcceptedLines", "GeneratedLines", "GenerationEventCount"),
-    "CodeReview": ("FailedEventCount", "FindingsCount", "SucceededEventCount"),
-    "Dev": ("AcceptanceEventCount", "AcceptedLines", "GeneratedLines", "GenerationEventCount"),
-    "DocGeneration": (
-        "AcceptedFileUpdates", "AcceptedFilesCreations", "AcceptedLineAdditions",
-        "AcceptedLineUpdates", "EventCount", "RejectedFileCreations",
-        "RejectedFileUpdates", "RejectedLineAdditions", "RejectedLineUpdates",
-    ),
-    "InlineChat": (
-        "AcceptanceEventCount", "AcceptedLineAdditions", "AcceptedLineDeletions",
-        "DismissalEventCount", "DismissedLineAdditions", "DismissedLineDeletions",
-        "RejectedLineAdditions", "RejectedLineDeletions", "RejectionEventCount", "TotalEventCount",
-    ),
-    "Inline": ("AICodeLines", "AcceptanceCount", "SuggestionsCount"),
-    "TestGeneration": ("AcceptedLines", "AcceptedTests", "EventCount", "GeneratedLines", "GeneratedTests"),
-    "Transformation": ("EventCount", "LinesGenerated", "LinesIngested"),
-}
+ACTIVITY_COUNTERS = (
+    "Chat_AICodeLines",
+    "Chat_MessagesInteracted",
+    "Chat_MessagesSent",
+    "CodeFix_AcceptanceEventCount",
+    "CodeFix_AcceptedLines",
+    "CodeFix_GeneratedLines",
+    "CodeFix_GenerationEventCount",
+    "CodeReview_FailedEventCount",
+    "CodeReview_FindingsCount",
+    "CodeReview_SucceededEventCount",
+    "Dev_AcceptanceEventCount",
+    "Dev_AcceptedLines",
+    "Dev_GeneratedLines",
+    "Dev_GenerationEventCount",
+    "DocGeneration_AcceptedFileUpdates",
+    "DocGeneration_AcceptedFilesCreations",
+    "DocGeneration_AcceptedLineAdditions",
+    "DocGeneration_AcceptedLineUpdates",
+    "DocGeneration_EventCount",
+    "DocGeneration_RejectedFileCreations",
+    "DocGeneration_RejectedFileUpdates",
+    "DocGeneration_RejectedLineAdditions",
+    "DocGeneration_RejectedLineUpdates",
+    "InlineChat_AcceptanceEventCount",
+    "InlineChat_AcceptedLineAdditions",
+    "InlineChat_AcceptedLineDeletions",
+    "InlineChat_DismissalEventCount",
+    "InlineChat_DismissedLineAdditions",
+    "InlineChat_DismissedLineDeletions",
+    "InlineChat_RejectedLineAdditions",
+    "InlineChat_RejectedLineDeletions",
+    "InlineChat_RejectionEventCount",
+    "InlineChat_TotalEventCount",
+    "Inline_AICodeLines",
+    "Inline_AcceptanceCount",
+    "Inline_SuggestionsCount",
+    "TestGeneration_AcceptedLines",
+    "TestGeneration_AcceptedTests",
+    "TestGeneration_EventCount",
+    "TestGeneration_GeneratedLines",
+    "TestGeneration_GeneratedTests",
+    "Transformation_EventCount",
+    "Transformation_LinesGenerated",
+    "Transformation_LinesIngested",
+)

@@ -50,7 +50,7 @@ def partition_number() -> Column:
     It orders days like `partition_day` and is much cheaper where the keys are plain columns. Where
     they are partition keys, a filter on it is evaluated on the partition values, so it prunes.
     """
-    year, month, day = (F.col(key).cast("int") for key in ("year", "month", "day"))
+    year, month, day = (F.col(key).try_cast("int") for key in ("year", "month", "day"))
     return year * 10000 + month * 100 + day
 
 
@@ -68,8 +68,19 @@ def event_time() -> Column:
 
 
 def event_hour() -> Column:
-    """Hour of the event as a number; the session time zone must be UTC."""
-    return F.hour(event_time())
+    """Hour of the event in UTC as a number, whatever the session's zone."""
+    return utc_hour(event_time())
+
+
+def utc_hour(time: Column) -> Column:
+    """Hour of day in UTC: from the seconds since 1970, which no zone shifts."""
+    return F.floor(F.pmod(F.unix_seconds(time), F.lit(86_400)) / F.lit(3600)).cast("int")
+
+
+def utc_hour_start(time: Column) -> Column:
+    """Start of the hour in UTC; zones with a half hour would start it elsewhere."""
+    seconds = F.unix_seconds(time)
+    return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(3600)))
 
 
 def two_digits(number: Column) -> Column:

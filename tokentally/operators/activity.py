@@ -42,10 +42,13 @@ def totals(df: DataFrame, *extra: str) -> DataFrame:
 
     `extra` adds further measures, such as `total_doc_events`.
     """
-    return df.agg(
+    names = [*_TOTALS, *extra]
+    # Two distinct counts multiply their rows by three, so reports are summed per user and date first.
+    per_day = df.groupBy("UserId", "Date").agg(*_sums(names))
+    return per_day.agg(
         F.count_distinct("UserId").alias("unique_users"),
         F.count_distinct("Date").alias("active_days"),
-        *_sums([*_TOTALS, *extra]),
+        *(fields.or_zero(F.sum(name)).alias(name) for name in names),
     )
 
 

@@ -15,10 +15,13 @@ from ..constants import (
     WARN_SHARE,
 )
 from ..functions import fields
+from .activity import MEASURES
 
 
 def _measure(df: DataFrame, name: str) -> Column:
-    """A measure of the totals; 0 if the totals do not have it."""
+    """A measure of the totals; 0 if it is not asked for there. An unknown name is an error."""
+    if name not in MEASURES:
+        raise ValueError(f"{name} is not a measure of activity reports")
     return fields.or_zero(F.col(name)) if name in df.columns else F.lit(0)
 
 
@@ -48,10 +51,12 @@ _OUTPUT = {
 }
 
 
-def estimated_tokens(totals: DataFrame, scenario: str | None = None) -> DataFrame:
+def estimated_tokens(
+    totals: DataFrame, scenario: str | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Estimated tokens of activity totals (or of users' totals), one row per scenario.
 
-    One scenario may be asked for; an unknown one means `average`.
+    One scenario may be asked for; an unknown one means `average`. `keep` names totals to carry along.
     """
     names = list(TOKEN_ESTIMATES)
     if scenario is not None:
@@ -69,7 +74,7 @@ def estimated_tokens(totals: DataFrame, scenario: str | None = None) -> DataFram
             )
         )
     kept = [F.col("user_id")] if "user_id" in totals.columns else []
-    return totals.select(*kept, F.inline(F.array(*rows)))
+    return totals.select(*kept, *keep, F.inline(F.array(*rows)))
 
 
 def official_limits(totals: DataFrame, days: int) -> DataFrame:

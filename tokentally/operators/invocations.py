@@ -14,25 +14,23 @@ from .filters import like_pattern
 _SUMS = ("call_count", "total_input_tokens", "total_output_tokens")
 
 
-def usage_cube(df: DataFrame) -> DataFrame:
-    """Calls and tokens at the finest grain any report needs.
+def _reduced(cells: DataFrame, *keys: str) -> DataFrame:
+    names = (*_SUMS, "input_count", "output_count")
+    return cells.groupBy(*keys).agg(*(F.sum(name).alias(name) for name in names))
+
+
+def usage_cube(cells: DataFrame) -> DataFrame:
+    """Sums by model, region, day and hour: few rows, for all tables without identities."""
+    return _reduced(cells, "model_id", "region", "year", "month", "day", "hour")
 
-    One pass over the log; all tables below can be built from it instead of the log.
-    """
-    arn = F.col("identity.arn").alias("arn")
-    hour = fields.event_hour().alias("hour")
-    model = F.col("modelId").alias("model_id")
-    return df.groupBy(arn, model, "region", "year", "month", "day", hour).agg(
-        F.count(F.lit(1)).alias("call_count"),
-        F.count(fields.input_tokens()).alias("input_count"),
-        F.count(fields.output_tokens()).alias("output_count"),
-        F.sum(fields.input_tokens()).alias("total_input_tokens"),
-        F.sum(fields.output_tokens()).alias("total_output_tokens"),
-    )
+
+def identity_sums(cells: DataFrame) -> DataFrame:
+    """Sums by identity and model, for all tables of identities."""
+    return _reduced(cells, "arn", "model_id")
 
 
 def as_cells(df: DataFrame) -> DataFrame:
-    """A log in the column layout of `usage_cube`, one cell per call, nothing aggregated."""
+    """A log in the columns that all tables below use, one cell per call, nothing aggregated."""
     hit = F.lit(1).cast("bigint")
     return df.select(
         F.col("identity.arn").alias("arn"),
@@ -80,11 +78,11 @@ def by_model(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
 
 def totals(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     """One row: calls, tokens and the cost summed over models; zeros if there is no call."""
-    return pricing.with_cost(_per_model(cells), region=region).agg(
+    return pricing.with_cost(_per_model(cells), region=region, exact=True).agg(
         fields.or_zero(F.sum("call_count")).alias("total_calls"),
         fields.or_zero(F.sum("total_input_tokens")).alias("total_input_tokens"),
         fields.or_zero(F.sum("total_output_tokens")).alias("total_output_tokens"),
-        F.coalesce(F.sum("estimated_cost_usd"), F.lit(0.0)).alias("total_cost_usd"),
+        pricing.cost_sum().alias("total_cost_usd"),
     )
 
 
@@ -104,10 +102,11 @@ def by_identity(cells: DataFrame) -> DataFrame:
 
 def by_label(cells: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
     """Usage per identity label, the sessions of a role merged, with cost from the real models."""
-    priced = pricing.with_cost(_per_model(cells, "arn"), region=region)
+    labelled = cells.withColumn("user_or_app", fields.identity_label(F.col("arn")))
+    priced = pricing.with_cost(_per_model(labelled, "user_or_app"), region=region, exact=True)
     return (
-        priced.groupBy(fields.identity_label(F.col("arn")).alias("user_or_app"))
-        .agg(*_sums(), F.sum("estimated_cost_usd").alias("estimated_cost_usd"))
+        priced.groupBy("user_or_app")
+        .agg(*_sums(), pricing.cost_sum())
         .orderBy(F.desc("estimated_cost_usd"), "user_or_app")
     )
 
@@ -166,10 +165,10 @@ def hour_display(hourly: DataFrame) -> DataFrame:
 
 def by_region(cells: DataFrame) -> DataFrame:
     """Usage per region at that region's prices, most calls first."""
-    priced = pricing.with_cost_by_region(_per_model(cells, "region"))
+    priced = pricing.with_cost_by_region(_per_model(cells, "region"), exact=True)
     return (
         priced.groupBy("region")
-        .agg(*_sums(), F.sum("estimated_cost_usd").alias("estimated_cost_usd"))
+        .agg(*_sums(), pricing.cost_sum())
         .orderBy(F.desc("call_count"), "region")
     )
 
@@ -200,7 +199,7 @@ def priced_in_regions(cells: DataFrame, regions: Sequence[str] = REGIONS) -> Dat
         .agg(
             F.sum("total_input_tokens").alias("total_input_tokens"),
             F.sum("total_output_tokens").alias("total_output_tokens"),
-            F.sum("cost").alias("estimated_cost_usd"),
+            F.sum("cost").cast("double").alias("estimated_cost_usd"),
         )
         .orderBy("region")
     )
@@ -211,23 +210,17 @@ def by_pattern(
 ) -> DataFrame:
     """One summary per ARN pattern, in one pass; a pattern nobody matches is a row of zeros.
 
-    A call counts for every pattern it matches, as in one run per pattern.
+    A call counts for every pattern it matches, as in one run per pattern. Each cell is matched where
+    it is read, and what is shuffled are sums per pattern and model.
     """
-    priced = pricing.with_cost(_per_model(cells, "arn"), region=region)
-    measures = (*_SUMS, "estimated_cost_usd")
-    sums = [
-        F.struct(
-            F.lit(pattern).alias("pattern"),
-            *[
-                fields.or_zero(
-                    F.sum(F.when(like_pattern(F.col("arn"), pattern), F.col(name)))
-                ).alias(name)
-                for name in measures
-            ],
-        )
-        for pattern in patterns
-    ]
-    return priced.agg(F.array(*sums).alias("rows")).select(F.inline("rows")).orderBy("pattern")
+    named = list(dict.fromkeys(patterns))
+    hits = F.array(*(F.when(like_pattern(F.col("arn"), p), p) for p in named))
+    matched = cells.select("model_id", *_SUMS, F.explode(F.array_compact(hits)).alias("pattern"))
+    priced = pricing.with_cost(_per_model(matched, "pattern"), region=region, exact=True)
+    found = priced.groupBy("pattern").agg(*_sums(), pricing.cost_sum())
+    wanted = cells.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    zeros = dict.fromkeys((*_SUMS, pricing.COST), 0)
+    return wanted.join(found, "pattern", "left").fillna(zeros).orderBy("pattern")
 
 
 def _daily(cells: DataFrame) -> DataFrame:

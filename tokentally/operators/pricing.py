@@ -1,6 +1,11 @@
-"""Prices of models. The built-in list is a literal in the plan; a price table is an equi-join."""
+"""Prices of models. The built-in list is a literal in the plan; a price table is an equi-join.
+
+Prices and costs are decimals, so a sum of costs does not depend on the order of its rows. Tables show
+them as doubles: the last step of each.
+"""
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +16,17 @@ from ..functions import fields
 PriceList = Sequence[tuple[str, float, float]]
 RegionPrices = Mapping[str, PriceList]
 
+_UNIT = "decimal(12,9)"
+COST = "estimated_cost_usd"
+
 
 def _price(input_price: float, output_price: float) -> Column:
-    return F.struct(F.lit(input_price).alias("input"), F.lit(output_price).alias("output"))
+    return F.struct(
+        *(
+            F.lit(Decimal(str(value))).cast(_UNIT).alias(name)
+            for name, value in (("input", input_price), ("output", output_price))
+        )
+    )
 
 
 def _listed_price(key: Column, prices: PriceList) -> Column:
@@ -35,21 +48,26 @@ def price(model: Column, listed: PriceList) -> Column:
 
 
 def cost(input_tokens: Column, output_tokens: Column, unit: Column) -> Column:
-    """Cost in USD of token sums at a price per 1,000; missing sums count 0."""
-    return (
-        fields.or_zero(input_tokens) * unit["input"] / F.lit(1000)
-        + fields.or_zero(output_tokens) * unit["output"] / F.lit(1000)
-    )
+    """Exact cost in USD, a decimal, of token sums at a price per 1,000; missing sums count 0."""
+    thousandth = F.lit(Decimal("0.001"))
+    tokens = [fields.or_zero(x).cast("decimal(20,0)") for x in (input_tokens, output_tokens)]
+    return tokens[0] * unit["input"] * thousandth + tokens[1] * unit["output"] * thousandth
+
+
+def cost_sum() -> Column:
+    """The summed cost of a group as a double; the sum itself is exact."""
+    return fields.or_zero(F.sum(COST)).cast("double").alias(COST)
 
 
 def _sums_cost(unit: Column) -> Column:
     return cost(F.col("total_input_tokens"), F.col("total_output_tokens"), unit)
 
 
-def _costed(df: DataFrame, unit: Column) -> DataFrame:
+def _costed(df: DataFrame, unit: Column, exact: bool) -> DataFrame:
     # A column of its own keeps the list from being searched once for input and once for output.
-    priced = df.withColumn("unit", unit)
-    return priced.withColumn("estimated_cost_usd", _sums_cost(F.col("unit"))).drop("unit")
+    price_of_row = _sums_cost(F.col("__unit"))
+    shown = price_of_row if exact else price_of_row.cast("double")
+    return df.withColumn("__unit", unit).withColumn(COST, shown).drop("__unit")
 
 
 def with_cost(
@@ -57,12 +75,14 @@ def with_cost(
     model_column: str = "model_name",
     region: str = DEFAULT_REGION,
     prices: RegionPrices = REGION_PRICES,
+    exact: bool = False,
 ) -> DataFrame:
     """Add `estimated_cost_usd` to token sums per model: a projection, no join and no shuffle.
 
-    Use it after aggregation, so that every group is priced once.
+    Use it after aggregation, so that every group is priced once. With `exact` the cost is a decimal,
+    for further sums.
     """
-    return _costed(df, price(F.col(model_column), price_list(region, prices)))
+    return _costed(df, price(F.col(model_column), price_list(region, prices)), exact)
 
 
 def with_cost_by_region(
@@ -70,6 +90,7 @@ def with_cost_by_region(
     region_column: str = "region",
     model_column: str = "model_name",
     prices: RegionPrices = REGION_PRICES,
+    exact: bool = False,
 ) -> DataFrame:
     """Like `with_cost`, with the price list of each row's own region."""
     default = prices[DEFAULT_REGION]
@@ -78,12 +99,12 @@ def with_cost_by_region(
         if listed != default:
             regional = price(F.col(model_column), listed)
             unit = F.when(F.col(region_column) == region, regional).otherwise(unit)
-    return _costed(df, unit)
+    return _costed(df, unit, exact)
 
 
 def with_flat_cost(df: DataFrame) -> DataFrame:
     """Add `estimated_cost_usd` at the fallback price, for sums whose model is not known."""
-    return df.withColumn("estimated_cost_usd", _sums_cost(_price(*FALLBACK_PRICE)))
+    return df.withColumn(COST, _sums_cost(_price(*FALLBACK_PRICE)).cast("double"))
 
 
 def price_table(spark: SparkSession, prices: RegionPrices = REGION_PRICES) -> DataFrame:
@@ -103,11 +124,11 @@ def with_table_cost(
     model_column: str = "model_name",
     region: str = DEFAULT_REGION,
 ) -> DataFrame:
-    """Like `with_cost` for sums with one row per model, with the prices in a table of any size.
+    """Like `with_cost`, with the prices in a table of any size; every row stays.
 
-    "Key contained in name" is an equi-join on the substrings of the model names, which are short
-    and few: no side has to be small enough to broadcast, no cross join arises, and the sums are
-    computed once.
+    Prices are looked up for the distinct names and joined back. "Key contained in name" is an
+    equi-join on the substrings of a name that are as long as some key: no side has to be small
+    enough to broadcast, and no cross join arises.
     """
     default = table.where(F.col("region") == DEFAULT_REGION)
     own = table.where(F.col("region") == region)
@@ -117,25 +138,26 @@ def with_table_cost(
     listed = listed.select(
         "model_key",
         "ord",
-        F.struct(F.col("in_price").alias("input"), F.col("out_price").alias("output")).alias("unit"),
+        F.struct(
+            F.col("in_price").cast(_UNIT).alias("input"), F.col("out_price").cast(_UNIT).alias("output")
+        ).alias("unit"),
     )
-    key = fields.price_key(F.col(model_column))
-    size = F.length(key)
+    lengths = listed.agg(F.collect_set(F.length("model_key"))).scalar()
+    key = fields.price_key(F.col("__model"))
+    length = F.col("__length")
     parts = F.transform(
-        F.sequence(F.lit(1), size),
-        lambda start: F.transform(
-            F.sequence(F.lit(1), size - start + 1), lambda length: F.substring(key, start, length)
-        ),
+        F.sequence(F.lit(1), F.length(key) - length + 1), lambda start: F.substring(key, start, length)
     )
-    parts = F.when(size > 0, F.array_distinct(F.flatten(parts)))
-    others = [name for name in models.columns if name != model_column]
-    priced = (
-        models.select(
-            model_column, F.struct(*others).alias("sums"), F.explode_outer(parts).alias("model_key")
-        )
-        .join(listed, "model_key", "left")
-        .groupBy(model_column)
-        .agg(F.any_value("sums").alias("sums"), F.min_by("unit", "ord").alias("unit"))
-        .select(model_column, "sums.*", "unit")
+    names = models.select(F.col(model_column).alias("__model")).where("__model is not null").distinct()
+    units = (
+        names.withColumn("__lengths", lengths)
+        .select("__model", F.explode("__lengths").alias("__length"))
+        .where((length > 0) & (length <= F.length(key)))
+        .select("__model", F.explode(F.array_distinct(parts)).alias("model_key"))
+        .join(listed, "model_key")
+        .groupBy("__model")
+        .agg(F.min_by("unit", "ord").alias("__listed"))
     )
-    return _costed(priced, F.coalesce("unit", _price(*FALLBACK_PRICE)))
+    priced = models.join(units, models[model_column] == units["__model"], "left")
+    unit = F.coalesce("__listed", _price(*FALLBACK_PRICE))
+    return _costed(priced, unit, False).drop("__model", "__listed")

@@ -1,12 +1,9 @@
-"""Prompt logs: flat rows with token counts, breakdowns, scaling of sampled totals."""
-
-from collections.abc import Sequence
+"""Prompt logs: flat rows with token counts, and breakdowns."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..sources.shared import written
 
 COLUMNS = (
     "type", "input_tokens", "output_tokens", "timestamp", "user_id", "conversation_id", "file_name",
@@ -53,36 +50,53 @@ def both_kinds(chat: DataFrame, inline: DataFrame) -> DataFrame:
     return chat.unionByName(inline, allowMissingColumns=True).select(*COLUMNS)
 
 
-def _sums() -> list[Column]:
+def prompt_cube(prompts: DataFrame) -> DataFrame:
+    """Requests and tokens at the finest grain the breakdowns need; they take it in place of the rows."""
+    return prompts.groupBy(
+        "type",
+        "user_id",
+        fields.log_date(F.col("timestamp")).alias("date"),
+        fields.log_hour(F.col("timestamp")).alias("hour"),
+    ).agg(*_sums(prompts))
+
+
+def _requests(df: DataFrame) -> Column:
+    """The requests that a row stands for: those of a cube's cell, or one."""
+    return F.col("requests") if "requests" in df.columns else F.lit(1).cast("bigint")
+
+
+def _date(df: DataFrame) -> Column:
+    return F.col("date") if "date" in df.columns else fields.log_date(F.col("timestamp"))
+
+
+def _hour(df: DataFrame) -> Column:
+    return F.col("hour") if "hour" in df.columns else fields.log_hour(F.col("timestamp"))
+
+
+def _sums(df: DataFrame) -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("requests"),
+        fields.or_zero(F.sum(_requests(df))).alias("requests"),
         fields.or_zero(F.sum("input_tokens")).alias("input_tokens"),
         fields.or_zero(F.sum("output_tokens")).alias("output_tokens"),
     ]
 
 
 def breakdowns(prompts: DataFrame) -> DataFrame:
-    """Requests and tokens in total, by type, user, date and hour: one pass, one shuffle.
+    """Requests and tokens in total, by type, user, date and hour: one pass over the log.
 
     `breakdown` names the grouping. A NULL user is a group of its own. Rows without a date are not
     in the date breakdown, rows without an hour not in the hour breakdown. The hour breakdown
     counts requests only, so its tokens are NULL. Dates and hours are the log's, no zone shift.
     """
     keys = ["type", "user_id", "date", "hour"]
-    rows = prompts.select(
-        "type",
-        "user_id",
-        fields.log_date(F.col("timestamp")).alias("date"),
-        fields.log_hour(F.col("timestamp")).alias("hour"),
-        "input_tokens",
-        "output_tokens",
-    )
+    # The grouping sets multiply rows by five, so the log is reduced first.
+    cube = prompts if "requests" in prompts.columns else prompt_cube(prompts)
     # grouping_id sets one bit per key that is not grouped by: type is 8, user 4, date 2, hour 1.
     names = {"total": 15, "type": 7, "user": 11, "date": 13, "hour": 14}
-    grouped = rows.groupingSets(
+    grouped = cube.groupingSets(
         [[F.col("type")], [F.col("user_id")], [F.col("date")], [F.col("hour")], []],
         *[F.col(key) for key in keys],
-    ).agg(F.grouping_id().alias("gid"), *_sums())
+    ).agg(F.grouping_id().alias("gid"), *_sums(cube))
     label = F.lit(None)
     for name, gid in names.items():
         label = F.when(F.col("gid") == gid, name).otherwise(label)
@@ -103,7 +117,7 @@ def breakdowns(prompts: DataFrame) -> DataFrame:
 
 def totals(prompts: DataFrame) -> DataFrame:
     """One row: requests and tokens; zeros if there is no record."""
-    return prompts.agg(*_sums()).withColumn(
+    return prompts.agg(*_sums(prompts)).withColumn(
         "total_tokens", F.col("input_tokens") + F.col("output_tokens")
     )
 
@@ -113,7 +127,7 @@ def by_type(prompts: DataFrame) -> DataFrame:
     kinds = []
     for kind in ("chat", "inline"):
         of_kind = F.col("type") == kind
-        count = F.count_if(of_kind)
+        count = fields.or_zero(F.sum(F.when(of_kind, _requests(prompts))))
         tokens_in = fields.or_zero(F.sum(F.when(of_kind, F.col("input_tokens"))))
         tokens_out = fields.or_zero(F.sum(F.when(of_kind, F.col("output_tokens"))))
         kinds.append(
@@ -122,7 +136,7 @@ def by_type(prompts: DataFrame) -> DataFrame:
                 count.alias("requests"),
                 tokens_in.alias("input_tokens"),
                 tokens_out.alias("output_tokens"),
-                fields.percent(count, F.count(F.lit(1))).alias("percent"),
+                fields.percent(count, F.sum(_requests(prompts))).alias("percent"),
             )
         )
     rows = prompts.agg(F.array(*kinds).alias("rows")).select(F.inline("rows"))
@@ -139,7 +153,7 @@ def by_user(prompts: DataFrame) -> DataFrame:
     """Requests and tokens per user, most tokens first."""
     return (
         prompts.groupBy("user_id")
-        .agg(*_sums())
+        .agg(*_sums(prompts))
         .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
         .orderBy(F.desc("total_tokens"), "user_id")
     )
@@ -147,11 +161,11 @@ def by_user(prompts: DataFrame) -> DataFrame:
 
 def by_date(prompts: DataFrame) -> DataFrame:
     """Requests and tokens per date of the log, in order; rows without a date are left out."""
-    dated = prompts.withColumn("date", fields.log_date(F.col("timestamp")))
+    dated = prompts.withColumn("date", _date(prompts))
     return (
         dated.where(F.col("date").isNotNull())
         .groupBy("date")
-        .agg(*_sums())
+        .agg(*_sums(prompts))
         .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
         .orderBy("date")
     )
@@ -169,18 +183,19 @@ def by_conversation(prompts: DataFrame) -> DataFrame:
     return (
         prompts.where(F.col("conversation_id").isNotNull())
         .groupBy("conversation_id")
-        .agg(*_sums())
+        .agg(*_sums(prompts))
         .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
     )
 
 
 def hours_in_kst(prompts: DataFrame) -> DataFrame:
     """Requests per hour of day, with the hour in UTC and in Korean time, in UTC order."""
-    utc = fields.log_hour(F.col("timestamp")).try_cast("int")
-    hours = prompts.select(utc.alias("hour")).where(F.col("hour").isNotNull())
+    utc = _hour(prompts).try_cast("int")
+    hours = prompts.select(utc.alias("hour"), _requests(prompts).alias("requests"))
     return (
-        hours.groupBy("hour")
-        .agg(F.count(F.lit(1)).alias("requests"))
+        hours.where(F.col("hour").isNotNull())
+        .groupBy("hour")
+        .agg(F.sum("requests").alias("requests"))
         .select(
             fields.hour_text(F.col("hour")).alias("utc_hour"),
             fields.hour_text(fields.kst_hour(F.col("hour"))).alias("kst_hour"),
@@ -193,59 +208,3 @@ def hours_in_kst(prompts: DataFrame) -> DataFrame:
 def peak_hour(prompts: DataFrame) -> DataFrame:
     """The hour of day with the most requests; the earliest of equals."""
     return hours_in_kst(prompts).orderBy(F.desc("requests"), "utc_hour").limit(1)
-
-
-def _sample_step(count: Column, max_files: int) -> Column:
-    """Every how many-th file is taken from a listing of `count` files."""
-    step = F.floor(count / F.lit(max_files))
-    return F.when(count > max_files, step).otherwise(F.lit(1).cast("bigint"))
-
-
-def sample_factor(count: Column, max_files: int) -> Column:
-    """All files by sampled files: the factor that carries totals of the sample on to all."""
-    return count / F.ceil(count / _sample_step(count, max_files))
-
-
-def systematic_sample(files: DataFrame, order: Sequence[str], max_files: int) -> DataFrame:
-    """Every n-th file of a listing in the given order, with its `position` from 0.
-
-    The step is the number of files divided by `max_files`, whole, so less than twice `max_files`
-    files remain; a listing that is not longer stays whole. `order` must tell all files apart.
-
-    Positions come from ranges: the listing is split into ranges of about even size, however the
-    files spread over directories, and counted within each. The ranges are written down first, as
-    sampling their bounds anew in each branch of the plan could move files between them. The windows
-    over all ranges see one row per range.
-    """
-    in_ranges = files.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
-    ranges = written(in_ranges, "listing")
-    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy("range").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    offsets = sizes.select(
-        "range",
-        (F.sum("size").over(upto) - F.col("size")).alias("offset"),
-        _sample_step(F.sum("size").over(whole), max_files).alias("step"),
-    )
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
-    return (
-        ranges.withColumn("within", within)
-        .join(offsets, "range")
-        .withColumn("position", F.col("offset") + F.col("within"))
-        .where(F.col("position") % F.col("step") == 0)
-        .drop("range", "within", "offset", "step")
-    )
-
-
-def scaled(totals_row: DataFrame, factor: Column) -> DataFrame:
-    """Totals of a sample carried on to all files: each number times the factor, cut to a whole."""
-    return totals_row.select(
-        *[
-            (F.col(name) * factor).cast("bigint").alias(name)
-            if name in ("requests", "input_tokens", "output_tokens", "total_tokens")
-            else F.col(name)
-            for name in totals_row.columns
-        ]
-    )

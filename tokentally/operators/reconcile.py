@@ -82,15 +82,13 @@ def compare_costs(billed: DataFrame, computed: DataFrame) -> DataFrame:
     Both sides hold `model` and `cost`, in any number of rows. A model on one side only gets NULL
     on the other and does not match.
     """
-    tagged = billed.select(
-        "model", F.col("cost").alias("billed"), F.lit(None).cast("double").alias("computed")
-    ).unionByName(
-        computed.select(
-            "model", F.lit(None).cast("double").alias("billed"), F.col("cost").alias("computed")
-        )
+    cost, none = F.col("cost").cast(_MONEY), F.lit(None).cast(_MONEY)
+    tagged = billed.select("model", cost.alias("billed"), none.alias("computed")).unionByName(
+        computed.select("model", none.alias("billed"), cost.alias("computed"))
     )
     sums = tagged.groupBy("model").agg(
-        F.sum("billed").alias("billed_cost"), F.sum("computed").alias("computed_cost")
+        F.sum("billed").cast("double").alias("billed_cost"),
+        F.sum("computed").cast("double").alias("computed_cost"),
     )
     difference = F.col("computed_cost") - F.col("billed_cost")
     return (

@@ -270,9 +270,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     totals = activity.totals(_reports(spark, folder))
-    days = totals.select("active_days").scalar()
-    tokens = estimates.estimated_tokens(totals, "average")
-    costs = estimates.virtual_cost(tokens, *_TOKENS, days, keep=("estimation_type",))
+    tokens = estimates.estimated_tokens(totals, "average", keep=("active_days",))
+    costs = estimates.virtual_cost(tokens, *_TOKENS, F.col("active_days"), keep=("estimation_type",))
     return rounded(costs, 6, *COST_COLUMNS)
 
 

@@ -9,7 +9,6 @@ from .activity_queries import COST_COLUMNS, cost_sql
 from .registry import query, rounded
 
 DAYS = 30
-SAMPLE = 100
 
 _V = "WITH" + views.SQL_PROMPTS
 _SUMS = (
@@ -22,7 +21,7 @@ _ROWS = (
 )
 
 
-@query("src_05_prompt_records", _V + f" SELECT {_ROWS} FROM v4")
+@query("src_05_prompt_records", "WITH" + views.SQL_PROMPT_LOGS + f" SELECT {_ROWS} FROM v5")
 def _(spark, folder):
     return prompts.flatten_records(views.prompt_logs(spark, folder))
 
@@ -194,54 +193,3 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return prompts.top_users(views.prompts(spark, folder))
-
-
-_SAMPLED = f""", f AS (SELECT DISTINCT file FROM v4),
-  n AS (SELECT COUNT(*) AS n FROM f),
-  p AS (SELECT file, row_number() OVER (
-      ORDER BY regexp_extract(file, '^(.*)/[^/]*$', 1), file) - 1 AS position FROM f),
-  s AS (SELECT file, position FROM p, n
-    WHERE position % CASE WHEN n > {SAMPLE} THEN n // {SAMPLE} ELSE 1 END = 0)"""
-
-
-@query("src_09_sampled_files", _V + _SAMPLED + " SELECT file, position FROM s")
-def _(spark, folder):
-    files = views.prompt_files(spark, folder)
-    sample = prompts.systematic_sample(files, ["folder", "file"], SAMPLE)
-    return sample.select("file", "position")
-
-
-def _scaled(spark, folder, summarise):
-    """A summary of the sampled files, carried on to all files."""
-    files = views.prompt_files(spark, folder)
-    sample = prompts.systematic_sample(files, ["folder", "file"], SAMPLE).select("file")
-    # A sample has less than twice SAMPLE files, so it may be broadcast at any scale.
-    rows = views.prompts(spark, folder).join(F.broadcast(sample), "file", "left_semi")
-    summary = summarise(rows).withColumn("files", files.agg(F.count(F.lit(1))).scalar())
-    return prompts.scaled(summary, prompts.sample_factor(F.col("files"), SAMPLE)).drop("files")
-
-
-@query(
-    "agg_21_scaled_totals",
-    _V + _SAMPLED + f""", t AS (SELECT {_SUMS}, {_TOTAL} FROM v4 WHERE file IN (SELECT file FROM s)),
-    x AS (SELECT (SELECT n FROM n) / (SELECT COUNT(*) FROM s) AS factor)
-    SELECT CAST(trunc(requests * factor) AS BIGINT) AS requests,
-    CAST(trunc(input_tokens * factor) AS BIGINT) AS input_tokens,
-    CAST(trunc(output_tokens * factor) AS BIGINT) AS output_tokens,
-    CAST(trunc(total_tokens * factor) AS BIGINT) AS total_tokens FROM t, x""",
-)
-def _(spark, folder):
-    return _scaled(spark, folder, prompts.totals)
-
-
-@query(
-    "agg_21_scaled_types",
-    _V + _SAMPLED + f""", t AS (SELECT type, {_SUMS} FROM v4 WHERE file IN (SELECT file FROM s) GROUP BY type),
-    x AS (SELECT (SELECT n FROM n) / (SELECT COUNT(*) FROM s) AS factor)
-    SELECT type, CAST(trunc(requests * factor) AS BIGINT) AS requests,
-    CAST(trunc(input_tokens * factor) AS BIGINT) AS input_tokens,
-    CAST(trunc(output_tokens * factor) AS BIGINT) AS output_tokens FROM t, x""",
-)
-def _(spark, folder):
-    types = _scaled(spark, folder, prompts.by_type)
-    return types.select("type", "requests", "input_tokens", "output_tokens")

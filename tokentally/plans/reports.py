@@ -28,14 +28,18 @@ def invocation_report(
 ) -> Iterator[dict[str, DataFrame]]:
     """Summary, identity, identity and model, model, day and hour tables of a period.
 
-    The log is read once, reduced to the cube all six share; use the frames inside the block.
+    Two reduced frames serve all six: models by region, day and hour, which are few, and sums per
+    identity and model, which may be as many as there are sessions and so carry no day or hour. Use
+    the frames inside the block.
     """
     wanted = filters.by_arn(filters.in_days(calls, period.start, period.end), arn_pattern)
-    with _kept(invocations.usage_cube(wanted)) as cube:
+    cells = invocations.as_cells(wanted)
+    identities = invocations.identity_sums(cells)
+    with _kept(invocations.usage_cube(cells)) as cube, _kept(identities) as per_identity:
         yield {
             "summary": invocations.totals(cube, region),
-            "user": invocations.by_identity(cube),
-            "user_app": invocations.by_identity_model(cube, region),
+            "user": invocations.by_identity(per_identity),
+            "user_app": invocations.by_identity_model(per_identity, region),
             "model": invocations.by_model(cube, region),
             "daily": invocations.by_day(cube),
             "hourly": invocations.by_hour(cube),
@@ -80,9 +84,10 @@ def prompt_report(
 ) -> Iterator[dict[str, DataFrame]]:
     """Breakdowns, kinds, users, dates, hours, context use and cost comparison of prompt rows.
 
-    `rows` are flat rows with token counts: the texts are not kept, only the counts.
+    `rows` are flat rows with token counts. What is kept is their cube: one row for each type, user,
+    date and hour.
     """
-    with _kept(filters.by_prompt_user(rows, user_text)) as kept:
+    with _kept(prompts.prompt_cube(filters.by_prompt_user(rows, user_text))) as kept:
         total = prompts.totals(kept)
         yield {
             "breakdowns": prompts.breakdowns(kept),

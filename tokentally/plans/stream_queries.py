@@ -16,8 +16,7 @@ def _trend_sql(unit: str) -> str:
       application_name, {_TOKENS} FROM v1 GROUP BY ALL)"""
 
 
-# A stream closes a window once the newest event is later than its end by the watermark delay.
-_CLOSED = """ window_end <= (SELECT max(date_trunc('second', ts)) FROM v1) - INTERVAL 2 HOUR"""
+_WINDOW = ("window_start", "window_end", "application_name")
 
 
 def _batch(spark, folder):
@@ -35,10 +34,11 @@ def _(spark, folder):
 
 @query(
     "str_01_hourly_token_alarm_stream",
-    _trend_sql("hour") + f" SELECT * FROM w WHERE total_tokens > 10000 AND {_CLOSED}",
+    _trend_sql("hour") + " SELECT * FROM w WHERE total_tokens > 10000",
 )
 def _(spark, folder):
-    return jobs.run_available(trends.token_alarms(_stream(spark, folder)), "alarms")
+    # An alarm is raised as soon as its window is over the threshold, not when the window closes.
+    return jobs.run_available(trends.token_alarms(_stream(spark, folder)), "alarms", "update", _WINDOW)
 
 
 @query("str_02_hourly_trend", _trend_sql("hour") + " SELECT * FROM w")
@@ -65,9 +65,9 @@ def _(spark, folder):
     return jobs.run_available(totals, "totals", "complete")
 
 
-@query("str_05_closed_windows_stream", _trend_sql("hour") + f" SELECT * FROM w WHERE {_CLOSED}")
+@query("str_05_hourly_windows_stream", _trend_sql("hour") + " SELECT * FROM w")
 def _(spark, folder):
-    return jobs.run_available(trends.usage_trend(_stream(spark, folder)), "trend")
+    return jobs.run_available(trends.usage_trend(_stream(spark, folder)), "trend", "update", _WINDOW)
 
 
 @query(

@@ -183,11 +183,6 @@ def _(spark, folder):
     return rounded(sizes, 6, "avg_output", "median_output", "p95_output")
 
 
-@query("agg_18_output_sizes_approx")
-def _(spark, folder):
-    return tagged.output_sizes_approx(_calls(spark, folder))
-
-
 @query(
     "agg_19_tenant_bill",
     _V + f""" SELECT tenant_id, {_TOKENS} FROM v1 WHERE ts >= TIMESTAMP '2024-01-08'

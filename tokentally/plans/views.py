@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..operators.prompts import flatten_records
 from ..schemas import PROMPT_RECORD
+from ..sources.invocations import ANY_AGE
 
 _TEXT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-_EPOCH_2024 = 1_704_067_200
 
 
 # Declared, so that planning does not open files to infer them.
@@ -111,6 +111,7 @@ def invocations(
 def invocation_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same records as a stream of files."""
     files = spark.readStream.schema(_SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet")
+    files = files.option("maxFileAge", ANY_AGE)
     return invocations_of(files.parquet(folder))
 
 
@@ -239,12 +240,17 @@ v3 AS (
   FROM events GROUP BY 1, 2)"""
 
 
+def _moment(seconds: str) -> str:
+    """So many seconds into 2024, whatever the session's zone."""
+    return f"(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}))"
+
+
 def _log_time(seconds: str) -> str:
-    return f"date_format(timestamp_seconds({_EPOCH_2024} + {seconds}), \"{_TEXT}\")"
+    return f"date_format({_moment(seconds)}, \"{_TEXT}\")"
 
 
 def _file(kind: str, seconds: str, name: str) -> str:
-    day = f"date_format(timestamp_seconds({_EPOCH_2024} + {seconds}), 'yyyy/MM/dd')"
+    day = f"date_format({_moment(seconds)}, 'yyyy/MM/dd')"
     return f"concat({day}, '/{kind}/', {name}, '.json.gz')"
 
 
@@ -271,23 +277,25 @@ def turns(spark: SparkSession, folder: str, text: Column) -> DataFrame:
     return asked.join(answered, ["conv_id", "turn"], "left")
 
 
-def _records(**parts: str) -> str:
-    """A `records` array of one record; the parts not given are NULL."""
+def _record(**parts: str) -> str:
+    """One record; the parts not given are NULL."""
     pairs = [
         f"'{field.name}', "
         + parts.get(field.name, f"CAST(NULL AS {field.dataType.simpleString()})")
         for field in PROMPT_RECORD
     ]
-    return f"array(named_struct({', '.join(pairs)})) AS records"
+    return f"named_struct({', '.join(pairs)})"
 
 
-_CHAT_RECORDS = _records(
-    generateAssistantResponseEventRequest=f"""named_struct('prompt', asked,
-      'timeStamp', {_CHAT_TIME}, 'userId', {_CHAT_USER})""",
-    generateAssistantResponseEventResponse="""named_struct('assistantResponse', answered,
-      'messageMetadata', named_struct('conversationId', concat('c-', conv_id)))""",
+_CHAT_RECORD = _record(
+    generateAssistantResponseEventRequest=f"""named_struct(
+      'prompt', CASE WHEN doc_id % 13 <> 0 THEN text END,
+      'timeStamp', {_INLINE_TIME}, 'userId', CASE WHEN doc_id % 29 <> 0 THEN concat('User-', doc_id % 23) END)""",
+    generateAssistantResponseEventResponse="""named_struct(
+      'assistantResponse', CASE WHEN doc_id % 11 <> 0 THEN substr(text, int(length(text) div 3 + 1)) END,
+      'messageMetadata', named_struct('conversationId', concat('c-', doc_id % 19)))""",
 )
-_INLINE_RECORDS = _records(
+_INLINE_RECORD = _record(
     generateCompletionsEventRequest=f"""named_struct(
       'leftContext', CASE WHEN doc_id % 41 <> 0 THEN left(text, int(length(text) div 2)) END,
       'rightContext', substr(text, int(length(text) div 2 + 1)),
@@ -301,22 +309,18 @@ _INLINE_RECORDS = _records(
 
 
 def prompt_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw prompt-log documents of one record each, with whole texts: chats and inline requests."""
-    chat = turns(spark, folder, F.col("text")).selectExpr(_CHAT_RECORDS, _CHAT_FILE)
-    return chat.unionByName(inline_logs(spark, folder))
+    """Raw prompt-log documents with whole texts: each holds a chat, an inline request and neither.
+
+    One document holds both sides of its records, as log files do, so no text is shuffled.
+    """
+    return table(spark, folder, "documents").selectExpr(
+        f"array({_CHAT_RECORD}, {_INLINE_RECORD}, {_record()}) AS records"
+    )
 
 
 def inline_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Raw documents of the inline requests only."""
-    return table(spark, folder, "documents").selectExpr(_INLINE_RECORDS, _INLINE_FILE)
-
-
-def prompt_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Listing of the prompt-log files with their directory: names only, no text is read."""
-    asked = table(spark, folder, "conversations").where(F.col("role") == "user")
-    chat = asked.select("conv_id").distinct().selectExpr(_CHAT_FILE)
-    inline = table(spark, folder, "documents").selectExpr(_INLINE_FILE)
-    return chat.unionByName(inline).withColumn("folder", F.substring_index("file", "/", 4))
+    return table(spark, folder, "documents").selectExpr(f"array({_INLINE_RECORD}) AS records", _INLINE_FILE)
 
 
 def chat_prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -402,3 +406,19 @@ v6 AS (
   SELECT CAST(l_shipdate AS DATE) AS day, l_returnflag || '-' || l_linestatus AS usage_type,
     l_extendedprice * l_discount AS cost
   FROM lineitem)"""
+
+
+# Records of `prompt_logs`: the inline rows of v4, and a chat for each document.
+SQL_PROMPT_LOGS = SQL_PROMPTS + """,
+v5 AS (
+  SELECT 'chat' AS type, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE length(text) // 3 END AS input_tokens,
+    CASE WHEN doc_id % 11 = 0 THEN 0 ELSE (length(text) - length(text) // 3) // 3 END AS output_tokens,
+    CASE WHEN doc_id % 43 = 0 THEN strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%d')
+      WHEN doc_id % 37 = 0 THEN NULL
+      ELSE strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') END AS "timestamp",
+    CASE WHEN doc_id % 29 <> 0 THEN 'User-' || (doc_id % 23) END AS user_id,
+    'c-' || (doc_id % 19) AS conversation_id, CAST(NULL AS VARCHAR) AS file_name
+  FROM documents
+  UNION ALL
+  SELECT type, input_tokens, output_tokens, "timestamp", user_id, conversation_id, file_name
+  FROM v4 WHERE type = 'inline')"""

@@ -76,8 +76,5 @@ PROMPT_RECORD = _struct(
 )
 PROMPT_LOG = _struct(records=T.ArrayType(PROMPT_RECORD))
 
-ACTIVITY_COUNTER_NAMES = [
-    f"{group}_{field}" for group, fields in ACTIVITY_COUNTERS.items() for field in fields
-]
 # Counters come as text: an empty or broken one must read as NULL, not stop the job.
-ACTIVITY_TEXT = _struct(UserId=_S, Date=_S, **{name: _S for name in ACTIVITY_COUNTER_NAMES})
+ACTIVITY_TEXT = _struct(UserId=_S, Date=_S, **{name: _S for name in ACTIVITY_COUNTERS})

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..constants import ACTIVITY_COUNTERS
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
@@ -19,5 +20,5 @@ def read_activity(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .csv(path)
     )
-    counters = [F.col(name).try_cast("int").alias(name) for name in schemas.ACTIVITY_COUNTER_NAMES]
+    counters = [F.col(name).try_cast("int").alias(name) for name in ACTIVITY_COUNTERS]
     return text.select("UserId", "Date", *counters)

@@ -2,6 +2,7 @@
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,16 +11,21 @@ from .. import schemas
 from ..functions.periods import Period, day_glob
 
 _DAY_KEYS = ("year", "month", "day")
+#: A file source skips files this much older than the newest one it has seen; a week if not set.
+ANY_AGE = "36500d"
 
 
 def _with_day_keys(df: DataFrame) -> DataFrame:
-    """Add the partition keys, as text, from the directory of each row's file."""
+    """Add the partition keys, as text, from the directory of each row's file.
+
+    Files outside day directories hold no calls of any day and are left out.
+    """
     path = F.col("_metadata.file_path")
     keys = [
         F.regexp_extract(path, r"/(\d{4})/(\d{2})/(\d{2})/", i + 1).alias(key)
         for i, key in enumerate(_DAY_KEYS)
     ]
-    return df.select("*", *keys)
+    return df.select("*", *keys).where(F.col("year") != "")
 
 
 def read_invocations(
@@ -31,11 +37,18 @@ def read_invocations(
     """Line-JSON records under `root`, with `year`, `month`, `day` from the path.
 
     A period limits the listing to its day directories: other days are neither listed nor read.
-    The day directories may hold sub-directories. A broken record stops the query.
+    The day directories may hold sub-directories. A period without any directory has no calls. A
+    broken record stops the query.
     """
     path = f"{root.rstrip('/')}/{day_glob(period)}" if period else root
-    reader = spark.read.schema(schema).option("mode", "FAILFAST")
-    return _with_day_keys(reader.option("recursiveFileLookup", True).json(path))
+    reader = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True)
+    try:
+        return _with_day_keys(reader.json(path))
+    except AnalysisException as error:
+        if not period or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        keys = [T.StructField(key, T.StringType()) for key in _DAY_KEYS]
+        return spark.createDataFrame([], T.StructType([*schema.fields, *keys]))
 
 
 def stream_invocations(
@@ -46,10 +59,11 @@ def stream_invocations(
 ) -> DataFrame:
     """The records of day directories as a stream, new files in bounded batches.
 
-    The file count bounds the work of a batch, also of the first one over a long archive.
+    The file count bounds the work of a batch, also of the first one over a long archive. No file is
+    too old to be read, so a restored copy or a late upload counts.
     """
     reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
-    reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
     return _with_day_keys(reader.option("recursiveFileLookup", True).json(root))
 
 
@@ -63,9 +77,10 @@ def read_tagged_invocations(
 def read_log_events(spark: SparkSession, path: str) -> DataFrame:
     """Exported log events: tagged records with event and ingestion time, latency and usage.
 
-    Each file is one document, so a file is one task.
+    Each file is one document, so a file is one task. A broken file stops the query.
     """
-    documents = spark.read.schema(schemas.LOG_EVENTS).option("multiLine", True).json(path)
+    reader = spark.read.schema(schemas.LOG_EVENTS).option("multiLine", True).option("mode", "FAILFAST")
+    documents = reader.json(path)
     event = documents.select(F.explode("events").alias("e"))
     body = F.col("e.message.output.outputBodyJson")
     return event.select(
@@ -85,11 +100,14 @@ def _columns(schema: T.StructType) -> str:
 def create_table(
     spark: SparkSession, table: str, root: str, schema: T.StructType = schemas.INVOCATION
 ) -> None:
-    """Create a catalogue table over JSON day directories, with no day attached yet."""
+    """Create a catalogue table over JSON day directories, with no day attached yet.
+
+    As in `read_invocations`, a broken record stops a query.
+    """
     keys = ", ".join(f"`{key}` string" for key in _DAY_KEYS)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:table) ({_columns(schema)}, {keys}) USING json "
-        f"PARTITIONED BY ({', '.join(_DAY_KEYS)}) LOCATION '{_quoted(root)}'",
+        f"OPTIONS (mode 'FAILFAST') PARTITIONED BY ({', '.join(_DAY_KEYS)}) LOCATION '{_quoted(root)}'",
         args={"table": table},
     )
 
@@ -120,14 +138,17 @@ def repair_day(spark: SparkSession, table: str, root: str, day: date) -> None:
     attach_day(spark, table, root, day)
 
 
-def compact(df: DataFrame, target: str, mode: str = "append") -> None:
+def compact(df: DataFrame, target: str) -> None:
     """Rewrite records as Parquet by day: from many small gzip files to few columnar ones.
 
+    The days at hand are replaced as a whole and others stay, so a job may run again.
+
     The rebalance hint gathers each day's rows into files of even size and splits a day that is
     much larger than others over several tasks.
     """
     rebalanced = df.hint("rebalance", *_DAY_KEYS)
-    rebalanced.write.mode(mode).partitionBy(*_DAY_KEYS).parquet(target)
+    writer = rebalanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*_DAY_KEYS).parquet(target)
 
 
 def read_compacted(

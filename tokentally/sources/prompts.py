@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..constants import MAX_SAMPLED_FILES
 from ..functions.fields import text_tokens
 from ..functions.periods import Period, day_glob
 from ..operators.prompts import flatten_records
@@ -18,76 +17,73 @@ def _log_glob(root: str, period: Period, kind: str | None, region: str) -> str:
     return f"{root.rstrip('/')}/{{{','.join(types)}}}/{region}/{day_glob(period)}"
 
 
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_prompt_files(
     spark: SparkSession,
     root: str,
     period: Period,
     kind: str | None = None,
     region: str = "us-east-1",
+    skip_broken: bool = False,
 ) -> DataFrame:
     """The `records` documents of a period, of one kind or both, with their `file`.
 
-    Only the day directories of the period are listed. No directory at all gives no rows. A file
-    that is not gzip or not JSON is skipped, as one broken upload must not hide the others.
+    Only the day directories of the period are listed. No directory at all gives no rows. A broken
+    file stops the query, as does a failing store. With `skip_broken`, files that are not gzip or not
+    JSON are left out; `file_counts` tells how many.
     """
     reader = (
         spark.read.schema(schemas.PROMPT_LOG)
         .option("multiLine", True)
         .option("pathGlobFilter", "*.json.gz")
         .option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True)
+        .option("ignoreCorruptFiles", skip_broken)
+        .option("mode", "DROPMALFORMED" if skip_broken else "FAILFAST")
     )
     try:
         logs = reader.json(_log_glob(root, period, kind, region))
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if not _missing(error):
             raise
         empty = spark.createDataFrame([], schemas.PROMPT_LOG)
         return empty.select("records", F.lit(None).cast("string").alias("file"))
     return logs.select("records", F.col("_metadata.file_path").alias("file"))
 
 
-def read_prompts(
-    spark: SparkSession,
-    root: str,
-    period: Period,
-    kind: str | None = None,
-    region: str = "us-east-1",
-    count_tokens=text_tokens,
+def file_counts(
+    spark: SparkSession, root: str, period: Period, kind: str | None = None, region: str = "us-east-1"
 ) -> DataFrame:
-    """Flat prompt rows with token counts of a period; reads every file."""
-    return flatten_records(read_prompt_files(spark, root, period, kind, region), count_tokens)
+    """One row: files listed, files that gave a document, and files skipped as broken.
 
-
-def sample_paths(paths: list[str], max_files: int = MAX_SAMPLED_FILES) -> list[str]:
-    """Every n-th path of a sorted listing that is longer than `max_files`; n is whole."""
-    if len(paths) <= max_files:
-        return paths
-    return paths[:: len(paths) // max_files]
+    The listing opens no file; the documents are parsed without their records.
+    """
+    read = read_prompt_files(spark, root, period, kind, region, skip_broken=True)
+    given = read.where(F.col("records").isNotNull()).select("file").distinct()
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz")
+    try:
+        files = reader.option("recursiveFileLookup", True).load(_log_glob(root, period, kind, region))
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        files = spark.createDataFrame([], "path string")
+    listed, found = (df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((files, "files"), (given, "read")))
+    return listed.select("files", found.scalar().alias("files_read")).withColumn(
+        "files_skipped", F.col("files") - F.col("files_read")
+    )
 
 
-def read_prompt_sample(
+def read_prompts(
     spark: SparkSession,
     root: str,
     period: Period,
-    max_files: int = MAX_SAMPLED_FILES,
+    kind: str | None = None,
     region: str = "us-east-1",
     count_tokens=text_tokens,
-) -> tuple[DataFrame, float]:
-    """Flat prompt rows of a systematic sample of files, and the factor to scale totals by.
-
-    For a quick look only: `read_prompts` reads everything. The listing is the one Spark already
-    holds on the driver to plan the scan; no file is opened for it.
-    """
-    listed = read_prompt_files(spark, root, period, region=region).inputFiles()
-    by_day = sorted(listed, key=lambda path: (path.split("/")[-4:-1], path))
-    chosen = sample_paths(by_day, max_files)
-    if len(chosen) == len(listed):
-        return read_prompts(spark, root, period, region=region, count_tokens=count_tokens), 1.0
-    logs = (
-        spark.read.schema(schemas.PROMPT_LOG)
-        .option("multiLine", True)
-        .option("ignoreCorruptFiles", True)
-        .json(chosen)
-    )
-    return flatten_records(logs, count_tokens), len(listed) / len(chosen)
+    skip_broken: bool = False,
+) -> DataFrame:
+    """Flat prompt rows with token counts of a period; reads every file."""
+    logs = read_prompt_files(spark, root, period, kind, region, skip_broken)
+    return flatten_records(logs, count_tokens)

@@ -2,14 +2,20 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+#: Whether a query's shuffle files go when it has ended, instead of when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder.
+    """A new folder under the cluster's checkpoint folder, removed when the application ends.
 
     Only a local session, whose executors share the driver's disk, may do without that setting.
     """
@@ -18,11 +24,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"
+
+
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within the block, a query's shuffle files are removed as soon as it has ended."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in a shared folder: computed once, and safe from lost executors."""
+    """The frame as a table in a shared folder: computed once, and safe from lost executors.
+
+    Nothing that led to it is needed any more, so its shuffles do not stay on the disks.
+    """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with _short_lived_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,27 @@
 """Running a stream to a table, with its checkpoint in the cluster's shared folder."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.shared import shared_folder
 
+_BATCH = "batch"
+
+
+def _drop_older(spark: SparkSession, target: str, batch_id: int) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith(f"{_BATCH}=") and int(name.split("=")[1]) < batch_id:
+            files.delete(status.getPath(), True)
+
+
 def write_stream(
     df: DataFrame,
     target: str,
@@ -12,27 +29,55 @@ def write_stream(
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start a stream that writes Parquet to `target`.
+    """Start a stream that writes Parquet to `target`; `read_result` reads it.
 
-    Append goes to the file sink, exactly once. Complete and update rewrite one table per batch:
-    complete holds the newest totals, update the rows the batch changed.
+    Append goes to the file sink, exactly once. Complete and update write a folder for each batch,
+    which a repeated batch replaces. Complete removes the folders of older batches once a new one is
+    there; update keeps them all, as they hold the rows that later batches did not change.
     """
     writer = df.writeStream.option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     if mode == "append":
         return writer.outputMode(mode).format("parquet").option("path", target).start()
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/{_BATCH}={batch_id}")
+        if mode == "complete":
+            _drop_older(batch.sparkSession, target, batch_id)
 
-    return writer.outputMode(mode).foreachBatch(replace).start()
+    return writer.outputMode(mode).foreachBatch(write).start()
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now and return the table it wrote."""
+def read_result(
+    spark: SparkSession, target: str, schema: T.StructType, mode: str = "append", keys: Sequence[str] = ()
+) -> DataFrame:
+    """What a stream has written: all rows, of `complete` the newest totals, of `update` the newest
+    row of each key. Nothing written gives no rows."""
+    if mode == "append":
+        return spark.read.schema(schema).parquet(target)
+    try:
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(_BATCH, T.LongType())])).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        return rows.where(F.col(_BATCH) == rows.agg(F.max(_BATCH)).scalar()).drop(_BATCH)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), _BATCH).alias("row"))
+    return newest.select("row.*")
+
+
+def run_available(
+    df: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = (), folder: str | None = None
+) -> DataFrame:
+    """Run a stream over everything available now and return the table it wrote.
+
+    Append holds what the watermark has closed; update and complete hold all windows. Without a
+    `folder` of the caller's, table and checkpoint last as long as the application.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
     schema = df.schema
     query = write_stream(df, f"{folder}/table", f"{folder}/checkpoint", mode)
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/table")
+    return read_result(spark, f"{folder}/table", schema, mode, keys)

@@ -1,6 +1,6 @@
 """Windowed usage. Each function takes a batch or a streaming frame."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ALARM_TOKENS_PER_HOUR
@@ -10,6 +10,8 @@ from ..functions import fields
 LIVE_DELAY = "10 minutes"
 ARCHIVE_DELAY = "2 hours"
 
+_LAG_PERCENTILES = (0.5, 0.95)
+
 
 def with_event_time(calls: DataFrame, delay: str | None = None) -> DataFrame:
     """Add `event_time`; with a delay also the watermark that bounds a stream's state."""
@@ -63,28 +65,64 @@ def ingestion_lag(events: DataFrame) -> DataFrame:
 
 
 def lag_by_hour(events: DataFrame) -> DataFrame:
-    """Exact median, 95th percentile and largest lag per hour: the basis for a watermark.
+    """Exact median, 95th percentile and largest lag per hour (UTC): the basis for a watermark.
 
-    Equal lags are counted first, so a busy hour does not gather its events in one task.
+    Equal lags are counted first, then lags of one second together. Running counts over the seconds of
+    an hour tell in which of them a percentile lies; only those are looked into. So a task holds the
+    seconds of an hour, or the milliseconds of a second, never an hour's events.
     """
+    lag = F.unix_millis("ingestion_time") - F.unix_millis("event_time")
     counted = (
-        ingestion_lag(events)
-        .groupBy(F.date_trunc("hour", "event_time").alias("hour"), "lag_seconds")
+        events.select(fields.utc_hour_start(F.col("event_time")).alias("hour"), lag.alias("lag"))
+        .groupBy("hour", "lag", F.floor(F.col("lag") / 1000).alias("second"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return (
-        counted.groupBy("hour")
-        .agg(
-            F.sum("n").alias("events"),
-            F.percentile("lag_seconds", F.lit([0.5, 0.95]), F.col("n")).alias("q"),
-            F.max("lag_seconds").alias("max_lag"),
-        )
-        .select(
-            "hour",
-            "events",
-            F.col("q")[0].alias("median_lag"),
-            F.col("q")[1].alias("p95_lag"),
-            "max_lag",
-        )
-        .orderBy("hour")
+    timed = F.when(F.col("second").isNotNull(), F.col("n")).otherwise(0)
+    seconds = counted.groupBy("hour", "second").agg(
+        F.sum("n").alias("all"), F.sum(timed).alias("m"), F.max("lag").alias("max_lag")
+    )
+    of_hour = Window.partitionBy("hour")
+    before = of_hour.orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = seconds.select(
+        "hour",
+        "second",
+        "m",
+        F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"),
+        F.sum("all").over(of_hour).alias("events"),
+        F.sum("m").over(of_hour).alias("total"),
+        F.max("max_lag").over(of_hour).alias("max_lag"),
+    )
+    places = [(F.col("total") - 1) * q for q in _LAG_PERCENTILES]
+    ranks = [rank for place in places for rank in (F.floor(place), F.ceil(place))]
+    wanted = F.col("second").isNull()  # an hour whose lags are all unknown stays
+    for rank in ranks:
+        wanted = wanted | ((F.col("base") <= rank) & (rank < F.col("base") + F.col("m")))
+    of_second = Window.partitionBy("hour", "second").orderBy("lag")
+    first = F.col("base") + F.coalesce(
+        F.sum("n").over(of_second.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
+    same = F.col("c.hour").eqNullSafe(F.col("r.hour")) & F.col("c.second").eqNullSafe(F.col("r.second"))
+    inside = (
+        counted.alias("c")
+        .join(ranked.where(wanted).alias("r"), same)
+        .select("c.hour", "c.second", "lag", "n", "base", "events", "total", "max_lag")
+        .withColumn("first", first)
+    )
+    values = [
+        F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("lag"))) for rank in ranks
+    ]
+    found = inside.groupBy("hour", "events", "total", "max_lag").agg(
+        *(value.alias(f"v{k}") for k, value in enumerate(values))
+    )
+
+    def between(k: int) -> Column:
+        low, high, place = F.col(f"v{2 * k}"), F.col(f"v{2 * k + 1}"), places[k]
+        return (low + (high - low) * (place - F.floor(place))) / F.lit(1000.0)
+
+    return found.select(
+        "hour",
+        "events",
+        between(0).alias("median_lag"),
+        between(1).alias("p95_lag"),
+        (F.col("max_lag") / F.lit(1000.0)).alias("max_lag"),
+    ).orderBy("hour")
