@@ -187,13 +187,11 @@ def kept_texts(chunk: Chunk, keep: np.ndarray) -> list[bytes]:
     return [content[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-_FOUND = (
-    "doc_id long, k1 long, k2 long, n_words long, kept_sha256 string, starts binary, values binary, text string"
-)
+_FOUND = "doc_id long, k1 long, k2 long, n_words long, kept_sha256 string, starts binary, text string"
 
 
 def _windows(width: int):
-    """Texts without a possible repeat are finished; the others give the hashes of their windows."""
+    """Texts without a possible repeat are finished; the others give the starts of windows to count."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,33 +210,54 @@ def _windows(width: int):
         n_words = np.diff(chunk.bounds)
         left = np.repeat(chunk.bounds[1:], n_words) - np.arange(count)  # words to the text's end
         starts = np.flatnonzero((np.cumsum(change)[:count] == 0) & (left >= width))
-        values = np.empty((len(starts), 2), dtype=np.uint64)
-        for k, powers in enumerate((_ONE, _TWO)):
-            up, down = powers.to(count + 1)
-            sums = np.zeros(count + 1, dtype=np.uint64)
-            np.cumsum(hashes * up[:count], out=sums[1:])
-            values[:, k] = (sums[starts + width] - sums[starts]) * down[starts] if len(starts) else 0
         cuts = np.searchsorted(starts, chunk.bounds)
         some = np.diff(cuts) > 0
         whole = kept_texts(chunk, np.ones(count, dtype=bool))
         pending = some.tolist()
         own = [
-            ((starts[a:b] - first).astype(np.int32).tobytes(), values[a:b].tobytes()) if b > a else (None, None)
+            (starts[a:b] - first).astype(np.int32).tobytes() if b > a else None
             for a, b, first in zip(cuts[:-1], cuts[1:], chunk.bounds[:-1], strict=True)
         ]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), batch.column(2), pa.array(n_words, pa.int64()),
                 pa.array([None if p else hashlib.sha256(w).hexdigest() for p, w in zip(pending, whole)], pa.string()),
-                pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.binary()),
+                pa.array(own, pa.binary()),
                 pa.array([w.decode() if p else None for p, w in zip(pending, whole)], pa.string()),
             ],
-            ["doc_id", "k1", "k2", "n_words", "kept_sha256", "starts", "values", "text"],
+            ["doc_id", "k1", "k2", "n_words", "kept_sha256", "starts", "text"],
         )
 
     return scan
 
 
+def _hashes(width: int):
+    """128 bits of the words of each window that starts at one of `starts`."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = batch.column(2)
+            for chunk in chunks(batch.column(3)):
+                own = [np.frombuffer(starts[chunk.first + k].as_py(), np.int32) for k in range(chunk.rows)]
+                sizes = np.array([len(x) for x in own])
+                at = np.concatenate(own) + np.repeat(chunk.bounds[:-1], sizes)
+                hashes = chunk.hashes()
+                values = np.empty((len(at), 2), dtype=np.uint64)
+                for k, powers in enumerate((_ONE, _TWO)):
+                    up, down = powers.to(len(hashes) + 1)
+                    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+                    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+                    values[:, k] = (sums[at + width] - sums[at]) * down[at]
+                rows = slice(chunk.first, chunk.first + chunk.rows)
+                content = [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[rows], batch.column(1)[rows], pa.array(content, pa.binary())],
+                    ["k1", "k2", "values"],
+                )
+
+    return scan
+
+
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>"
 
 
@@ -302,9 +321,12 @@ def without_repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         "windows",
     )
     pending = found.where("text is not null")
+    windows = pending.select("k1", "k2", "starts", "text").mapInArrow(
+        _hashes(width), "k1 long, k2 long, values binary"
+    )
     cut = (
         pending.select("doc_id", "k1", "k2", "n_words", "starts", "text")
-        .join(repeated(pending, 2, parts), _KEYS)
+        .join(repeated(windows, 2, parts), _KEYS)
         .select("doc_id", "n_words", "starts", "flags", "text")
         .mapInArrow(_cut(width), _RESULT)
     )
