@@ -20,7 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .decontamination import best_run, edit_distances
+from .groups import whole_groups
 from .license_texts import CUES, TEMPLATES
 
 LEVEL = 3
@@ -33,9 +35,6 @@ WORDS_PER_DIFFERENCE = 8
 #: Lines of a block before and after the one with a cue: more than the longest template takes.
 BEFORE = 8
 LINES = 60
-#: Blocks whose result a worker remembers.
-REMEMBERED = 4096
-
 _CUES = "|".join(r"\s+".join(cue.split()) for cue in CUES)  # a cue may be wrapped
 _CUE = re.compile(_CUES, re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
@@ -63,7 +62,6 @@ class Templates:
             self.with_template.append(
                 zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_dict_id=False)
             )
-        self.judge = lru_cache(maxsize=REMEMBERED)(self._judge)
 
     def saved(self, block: str) -> np.ndarray:
         """Bytes that each template saves, and what the block takes alone (last)."""
@@ -71,7 +69,7 @@ class Templates:
         alone = len(self.alone.compress(data))
         return np.array([*(alone - len(c.compress(data)) for c in self.with_template), alone])
 
-    def _judge(self, block: str) -> tuple | None:
+    def judge(self, block: str) -> tuple | None:
         """(license, template, saved share, differences, first word, last word) of the winner, or None."""
         *saved, alone = self.saved(block).tolist()
         order = sorted(range(len(saved)), key=lambda k: (-saved[k], k))
@@ -112,62 +110,113 @@ def _lines_of(block: list[str], first: int, last: int) -> tuple[int, int]:
     return int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, last, "right"))
 
 
-def notices(templates: Templates, text: str) -> list[tuple]:
-    """(line, license, template, saved, differences, text) of the notices of a text.
+def judgement(templates: Templates, block: str) -> tuple | None:
+    """(license, template, saved, differences, first line, last line, words right) of a block, or None."""
+    winner = templates.judge(block)
+    if not winner:
+        return None
+    license_, template, saved, differences, first, last = winner
+    low, high = _lines_of(block.split("\n"), first, last)
+    return license_, template, saved, differences, low, high, len(templates.words[template]) - 2 * differences
+
+
+def without_overlaps(found: list[tuple[int, int, int, int]]) -> list[int]:
+    """Of notices (words right, first line, last line, number) those that stay, by number.
 
     Of notices that share lines the one with most words right stays, then the first one.
     """
-    found = []
-    for start, block in blocks(text):
-        winner = templates.judge("\n".join(block))
-        if winner:
-            license_, template, saved, differences, first, last = winner
-            low, high = _lines_of(block, first, last)
-            right = len(templates.words[template]) - 2 * differences
-            notice = "\n".join(block[low : high + 1])
-            found.append((-right, start + low, start + high, (license_, template, saved, differences, notice)))
-    taken, chosen = set(), []
-    for _, low, high, result in sorted(found, key=lambda x: x[:3]):
-        if not taken & set(range(low, high + 1)):
-            taken.update(range(low, high + 1))
-            chosen.append((low, *result))
-    return sorted(chosen)
+    taken: set[int] = set()
+    kept = []
+    for _, low, high, number in sorted(found, key=lambda x: (-x[0], *x[1:])):
+        lines = range(low, high + 1)
+        if taken.isdisjoint(lines):
+            taken.update(lines)
+            kept.append(number)
+    return kept
+
+
+@lru_cache(maxsize=4)
+def _templates(known: tuple) -> Templates:
+    return Templates(known)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidate blocks of each text."""
+    for batch in batches:
+        rows, docs, starts, texts = [], [], [], []
+        for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for start, block in blocks(text):
+                rows.append(row)
+                docs.append(doc)
+                starts.append(start)
+                texts.append("\n".join(block))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())],
+            ["row", "doc_id", "start", "block"],
+        )
+
+
+def _winners(known: tuple):
+    types = [pa.string(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4]
+    names = ["block", "license", "template", "saved", "differences", "low", "high", "right"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _templates(known)
+        for batch in batches:
+            found = [(block, judgement(own, block)) for block in batch.column(0).to_pylist()]
+            rows = [(block, *result) for block, result in found if result]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names
+            )
+
+    return scan
 
 
 _NOTICE = "doc_id long, line int, license string, template int, saved double, differences int, notice string"
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The notices of each text that stay, with their lines."""
+    for table, bounds in whole_groups(batches, ["row"]):
+        starts, lows, highs, right = (table.column(c).to_pylist() for c in ("start", "low", "high", "right"))
+        kept = []
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            kept += without_overlaps([(right[k], starts[k] + lows[k], starts[k] + highs[k], k) for k in range(x, y)])
+        chosen = table.take(pa.array(kept, pa.int64()))
+        lines = [b.split("\n") for b in chosen.column("block").to_pylist()]
+        texts = ["\n".join(b[lows[k] : highs[k] + 1]) for b, k in zip(lines, kept, strict=True)]
+        line = pa.array([starts[k] + lows[k] for k in kept], pa.int32())
+        own = [chosen.column(c).combine_chunks() for c in ("doc_id", "license", "template", "saved", "differences")]
+        yield pa.RecordBatch.from_arrays(
+            [own[0], line, *own[1:], pa.array(texts, pa.string())],
+            ["doc_id", "line", "license", "template", "saved", "differences", "notice"],
+        )
+
+
 def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, line, license, template, saved, differences, notice of every notice found.
 
     line: number of the notice's first line (from 0); saved: share of its compressed bytes that the
     template saves; differences: words that differ from the template. Null and empty texts have none.
     Repeated rows give repeated notices.
+
+    The same few notices stand in very many documents, so every distinct block is compressed and
+    compared once, wherever it stands, and the result is joined back to its places.
     """
     known = tuple(templates)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _templates(known)
-        for batch in batches:
-            rows = [
-                (doc, *found)
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for found in notices(own, text)
-            ]
-            if rows:
-                types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.string()]
-                names = ["doc_id", "line", "license", "template", "saved", "differences", "notice"]
-                arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-    # What has no cue anywhere stays in the JVM.
+    # Texts without any cue stay in the JVM.
+    cued = documents.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+    ).where(F.col("text").rlike("(?i)" + _CUES))
+    places = written(cued.mapInArrow(_candidates, "row long, doc_id long, start int, block string"), "blocks")
+    judged = places.select("block").distinct().mapInArrow(
+        _winners(known),
+        "block string, license string, template int, saved double, differences int, low int, high int, right int",
+    )
     return (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where(F.col("text").rlike("(?i)" + _CUES))
-        .mapInArrow(scan, _NOTICE)
+        places.join(judged, "block")
+        .repartition("row")
+        .sortWithinPartitions("row", "start", "block")
+        .mapInArrow(_resolved, _NOTICE)
     )
-
-
-@lru_cache(maxsize=4)
-def _templates(known: tuple) -> Templates:
-    return Templates(known)
