@@ -8,4 +8,5 @@ from .toxicity import classify
 
 @query("op6_toxicity")
 def toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    scored = classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.withColumnRenamed("rejected", "toxic")
