@@ -3,7 +3,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -14,15 +13,12 @@ from tokentally.llm.token_files import read_tokens, token_index, tokenized, toke
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.fixture(scope="module")
-def library():
-    own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    return own
+LIBRARY = Tokenizer.from_file(PATH)
+LIBRARY.encode_special_tokens = True
 
 
-def expected(library, text):
-    return [*library.encode(text or "", add_special_tokens=False).ids, 2]
+def expected(text):
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 TRICKY = [
@@ -32,35 +28,32 @@ TRICKY = [
 ]
 
 
-def test_pieces_give_the_library_ids(library):
+def test_pieces_give_the_library_ids():
     got = pieces.Encoder(PATH).encode(pa.array([*TRICKY, None]), 2).to_pylist()
-    assert got == [expected(library, text) for text in [*TRICKY, None]]
+    assert got == [expected(text) for text in [*TRICKY, None]]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab'strevmld  \n\t1.é\xa0中😀"), max_size=30), max_size=6))
 def test_any_texts_give_the_library_ids(texts):
-    own = Tokenizer.from_file(PATH) if not hasattr(test_any_texts_give_the_library_ids, "own") else None
-    test_any_texts_give_the_library_ids.own = own or test_any_texts_give_the_library_ids.own
-    library = test_any_texts_give_the_library_ids.own
     got = pieces.encoder(PATH).encode(pa.array(texts, pa.string()), 2).to_pylist()
-    assert got == [expected(library, text) for text in texts]
+    assert got == [expected(text) for text in texts]
 
 
-def test_forgetting_changes_nothing(library, monkeypatch):
+def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     own = pieces.Encoder(PATH)
     for text in ["one two", "three four five six", "one"]:
-        assert own.encode(pa.array([text]), 2).to_pylist() == [expected(library, text)]
+        assert own.encode(pa.array([text]), 2).to_pylist() == [expected(text)]
 
 
-def test_documents_through_files(spark, library, tables):
+def test_documents_through_files(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     got = tokens_through_files(docs).collect()
     start = 0
     by_id = {row.doc_id: row for row in got}
     for row in docs.select("doc_id", "text").orderBy("doc_id").collect():
-        ids = expected(library, row.text)
+        ids = expected(row.text)
         crc = zlib.crc32(np.array(ids, dtype="<u4").tobytes())
         mine = by_id[row.doc_id]
         assert (mine.start, mine.n_tokens, mine.ids_crc32) == (start, len(ids), crc)
@@ -68,12 +61,12 @@ def test_documents_through_files(spark, library, tables):
     assert len(got) == docs.count()
 
 
-def test_odd_rows(spark, library):
+def test_odd_rows(spark):
     rows = [(3, "b a"), (3, "b a"), (None, "x"), (1, None), (2, ""), (5, "long " * 60_000)]
     docs = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, ids int, shard string")
     got = sorted(map(tuple, tokens_through_files(docs).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == [None, 1, 2, 3, 3, 5]
-    sizes = [len(expected(library, t)) for t in ("x", None, "", "b a", "b a", "long " * 60_000)]
+    sizes = [len(expected(t)) for t in ("x", None, "", "b a", "b a", "long " * 60_000)]
     assert [r[2] for r in got] == sizes
     assert [r[1] for r in got] == [sum(sizes[:k]) for k in range(6)]
     assert tokens_through_files(docs.limit(0)).collect() == []
