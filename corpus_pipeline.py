@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tokentally.llm import decontamination, mixing, near_duplicates, token_files, toxicity
 from tokentally.llm.registry import table
+from tokentally.sources.shared import written
 
 #: SQL cannot express the stages; tests compare them with plain versions.
 ORACLE_SQL = None
@@ -45,8 +46,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder; what a stage keeps is written for the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for name, stage in first:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)

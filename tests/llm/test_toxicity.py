@@ -72,12 +72,12 @@ def test_fit_is_the_optimum():
     p = tx._probability(base + rows.times(weights) + before @ earlier)
     rest = p - label
     assert abs(rest.sum() + 1e-3 * base) < 1e-2
-    assert np.abs(np.bincount(rows.place, rest[rows.owners()], 5) + weights).max() < 1e-2
-    assert np.abs(before.T @ rest + earlier).max() < 1e-2
+    assert np.abs(np.bincount(rows.place, rest[rows.owners()], 5) + tx.PENALTY * weights).max() < 1e-2
+    assert np.abs(before.T @ rest + tx.PENALTY * earlier).max() < 1e-2
 
 
 def test_words_present():
-    known = np.sort(np.concatenate([tx.features(c)[1] for c in tx.chunks(pa.array(["fools", "é1"]), between=tx.BETWEEN)]))
+    known = np.sort(np.concatenate([tx.features(c)[1] for c in tx.chunks(pa.array(["fools", "é1"]), between=tx.PUNCTUATION)]))
     assert len(known) == 3  # and the beginning "fool"
     rows = tx.present(pa.array(["a fools, fools!", None, "", "é1 (fools)", "fooling", "fool"]), known)
     assert np.diff(rows.bounds).tolist() == [2, 0, 0, 3, 1, 0]

@@ -17,6 +17,10 @@ CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Between words without punctuation: all of ASCII but digits and letters.
+PUNCTUATION = np.ones(256, dtype=bool)
+for _first, _last in (("0", "9"), ("A", "Z"), ("a", "z"), ("\x80", "\xff")):
+    PUNCTUATION[ord(_first) : ord(_last) + 1] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 

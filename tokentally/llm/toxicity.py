@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .texts import Chunk, chunks, constants, spans_hash
+from .texts import PUNCTUATION, Chunk, chunks, constants, spans_hash
 
 #: Labelled documents that models are trained on, at most.
 TRAINING_ROWS = 20_000
@@ -37,10 +37,6 @@ STEPS = 60
 #: A document is rejected from this probability of the last label on.
 THRESHOLD = 0.5
 
-BETWEEN = np.ones(256, dtype=bool)
-BETWEEN[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
-BETWEEN[[*range(ord("A"), ord("Z") + 1)]] = False
-
 #: Bytes of the beginnings of longer words.
 BEGINNINGS = (4, 5, 6)
 
@@ -211,7 +207,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, names: Sequence[str],
 def _words(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Each distinct word of a text, as a hash, with the text's labels."""
     for batch in batches:
-        for chunk in chunks(batch.column(0), between=BETWEEN):
+        for chunk in chunks(batch.column(0), between=PUNCTUATION):
             row, word = features(chunk)
             order = np.lexsort((word, row))
             row, word = row[order], word[order]
@@ -226,7 +222,7 @@ def _words(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[
 def present(column: pa.Array, known: np.ndarray) -> Rows:
     """The places among known words (sorted hashes) of the distinct words of each text."""
     places, sizes = [], []
-    for chunk in chunks(column, between=BETWEEN):
+    for chunk in chunks(column, between=PUNCTUATION):
         row, hashes = features(chunk)
         at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
         there = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
