@@ -215,7 +215,7 @@ def by_pattern(
     """
     named = list(dict.fromkeys(patterns))
     hits = F.array(*(F.when(like_pattern(F.col("arn"), p), p) for p in named))
-    matched = cells.select("model_id", *_SUMS, F.explode(F.array_compact(hits)).alias("pattern"))
+    matched = cells.select("model_id", *_SUMS, F.explode(hits).alias("pattern")).where("pattern is not null")
     priced = pricing.with_cost(_per_model(matched, "pattern"), region=region, exact=True)
     found = priced.groupBy("pattern").agg(*_sums(), pricing.cost_sum())
     wanted = cells.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
