@@ -1,7 +1,8 @@
 """Operator 7: benchmark items in documents, by CGK embedding, bit sampling and exact edit distance.
 
 An item of n words is found in a document if some run of its words is within a word edit distance of
-n / 5 of the item (whole numbers; words with A-Z lower-cased).
+n / 5 of the item (whole numbers). Words are runs of letters, digits and non-ASCII characters with A-Z
+lower-cased, so punctuation and layout make no difference.
 
 1. Windows: an item within its bound shares a run of consecutive words with the document that the edits
    left whole (at least (n - d) / (d + 1) of them). Windows of the item's size are laid around every
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .texts import Powers, chunks, constants, mix, ragged, rolling_hash
+from .texts import PUNCTUATION, Chunk, Powers, chunks, constants, mix, ragged, rolling_hash
 
 #: One edit is allowed for so many words of an item.
 WORDS_PER_EDIT = 5
@@ -90,12 +91,16 @@ def window_keys(written_words: np.ndarray, walk: int, words: int) -> np.ndarray:
     return key
 
 
+def word_chunks(column: pa.Array) -> Iterator[Chunk]:
+    return chunks(column, lower=True, between=PUNCTUATION)
+
+
 class Items:
     """The items of a block, their runs, and the keys of their walks."""
 
     def __init__(self, ids: list, texts: list):
         self.ids, self.words = [], []
-        for chunk in chunks(pa.array(texts, pa.string()), lower=True):
+        for chunk in word_chunks(pa.array(texts, pa.string())):
             hashes = chunk.hashes()
             for k in range(chunk.rows):
                 own = hashes[chunk.bounds[k] : chunk.bounds[k + 1]]
@@ -210,6 +215,8 @@ def find_items(items: Items, words: np.ndarray, bounds: np.ndarray) -> list[tupl
         edits = allowed(size)
         for k in range(0, len(windows), WINDOWS):
             found = _candidates(items, words, bounds, size, windows[k : k + WINDOWS])
+            if not len(found):
+                continue
             order = np.lexsort((found[:, 1], found[:, 2], found[:, 0]))
             found = found[order]
             # Windows of one text and item that overlap are verified together.
@@ -238,7 +245,7 @@ def _scan(documents: DataFrame, items: Items) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            for chunk in chunks(batch.column(2), lower=True):
+            for chunk in word_chunks(batch.column(2)):
                 rows = []
                 for text, item, edits, first, end in find_items(items, chunk.hashes(), chunk.bounds):
                     row = chunk.first + text
@@ -263,7 +270,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), "items"
     )
-    count = F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")), F.lit(0))
+    count = F.coalesce(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("long")), F.lit(0))
     blocks = max(1, math.ceil(items.agg(count).first()[0] / BLOCK_WORDS))
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"
