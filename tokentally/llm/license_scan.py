@@ -151,9 +151,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts.append(start)
                 texts.append("\n".join(block))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())],
+            [
+                pa.array(rows, pa.int64()), pa.array(docs, pa.int64()),
+                pa.array(starts, pa.int32()), pa.array(texts, pa.string()),
+            ],
             ["row", "doc_id", "start", "block"],
-        )
+        )
 
 
 def _winners(known: tuple):
