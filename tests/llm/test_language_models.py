@@ -56,6 +56,7 @@ def test_query_equals_plain_models(spark, tables):
 
 def test_hot_pairs_and_packs(spark, monkeypatch):
     monkeypatch.setattr(lm, "PACK_WORDS", 100)
+    monkeypatch.setattr(lm, "PACK_PAIRS", 1)
     rows = [(k, " ".join(["hot pair"] * 30 + [f"w{(k * j) % 400}" for j in range(1, 20)])) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     targets = docs.where("doc_id % 3 = 0").select("doc_id")

@@ -7,11 +7,13 @@ over its words of the loss under the target model less that under the background
 scores are like the target.
 
 1. Words are counted; the most frequent VOCABULARY words are the vocabulary, all others one unknown word.
-2. Documents become rows of word numbers, with their mark, in a stored table.
+2. Documents become word numbers with their mark, in stored packs of some documents each.
 3. Words and pairs of the HOT most frequent words are counted in dense tables of fixed size, so a pair
    that every document holds never gathers in one task.
-4. The other pairs go, packed by ranges of their hash, to tasks that count them, know both models'
-   probabilities then, and return one sum for each document of a pack. Packs add up their sums.
+4. The other pairs: the distinct ones of a pack go, as sorted runs with their counts, to ranges of their
+   hash, where they are added up over the corpus; the sums go back to the packs. What travels is in
+   proportion to the input, and no row stands for a single word.
+5. Each pack adds up the losses of its documents.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ HOT = 256
 BIGRAM = 0.7
 #: Added to each word's count.
 ADDED = 0.1
-#: Words that make a pack of documents.
+#: Words that make a pack of documents, and words for each part that pairs are dealt to, at least.
 PACK_WORDS = 1 << 17
+PACK_PAIRS = 128
 
 
 def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> np.ndarray:
@@ -90,11 +93,81 @@ def _pairs_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return before.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words one after another, words of each document, and the marks."""
-    content = batch.column("words").to_pylist()
-    sizes = np.array([len(c) // 2 for c in content], dtype=np.int64)
-    return np.frombuffer(b"".join(content), np.uint16), sizes, batch.column("target").to_numpy(zero_copy_only=False)
+_PACKS = "uid long, doc_id array<long>, tie array<long>, sizes array<int>, target array<boolean>, words binary"
+_PACK_NAMES = ["uid", "doc_id", "tie", "sizes", "target", "words"]
+
+
+def packed(rows: DataFrame, words: int) -> DataFrame:
+    """Rows of doc_id, tie, words and target put together to packs of so many words at least."""
+
+    def one(uid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        content = table.column("words").to_pylist()
+        sizes = pa.array([len(c) // 2 for c in content], pa.int32())
+        lists = [table.column("doc_id"), table.column("tie"), sizes, table.column("target")]
+        whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([uid], pa.int64()), *whole, pa.array([b"".join(content)], pa.binary())], _PACK_NAMES
+        )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for batch in batches:
+            ends = np.cumsum([len(c) // 2 for c in batch.column("words").to_pylist()])
+            first = 0
+            while first < batch.num_rows:
+                done = int(ends[first - 1]) if first else 0
+                last = int(np.searchsorted(ends, done + words - size, "left")) + 1
+                last = min(last, batch.num_rows)
+                held.append(batch.slice(first, last - first))
+                size += int(ends[last - 1]) - done
+                first = last
+                if size >= words:
+                    yield one(uid, held)
+                    uid, held, size = uid + 1, [], 0
+        if held:
+            yield one(uid, held)
+
+    return rows.select("doc_id", "tie", "words", "target").mapInArrow(scan, _PACKS)
+
+
+@dataclass
+class Pack:
+    """The words of some documents, each with the one before it and its document."""
+
+    words: np.ndarray
+    before: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+
+    @property
+    def hot(self) -> np.ndarray:
+        return (self.before < HOT) & (self.words < HOT)
+
+    def rare_pairs(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs that are not hot, by part; the part of each; the place of each such word among them."""
+        rare = ~self.hot
+        pairs = (self.before[rare] << 16 | self.words[rare]).astype(np.uint32)
+        distinct, place = np.unique(pairs, return_inverse=True)
+        part = (mix(distinct) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.arange(len(order))
+        return distinct[order], part[order].astype(np.int64), at[place]
+
+
+def _pack(words: bytes, sizes: np.ndarray, target: np.ndarray) -> Pack:
+    ids = np.frombuffer(words, np.uint16)
+    before, owner = _pairs_of(ids, sizes)
+    return Pack(ids.astype(np.int64), before, owner, target)
+
+
+def _packs(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Pack]]:
+    columns = (table.column(c) for c in ("uid", "sizes", "target", "words"))
+    for uid, sizes, target, words in zip(*columns, strict=True):
+        own = sizes.values.to_numpy(), target.values.to_numpy(zero_copy_only=False)
+        yield uid.as_py(), _pack(words.as_py(), *own)
 
 
 @dataclass(frozen=True)
@@ -115,23 +188,22 @@ class Model:
         return -np.log2(weight * given + (1 - weight) * alone)
 
 
-def count_model(rows: DataFrame, size: int) -> Model:
-    """The model of rows with words and target; `size` word numbers."""
+def count_model(packs: DataFrame, size: int) -> Model:
+    """The model of packs; `size` word numbers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros((size, 2), dtype=np.int64)
         before = np.zeros((size, 2), dtype=np.int64)
         hot = np.zeros((HOT * HOT, 2), dtype=np.int64)
         for batch in batches:
-            ids, sizes, marks = _documents(batch)
-            first, owner = _pairs_of(ids, sizes)
-            for k in (0, 1):
-                own = marks[owner] == (k == 0)
-                a, b = first[own], ids[own].astype(np.int64)
-                words[:, k] += np.bincount(b, minlength=size)
-                before[:, k] += np.bincount(a, minlength=size)
-                both = (a < HOT) & (b < HOT)
-                hot[:, k] += np.bincount(a[both] * HOT + b[both], minlength=HOT * HOT)
+            for _, pack in _packs(batch):
+                for k in (0, 1):
+                    own = pack.target[pack.owner] == (k == 0)
+                    a, b = pack.before[own], pack.words[own]
+                    words[:, k] += np.bincount(b, minlength=size)
+                    before[:, k] += np.bincount(a, minlength=size)
+                    both = (a < HOT) & (b < HOT)
+                    hot[:, k] += np.bincount(a[both] * HOT + b[both], minlength=HOT * HOT)
         for kind, table in enumerate((words, before, hot)):
             some = np.flatnonzero(table.any(axis=1))
             yield pa.RecordBatch.from_arrays(
@@ -143,7 +215,7 @@ def count_model(rows: DataFrame, size: int) -> Model:
             )
 
     schema = "kind int, place long, target long, rest long"
-    sums = rows.select("words", "target").mapInArrow(scan, schema).groupBy("kind", "place")
+    sums = packs.select("uid", "sizes", "target", "words").mapInArrow(scan, schema).groupBy("kind", "place")
     table = sums.agg(F.sum("target").alias("target"), F.sum("rest").alias("rest")).toArrow()  # the sizes of `scan`
     parts = [np.zeros((size, 2)), np.zeros((size, 2)), np.zeros((HOT * HOT, 2))]
     kinds, place = table["kind"].to_numpy(), table["place"].to_numpy()
@@ -154,136 +226,100 @@ def count_model(rows: DataFrame, size: int) -> Model:
     return Model(*parts)
 
 
-_PACK = (
-    "uid long, part int, pairs binary, times binary, sizes binary, marks binary, sums binary, "
-    "docs array<struct<doc_id:long,tie:long,n_words:long>>"
-)
-_DOC = pa.struct([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_words", pa.int64())])
-_PACK_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(_DOC)]
-_PACK_NAMES = ["uid", "part", "pairs", "times", "sizes", "marks", "sums", "docs"]
+_COUNTS = "uid long, part int, pairs binary, seen binary"
+_COUNT_NAMES = ["uid", "part", "pairs", "seen"]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _PACK_TYPES, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, _PACK_NAMES)
+def _counts(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], _COUNT_NAMES)
 
 
-def scored(rows: DataFrame, model: Model, parts: int) -> DataFrame:
-    """doc_id, tie, n_words, target_bits, rest_bits (sums over the words) of rows with words and target."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
+def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
+    """uid, part, seen: for each pack's distinct rare pairs of a part, in order, how often target and
+    background documents of the whole corpus hold them (two 32-bit numbers each)."""
 
-    def one_pack(uid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        ids, sizes, marks = _documents(batch)
-        first, owner = _pairs_of(ids, sizes)
-        second = ids.astype(np.int64)
-        model = shared.value
-        hot = (first < HOT) & (second < HOT)
-        sums = np.zeros((len(sizes), 2))
-        a, b = first[hot], second[hot]
-        loss = model.loss(a, b, model.hot[a * HOT + b])
-        for k in (0, 1):
-            sums[:, k] = np.bincount(owner[hot], weights=loss[:, k], minlength=len(sizes))
-        pair = (first[~hot] << 16 | second[~hot]).astype(np.uint64)
-        part = (mix(pair) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        # Distinct pairs of each document and part, with how often they occur.
-        order = np.lexsort((pair, owner[~hot], part))
-        pair, part, own = pair[order], part[order], owner[~hot][order]
-        new = np.ones(len(pair), dtype=bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (own[1:] != own[:-1])
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(pair))).astype(np.uint32)
-        pair, part, own = pair[at].astype(np.uint32), part[at], own[at]
-        cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
-        flags = marks.astype(bool).tobytes()
-        out = []
-        for p in range(parts):
-            x, y = cuts[p], cuts[p + 1]
-            if x < y:
-                of = np.bincount(own[x:y], minlength=len(sizes)).astype(np.uint32).tobytes()
-                out.append((uid, p, pair[x:y].tobytes(), times[x:y].tobytes(), of, flags, None, None))
-        docs = [
-            {"doc_id": d, "tie": t, "n_words": n}
-            for d, t, n in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), sizes.tolist())
-        ]
-        out.append((uid, uid % parts, None, None, None, None, sums.tobytes(), docs))
-        return _batch(out)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum([len(c) // 2 for c in batch.column("words").to_pylist()])
-            first = 0
-            while first < batch.num_rows:
-                done = int(ends[first - 1]) if first else 0
-                last = int(np.searchsorted(ends, done + PACK_WORDS - size, "left")) + 1
-                last = min(last, batch.num_rows)
-                held.append(batch.slice(first, last - first))
-                size += int(ends[last - 1]) - done
-                first = last
-                if size >= PACK_WORDS:
-                    yield one_pack(uid, held)
-                    uid, held, size = uid + 1, [], 0
-        if held:
-            yield one_pack(uid, held)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for table, bounds in whole_groups(batches, ["part"]):
-            sums = table.column("sums").is_valid().to_numpy()
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                group = table.slice(low, high - low)
-                yield from group.filter(pa.array(sums[low:high])).to_batches()
-                packs = group.filter(pa.array(~sums[low:high])).to_pylist()
-                if not packs:
-                    continue
-                pairs, times, sizes = (
-                    np.frombuffer(b"".join(x[c] for x in packs), np.uint32) for c in ("pairs", "times", "sizes")
-                )
-                marks = np.frombuffer(b"".join(x["marks"] for x in packs), bool)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                distinct, place = np.unique(pairs, return_inverse=True)
+            for uid, pack in _packs(batch):
+                pairs, part, place = pack.rare_pairs(parts)
+                target = pack.target[pack.owner[~pack.hot]]
                 seen = np.stack(
-                    [np.bincount(place, times * (marks[owner] == m), len(distinct)) for m in (True, False)], axis=1
-                )
-                loss = model.loss(distinct >> 16, distinct & 0xFFFF, seen)
-                found = np.stack(
-                    [np.bincount(owner, loss[place, k] * times, len(sizes)) for k in (0, 1)], axis=1
-                )
-                cuts = np.cumsum([len(x["marks"]) for x in packs])[:-1]
-                yield _batch(
+                    [np.bincount(place, target == mark, minlength=len(pairs)) for mark in (True, False)], axis=1
+                ).astype(np.uint32)
+                cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+                yield _counts(
                     [
-                        (x["uid"], x["part"], None, None, None, None, own.tobytes(), None)
-                        for x, own in zip(packs, np.split(found, cuts), strict=True)
+                        (uid, p, pairs[x:y].tobytes(), seen[x:y].tobytes())
+                        for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+                        if x < y
                     ]
                 )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["uid"]):
-            sums = table.column("sums").to_pylist()
+        for table, bounds in whole_groups(batches, ["part"]):
+            uids, of = table.column("uid").to_pylist(), table.column("part").to_pylist()
+            content, counts = (table.column(c).to_pylist() for c in ("pairs", "seen"))
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                total = np.frombuffer(sums[low], np.float64).copy()  # the row with the documents is first
-                for one in sums[low + 1 : high]:  # in the order of parts: the same in every run
-                    total += np.frombuffer(one, np.float64)
-                docs = table.column("docs")[low].values
-                total = total.reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [*docs.flatten(), pa.array(total[:, 0]), pa.array(total[:, 1])],
-                    ["doc_id", "tie", "n_words", "target_bits", "rest_bits"],
+                pairs = np.frombuffer(b"".join(content[low:high]), np.uint32)
+                seen = np.frombuffer(b"".join(counts[low:high]), np.uint32).reshape(-1, 2)
+                distinct, place = np.unique(pairs, return_inverse=True)
+                total = np.stack([np.bincount(place, seen[:, k], len(distinct)) for k in (0, 1)], axis=1)
+                if len(total) and total.max() >= 1 << 32:
+                    raise OverflowError("a pair outside the hot words occurs more than 2**32 times: raise HOT")
+                sizes = np.cumsum([len(c) // 4 for c in content[low:high]])[:-1]
+                own = np.split(total.astype(np.uint32)[place], sizes)
+                yield _counts(
+                    [(u, of[low], None, x.tobytes()) for u, x in zip(uids[low:high], own, strict=True)]
                 )
 
-    counted = (
-        rows.select("doc_id", "tie", "words", "target")
-        .mapInArrow(pack, _PACK)
+    return (
+        packs.select("uid", "sizes", "target", "words")
+        .mapInArrow(emit, _COUNTS)
         .repartition("part")
         .sortWithinPartitions("part", "uid")
-        .mapInArrow(count, _PACK)
+        .mapInArrow(add, _COUNTS)
+        .drop("pairs")
+    )
+
+
+def scored(packs: DataFrame, model: Model, parts: int) -> DataFrame:
+    """doc_id, tie, n_words, target_bits, rest_bits (sums over the words) of the documents of packs."""
+    shared = packs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for table, bounds in whole_groups(batches, ["uid"]):
+            seen = table.column("seen").to_pylist()
+            heads = table.take(pa.array(bounds[:-1]))  # a pack comes first, then its counts by part
+            for (_, pack), low, high, k in zip(
+                _packs(heads), bounds[:-1].tolist(), bounds[1:].tolist(), range(len(heads)), strict=True
+            ):
+                counts = np.frombuffer(b"".join(seen[low + 1 : high]), np.uint32).reshape(-1, 2)
+                _, _, place = pack.rare_pairs(parts)
+                held = np.empty((len(pack.words), 2))
+                hot = pack.hot
+                held[hot] = model.hot[pack.before[hot] * HOT + pack.words[hot]]
+                held[~hot] = counts[place]
+                loss = model.loss(pack.before, pack.words, held)
+                sums = [np.bincount(pack.owner, loss[:, m], len(pack.target)).astype(float) for m in (0, 1)]
+                docs, ties, sizes = (heads.column(c)[k].values for c in ("doc_id", "tie", "sizes"))
+                yield pa.RecordBatch.from_arrays(
+                    [docs, ties, sizes.cast(pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
+                    ["doc_id", "tie", "n_words", "target_bits", "rest_bits"],
+                )
+
+    none = F.lit(None)
+    counted = pair_counts(packs, parts).select(
+        "uid", "part", *(none.cast(packs.schema[c].dataType).alias(c) for c in _PACK_NAMES[1:]), "seen"
     )
+    whole = packs.select("uid", F.lit(-1).alias("part"), *_PACK_NAMES[1:], none.cast("binary").alias("seen"))
     return (
-        counted.repartition("uid")
-        .sortWithinPartitions("uid", F.col("docs").isNull(), "part")
-        .mapInArrow(add, "doc_id long, tie long, n_words long, target_bits double, rest_bits double")
+        whole.unionByName(counted)
+        .repartition("uid")
+        .sortWithinPartitions("uid", "part")
+        .mapInArrow(finish, "doc_id long, tie long, n_words long, target_bits double, rest_bits double")
     )
 
 
@@ -302,11 +338,11 @@ def score_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     marked = rows.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left").withColumn(
         "target", F.coalesce("target", F.lit(False))
     )
-    # Sorted, so that packs are the same if a task is run again.
-    marked = written(marked.sortWithinPartitions("doc_id", "tie"), "numbered")
-    model = count_model(marked, len(words) + 2)
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = scored(marked, model, parts)
+    # Sorted, so that packs are the same if a task is run again. A pack has enough pairs for each part.
+    packs = packed(marked.sortWithinPartitions("doc_id", "tie"), max(PACK_WORDS, PACK_PAIRS * parts))
+    packs = written(packs, "packs")
+    sums = scored(packs, count_model(packs, len(words) + 2), parts)
     mean = [F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")) for c in ("target_bits", "rest_bits")]
     return sums.select(
         "doc_id", "n_words", mean[0].alias("target_loss"), mean[1].alias("background_loss"),
