@@ -31,8 +31,9 @@ from .recompression import Symbols, recompress
 from .texts import Chunk, Powers, chunks
 
 WIDTH = 35
-#: Bytes of values that make a pack.
+#: Bytes of values that make a pack, and bytes for each part that values are dealt to, at least.
 PACK_BYTES = 256 << 10
+PART_BYTES = 512
 
 _ONE, _TWO = Powers(61), Powers(62)
 _KEYS = ["k1", "k2"]
@@ -64,6 +65,7 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated(rows: DataFrame, width: int, parts: int) -> DataFrame:
     """k1, k2, flags: for each row's values (binary, `width` numbers of 64 bits each), whether a value
     occurs elsewhere too. Rows with one key hold the same values, and one of them is returned."""
+    enough = max(PACK_BYTES, PART_BYTES * parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 32
@@ -73,7 +75,7 @@ def repeated(rows: DataFrame, width: int, parts: int) -> DataFrame:
             for key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(key)
                 size += len(key[2])
-                if size >= PACK_BYTES:
+                if size >= enough:
                     yield one_pack(uid, held)
                     uid, held, size = uid + 1, [], 0
         if held:
