@@ -285,23 +285,22 @@ def _by_cell(rows: DataFrame) -> DataFrame:
     return rows.repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
 
 
-def similar_links(documents: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that connect all nodes of similar documents."""
-    nodes = written(
+def set_nodes(prints: DataFrame) -> DataFrame:
+    """node, signature and one of its documents (doc_id, tie; the smallest) for each distinct set."""
+    return written(
         prints.where("node is not null")
         .groupBy("high", "node", "signature")
-        .agg(F.min("doc_id").alias("doc_id"))
-        .select("node", "signature", "doc_id"),
+        .agg(F.min(F.struct("doc_id", "tie")).alias("one"), F.min("doc_id").alias("low"))
+        .select("node", "signature", "low", F.col("one.doc_id").alias("of"), F.col("one.tie").alias("of_tie")),
         "nodes",
     )
+
+
+def similar_links(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that connect all nodes of similar documents."""
     columns = "key long, i int, j int, block int, symbol int, node long, signature binary"
     close = written(_by_cell(_cells(nodes)).mapInArrow(_with_pairs, columns), "cells")
-    chosen = (
-        prints.join(close.select("node").distinct(), "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "tie")).alias("one"))
-        .select(F.col("one.doc_id").alias("of"), F.col("one.tie").alias("of_tie"))
-    )
+    chosen = nodes.join(close.select("node").distinct(), "node", "left_semi").select("of", "of_tie")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     texts = texts.join(
         chosen, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left_semi"
@@ -311,16 +310,18 @@ def similar_links(documents: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, tie, n_shingles, component_id, kept of every document.
+    """doc_id, tie, n_shingles, component_id, kept, node of every document.
 
     component_id is the smallest doc_id that links reach; kept: doc_id = component_id. A null or
     empty text has no shingles and is linked with nothing. Rows of one doc_id with different texts
-    are documents of their own. A null doc_id can be linked, but is never the smallest.
+    are documents of their own. A null doc_id can be linked, but is never the smallest. node is the
+    number of the document's set.
     """
     prints = written(fingerprints(documents), "fingerprints")
-    found = components(similar_links(documents, prints))
-    groups = prints.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-    joined = groups.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    nodes = set_nodes(prints)
+    found = components(similar_links(documents, nodes))
+    joined = nodes.select("node", "low").join(found, "node", "left")
+    joined = joined.withColumn("group", F.coalesce("component", "node"))
     lowest = joined.groupBy("group").agg(F.min("low").alias("component_id"))
     of_node = joined.join(lowest, "group").select("node", "component_id")
     return (
@@ -351,11 +352,11 @@ def without_near_duplicates(documents: DataFrame) -> DataFrame:
         F.struct(*(documents[c] for c in documents.columns)).alias("document"),
         F.col("doc_id").cast("long").alias("id"),
         F.xxhash64("text").alias("tie"),
-        F.coalesce(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")), F.lit(0)).alias("length"),
+        F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("has_words"),
     )
-    worded = rows.where((F.col("length") > 0) & F.col("id").isNotNull()).join(
+    worded = rows.where(F.col("has_words") & F.col("id").isNotNull()).join(
         kept, (F.col("id") == F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")), "left_semi"
     )
     once = worded.groupBy("id", "tie").agg(F.first("document").alias("document"))
-    others = rows.where((F.col("length") == 0) | F.col("id").isNull())
+    others = rows.where(~F.col("has_words") | F.col("id").isNull())
     return once.select("document.*").unionByName(others.select("document.*"))
