@@ -6,8 +6,9 @@ from models that have not seen it, as they will for new documents.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased; their beginnings of some
 lengths stand for inflected forms. A model's features are the words and beginnings whose presence tells
-most about its label (likelihood ratio), and the earlier probabilities as log odds. Training rows are a bounded sample of the labelled documents (TRAINING_ROWS, the smallest
-hashes of doc_id), each distinct text once; every document is scored.
+most about its label (likelihood ratio), and the earlier probabilities as log odds. Training rows are a
+bounded sample of the labelled documents (TRAINING_ROWS, the smallest hashes of doc_id), each distinct
+text once; every document is scored.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def fit(rows: Rows, before: np.ndarray, label: np.ndarray, features: int) -> tup
                 step += rate * line
                 rest -= rate * bent
                 new = rest @ rest
-                if new < 1e-12 * max(1.0, gradient @ gradient):
+                if new < 1e-2 * (gradient @ gradient):  # exact steps would not need fewer of them
                     break
                 line, size = rest + new / size * line, new
             scale = 1.0
@@ -161,7 +162,7 @@ def fit(rows: Rows, before: np.ndarray, label: np.ndarray, features: int) -> tup
                 scale /= 2
             theta = theta + scale * step
             now = loss(theta)
-            if value - now < 1e-7 * max(1.0, value):
+            if value - now < 1e-9 * max(1.0, value):
                 break
             value = now
     return float(theta[0]), theta[1 : features + 1], theta[features + 1 :]
