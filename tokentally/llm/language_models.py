@@ -50,7 +50,7 @@ def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> np.ndarray:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(0), limit=2 << 20):
+            for chunk in chunks(batch.column(0), limit=1 << 20):
                 words, times = np.unique(chunk.hashes(), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"]

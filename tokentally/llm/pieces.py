@@ -1,16 +1,16 @@
-"""Byte-level BPE of whole texts with the tokenizers library, each distinct piece encoded once per worker.
+"""Byte-level BPE of whole texts with the tokenizers library, each distinct piece encoded once per task.
 
 Byte-level BPE first splits a text into pieces (a word with its space, a number, punctuation, white
 space) and then encodes each piece on its own. Splitting is done here in numpy over all texts of a
 batch, by the rule the vocabulary's pre-tokenizer states; the library encodes the pieces that this
-worker has not met yet. Texts with characters whose class may differ between Unicode versions, or
+task has not met yet. Texts with characters whose class may differ between Unicode versions, or
 beyond the basic plane, are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,10 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .texts import ragged, spans_hash, text_parts
 
-#: Distinct pieces a worker remembers; beyond, it forgets all and starts again.
-REMEMBERED = 1_500_000
+#: Distinct pieces a task remembers; beyond, it forgets all and starts again.
+REMEMBERED = 500_000
 #: Bytes of text split at once.
-SPLIT_BYTES = 2 << 20
+SPLIT_BYTES = 1 << 20
 
 LETTER, NUMBER, WHITE, OTHER, UNSURE = range(5)
 
@@ -113,9 +113,7 @@ class Encoder:
     """Token ids of whole texts under one vocabulary file; remembers the pieces it has encoded."""
 
     def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.whole.no_truncation()
+        self.path = path
         self.by_piece = Tokenizer.from_file(path)
         self.by_piece.encode_special_tokens = True
         self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -124,9 +122,17 @@ class Encoder:
         self.width = np.zeros(max(names.values()) + 1, dtype=np.int64)
         for name, token in names.items():
             self.width[token] = len(name)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """For texts that cannot be split here; few tasks meet one."""
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        return library
+
+    def forget(self) -> None:
+        """Free what the pieces so far take; workers outlive their tasks."""
         self.slots: dict[int, int] = {}
         self.tokens = np.empty(1 << 16, dtype=np.int32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)  # slot k holds tokens[begin[k]:begin[k + 1]]
@@ -152,7 +158,7 @@ class Encoder:
         hashes = spans_hash(data, starts, ends)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) + len(distinct) > REMEMBERED:
-            self._forget()
+            self.forget()
         listed = distinct.tolist()
         new = [k for k, value in enumerate(listed) if value not in self.slots]
         if new:

@@ -22,6 +22,8 @@ from .pieces import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
+#: Documents whose ids a task holds at once.
+ROWS = 500
 
 # Options of the ORC writer.
 ORC_OPTIONS = {
@@ -43,10 +45,15 @@ def tokenized(documents: DataFrame, vocabulary: str | None = None, end: int = EN
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(public_tokenizers.path(name))
-        for batch in batches:
-            ids = own.encode(batch.column(1), end)
-            sizes = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, sizes], ["doc_id", "ids", "n_tokens"])
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, ROWS):
+                    docs, texts = batch.slice(k, ROWS).columns
+                    ids = own.encode(texts, end)
+                    sizes = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([docs, ids, sizes], ["doc_id", "ids", "n_tokens"])
+        finally:
+            own.forget()
 
     return (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -74,7 +81,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(1)
-        values = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        values = ids.values.to_numpy().view("<u4")
         places = ids.offsets.to_numpy()
         crcs = [zlib.crc32(values[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
         counts = pa.array(np.diff(places).astype(np.int64))
