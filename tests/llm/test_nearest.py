@@ -63,6 +63,23 @@ def test_near_neighbours_take_few_visits(spark):
     assert recall(answers(nn.nearest(df, every=100)), brute(rows, every=100)) >= 0.9
 
 
+def test_isolated_vectors_among_clusters(spark):
+    """The plan fits the clusters; queries outside them get their neighbours all the same."""
+    chance = np.random.default_rng(7)
+    centres = chance.standard_normal((60, 32))
+    alone = chance.random(6000) < 0.15
+    points = centres[chance.integers(0, 60, 6000)] + 0.02 * chance.standard_normal((6000, 32))
+    points[alone] = chance.standard_normal((int(alone.sum()), 32))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    rows = [(k, p.tolist()) for k, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, expected = answers(nn.nearest(df)), brute(rows)
+    assert all(len(got.get(q, [])) == 20 for q in expected)
+    for kind in (True, False):
+        own = {q: near for q, near in expected.items() if alone[q] == kind}
+        assert own and recall(got, own) >= 0.9
+
+
 def test_visits_are_in_order_and_hold_their_share():
     chosen = nn.Plan(8, 1.0, 0.8, 5, 1.2, 2)
     chances = chosen.chances(np.random.default_rng(1).standard_normal((6, 8)))

@@ -8,7 +8,12 @@ visits buckets in descending order of it until its tables together hold a neighb
 probability. Candidates are ranked by exact inner products.
 
 The cosine assumed for the last wanted neighbour is measured on a bounded sample (SAMPLE_QUERIES
-queries, SAMPLE_VECTORS vectors); everything else covers all vectors. How many functions a table has
+queries, SAMPLE_VECTORS vectors); everything else covers all vectors. A query is done if it has found
+`count` vectors at that cosine or closer: then all its nearest ones are as close, and each was visited
+with the wished probability. The other queries (those in sparser parts, or with few candidates) search
+again with a lower cosine measured on them, and what is open after that is compared with all vectors.
+
+How many functions a table has
 follows from that cosine and the number of vectors: the closer neighbours are, the more functions fit
 into the wished number of visits, and the fewer vectors are looked at. On vectors whose neighbours are
 hardly closer than any other vector, most of them must be looked at.
@@ -22,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,8 @@ TABLES = 4
 SUCCESS = 0.96
 #: Buckets a query visits in a table, about; functions are added up to it.
 VISITS = 128
+#: Which quantile of the sampled queries' cosines each search assumes; a last one visits all buckets.
+QUANTILES = (0.3, 0.1)
 SAMPLE_QUERIES = 64
 SAMPLE_VECTORS = 4096
 #: Bytes of vectors of a block, about.
@@ -173,7 +181,9 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.values.to_numpy()[places[0] : places[-1]].reshape(-1, dimension)
 
 
-def _sample_cosine(rows: DataFrame, queries: DataFrame, scale: float, vectors: int, count: int) -> float:
+def _sample_cosine(
+    rows: DataFrame, queries: DataFrame, scale: float, vectors: int, count: int, quantile: float
+) -> float:
     """The cosine of the last wanted neighbour, as a sample has it: a low one of its queries'."""
 
     def some(df: DataFrame, number: int) -> pa.Table:
@@ -186,7 +196,7 @@ def _sample_cosine(rows: DataFrame, queries: DataFrame, scale: float, vectors: i
     near = (one / np.linalg.norm(one, axis=1)[:, None]) @ (two / scale).T
     near[asked["vec_id"].to_numpy()[:, None] == others["vec_id"].to_numpy()[None, :]] = -2
     place = max(1, min(math.ceil(count * others.num_rows / vectors), others.num_rows - 1))
-    return float(np.quantile(np.sort(near, axis=1)[:, -place], 0.3))
+    return float(np.quantile(np.sort(near, axis=1)[:, -place], quantile))
 
 
 def _placed(plan: Plan, asked: bool):
@@ -305,24 +315,13 @@ def _answers(members: tuple, queries: pa.RecordBatch, dimension: int, count: int
     )
 
 
-def nearest(embeddings: DataFrame, every: int = 20, count: int = NEIGHBOURS) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest vectors found for each query.
+def _norm(vector: str):
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
 
-    Queries are the vectors whose vec_id is divisible by `every`, candidates all but the query's own id.
-    Rows that repeat a vec_id are one candidate with its best score; as a query, the smallest of their
-    vectors counts. Up to 4 x `count` vectors are all compared, so each query gets all candidates there.
-    """
-    rows, dimension = clean(embeddings)
-    rows = written(rows, "vectors")
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    vectors, scale = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
-    if not vectors:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    scale *= 1 + 1e-12
-    chosen = plan(dimension, scale, _sample_cosine(rows, queries, scale, vectors, count), vectors, count)
 
-    size = max(count, BLOCK_BYTES // (8 * dimension))
+def _found(rows: DataFrame, queries: DataFrame, chosen: Plan, vectors: int, count: int) -> DataFrame:
+    """query_id, vec_id, score: at most `count` of the vectors that each query meets in a block."""
+    size = max(count, BLOCK_BYTES // (8 * chosen.dimension))
     blocks = math.ceil(vectors * chosen.tables / size)
     schema = "table int, bucket long, vec_id long"
     placed = rows.select("vec_id", "vector").mapInArrow(_placed(chosen, False), schema)
@@ -352,12 +351,52 @@ def nearest(embeddings: DataFrame, every: int = 20, count: int = NEIGHBOURS) ->
         .join(queries, "vec_id")
         .select("block", F.lit(1).alias("kind"), "vec_id", "vector", "cells")
     )
-    found = (
+    return (
         members.unionByName(asking)
         .repartition("block")
         .sortWithinPartitions("block", "kind")
-        .mapInArrow(_search(dimension, count), "query_id long, vec_id long, score double")
+        .mapInArrow(_search(chosen.dimension, count), "query_id long, vec_id long, score double")
     )
+
+
+def _ranked(found: DataFrame, count: int) -> DataFrame:
     pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(embeddings: DataFrame, every: int = 20, count: int = NEIGHBOURS) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest vectors found for each query.
+
+    Queries are the vectors whose vec_id is divisible by `every`, candidates all but the query's own id.
+    Rows that repeat a vec_id are one candidate with its best score; as a query, the smallest of their
+    vectors counts. Each query gets `count` vectors, or all candidates if they are fewer.
+    """
+    rows, dimension = clean(embeddings)
+    rows = written(rows, "vectors")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    vectors, scale = rows.agg(F.count(F.lit(1)), F.max(_norm("vector"))).first()
+    if not vectors:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    scale *= 1 + 1e-12
+    results = []
+    for quantile in QUANTILES:
+        cosine = _sample_cosine(rows, queries, scale, vectors, count, quantile)
+        chosen = plan(dimension, scale, cosine, vectors, count)
+        if not chosen.functions:
+            break
+        found = written(_ranked(_found(rows, queries, chosen, vectors, count), count), "found")
+        results.append(found)
+        # The last wanted one is close enough, so the plan held for all that are closer, too.
+        last = found.where(F.col("rank") == count).select(F.col("query_id").alias("vec_id"), "score")
+        enough = F.coalesce(F.col("score") >= chosen.cosine * scale * _norm("vector"), F.lit(False))
+        queries = written(queries.join(last, "vec_id", "left").where(~enough).drop("score"), "open_queries")
+        if queries.isEmpty():
+            break
+    if not queries.isEmpty():
+        every_one = plan(dimension, scale, 0.5, 0, count)  # one bucket
+        results.append(_found(rows, queries, every_one, vectors, count).select("query_id", "vec_id", "score"))
+    if not results:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, (r.select("query_id", "vec_id", "score") for r in results))
+    return _ranked(found, count)
