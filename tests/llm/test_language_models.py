@@ -63,6 +63,14 @@ def test_hot_pairs_and_packs(spark, monkeypatch):
     check(lm.score_documents(docs, targets.union(targets)).collect(), plain(rows, set(range(0, 60, 3))))
 
 
+def test_rare_words_of_a_large_vocabulary_count(spark):
+    """More words than 16 bits can number, in packs that hold more than that, too."""
+    rows = [(k, " ".join(f"w{1100 * k + j}" for j in range(1500))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    targets = docs.where("doc_id % 3 = 0").select("doc_id")
+    check(lm.score_documents(docs, targets).collect(), plain(rows, set(range(0, 80, 3)), 1 << 64))
+
+
 def test_target_like_documents_score_lower(spark):
     rows = [(k, ("red blue " if k % 2 else "cat dog ") * 20 + f"x{k}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -6,13 +6,14 @@ documents count, and documents are scored by the models that hold them. A docume
 over its words of the loss under the target model less that under the background model (in bits): low
 scores are like the target.
 
-1. Words are counted; the most frequent VOCABULARY words are the vocabulary, all others one unknown word.
-2. Documents become word numbers with their mark, in stored packs of some documents each.
-3. Words and pairs of the HOT most frequent words are counted in dense tables of fixed size, so a pair
-   that every document holds never gathers in one task.
-4. The other pairs: the distinct ones of a pack go, as sorted runs with their counts, to ranges of their
-   hash, where they are added up over the corpus; the sums go back to the packs. What travels is in
-   proportion to the input, and no row stands for a single word.
+1. Words are counted. All of them are known to the models; the most frequent ones are the hot words.
+2. Documents become stored packs of some documents each: the hashes of a pack's other words, and all
+   its words as numbers within the pack.
+3. Words and pairs of the hot words are counted in dense tables of fixed size, so a pair that every
+   document holds never gathers in one task.
+4. The other words and pairs: the distinct ones of a pack go by hash, as sorted runs with their counts,
+   to ranges of it, where they are added up over the corpus; the sums go back to the packs. What travels
+   is in proportion to the input, and no row stands for a single word.
 5. Each pack adds up the losses of its documents.
 """
 
@@ -31,10 +32,10 @@ from ..sources.shared import written
 from .groups import whole_groups
 from .texts import chunks, mix
 
-#: Known words; with the unknown word and the start of a text, numbers fit into 16 bits.
-VOCABULARY = 65_534
-UNKNOWN, START = 0, 1
-#: Word numbers below are hot: the unknown word, the start, and the most frequent words.
+#: Known words: as many as there are 64-bit hashes, so all.
+VOCABULARY = 1 << 64
+START = 0
+#: Word numbers below are hot: the start, and the most frequent words.
 HOT = 256
 #: Weight of the bigram estimate if the word before was seen.
 BIGRAM = 0.7
@@ -43,10 +44,14 @@ ADDED = 0.1
 #: Words that make a pack of documents, and words for each part that pairs are dealt to, at least.
 PACK_WORDS = 1 << 17
 PACK_PAIRS = 128
+#: Words for each part of the hash ranges, about: what a task adds up at once.
+PART_WORDS = 1 << 21
+#: Bytes of packs or counts that a task gathers before it handles them.
+SLAB = 8 << 20
 
 
-def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first, ties by hash."""
+def vocabulary(documents: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Hashes of the hot words, most frequent first, ties by hash; the number of distinct words, and of all."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,32 +61,20 @@ def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> np.ndarray:
                     [pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"]
                 )
 
-    counts = documents.select("text").mapInArrow(scan, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()  # `size` rows at most
-    return top["word"].to_numpy().view(np.uint64)
+    found = documents.select("text").mapInArrow(scan, "word long, n long")
+    counts = written(found.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(HOT - 1).select("word").toArrow()
+    return top["word"].to_numpy().view(np.uint64), *counts.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
 
-def numbered(documents: DataFrame, words: np.ndarray) -> DataFrame:
-    """The rows with `text` replaced by `words`: 16-bit word numbers."""
-    order = np.argsort(words)
-    shared = documents.sparkSession.sparkContext.broadcast((words[order], (order + 2).astype(np.uint16)))
-    others = [c for c in documents.columns if c != "text"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, numbers = shared.value
-        for batch in batches:
-            for chunk in chunks(batch.column(len(others))):
-                hashes = chunk.hashes()
-                ids = np.full(len(hashes), UNKNOWN, dtype=np.uint16)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    ids = np.where(known[at] == hashes, numbers[at], ids).astype(np.uint16)
-                own = [ids[a:b].tobytes() for a, b in zip(chunk.bounds[:-1], chunk.bounds[1:], strict=True)]
-                rows = [c.slice(chunk.first, chunk.rows) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(own, pa.binary())], [*others, "words"])
-
-    fields = documents.select(*others).schema.add("words", "binary")
-    return documents.select(*others, "text").mapInArrow(scan, fields)
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows doc_id, tie, target, text with `text` replaced by `words`: a 64-bit hash of each."""
+    for batch in batches:
+        for chunk in chunks(batch.column(3)):
+            hashes = chunk.hashes()
+            own = [hashes[a:b].tobytes() for a, b in zip(chunk.bounds[:-1], chunk.bounds[1:], strict=True)]
+            rows = [c.slice(chunk.first, chunk.rows) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(own, pa.binary())], ["doc_id", "tie", "target", "words"])
 
 
 def _pairs_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,28 +86,58 @@ def _pairs_of(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return before.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-_PACKS = "uid long, doc_id array<long>, tie array<long>, sizes array<int>, target array<boolean>, words binary"
-_PACK_NAMES = ["uid", "doc_id", "tie", "sizes", "target", "words"]
+def squeezed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as bytes that compress well: the steps between them, first bytes first."""
+    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
 
+def unsqueezed(content: bytes) -> np.ndarray:
+    steps = np.frombuffer(content, np.uint8).reshape(8, -1).T.copy()
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
-def packed(rows: DataFrame, words: int) -> DataFrame:
-    """Rows of doc_id, tie, words and target put together to packs of so many words at least."""
+
+_PACKS = (
+    "uid long, doc_id array<long>, tie array<long>, sizes array<int>, target array<boolean>, "
+    "known binary, words binary"
+)
+_PACK_NAMES = ["uid", "doc_id", "tie", "sizes", "target", "known", "words"]
+
+
+def packed(rows: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
+    """Rows of doc_id, tie, text and target put together to packs of so many words at least.
+
+    known: sorted hashes of the words that are not hot; words: numbers from HOT on stand for these, in
+    16 bits if that is enough, else in 32.
+    """
+    order = np.argsort(hot)
+    hot, numbers = hot[order], (order + 1).astype(np.uint32)  # HOT - 1 words at most
+
+    def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.zeros(len(hashes), dtype=np.uint32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+            ids = np.where(hot[at] == hashes, numbers[at], ids)
+        rare = ids == START
+        known, place = np.unique(hashes[rare], return_inverse=True)
+        ids[rare] = HOT + place
+        return known, ids.astype(np.uint16 if HOT + len(known) <= 1 << 16 else np.uint32)
 
     def one(uid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         content = table.column("words").to_pylist()
-        sizes = pa.array([len(c) // 2 for c in content], pa.int32())
+        sizes = pa.array([len(c) // 8 for c in content], pa.int32())
+        known, ids = numbered(np.frombuffer(b"".join(content), np.uint64))
         lists = [table.column("doc_id"), table.column("tie"), sizes, table.column("target")]
         whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
         return pa.RecordBatch.from_arrays(
-            [pa.array([uid], pa.int64()), *whole, pa.array([b"".join(content)], pa.binary())], _PACK_NAMES
+            [pa.array([uid], pa.int64()), *whole, pa.array([squeezed(known)]), pa.array([ids.tobytes()])], _PACK_NAMES
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 32
         held, size = [], 0
-        for batch in batches:
-            ends = np.cumsum([len(c) // 2 for c in batch.column("words").to_pylist()])
+        for batch in _hashed(batches):
+            ends = np.cumsum([len(c) // 8 for c in batch.column("words").to_pylist()])
             first = 0
             while first < batch.num_rows:
                 done = int(ends[first - 1]) if first else 0
@@ -129,82 +152,86 @@ def packed(rows: DataFrame, words: int) -> DataFrame:
         if held:
             yield one(uid, held)
 
-    return rows.select("doc_id", "tie", "words", "target").mapInArrow(scan, _PACKS)
+    return rows.select("doc_id", "tie", "target", "text").mapInArrow(scan, _PACKS)
 
 
 @dataclass
 class Pack:
-    """The words of some documents, each with the one before it and its document."""
+    """The words of some documents, each with the one before it and its document; hashes of words not hot."""
 
     words: np.ndarray
     before: np.ndarray
     owner: np.ndarray
     target: np.ndarray
+    known: np.ndarray
 
     @property
     def hot(self) -> np.ndarray:
         return (self.before < HOT) & (self.words < HOT)
 
-    def rare_pairs(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs that are not hot, by part; the part of each; the place of each such word among them."""
+    def rare_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted 64-bit hashes of the distinct pairs that are not hot; the place of each such word among them."""
         rare = ~self.hot
-        pairs = (self.before[rare] << 16 | self.words[rare]).astype(np.uint32)
-        distinct, place = np.unique(pairs, return_inverse=True)
-        part = (mix(distinct) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        at = np.empty(len(order), dtype=np.int64)
-        at[order] = np.arange(len(order))
-        return distinct[order], part[order].astype(np.int64), at[place]
+        names = np.concatenate([mix(np.arange(1, HOT + 1)), self.known])
+        return np.unique(mix(mix(names[self.before[rare]]) + names[self.words[rare]]), return_inverse=True)
+
+
+def _cuts(hashes: np.ndarray, parts: int) -> list[int]:
+    """Where each range of sorted hashes begins, and the end."""
+    part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64)).tolist()
 
 
-def _pack(words: bytes, sizes: np.ndarray, target: np.ndarray) -> Pack:
-    ids = np.frombuffer(words, np.uint16)
+def _pack(words: bytes, sizes: np.ndarray, target: np.ndarray, known: bytes) -> Pack:
+    ids = np.frombuffer(words, np.uint16 if len(words) == 2 * sizes.sum() else np.uint32)
     before, owner = _pairs_of(ids, sizes)
-    return Pack(ids.astype(np.int64), before, owner, target)
+    return Pack(ids.astype(np.int64), before, owner, target, unsqueezed(known))
 
 
 def _packs(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Pack]]:
-    columns = (table.column(c) for c in ("uid", "sizes", "target", "words"))
-    for uid, sizes, target, words in zip(*columns, strict=True):
+    columns = (table.column(c) for c in ("uid", "sizes", "target", "known", "words"))
+    for uid, sizes, target, known, words in zip(*columns, strict=True):
         own = sizes.values.to_numpy(), target.values.to_numpy(zero_copy_only=False)
-        yield uid.as_py(), _pack(words.as_py(), *own)
+        yield uid.as_py(), _pack(words.as_py(), *own, known.as_py())
 
 
 @dataclass(frozen=True)
 class Model:
-    """Counts of words, of words as the one before, and of hot pairs; a column each for target and rest."""
+    """Counts of hot words, of hot words as the one before, of hot pairs, and of all words; a column each for
+    target and rest. size: number of distinct words."""
 
     words: np.ndarray
     before: np.ndarray
     hot: np.ndarray
-
-    def loss(self, first: np.ndarray, second: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Bits of words after others under both models; pairs: how often both models saw them so."""
-        total, size = self.words.sum(axis=0), len(self.words) - 1  # START is never predicted
-        alone = (self.words[second] + ADDED) / (total + ADDED * size)
-        seen = self.before[first]
-        given = np.where(seen > 0, pairs / np.maximum(seen, 1), 0)
-        weight = np.where(seen > 0, BIGRAM, 0.0)
+    total: np.ndarray
+    size: int
+
+    def loss(self, words: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Bits of words under both models that saw them, the ones before and the pairs so often."""
+        alone = (words + ADDED) / (self.total + ADDED * (self.size + 1))  # one more: words that nobody has seen
+        given = np.where(before > 0, pairs / np.maximum(before, 1), 0)
+        weight = np.where(before > 0, BIGRAM, 0.0)
         return -np.log2(weight * given + (1 - weight) * alone)
 
 
 def count_model(packs: DataFrame, size: int) -> Model:
-    """The model of packs; `size` word numbers."""
+    """The model of packs that hold `size` distinct words."""
+    sizes = HOT, HOT, HOT * HOT, 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros((size, 2), dtype=np.int64)
-        before = np.zeros((size, 2), dtype=np.int64)
-        hot = np.zeros((HOT * HOT, 2), dtype=np.int64)
+        tables = [np.zeros((n, 2), dtype=np.int64) for n in sizes]
+        words, before, hot, total = tables
         for batch in batches:
             for _, pack in _packs(batch):
                 for k in (0, 1):
                     own = pack.target[pack.owner] == (k == 0)
                     a, b = pack.before[own], pack.words[own]
-                    words[:, k] += np.bincount(b, minlength=size)
-                    before[:, k] += np.bincount(a, minlength=size)
+                    words[:, k] += np.bincount(b[b < HOT], minlength=HOT)
+                    before[:, k] += np.bincount(a[a < HOT], minlength=HOT)
                     both = (a < HOT) & (b < HOT)
                     hot[:, k] += np.bincount(a[both] * HOT + b[both], minlength=HOT * HOT)
-        for kind, table in enumerate((words, before, hot)):
+                    total[0, k] += len(b)
+        for kind, table in enumerate(tables):
             some = np.flatnonzero(table.any(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -215,72 +242,84 @@ def count_model(packs: DataFrame, size: int) -> Model:
             )
 
     schema = "kind int, place long, target long, rest long"
-    sums = packs.select("uid", "sizes", "target", "words").mapInArrow(scan, schema).groupBy("kind", "place")
+    sums = packs.select("uid", "sizes", "target", "known", "words").mapInArrow(scan, schema).groupBy("kind", "place")
     table = sums.agg(F.sum("target").alias("target"), F.sum("rest").alias("rest")).toArrow()  # the sizes of `scan`
-    parts = [np.zeros((size, 2)), np.zeros((size, 2)), np.zeros((HOT * HOT, 2))]
+    parts = [np.zeros((n, 2)) for n in sizes]
     kinds, place = table["kind"].to_numpy(), table["place"].to_numpy()
     for kind, part in enumerate(parts):
         own = kinds == kind
         part[place[own], 0] = table["target"].to_numpy()[own]
         part[place[own], 1] = table["rest"].to_numpy()[own]
-    return Model(*parts)
+    return Model(*parts, size)
 
 
-_COUNTS = "uid long, part int, pairs binary, seen binary"
-_COUNT_NAMES = ["uid", "part", "pairs", "seen"]
+_COUNTS = "uid long, part int, pairs binary, singles binary, seen binary, alone binary"
+_COUNT_NAMES = ["uid", "part", "pairs", "singles", "seen", "alone"]
 
 
 def _counts(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], _COUNT_NAMES)
 
 
+def _added_up(hashes: list[bytes], counts: list[bytes], width: int) -> list[bytes]:
+    """For runs of hashes with `width` counts each, the same runs' sums over all of them."""
+    own = np.frombuffer(b"".join(counts), np.uint32).reshape(-1, width)
+    runs = [unsqueezed(h) for h in hashes]
+    distinct, place = np.unique(np.concatenate(runs), return_inverse=True)
+    out = np.empty(own.shape, dtype=np.uint32)
+    for k in range(width):
+        total = np.bincount(place, own[:, k], len(distinct))
+        if len(total) and total.max() >= 1 << 32:
+            raise OverflowError("a word or pair outside the hot ones occurs more than 2**32 times: raise HOT")
+        out[:, k] = total.astype(np.uint32)[place]
+    ends = np.cumsum([len(run) for run in runs]).tolist()
+    return [out[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
-    """uid, part, seen: for each pack's distinct rare pairs of a part, in order, how often target and
-    background documents of the whole corpus hold them (two 32-bit numbers each)."""
+    """uid, part, seen, alone: for each pack's distinct rare pairs of a part, in order, how often target and
+    background documents of the whole corpus hold them (two 32-bit numbers each); for its words that are
+    not hot, how often both hold them and have them before another word (four)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, pack in _packs(batch):
-                pairs, part, place = pack.rare_pairs(parts)
-                target = pack.target[pack.owner[~pack.hot]]
-                seen = np.stack(
-                    [np.bincount(place, target == mark, minlength=len(pairs)) for mark in (True, False)], axis=1
-                ).astype(np.uint32)
-                cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+                marks = [pack.target[pack.owner] == mark for mark in (True, False)]
+                pairs, place = pack.rare_pairs()
+                rare = ~pack.hot
+                seen = np.stack([np.bincount(place, m[rare], len(pairs)) for m in marks], axis=1)
+                size = HOT + len(pack.known)
+                alone = [np.bincount(x, m, size)[HOT:] for x in (pack.words, pack.before) for m in marks]
+                seen, alone = seen.astype(np.uint32), np.stack(alone, axis=1).astype(np.uint32)
+                x, y, known = _cuts(pairs, parts), _cuts(pack.known, parts), pack.known
                 yield _counts(
                     [
-                        (uid, p, pairs[x:y].tobytes(), seen[x:y].tobytes())
-                        for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-                        if x < y
+                        (uid, p, squeezed(pairs[a:b]), squeezed(known[c:d]), seen[a:b].tobytes(), alone[c:d].tobytes())
+                        for p, (a, b, c, d) in enumerate(zip(x[:-1], x[1:], y[:-1], y[1:], strict=True))
+                        if a < b or c < d
                     ]
                 )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["part"]):
+        for table, bounds in whole_groups(batches, ["part"], SLAB):
             uids, of = table.column("uid").to_pylist(), table.column("part").to_pylist()
-            content, counts = (table.column(c).to_pylist() for c in ("pairs", "seen"))
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                pairs = np.frombuffer(b"".join(content[low:high]), np.uint32)
-                seen = np.frombuffer(b"".join(counts[low:high]), np.uint32).reshape(-1, 2)
-                distinct, place = np.unique(pairs, return_inverse=True)
-                total = np.stack([np.bincount(place, seen[:, k], len(distinct)) for k in (0, 1)], axis=1)
-                if len(total) and total.max() >= 1 << 32:
-                    raise OverflowError("a pair outside the hot words occurs more than 2**32 times: raise HOT")
-                sizes = np.cumsum([len(c) // 4 for c in content[low:high]])[:-1]
-                own = np.split(total.astype(np.uint32)[place], sizes)
+                own = table.slice(low, high - low)
+                pairs, singles, seen, alone = (own.column(c).to_pylist() for c in _COUNT_NAMES[2:])
+                seen, alone = _added_up(pairs, seen, 2), _added_up(singles, alone, 4)
                 yield _counts(
-                    [(u, of[low], None, x.tobytes()) for u, x in zip(uids[low:high], own, strict=True)]
+                    [(u, of[low], None, None, x, y) for u, x, y in zip(uids[low:high], seen, alone, strict=True)]
                 )
 
     return (
-        packs.select("uid", "sizes", "target", "words")
+        packs.select("uid", "sizes", "target", "known", "words")
         .mapInArrow(emit, _COUNTS)
         .repartition("part")
         .sortWithinPartitions("part", "uid")
         .mapInArrow(add, _COUNTS)
-        .drop("pairs")
+        .drop("pairs", "singles")
     )
 
 
@@ -290,19 +329,20 @@ def scored(packs: DataFrame, model: Model, parts: int) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for table, bounds in whole_groups(batches, ["uid"]):
-            seen = table.column("seen").to_pylist()
+        for table, bounds in whole_groups(batches, ["uid"], SLAB):
+            seen, alone = table.column("seen").to_pylist(), table.column("alone").to_pylist()
             heads = table.take(pa.array(bounds[:-1]))  # a pack comes first, then its counts by part
             for (_, pack), low, high, k in zip(
                 _packs(heads), bounds[:-1].tolist(), bounds[1:].tolist(), range(len(heads)), strict=True
             ):
-                counts = np.frombuffer(b"".join(seen[low + 1 : high]), np.uint32).reshape(-1, 2)
-                _, _, place = pack.rare_pairs(parts)
+                _, place = pack.rare_pairs()
                 held = np.empty((len(pack.words), 2))
                 hot = pack.hot
                 held[hot] = model.hot[pack.before[hot] * HOT + pack.words[hot]]
-                held[~hot] = counts[place]
-                loss = model.loss(pack.before, pack.words, held)
+                held[~hot] = np.frombuffer(b"".join(seen[low + 1 : high]), np.uint32).reshape(-1, 2)[place]
+                rest = np.frombuffer(b"".join(alone[low + 1 : high]), np.uint32).reshape(-1, 4)
+                words = np.concatenate([model.words, rest[:, :2]])[pack.words]
+                loss = model.loss(words, np.concatenate([model.before, rest[:, 2:]])[pack.before], held)
                 sums = [np.bincount(pack.owner, loss[:, m], len(pack.target)).astype(float) for m in (0, 1)]
                 docs, ties, sizes = (heads.column(c)[k].values for c in ("doc_id", "tie", "sizes"))
                 yield pa.RecordBatch.from_arrays(
@@ -311,10 +351,11 @@ def scored(packs: DataFrame, model: Model, parts: int) -> DataFrame:
                 )
 
     none = F.lit(None)
-    counted = pair_counts(packs, parts).select(
-        "uid", "part", *(none.cast(packs.schema[c].dataType).alias(c) for c in _PACK_NAMES[1:]), "seen"
+    counted = written(pair_counts(packs, parts), "pair_counts").select(
+        "uid", "part", *(none.cast(packs.schema[c].dataType).alias(c) for c in _PACK_NAMES[1:]), "seen", "alone"
     )
-    whole = packs.select("uid", F.lit(-1).alias("part"), *_PACK_NAMES[1:], none.cast("binary").alias("seen"))
+    no_counts = [none.cast("binary").alias(c) for c in ("seen", "alone")]
+    whole = packs.select("uid", F.lit(-1).alias("part"), *_PACK_NAMES[1:], *no_counts)
     return (
         whole.unionByName(counted)
         .repartition("uid")
@@ -330,19 +371,17 @@ def score_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     all. Losses are in bits a word. A null or empty text has null losses. Repeated rows count each. If a
     model has no words, all words are equally likely under it.
     """
-    words = vocabulary(documents)
+    hot, size, total = vocabulary(documents)
     chosen = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    rows = numbered(
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"), words
-    )
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     marked = rows.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left").withColumn(
         "target", F.coalesce("target", F.lit(False))
     )
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
     # Sorted, so that packs are the same if a task is run again. A pack has enough pairs for each part.
-    packs = packed(marked.sortWithinPartitions("doc_id", "tie"), max(PACK_WORDS, PACK_PAIRS * parts))
+    packs = packed(marked.sortWithinPartitions("doc_id", "tie"), max(PACK_WORDS, PACK_PAIRS * parts), hot)
     packs = written(packs, "packs")
-    sums = scored(packs, count_model(packs, len(words) + 2), parts)
+    sums = scored(packs, count_model(packs, size), parts)
     mean = [F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")) for c in ("target_bits", "rest_bits")]
     return sums.select(
         "doc_id", "n_words", mean[0].alias("target_loss"), mean[1].alias("background_loss"),
