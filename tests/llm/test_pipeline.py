@@ -1,7 +1,7 @@
 import corpus_pipeline
 import pytest
 
-from tokentally.llm import toxicity
+from tokentally.llm import near_duplicates, toxicity
 
 
 def test_stages_on_the_tables(spark, tables, tmp_path):
@@ -49,3 +49,16 @@ def test_odd_rows_in_each_stage(spark, tables, k):
             assert out.columns == docs.columns
         found = out.collect()
         assert not found if frame is not docs else found
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    """Pairs that share 96 of 117 shingles (0.82) are one document here; with 25 more words (0.79) they are two."""
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{j}" for j in range(100)]
+        more = 21 if k < 10 else 25
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"end{k}x{j}" for j in range(more)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()}
+    assert kept == {2 * k for k in range(20)} | {2 * k + 1 for k in range(10, 20)}
+    assert near_duplicates.without_near_duplicates(docs).count() == 40

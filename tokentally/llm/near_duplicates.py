@@ -1,7 +1,8 @@
 """Operator 5: near-duplicate documents by a multi-index Hamming join of MinHash signatures.
 
 Words are lower-cased (A-Z), a document's set holds the distinct shingles of five words, and documents
-with Jaccard similarity of 0.85 or more are linked.
+with Jaccard similarity of 0.85 or more are linked. Callers may ask for another similarity, with the
+distance bound that fits it; the numbers below are those of 0.85.
 
 1. Each document gets its set's size, its 128-bit key and a signature of 64 symbols of 16 bits.
    Documents with one set are one node from here on, so copies are never paired.
@@ -21,6 +22,7 @@ Shingles and sets are 64-bit hashes; sets are told apart by 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +37,30 @@ SHINGLE = 5
 SIMILAR = 85  # per cent
 SYMBOLS = 64
 DISTANCE = 21
-CHUNKS = 11
 #: Nodes of a block; a cell compares two blocks at most.
 BLOCK = 256
 #: Pairs compared at once.
 PAIRS = 1 << 16
 
-EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).astype(int)
-CHUNK_OF = np.repeat(np.arange(CHUNKS), np.diff(EDGES))
 
+@dataclass(frozen=True)
+class Rule:
+    """Similarity in per cent that links documents, and the errors of signatures within which they are sought."""
+
+    similar: int = SIMILAR
+    distance: int = DISTANCE
+
+    @property
+    def edges(self) -> np.ndarray:
+        """Where chunks begin, and the end: as many as cannot all have two errors."""
+        return np.linspace(0, SYMBOLS, self.distance // 2 + 2).astype(int)
+
+    @property
+    def chunk_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+
+
+RULE = Rule()
 _SHINGLES = Powers(31)
 _FLIP = (constants(32, SYMBOLS) >> np.uint64(32)).astype(np.uint32)[:, None]
 _TIMES = ((constants(33, SYMBOLS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
@@ -123,38 +140,44 @@ def _symbols(column: pa.Array) -> np.ndarray:
     return flat[first : first + 2 * SYMBOLS * len(column)].view(np.uint16).reshape(-1, SYMBOLS)
 
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
+def chunk_keys(symbols: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     """For each signature and symbol, a key of that symbol's chunk with the symbol left out."""
     parts = mix(symbols.astype(np.uint64) + _CHUNK_SEEDS)
-    whole = np.add.reduceat(parts, EDGES[:-1], axis=1)
-    return mix(whole[:, CHUNK_OF] - parts + _CHUNK_SEEDS)
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 2048):
-            part = batch.slice(k, 2048)
-            keys = chunk_keys(_symbols(part.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.ravel().view(np.int64)),
-                    pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int32), part.num_rows)),
-                    pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS)),
-                ],
-                ["key", "symbol", "node"],
-            )
+    whole = np.add.reduceat(parts, rule.edges[:-1], axis=1)
+    return mix(whole[:, rule.chunk_of] - parts + _CHUNK_SEEDS)
 
 
-def close_pairs(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+def _keys(rule: Rule):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                keys = chunk_keys(_symbols(part.column(1)), rule)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys.ravel().view(np.int64)),
+                        pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int32), part.num_rows)),
+                        pa.array(np.repeat(part.column(0).to_numpy(), SYMBOLS)),
+                    ],
+                    ["key", "symbol", "node"],
+                )
+
+    return scan
+
+
+def close_pairs(
+    symbols: np.ndarray, a: np.ndarray, b: np.ndarray, symbol: np.ndarray, rule: Rule = RULE
+) -> np.ndarray:
     """Which pairs are within the distance and meet under their first common key, that of `symbol`."""
     wrong = symbols[a] != symbols[b]
-    near = np.flatnonzero(np.count_nonzero(wrong, axis=1) <= DISTANCE)
+    near = np.flatnonzero(np.count_nonzero(wrong, axis=1) <= rule.distance)
     wrong = wrong[near]
-    errors = np.add.reduceat(wrong.astype(np.int8), EDGES[:-1], axis=1)
+    edges, chunk_of = rule.edges, rule.chunk_of
+    errors = np.add.reduceat(wrong.astype(np.int8), edges[:-1], axis=1)
     chunk = np.argmax(errors <= 1, axis=1)
     rows = np.arange(len(near))
-    spot = np.argmax(wrong & (CHUNK_OF[None, :] == chunk[:, None]), axis=1)
-    first = np.where(errors[rows, chunk] == 0, EDGES[chunk], spot)
+    spot = np.argmax(wrong & (chunk_of[None, :] == chunk[:, None]), axis=1)
+    first = np.where(errors[rows, chunk] == 0, edges[chunk], spot)
     result = np.zeros(len(a), dtype=bool)
     result[near] = first == symbol[near]
     return result
@@ -163,28 +186,32 @@ def close_pairs(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, symbol: np.nd
 _CELL = ["key", "i", "j"]
 
 
-def _pairs(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(table: pa.Table, bounds: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of each cell that cells must check, as row numbers."""
     symbols = _symbols(table.column("signature"))
     i, j, block, symbol = (table.column(c).to_numpy() for c in ("i", "j", "block", "symbol"))
     for a, b in pairs_within(bounds, PAIRS):
         right = (i[a] == j[a]) | (block[a] != block[b])
         a, b = a[right], b[right]
-        close = close_pairs(symbols, a, b, symbol[a])
+        close = close_pairs(symbols, a, b, symbol[a], rule)
         yield a[close], b[close]
 
 
-def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_pairs(rule: Rule):
     """The rows of cells that have a pair to check."""
-    for table, bounds in whole_groups(batches, _CELL):
-        used = np.zeros(table.num_rows, dtype=bool)
-        for a, b in _pairs(table, bounds):
-            used[a] = used[b] = True
-        if used.any():
-            yield from table.filter(pa.array(used)).to_batches()
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, _CELL):
+            used = np.zeros(table.num_rows, dtype=bool)
+            for a, b in _pairs(table, bounds, rule):
+                used[a] = used[b] = True
+            if used.any():
+                yield from table.filter(pa.array(used)).to_batches()
+
+    return scan
 
-def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+
+def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
     """Whether each pair of sets reaches the similarity, computed on the shingles that two sets share."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -202,39 +229,43 @@ def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
         part[owner[x:y], place[x:y] - low] = 1
         common += part @ part.T  # whole numbers below 2**24: exact
     both = common[a, b]
-    return 100 * both >= SIMILAR * (sizes[a] + sizes[b] - both)
+    return 100 * both >= similar * (sizes[a] + sizes[b] - both)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(rule: Rule):
     """Links that connect the nodes of each cell as far as similar pairs do."""
-    for table, bounds in whole_groups(batches, _CELL):
-        nodes = table.column("node").to_numpy()
-        content = table.column("shingles").combine_chunks()
-        found: dict[int, tuple[list, list]] = {}
-        for a, b in _pairs(table, bounds):
-            group = np.searchsorted(bounds, a, "right") - 1
-            cuts = np.flatnonzero(np.diff(group)) + 1
-            for g, x, y in zip(group[np.append(0, cuts)] if len(a) else [], np.split(a, cuts), np.split(b, cuts)):
-                one, two = found.setdefault(int(g), ([], []))
-                one.append(x)
-                two.append(y)
-        left, right = [], []
-        for g, (one, two) in found.items():
-            a, b = np.concatenate(one) - bounds[g], np.concatenate(two) - bounds[g]
-            used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-            a, b = back[: len(a)], back[len(a) :]
-            sets = [np.frombuffer(content[int(bounds[g] + k)].as_buffer(), np.uint64) for k in used]
-            fits = _similar(sets, a, b)
-            forest = Forest(len(used))
-            own = nodes[bounds[g] + used]
-            for x, y in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
-                if forest.join(x, y):
-                    left.append(own[x])
-                    right.append(own[y])
-        if left:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(left, np.int64)), pa.array(np.array(right, np.int64))], ["a", "b"]
-            )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, _CELL):
+            nodes = table.column("node").to_numpy()
+            content = table.column("shingles").combine_chunks()
+            found: dict[int, tuple[list, list]] = {}
+            for a, b in _pairs(table, bounds, rule):
+                group = np.searchsorted(bounds, a, "right") - 1
+                cuts = np.flatnonzero(np.diff(group)) + 1
+                for g, x, y in zip(group[np.append(0, cuts)] if len(a) else [], np.split(a, cuts), np.split(b, cuts)):
+                    one, two = found.setdefault(int(g), ([], []))
+                    one.append(x)
+                    two.append(y)
+            left, right = [], []
+            for g, (one, two) in found.items():
+                a, b = np.concatenate(one) - bounds[g], np.concatenate(two) - bounds[g]
+                used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+                a, b = back[: len(a)], back[len(a) :]
+                sets = [np.frombuffer(content[int(bounds[g] + k)].as_buffer(), np.uint64) for k in used]
+                fits = _similar(sets, a, b, rule.similar)
+                forest = Forest(len(used))
+                own = nodes[bounds[g] + used]
+                for x, y in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
+                    if forest.join(x, y):
+                        left.append(own[x])
+                        right.append(own[y])
+            if left:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(left, np.int64)), pa.array(np.array(right, np.int64))], ["a", "b"]
+                )
+
+    return scan
 
 
 def _shingle_sets(documents: DataFrame) -> DataFrame:
@@ -262,9 +293,9 @@ def _set_rows(nodes: list[int], content: list[bytes]) -> pa.RecordBatch:
     )
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
+def _cells(nodes: DataFrame, rule: Rule) -> DataFrame:
     """Rows key, i, j, block, symbol, node, signature: the nodes of each key that has two, by cells."""
-    keys = nodes.select("node", "signature").mapInArrow(_keys, "key long, symbol int, node long")
+    keys = nodes.select("node", "signature").mapInArrow(_keys(rule), "key long, symbol int, node long")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -296,20 +327,20 @@ def set_nodes(prints: DataFrame) -> DataFrame:
     )
 
 
-def similar_links(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+def similar_links(documents: DataFrame, nodes: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Links (a, b) between nodes that connect all nodes of similar documents."""
     columns = "key long, i int, j int, block int, symbol int, node long, signature binary"
-    close = written(_by_cell(_cells(nodes)).mapInArrow(_with_pairs, columns), "cells")
+    close = written(_by_cell(_cells(nodes, rule)).mapInArrow(_with_pairs(rule), columns), "cells")
     chosen = nodes.join(close.select("node").distinct(), "node", "left_semi").select("of", "of_tie")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     texts = texts.join(
         chosen, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left_semi"
     )
     sets = _shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return _by_cell(close.join(sets, "node")).mapInArrow(_links, "a long, b long")
+    return _by_cell(close.join(sets, "node")).mapInArrow(_links(rule), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, rule: Rule = RULE) -> DataFrame:
     """doc_id, tie, n_shingles, component_id, kept, node of every document.
 
     component_id is the smallest doc_id that links reach; kept: doc_id = component_id. A null or
@@ -319,7 +350,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     prints = written(fingerprints(documents), "fingerprints")
     nodes = set_nodes(prints)
-    found = components(similar_links(documents, nodes))
+    found = components(similar_links(documents, nodes, rule))
     joined = nodes.select("node", "low").join(found, "node", "left")
     joined = joined.withColumn("group", F.coalesce("component", "node"))
     lowest = joined.groupBy("group").agg(F.min("low").alias("component_id"))
@@ -333,14 +364,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def without_near_duplicates(documents: DataFrame) -> DataFrame:
+def without_near_duplicates(documents: DataFrame, rule: Rule = RULE) -> DataFrame:
     """One document of each group, with all its columns.
 
     That is the one with the smallest doc_id; of several rows with this doc_id, the one whose text
     hash is smallest, and one of exactly repeated rows. Rows without words all stay, and so do rows
     with a null doc_id.
     """
-    marked = near_duplicates(documents)
+    marked = near_duplicates(documents, rule)
     alone = F.col("node").isNull() | F.col("component_id").isNull()
     kept = (
         marked.where(~alone & F.col("kept"))
