@@ -59,6 +59,22 @@ def test_each_template_is_found_whole_wrapped_and_changed(templates, place):
         assert [f[1] for f in found] == [name]
 
 
+def test_notices_within_long_lines(spark):
+    filler = "plain words of a longer line that tell of something else "
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
+    rows = [
+        (1, "Copyright 2024 Example Corporation and its affiliates, Springfield. All rights reserved."),
+        (2, filler * 2 + mit + " " + filler * 2),
+        (3, filler * 40 + mit + " " + filler + cc + " " + filler * 40),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.line, r.license, r.notice) for r in ls.scan_licenses(docs).collect())
+    assert got == [
+        (1, 0, "Proprietary", "All rights reserved"), (2, 0, "MIT", mit[:-1]),
+        (3, 0, "CC-BY-NC-4.0", cc[:-1]), (3, 0, "MIT", mit[:-1]),
+    ]
+
+
 def test_other_talk_of_licenses_is_not_a_notice(templates):
     for text in ("The license plate was lost.", "Copyright law is old.", "Please license your dog and the cat of the house."):
         assert list(notices(templates, text)) == []

@@ -1,16 +1,19 @@
 """Operator 2: license notices by conditional compression.
 
-Candidate blocks are lines that hold a cue ("licens", "copyright" ...), alone and with the lines around
-them up to blank ones. Each is compressed by zstandard alone and with every template as a raw
-dictionary; a template that saves much explains the block. The templates that save most are confirmed
-by exact wording: the words of the template that the block lacks or has otherwise, by an edit distance
-to the best run of the block. The confirmed template with the fewest differences wins, then the one
-that saves more bytes.
+Candidate blocks are runs of words around a cue ("licens", "copyright" ...), over line ends and blank
+lines: for each template that holds the cue, the words where the template would lie, and as many more on
+both sides as it may differ in. Runs that lack too many words of the template cannot hold it and are left
+out. Each block is compressed by zstandard alone and with every template as a raw dictionary; the
+templates that save enough are confirmed by exact wording: the words of the template that the block lacks
+or has otherwise, by an edit distance to the best run of the block. The confirmed template with most words
+right wins the block, then the one that saves more bytes; of notices that share words, the one with most
+words right stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -28,13 +31,8 @@ from .license_texts import CUES, TEMPLATES
 LEVEL = 3
 #: Share of a block's compressed bytes that a template must save to be looked at.
 LEAST_SAVED = 0.2
-#: Templates that save most, of which the wording is compared.
-COMPARED = 5
 #: A template is confirmed with at most one different word for so many of its words.
 WORDS_PER_DIFFERENCE = 8
-#: Lines of a block before and after the one with a cue: more than the longest template takes.
-BEFORE = 8
-LINES = 60
 _CUES = "|".join(r"\s+".join(cue.split()) for cue in CUES)  # a cue may be wrapped
 _CUE = re.compile(_CUES, re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
@@ -42,7 +40,7 @@ _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 
 def words(text: str) -> list[str]:
     """Words in lower case, without punctuation around them."""
-    return _WORD.findall(text.lower())
+    return [word.lower() for word in _WORD.findall(text)]
 
 
 def numbers(text: Sequence[str], known: dict[str, int]) -> np.ndarray:
@@ -72,36 +70,59 @@ class Templates:
     def judge(self, block: str) -> tuple | None:
         """(license, template, saved share, differences, first word, last word) of the winner, or None."""
         *saved, alone = self.saved(block).tolist()
-        order = sorted(range(len(saved)), key=lambda k: (-saved[k], k))
         known: dict[str, int] = {}
         own = numbers(words(block), known)
         best = None
-        for k in [k for k in order if saved[k] >= LEAST_SAVED * alone][:COMPARED]:
+        for k in [k for k in range(len(saved)) if saved[k] >= LEAST_SAVED * alone]:
             wanted = numbers(self.words[k], known)
             if not len(own) or not len(wanted):
                 continue
             differences = int(edit_distances(wanted, own, anywhere=True).min())
             if differences <= len(wanted) // WORDS_PER_DIFFERENCE:
-                rank = (differences, -len(wanted), -saved[k], k)
+                rank = (2 * differences - len(wanted), -saved[k], k)
                 if best is None or rank < best[0]:
                     _, first, end = best_run(wanted, own)
                     best = rank, (self.licenses[k], k, saved[k] / alone, differences, first, end - 1)
         return best and best[1]
 
 
-def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(first line, lines) of each line with a cue, alone and with the lines around it up to blank ones."""
-    lines = text.split("\n")
-    ends = np.cumsum([len(line) + 1 for line in lines])
-    for k in np.unique(np.searchsorted(ends, [m.start() for m in _CUE.finditer(text)], "right")).tolist():
-        yield k, [lines[k]]
-        low, high = k, k + 1
-        while low > max(0, k - BEFORE) and lines[low - 1].strip():
-            low -= 1
-        while high < min(len(lines), k + LINES) and lines[high].strip():
-            high += 1
-        if high - low > 1:
-            yield low, lines[low:high]
+def _cues(text: str, starts: list[int]) -> list[tuple[str, int]]:
+    """Each cue of a text and the number of the word it begins in."""
+    found = ((" ".join(m.group().lower().split()), m.start()) for m in _CUE.finditer(text))
+    return [(cue, bisect_right(starts, place) - 1) for cue, place in found]
+
+
+@lru_cache(maxsize=4)
+def _runs(known: tuple) -> dict[str, list[tuple[int, int, frozenset, int]]]:
+    """For each cue: words before it and from it on that a template takes, its distinct words, and how many may lack."""
+    runs: dict[str, set] = {}
+    for _, text in known:
+        starts = [m.start() for m in _WORD.finditer(text)]
+        edits = len(starts) // WORDS_PER_DIFFERENCE
+        for cue, at in _cues(text, starts):
+            run = at + edits, len(starts) - at + edits, frozenset(words(text)), edits
+            runs.setdefault(cue, set()).add(run)
+    return {cue: sorted(own, key=lambda run: (*run[:2], sorted(run[2]))) for cue, own in runs.items()}
+
+
+def windows(text: str, known: tuple) -> list[tuple[int, int, str]]:
+    """(first word, its line, text) of each run of words that may hold a template."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    own = [text[a:b].lower() for a, b in places]
+    runs, found = _runs(known), set()
+    for cue, at in _cues(text, [a for a, _ in places]):
+        for before, after, wanted, edits in runs.get(cue, ()):
+            low, high = max(0, at - before), min(len(own), at + after)
+            if (low, high) not in found and len(wanted.intersection(own[low:high])) >= len(wanted) - edits:
+                found.add((low, high))
+    lines = [m.start() for m in re.finditer("\n", text)]
+    return [(x, bisect_right(lines, places[x][0]), text[places[x][0] : places[y - 1][1]]) for x, y in sorted(found)]
+
+
+def blocks(text: str, templates: Sequence[tuple[str, str]] = TEMPLATES) -> Iterator[tuple[int, list[str]]]:
+    """(first line, lines) of each candidate block."""
+    for _, line, block in windows(text, tuple(templates)):
+        yield line, block.split("\n")
 
 
 def _lines_of(block: list[str], first: int, last: int) -> tuple[int, int]:
@@ -121,16 +142,16 @@ def judgement(templates: Templates, block: str) -> tuple | None:
 
 
 def without_overlaps(found: list[tuple[int, int, int, int]]) -> list[int]:
-    """Of notices (words right, first line, last line, number) those that stay, by number.
+    """Of notices (words right, first and last word or line, number) those that stay, by number.
 
-    Of notices that share lines the one with most words right stays, then the first one.
+    Of notices that share words (lines) the one with most words right stays, then the first one.
     """
     taken: set[int] = set()
     kept = []
     for _, low, high, number in sorted(found, key=lambda x: (-x[0], *x[1:])):
-        lines = range(low, high + 1)
-        if taken.isdisjoint(lines):
-            taken.update(lines)
+        places = range(low, high + 1)
+        if taken.isdisjoint(places):
+            taken.update(places)
             kept.append(number)
     return kept
 
@@ -140,33 +161,34 @@ def _templates(known: tuple) -> Templates:
     return Templates(known)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(known: tuple):
     """The candidate blocks of each text."""
-    for batch in batches:
-        rows, docs, starts, texts = [], [], [], []
-        for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for start, block in blocks(text):
-                rows.append(row)
-                docs.append(doc)
-                starts.append(start)
-                texts.append("\n".join(block))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(rows, pa.int64()), pa.array(docs, pa.int64()),
-                pa.array(starts, pa.int32()), pa.array(texts, pa.string()),
-            ],
-            ["row", "doc_id", "start", "block"],
-        )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (row, doc, *block)
+                for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for block in windows(text, known)
+            ]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+                ["row", "doc_id", "word", "start", "block"],
+            )
+
+    return scan
 
 
 def _winners(known: tuple):
-    types = [pa.string(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4]
-    names = ["block", "license", "template", "saved", "differences", "low", "high", "right"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 3]
+    names = ["block", "license", "template", "saved", "differences", "first", "last"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _templates(known)
         for batch in batches:
-            found = [(block, judgement(own, block)) for block in batch.column(0).to_pylist()]
+            found = [(block, own.judge(block)) for block in batch.column(0).to_pylist()]
             rows = [(block, *result) for block, result in found if result]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays(
@@ -179,29 +201,42 @@ def _winners(known: tuple):
 _NOTICE = "doc_id long, line int, license string, template int, saved double, differences int, notice string"
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolved(known: tuple):
     """The notices of each text that stay, with their lines."""
-    for table, bounds in whole_groups(batches, ["row"]):
-        starts, lows, highs, right = (table.column(c).to_pylist() for c in ("start", "low", "high", "right"))
-        kept = []
-        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            kept += without_overlaps([(right[k], starts[k] + lows[k], starts[k] + highs[k], k) for k in range(x, y)])
-        chosen = table.take(pa.array(kept, pa.int64()))
-        lines = [b.split("\n") for b in chosen.column("block").to_pylist()]
-        texts = ["\n".join(b[lows[k] : highs[k] + 1]) for b, k in zip(lines, kept, strict=True)]
-        line = pa.array([starts[k] + lows[k] for k in kept], pa.int32())
-        own = [chosen.column(c).combine_chunks() for c in ("doc_id", "license", "template", "saved", "differences")]
-        yield pa.RecordBatch.from_arrays(
-            [own[0], line, *own[1:], pa.array(texts, pa.string())],
-            ["doc_id", "line", "license", "template", "saved", "differences", "notice"],
-        )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(own) for own in _templates(known).words]
+        for table, bounds in whole_groups(batches, ["row"]):
+            names = ("word", "first", "last", "template", "differences")
+            at, firsts, lasts, own, wrong = (table.column(c).to_pylist() for c in names)
+            kept = []
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                kept += without_overlaps(
+                    [(sizes[own[k]] - 2 * wrong[k], at[k] + firsts[k], at[k] + lasts[k], k) for k in range(x, y)]
+                )
+            chosen = table.take(pa.array(kept, pa.int64()))
+            lines, texts = [], []
+            for start, block, k in zip(*(chosen.column(c).to_pylist() for c in ("start", "block")), kept, strict=True):
+                places = [m.span() for m in _WORD.finditer(block)]
+                low, high = places[firsts[k]][0], places[lasts[k]][1]
+                lines.append(start + block.count("\n", 0, low))
+                texts.append(block[low:high])
+            own_columns = [chosen.column(c) for c in ("doc_id", "license", "template", "saved", "differences")]
+            doc, *rest = (c.combine_chunks() for c in own_columns)
+            yield pa.RecordBatch.from_arrays(
+                [doc, pa.array(lines, pa.int32()), *rest, pa.array(texts, pa.string())],
+                ["doc_id", "line", "license", "template", "saved", "differences", "notice"],
+            )
+
+    return scan
 
 
 def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, line, license, template, saved, differences, notice of every notice found.
 
-    line: number of the notice's first line (from 0); saved: share of its compressed bytes that the
-    template saves; differences: words that differ from the template. Null and empty texts have none.
+    line: number of the notice's first line (from 0); saved: share of its block's compressed bytes that the
+    template saves; differences: words that differ from the template; notice: from the first to the last
+    word. Null and empty texts have none.
     Repeated rows give repeated notices.
 
     The same few notices stand in very many documents, so every distinct block is compressed and
@@ -212,14 +247,15 @@ def scan_licenses(documents: DataFrame, templates: Sequence[tuple[str, str]] = T
     cued = documents.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     ).where(F.col("text").rlike("(?i)" + _CUES))
-    places = written(cued.mapInArrow(_candidates, "row long, doc_id long, start int, block string"), "blocks")
+    schema = "row long, doc_id long, word int, start int, block string"
+    places = written(cued.mapInArrow(_candidates(known), schema), "blocks")
     judged = places.select("block").distinct().mapInArrow(
         _winners(known),
-        "block string, license string, template int, saved double, differences int, low int, high int, right int",
+        "block string, license string, template int, saved double, differences int, first int, last int",
     )
     return (
         places.join(judged, "block")
         .repartition("row")
-        .sortWithinPartitions("row", "start", "block")
-        .mapInArrow(_resolved, _NOTICE)
+        .sortWithinPartitions("row", "word", "block")
+        .mapInArrow(_resolved(known), _NOTICE)
     )
