@@ -75,6 +75,14 @@ def test_notices_within_long_lines(spark):
     ]
 
 
+@pytest.mark.parametrize("name", ["BSD-2-Clause", "BSD-3-Clause"])
+def test_paragraphs_of_one_license(templates, name):
+    text = dict(TEMPLATES)[name]
+    apart = text.replace("are met: ", "are met:\n\n").replace(". ", ".\n\n")
+    assert apart.count("\n\n") >= 2
+    assert notices(templates, f"Some words before.\n\n{apart}\n\nand after.") == [(2, name, 0)]
+
+
 def test_other_talk_of_licenses_is_not_a_notice(templates):
     for text in ("The license plate was lost.", "Copyright law is old.", "Please license your dog and the cat of the house."):
         assert list(notices(templates, text)) == []
