@@ -42,10 +42,10 @@ BIGRAM = 0.7
 #: Added to each word's count.
 ADDED = 0.1
 #: Words that make a pack of documents, and words for each part that pairs are dealt to, at least.
-PACK_WORDS = 1 << 17
+PACK_WORDS = 1 << 18
 PACK_PAIRS = 128
 #: Words for each part of the hash ranges, about: what a task adds up at once.
-PART_WORDS = 1 << 21
+PART_WORDS = 1 << 20
 #: Bytes of packs or counts that a task gathers before it handles them.
 SLAB = 8 << 20
 
