@@ -117,3 +117,11 @@ def test_whole_groups_over_batches():
     assert seen == [(int(k), int(n)) for k, n in zip(*np.unique(keys, return_counts=True))]
     pairs = [p for a, b in pairs_within(np.array([0, 3, 4, 6]), 2) for p in zip(a.tolist(), b.tolist())]
     assert sorted(pairs) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+
+
+def test_rows_without_id_go_too(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (4, text + " end"), (None, "a b c"), (None, "A B C"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in nd.without_near_duplicates(docs).collect())
+    assert kept == [(0, ""), (0, ""), (0, "a b c"), (4, text + " end")]

@@ -341,12 +341,12 @@ def similar_links(documents: DataFrame, nodes: DataFrame, rule: Rule = RULE) ->
 
 
 def near_duplicates(documents: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """doc_id, tie, n_shingles, component_id, kept, node of every document.
+    """doc_id, tie, n_shingles, component_id, kept, node, group of every document.
 
     component_id is the smallest doc_id that links reach; kept: doc_id = component_id. A null or
     empty text has no shingles and is linked with nothing. Rows of one doc_id with different texts
     are documents of their own. A null doc_id can be linked, but is never the smallest. node is the
-    number of the document's set.
+    number of the document's set, group that of its component; both are null without words.
     """
     prints = written(fingerprints(documents), "fingerprints")
     nodes = set_nodes(prints)
@@ -354,30 +354,29 @@ def near_duplicates(documents: DataFrame, rule: Rule = RULE) -> DataFrame:
     joined = nodes.select("node", "low").join(found, "node", "left")
     joined = joined.withColumn("group", F.coalesce("component", "node"))
     lowest = joined.groupBy("group").agg(F.min("low").alias("component_id"))
-    of_node = joined.join(lowest, "group").select("node", "component_id")
+    of_node = joined.join(lowest, "group").select("node", "group", "component_id")
     return (
         prints.drop("high", "signature")
         .join(of_node, "node", "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "tie", "n_shingles", "component_id", "kept", "node")
+        .select("doc_id", "tie", "n_shingles", "component_id", "kept", "node", "group")
     )
 
 
 def without_near_duplicates(documents: DataFrame, rule: Rule = RULE) -> DataFrame:
     """One document of each group, with all its columns.
 
-    That is the one with the smallest doc_id; of several rows with this doc_id, the one whose text
-    hash is smallest, and one of exactly repeated rows. Rows without words all stay, and so do rows
-    with a null doc_id.
+    That is the one with the smallest doc_id (null after all others); of several rows with this doc_id, the
+    one whose text hash is smallest, and one of exactly repeated rows. Rows without words all stay.
     """
-    marked = near_duplicates(documents, rule)
-    alone = F.col("node").isNull() | F.col("component_id").isNull()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie"))
     kept = (
-        marked.where(~alone & F.col("kept"))
-        .groupBy("component_id")
-        .agg(F.min("tie").alias("keep_tie"))
-        .withColumnRenamed("component_id", "keep_id")
+        near_duplicates(documents, rule)
+        .where("node is not null")
+        .groupBy("group")
+        .agg(first.alias("first"))
+        .select(F.col("first.doc_id").alias("keep_id"), F.col("first.tie").alias("keep_tie"))
     )
     rows = documents.select(
         F.struct(*(documents[c] for c in documents.columns)).alias("document"),
@@ -385,9 +384,9 @@ def without_near_duplicates(documents: DataFrame, rule: Rule = RULE) -> DataFram
         F.xxhash64("text").alias("tie"),
         F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("has_words"),
     )
-    worded = rows.where(F.col("has_words") & F.col("id").isNotNull()).join(
-        kept, (F.col("id") == F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")), "left_semi"
+    worded = rows.where("has_words").join(
+        kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")), "left_semi"
     )
     once = worded.groupBy("id", "tie").agg(F.first("document").alias("document"))
-    others = rows.where(~F.col("has_words") | F.col("id").isNull())
+    others = rows.where(~F.col("has_words"))
     return once.select("document.*").unionByName(others.select("document.*"))
