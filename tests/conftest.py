@@ -34,8 +34,3 @@ def tables():
     if not folder.exists():
         pytest.skip("sample tables are not here")
     return str(folder)
-
-
-def rows(df):
-    """Rows as plain tuples, in the order of the frame."""
-    return [tuple(row) for row in df.collect()]

@@ -2,7 +2,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from plain import rows
 from pyspark.sql import functions as F
 
 from tokentally.constants import FALLBACK_PRICE, MODEL_PRICES, REGION_PRICES

@@ -4,7 +4,7 @@ from datetime import UTC, date, datetime
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from plain import rows
 from pyspark.sql import functions as F
 
 from tokentally import constants

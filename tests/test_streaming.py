@@ -5,7 +5,7 @@ import time
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from plain import rows
 from pyspark.sql import functions as F
 
 from tokentally.plans import views
