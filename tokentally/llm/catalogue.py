@@ -7,6 +7,7 @@ from . import (  # noqa: F401  (importing registers the queries)
     mixing_queries,
     near_duplicate_queries,
     nearest_queries,
+    quality_queries,
     substring_queries,
     token_queries,
     toxicity_queries,
