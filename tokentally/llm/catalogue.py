@@ -12,6 +12,7 @@ from . import (  # noqa: F401  (importing registers the queries)
     token_queries,
     toxicity_queries,
     url_queries,
+    whitening_queries,
 )
 from .registry import QUERIES, SQL
 
