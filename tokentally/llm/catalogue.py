@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401  (importing registers the queries)
     decontamination_queries,
+    hard_negative_queries,
     language_model_queries,
     license_queries,
     mixing_queries,
