@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokentally.plans import views
 from tokentally.sources import invocations as logs
-from tokentally.sources.shared import shared_folder
+from tokentally.sources.shared import shared_folder, short_lived_tables, written
 from tokentally.streaming import jobs, trends
 
 SCHEMA = """timestamp string, input struct<inputTokenCount: int>, output struct<outputTokenCount: int>,
@@ -158,6 +158,16 @@ def test_shared_folder_is_the_cluster_setting(spark):
     assert first != second
 
 
+def test_short_lived_tables_go_and_kept_ones_stay(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    with short_lived_tables(spark):
+        written(spark.range(3), "gone")
+        kept = written(spark.range(4), "stays", kept=True)
+        assert len(list(root.glob("gone-*"))) == 1
+    assert not list(root.glob("gone-*")) and kept.count() == 4
+    assert written(spark.range(2), "later").count() == 2
+
+
 def test_a_cluster_without_shared_folder_is_refused():
     class Conf:
         def get(self, _, default):
