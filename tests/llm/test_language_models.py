@@ -2,13 +2,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tokentally.llm import language_models as lm
 
 
-def plain(rows, targets, size=lm.VOCABULARY):
+def plain(rows, targets, size=1 << 64):
     lists = [(doc, re.findall(r"[^\x20\x09-\x0D]+", text or "")) for doc, text in rows]
     times = Counter(w for _, words in lists for w in words)
     cut = sorted(times.values(), reverse=True)[size - 1] if len(times) > size else 0
@@ -71,6 +72,17 @@ def test_rare_words_of_a_large_vocabulary_count(spark):
     check(lm.score_documents(docs, targets).collect(), plain(rows, set(range(0, 80, 3)), 1 << 64))
 
 
+def test_counts_of_any_size_survive_squeezing():
+    for top in (0, 255, 256, 65_535, 1 << 31, 1 << 40):
+        counts = np.array([[0, 1], [top, 7], [3, top // 2]], np.int64)
+        assert (lm.unsqueezed_counts(lm.squeezed_counts(counts), 2) == counts).all()
+    assert lm.unsqueezed_counts(lm.squeezed_counts(np.empty((0, 4), np.int64)), 4).shape == (0, 4)
+    runs = [lm.squeezed(np.array(h, np.uint64)) for h in ([5, 9], [9], [1, 5])]
+    own = [lm.squeezed_counts(np.array(c, np.int64)) for c in ([[1 << 33], [2]], [[3]], [[4], [1 << 32]])]
+    sums = [lm.unsqueezed_counts(c, 1).ravel().tolist() for c in lm._added_up(runs, own, 1)]
+    assert sums == [[(1 << 33) + (1 << 32), 5], [5], [4, (1 << 33) + (1 << 32)]]
+
+
 def test_target_like_documents_score_lower(spark):
     rows = [(k, ("red blue " if k % 2 else "cat dog ") * 20 + f"x{k}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -15,6 +16,21 @@ from ..sources.shared import written
 SLAB_BYTES = 32 << 20
 
 
+#: Spark's bound on the bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int) -> Iterator[None]:
+    """Within the block, tasks get Arrow batches of about so many bytes, however large rows are."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def _changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     """Rows at which a new group starts, the first one included."""
     change = np.zeros(table.num_rows, dtype=bool)

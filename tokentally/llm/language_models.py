@@ -28,12 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
-from .groups import whole_groups
+from ..sources.shared import short_lived_tables, written
+from .groups import small_batches, whole_groups
 from .texts import chunks, mix
 
-#: Known words: as many as there are 64-bit hashes, so all.
-VOCABULARY = 1 << 64
 START = 0
 #: Word numbers below are hot: the start, and the most frequent words.
 HOT = 256
@@ -46,8 +44,9 @@ PACK_WORDS = 1 << 18
 PACK_PAIRS = 128
 #: Words for each part of the hash ranges, about: what a task adds up at once.
 PART_WORDS = 1 << 20
-#: Bytes of packs or counts that a task gathers before it handles them.
-SLAB = 8 << 20
+#: Bytes of packs or counts that a task gathers before it handles them, and of the batches it gets them in.
+SLAB = 4 << 20
+BATCH = 2 << 20
 
 
 def vocabulary(documents: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -61,10 +60,26 @@ def vocabulary(documents: DataFrame) -> tuple[np.ndarray, int, int]:
                     [pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"]
                 )
 
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's most frequent words, and a row without a word: numbers of distinct words and of all."""
+        held, distinct, total = [np.empty(0, np.int64), np.empty(0, np.int64)], 0, 0
+        for batch in batches:
+            words, n = (c.to_numpy() for c in batch.columns)
+            distinct, total = distinct + len(words), total + int(n.sum())
+            words, n = np.concatenate([held[0], words]), np.concatenate([held[1], n])
+            order = np.lexsort((words, -n))[: HOT - 1]
+            held = [words[order], n[order]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held, held[0] * 0)], ["word", "n", "total"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None], pa.int64()), pa.array([distinct]), pa.array([total])], ["word", "n", "total"]
+        )
+
     found = documents.select("text").mapInArrow(scan, "word long, n long")
-    counts = written(found.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(HOT - 1).select("word").toArrow()
-    return top["word"].to_numpy().view(np.uint64), *counts.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = found.groupBy("word").agg(F.sum("n").alias("n"))
+    tops = written(counts.mapInArrow(top, "word long, n long, total long"), "top_words")
+    words = tops.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(HOT - 1).select("word").toArrow()
+    sums = tops.where("word IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "total"))).first()
+    return words["word"].to_numpy().view(np.uint64), *sums
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +111,21 @@ def unsqueezed(content: bytes) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def squeezed_counts(counts: np.ndarray) -> bytes:
+    """A table of numbers as bytes that compress well: in as few bytes each as they need, column by column
+    and first bytes first, after the number of bytes."""
+    largest = int(counts.max(initial=0))
+    size = next(k for k in (1, 2, 4, 8) if largest < 1 << 8 * k)
+    planes = np.ascontiguousarray(counts, dtype=f"<u{size}").view(np.uint8)
+    return bytes([size]) + planes.reshape(len(counts), counts.shape[1] * size).T.tobytes()
+
+
+def unsqueezed_counts(content: bytes, width: int) -> np.ndarray:
+    size = content[0]
+    planes = np.frombuffer(content, np.uint8, offset=1).reshape(width * size, -1)
+    return planes.T.copy().view(f"<u{size}").astype(np.int64)
+
+
 _PACKS = (
     "uid long, doc_id array<long>, tie array<long>, sizes array<int>, target array<boolean>, "
     "known binary, words binary"
@@ -264,24 +294,19 @@ def _counts(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _added_up(hashes: list[bytes], counts: list[bytes], width: int) -> list[bytes]:
-    """For runs of hashes with `width` counts each, the same runs' sums over all of them."""
-    own = np.frombuffer(b"".join(counts), np.uint32).reshape(-1, width)
+    """For runs of hashes with `width` counts each, the same runs' sums over all of them (exact to 2**53)."""
     runs = [unsqueezed(h) for h in hashes]
+    own = np.concatenate([unsqueezed_counts(c, width) for c in counts])
     distinct, place = np.unique(np.concatenate(runs), return_inverse=True)
-    out = np.empty(own.shape, dtype=np.uint32)
-    for k in range(width):
-        total = np.bincount(place, own[:, k], len(distinct))
-        if len(total) and total.max() >= 1 << 32:
-            raise OverflowError("a word or pair outside the hot ones occurs more than 2**32 times: raise HOT")
-        out[:, k] = total.astype(np.uint32)[place]
+    sums = np.stack([np.bincount(place, own[:, k], len(distinct)) for k in range(width)], axis=1).astype(np.int64)
     ends = np.cumsum([len(run) for run in runs]).tolist()
-    return [out[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+    return [squeezed_counts(sums[place[x:y]]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
     """uid, part, seen, alone: for each pack's distinct rare pairs of a part, in order, how often target and
-    background documents of the whole corpus hold them (two 32-bit numbers each); for its words that are
-    not hot, how often both hold them and have them before another word (four)."""
+    background documents of the whole corpus hold them (two numbers each); for its words that are not
+    hot, how often both hold them and have them before another word (four)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,15 +317,18 @@ def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
                 seen = np.stack([np.bincount(place, m[rare], len(pairs)) for m in marks], axis=1)
                 size = HOT + len(pack.known)
                 alone = [np.bincount(x, m, size)[HOT:] for x in (pack.words, pack.before) for m in marks]
-                seen, alone = seen.astype(np.uint32), np.stack(alone, axis=1).astype(np.uint32)
+                seen, alone = seen.astype(np.int64), np.stack(alone, axis=1).astype(np.int64)
                 x, y, known = _cuts(pairs, parts), _cuts(pack.known, parts), pack.known
                 yield _counts(
                     [
-                        (uid, p, squeezed(pairs[a:b]), squeezed(known[c:d]), seen[a:b].tobytes(), alone[c:d].tobytes())
+                        (
+                            uid, p, squeezed(pairs[a:b]), squeezed(known[c:d]),
+                            squeezed_counts(seen[a:b]), squeezed_counts(alone[c:d]),
+                        )
                         for p, (a, b, c, d) in enumerate(zip(x[:-1], x[1:], y[:-1], y[1:], strict=True))
                         if a < b or c < d
                     ]
-                )
+                )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["part"], SLAB):
@@ -323,6 +351,10 @@ def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
     )
 
 
+def _joined(counts: list[bytes], width: int) -> np.ndarray:
+    return np.concatenate([np.empty((0, width), np.int64), *(unsqueezed_counts(c, width) for c in counts)])
+
+
 def scored(packs: DataFrame, model: Model, parts: int) -> DataFrame:
     """doc_id, tie, n_words, target_bits, rest_bits (sums over the words) of the documents of packs."""
     shared = packs.sparkSession.sparkContext.broadcast(model)  # of fixed size
@@ -339,8 +371,8 @@ def scored(packs: DataFrame, model: Model, parts: int) -> DataFrame:
                 held = np.empty((len(pack.words), 2))
                 hot = pack.hot
                 held[hot] = model.hot[pack.before[hot] * HOT + pack.words[hot]]
-                held[~hot] = np.frombuffer(b"".join(seen[low + 1 : high]), np.uint32).reshape(-1, 2)[place]
-                rest = np.frombuffer(b"".join(alone[low + 1 : high]), np.uint32).reshape(-1, 4)
+                held[~hot] = _joined(seen[low + 1 : high], 2)[place]
+                rest = _joined(alone[low + 1 : high], 4)
                 words = np.concatenate([model.words, rest[:, :2]])[pack.words]
                 loss = model.loss(words, np.concatenate([model.before, rest[:, 2:]])[pack.before], held)
                 sums = [np.bincount(pack.owner, loss[:, m], len(pack.target)).astype(float) for m in (0, 1)]
@@ -371,17 +403,19 @@ def score_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     all. Losses are in bits a word. A null or empty text has null losses. Repeated rows count each. If a
     model has no words, all words are equally likely under it.
     """
-    hot, size, total = vocabulary(documents)
+    spark = documents.sparkSession
     chosen = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     marked = rows.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left").withColumn(
         "target", F.coalesce("target", F.lit(False))
     )
-    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
-    # Sorted, so that packs are the same if a task is run again. A pack has enough pairs for each part.
-    packs = packed(marked.sortWithinPartitions("doc_id", "tie"), max(PACK_WORDS, PACK_PAIRS * parts), hot)
-    packs = written(packs, "packs")
-    sums = scored(packs, count_model(packs, size), parts)
+    with short_lived_tables(spark), small_batches(spark, BATCH):
+        hot, size, total = vocabulary(documents)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
+        # Sorted, so that packs are the same if a task is run again. A pack has enough pairs for each part.
+        packs = packed(marked.sortWithinPartitions("doc_id", "tie"), max(PACK_WORDS, PACK_PAIRS * parts), hot)
+        packs = written(packs, "packs")
+        sums = written(scored(packs, count_model(packs, size), parts), "scores", kept=True)
     mean = [F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")) for c in ("target_bits", "rest_bits")]
     return sums.select(
         "doc_id", "n_words", mean[0].alias("target_loss"), mean[1].alias("background_loss"),
