@@ -40,7 +40,7 @@ BIGRAM = 0.7
 #: Added to each word's count.
 ADDED = 0.1
 #: Words that make a pack of documents, and words for each part that pairs are dealt to, at least.
-PACK_WORDS = 1 << 18
+PACK_WORDS = 1 << 19
 PACK_PAIRS = 128
 #: Words for each part of the hash ranges, about: what a task adds up at once.
 PART_WORDS = 1 << 20
@@ -136,8 +136,7 @@ _PACK_NAMES = ["uid", "doc_id", "tie", "sizes", "target", "known", "words"]
 def packed(rows: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
     """Rows of doc_id, tie, text and target put together to packs of so many words at least.
 
-    known: sorted hashes of the words that are not hot; words: numbers from HOT on stand for these, in
-    16 bits if that is enough, else in 32.
+    known: sorted hashes of the words that are not hot; words: numbers from HOT on stand for these.
     """
     order = np.argsort(hot)
     hot, numbers = hot[order], (order + 1).astype(np.uint32)  # HOT - 1 words at most
@@ -150,7 +149,7 @@ def packed(rows: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
         rare = ids == START
         known, place = np.unique(hashes[rare], return_inverse=True)
         ids[rare] = HOT + place
-        return known, ids.astype(np.uint16 if HOT + len(known) <= 1 << 16 else np.uint32)
+        return known, ids
 
     def one(uid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -160,7 +159,7 @@ def packed(rows: DataFrame, words: int, hot: np.ndarray) -> DataFrame:
         lists = [table.column("doc_id"), table.column("tie"), sizes, table.column("target")]
         whole = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
         return pa.RecordBatch.from_arrays(
-            [pa.array([uid], pa.int64()), *whole, pa.array([squeezed(known)]), pa.array([ids.tobytes()])], _PACK_NAMES
+            [pa.array([uid], pa.int64()), *whole, pa.array([squeezed(known)]), pa.array([squeezed_counts(ids[:, None])])], _PACK_NAMES
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +212,9 @@ def _cuts(hashes: np.ndarray, parts: int) -> list[int]:
 
 
 def _pack(words: bytes, sizes: np.ndarray, target: np.ndarray, known: bytes) -> Pack:
-    ids = np.frombuffer(words, np.uint16 if len(words) == 2 * sizes.sum() else np.uint32)
+    ids = unsqueezed_counts(words, 1).ravel()
     before, owner = _pairs_of(ids, sizes)
-    return Pack(ids.astype(np.int64), before, owner, target, unsqueezed(known))
+    return Pack(ids, before, owner, target, unsqueezed(known))
 
 
 def _packs(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Pack]]:
