@@ -64,6 +64,15 @@ def test_hot_pairs_and_packs(spark, monkeypatch):
     check(lm.score_documents(docs, targets.union(targets)).collect(), plain(rows, set(range(0, 60, 3))))
 
 
+def test_targets_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rows = [(k, f"a b{k % 7} c{k % 3} a") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    targets = docs.where("doc_id % 4 = 0").select("doc_id")
+    for bound in (1000, 5):
+        monkeypatch.setattr(lm, "BROADCAST_TARGETS", bound)
+        check(lm.score_documents(docs, targets).collect(), plain(rows, set(range(0, 50, 4))))
+
+
 def test_rare_words_of_a_large_vocabulary_count(spark):
     """More words than 16 bits can number, in packs that hold more than that, too."""
     rows = [(k, " ".join(f"w{1100 * k + j}" for j in range(1500))) for k in range(80)]

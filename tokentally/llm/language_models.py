@@ -40,8 +40,10 @@ BIGRAM = 0.7
 #: Added to each word's count.
 ADDED = 0.1
 #: Words that make a pack of documents, and words for each part that pairs are dealt to, at least.
-PACK_WORDS = 1 << 19
+PACK_WORDS = 3 << 17
 PACK_PAIRS = 128
+#: Up to so many target ids are broadcast (some 50 MB); beyond, they are joined, and texts shuffled for it.
+BROADCAST_TARGETS = 2_000_000
 #: Words for each part of the hash ranges, about: what a task adds up at once.
 PART_WORDS = 1 << 20
 #: Bytes of packs or counts that a task gathers before it handles them, and of the batches it gets them in.
@@ -405,9 +407,10 @@ def score_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     chosen = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    marked = rows.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left").withColumn(
-        "target", F.coalesce("target", F.lit(False))
-    )
+    flags = chosen.withColumn("target", F.lit(True))
+    if chosen.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
+        flags = F.broadcast(flags)
+    marked = rows.join(flags, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     with short_lived_tables(spark), small_batches(spark, BATCH):
         hot, size, total = vocabulary(documents)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
