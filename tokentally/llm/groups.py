@@ -16,19 +16,25 @@ from ..sources.shared import written
 SLAB_BYTES = 32 << 20
 
 
-#: Spark's bound on the bytes of an Arrow batch.
+#: Spark's bound on the bytes of an Arrow batch, however large its rows are.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+#: Spark's codec for tables it writes: snappy, unless set.
+TABLE_CODEC = "spark.sql.parquet.compression.codec"
+
+
 @contextmanager
-def small_batches(spark: SparkSession, limit: int) -> Iterator[None]:
-    """Within the block, tasks get Arrow batches of about so many bytes, however large rows are."""
-    before = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, str(limit))
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Within the block, the session has these settings; what is computed in it must be written in it."""
+    before = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(BATCH_BYTES, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:

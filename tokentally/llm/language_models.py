@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import short_lived_tables, written
-from .groups import small_batches, whole_groups
+from .groups import BATCH_BYTES, TABLE_CODEC, settings, whole_groups
 from .texts import chunks, mix
 
 START = 0
@@ -40,7 +40,7 @@ BIGRAM = 0.7
 #: Added to each word's count.
 ADDED = 0.1
 #: Words that make a pack of documents, and words for each part that pairs are dealt to, at least.
-PACK_WORDS = 3 << 17
+PACK_WORDS = 1 << 18
 PACK_PAIRS = 128
 #: Up to so many target ids are broadcast (some 50 MB); beyond, they are joined, and texts shuffled for it.
 BROADCAST_TARGETS = 2_000_000
@@ -411,7 +411,7 @@ def score_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     if chosen.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
         flags = F.broadcast(flags)
     marked = rows.join(flags, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    with short_lived_tables(spark), small_batches(spark, BATCH):
+    with short_lived_tables(spark), settings(spark, {BATCH_BYTES: str(BATCH), TABLE_CODEC: "zstd"}):
         hot, size, total = vocabulary(documents)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
         # Sorted, so that packs are the same if a task is run again. A pack has enough pairs for each part.
