@@ -1,25 +1,19 @@
 """Running a stream to a table, with its checkpoint in the cluster's shared folder."""
 
+import json
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.shared import shared_folder
+from ..sources.store import Store, newest
 
-_BATCH = "batch"
 
-
-def _drop_older(spark: SparkSession, target: str, batch_id: int) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in files.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith(f"{_BATCH}=") and int(name.split("=")[1]) < batch_id:
-            files.delete(status.getPath(), True)
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """What tells a stream from others: it stays while its checkpoint does."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
 
 
 def write_stream(
@@ -28,22 +22,25 @@ def write_stream(
     checkpoint: str,
     mode: str = "append",
     trigger: dict | None = None,
+    keys: Sequence[str] = (),
 ) -> StreamingQuery:
     """Start a stream that writes Parquet to `target`; `read_result` reads it.
 
-    Append goes to the file sink, exactly once. Complete and update write a folder for each batch,
-    which a repeated batch replaces. Complete removes the folders of older batches once a new one is
-    there; update keeps them all, as they hold the rows that later batches did not change.
+    Append goes to the file sink, exactly once. Complete and update go to a `Store`, where a repeated or cut
+    batch changes nothing. Complete keeps the newest batch only. Update keeps all, and with `keys` merges
+    them to the newest row of each key, so a read opens a bounded number of runs after any number of
+    batches.
     """
     writer = df.writeStream.option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     if mode == "append":
         return writer.outputMode(mode).format("parquet").option("path", target).start()
+    schema = df.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/{_BATCH}={batch_id}")
-        if mode == "complete":
-            _drop_older(batch.sparkSession, target, batch_id)
+        spark = batch.sparkSession
+        store = Store(spark, target, schema, newest(keys) if keys else None)
+        store.add(batch, batch_id, stream_id(spark, checkpoint), replacing=mode == "complete")
 
     return writer.outputMode(mode).foreachBatch(write).start()
 
@@ -55,16 +52,7 @@ def read_result(
     row of each key. Nothing written gives no rows."""
     if mode == "append":
         return spark.read.schema(schema).parquet(target)
-    try:
-        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(_BATCH, T.LongType())])).parquet(target)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    if mode == "complete":
-        return rows.where(F.col(_BATCH) == rows.agg(F.max(_BATCH)).scalar()).drop(_BATCH)
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*schema.names), _BATCH).alias("row"))
-    return newest.select("row.*")
+    return Store(spark, target, schema).read(newest(keys) if mode == "update" else None)
 
 
 def run_available(
@@ -78,6 +66,6 @@ def run_available(
     spark = df.sparkSession
     folder = folder or shared_folder(spark, name)
     schema = df.schema
-    query = write_stream(df, f"{folder}/table", f"{folder}/checkpoint", mode)
+    query = write_stream(df, f"{folder}/table", f"{folder}/checkpoint", mode, keys=keys)
     query.awaitTermination()
     return read_result(spark, f"{folder}/table", schema, mode, keys)
