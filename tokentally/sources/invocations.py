@@ -3,27 +3,27 @@
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.periods import Period, day_glob
 
-_DAY_KEYS = ("year", "month", "day")
+DAY_KEYS = ("year", "month", "day")
 #: A file source skips files this much older than the newest one it has seen; a week if not set.
 ANY_AGE = "36500d"
 
 
-def _with_day_keys(df: DataFrame) -> DataFrame:
+def with_day_keys(df: DataFrame, path: Column | None = None) -> DataFrame:
     """Add the partition keys, as text, from the directory of each row's file.
 
     Files outside day directories hold no calls of any day and are left out.
     """
-    path = F.col("_metadata.file_path")
+    path = F.col("_metadata.file_path") if path is None else path
     keys = [
         F.regexp_extract(path, r"/(\d{4})/(\d{2})/(\d{2})/", i + 1).alias(key)
-        for i, key in enumerate(_DAY_KEYS)
+        for i, key in enumerate(DAY_KEYS)
     ]
     return df.select("*", *keys).where(F.col("year") != "")
 
@@ -43,11 +43,11 @@ def read_invocations(
     path = f"{root.rstrip('/')}/{day_glob(period)}" if period else root
     reader = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True)
     try:
-        return _with_day_keys(reader.json(path))
+        return with_day_keys(reader.json(path))
     except AnalysisException as error:
         if not period or error.getCondition() != "PATH_NOT_FOUND":
             raise
-        keys = [T.StructField(key, T.StringType()) for key in _DAY_KEYS]
+        keys = [T.StructField(key, T.StringType()) for key in DAY_KEYS]
         return spark.createDataFrame([], T.StructType([*schema.fields, *keys]))
 
 
@@ -64,7 +64,7 @@ def stream_invocations(
     """
     reader = spark.readStream.schema(schema).option("mode", "FAILFAST")
     reader = reader.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
-    return _with_day_keys(reader.option("recursiveFileLookup", True).json(root))
+    return with_day_keys(reader.option("recursiveFileLookup", True).json(root))
 
 
 def read_tagged_invocations(
@@ -80,7 +80,11 @@ def read_log_events(spark: SparkSession, path: str) -> DataFrame:
     Each file is one document, so a file is one task. A broken file stops the query.
     """
     reader = spark.read.schema(schemas.LOG_EVENTS).option("multiLine", True).option("mode", "FAILFAST")
-    documents = reader.json(path)
+    return events_of(reader.json(path))
+
+
+def events_of(documents: DataFrame) -> DataFrame:
+    """The events of log-event documents, a row each."""
     event = documents.select(F.explode("events").alias("e"))
     body = F.col("e.message.output.outputBodyJson")
     return event.select(
@@ -104,10 +108,10 @@ def create_table(
 
     As in `read_invocations`, a broken record stops a query.
     """
-    keys = ", ".join(f"`{key}` string" for key in _DAY_KEYS)
+    keys = ", ".join(f"`{key}` string" for key in DAY_KEYS)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS IDENTIFIER(:table) ({_columns(schema)}, {keys}) USING json "
-        f"OPTIONS (mode 'FAILFAST') PARTITIONED BY ({', '.join(_DAY_KEYS)}) LOCATION '{_quoted(root)}'",
+        f"OPTIONS (mode 'FAILFAST') PARTITIONED BY ({', '.join(DAY_KEYS)}) LOCATION '{_quoted(root)}'",
         args={"table": table},
     )
 
@@ -146,14 +150,14 @@ def compact(df: DataFrame, target: str) -> None:
     The rebalance hint gathers each day's rows into files of even size and splits a day that is
     much larger than others over several tasks.
     """
-    rebalanced = df.hint("rebalance", *_DAY_KEYS)
+    rebalanced = df.hint("rebalance", *DAY_KEYS)
     writer = rebalanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*_DAY_KEYS).parquet(target)
+    writer.partitionBy(*DAY_KEYS).parquet(target)
 
 
 def read_compacted(
     spark: SparkSession, path: str, schema: T.StructType = schemas.INVOCATION
 ) -> DataFrame:
     """Compacted records. The keys are declared as text; inference would make them numbers."""
-    keys = [T.StructField(key, T.StringType()) for key in _DAY_KEYS]
+    keys = [T.StructField(key, T.StringType()) for key in DAY_KEYS]
     return spark.read.schema(T.StructType([*schema.fields, *keys])).parquet(path)

@@ -1,5 +1,6 @@
 """Results as CSV, JSON or text."""
 
+import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
@@ -59,3 +60,25 @@ def preview_text(df: DataFrame, title: str, max_rows: int = 20) -> str:
 def write_csv_by(df: DataFrame, column: str, path: str) -> None:
     """One CSV directory per value of a column, such as one report per application pattern."""
     df.write.partitionBy(column).option("header", True).mode("errorifexists").csv(path)
+
+
+def write_day_files(lines: DataFrame, root: str, compression: str = "none") -> None:
+    """Lines of text (`value`) as files in `yyyy/MM/dd` directories, by their `day` (a date).
+
+    This is the layout that the log readers take. Days are written in parallel beside the directories and
+    their files then moved in, so a directory may hold files of earlier writes.
+    """
+    spark = lines.sparkSession
+    draft = f"{root.rstrip('/')}/_draft-{uuid.uuid4().hex}"
+    lines.select("value", "day").write.partitionBy("day").option("compression", compression).text(draft)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = new(draft).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for day in files.listStatus(new(draft)):
+        name = day.getPath().getName()
+        if not name.startswith("day="):
+            continue
+        folder = new(f"{root.rstrip('/')}/{name.removeprefix('day=').replace('-', '/')}")
+        files.mkdirs(folder)
+        for file in files.listStatus(day.getPath()):
+            files.rename(file.getPath(), new(folder, file.getPath().getName()))
+    files.delete(new(draft), True)
