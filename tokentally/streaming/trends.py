@@ -19,8 +19,8 @@ def with_event_time(calls: DataFrame, delay: str | None = None) -> DataFrame:
     return timed.withWatermark("event_time", delay) if delay else timed
 
 
-def usage_trend(timed: DataFrame, every: str = "1 hour") -> DataFrame:
-    """Tokens and requests per application in tumbling windows."""
+def usage_trend(timed: DataFrame, every: str = "1 hour", **more: Column) -> DataFrame:
+    """Tokens and requests per application in tumbling windows, and `more` aggregates by their names."""
     return (
         timed.groupBy(
             F.window("event_time", every).alias("w"),
@@ -29,6 +29,7 @@ def usage_trend(timed: DataFrame, every: str = "1 hour") -> DataFrame:
         .agg(
             F.sum(fields.total_tokens()).alias("total_tokens"),
             F.count(F.lit(1)).alias("requests"),
+            *(column.alias(name) for name, column in more.items()),
         )
         .select(
             F.col("w.start").alias("window_start"),
@@ -36,6 +37,7 @@ def usage_trend(timed: DataFrame, every: str = "1 hour") -> DataFrame:
             "application_name",
             "total_tokens",
             "requests",
+            *more,
         )
     )
 
