@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401  (importing registers the queries)
     activity_queries,
+    ingest_queries,
     invocation_queries,
     prompt_queries,
     reconcile_queries,

@@ -108,9 +108,9 @@ def invocations(
     return invocations_of(events)
 
 
-def invocation_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same records as a stream of files."""
-    files = spark.readStream.schema(_SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet")
+def invocation_stream(spark: SparkSession, folder: str, names: str = "events*.parquet") -> DataFrame:
+    """The same records as a stream of files with such names."""
+    files = spark.readStream.schema(_SCHEMAS["events"]).option("pathGlobFilter", names)
     files = files.option("maxFileAge", ANY_AGE)
     return invocations_of(files.parquet(folder))
 
