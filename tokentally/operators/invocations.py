@@ -9,6 +9,7 @@ from ..constants import DEFAULT_REGION, REGIONS
 from ..functions import fields
 from . import pricing
 from .filters import like_pattern
+from .patterns import matches
 
 # Sums in every usage table.
 _SUMS = ("call_count", "total_input_tokens", "total_output_tokens")
@@ -223,6 +224,20 @@ def by_pattern(
     return wanted.join(found, "pattern", "left").fillna(zeros).orderBy("pattern")
 
 
+def by_pattern_table(cells: DataFrame, patterns: DataFrame, region: str = DEFAULT_REGION) -> DataFrame:
+    """`by_pattern` for a table of any number of patterns (`pattern`); null ones are left out.
+
+    Calls are summed by identity and model first, so a busy identity is matched once.
+    """
+    sums = identity_sums(cells)
+    hits = matches(sums.select(F.col("arn").alias("name")), patterns).withColumnRenamed("name", "arn")
+    priced = pricing.with_cost(_per_model(sums.join(hits, "arn"), "pattern"), region=region, exact=True)
+    found = priced.groupBy("pattern").agg(*_sums(), pricing.cost_sum())
+    wanted = patterns.select("pattern").where("pattern IS NOT NULL").distinct()
+    zeros = dict.fromkeys((*_SUMS, pricing.COST), 0)
+    return wanted.join(found, "pattern", "left").fillna(zeros)
+
+
 def _daily(cells: DataFrame) -> DataFrame:
     """Sums per date; grouped by a number, which is made a date once per group."""
     number = F.col("number")

@@ -5,7 +5,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions.fields import whole_number
-from ..operators import activity, estimates, filters, invocations
+from ..functions.periods import Period
+from ..operators import activity, estimates, filters, invocations, sketches
 from . import views
 from .registry import query, rounded
 
@@ -309,3 +310,45 @@ def _(spark, folder):
     text = F.when(event % 3 == 0, "").when(event % 3 == 1, event.cast("string")).otherwise("n/a")
     events = views.table(spark, folder, "events")
     return events.groupBy("event_type").agg(F.sum(whole_number(text)).alias("total"))
+
+
+_PERIODS = (
+    Period(date(2023, 12, 25), date(2024, 1, 3)), Period(date(2024, 1, 1), date(2024, 1, 31)),
+    Period(date(2024, 1, 10), date(2024, 1, 10)), Period(date(2022, 1, 1), date(2022, 1, 2)),
+)
+
+
+@query(
+    "agg_07_unique_users_of_ranges",
+    _V + " UNION ALL ".join(
+        f" SELECT DATE '{p.start}' AS \"start\", DATE '{p.end}' AS \"end\", COUNT(DISTINCT UserId) AS unique_users "
+        f"FROM a WHERE d BETWEEN DATE '{p.start}' AND DATE '{p.end}'"
+        for p in _PERIODS
+    ),
+)
+def _(spark, folder):
+    """Merged from sketches of days."""
+    return sketches.users_between(sketches.user_sketches(views.activity(spark, folder)), _PERIODS)
+
+
+_FEATURE_SQL = {
+    "Chat Messages": "chat", "Inline Suggestions": "suggestions", "Inline Acceptances": "acceptances",
+    "/dev Events": "dev", "/test Events": "test", "/doc Events": "doc",
+}
+
+
+@query(
+    "agg_10_shared_users",
+    _V + f""", f AS (SELECT DISTINCT UserId, feature, k FROM r, LATERAL (VALUES
+      {", ".join(f"('{name}', {k}, {column})" for k, (name, column) in enumerate(_FEATURE_SQL.items()))}) t(feature, k, n)
+      WHERE n > 0),
+    n AS (SELECT unnest([{", ".join(f"'{name}'" for name in _FEATURE_SQL)}]) AS feature, unnest(range(6)) AS k),
+    pairs AS (SELECT x.feature AS feature_a, y.feature AS feature_b FROM n x JOIN n y ON x.k < y.k)
+    SELECT feature_a, feature_b, (SELECT COUNT(*) FROM f WHERE feature = feature_a) AS users_a,
+    (SELECT COUNT(*) FROM f WHERE feature = feature_b) AS users_b,
+    (SELECT COUNT(*) FROM f JOIN f g USING (UserId) WHERE f.feature = feature_a AND g.feature = feature_b) AS shared_users
+    FROM pairs""",
+)
+def _(spark, folder):
+    """Merged from sketches of days and features, and intersected."""
+    return sketches.shared_users(sketches.user_sketches(views.activity(spark, folder)), START, END)

@@ -361,6 +361,32 @@ def _(spark, folder):
     return _cents(invocations.by_pattern(_cells(spark, folder), PATTERNS))
 
 
+_USER_PATTERN = """CASE user_id % 4 WHEN 0 THEN 'dev' || user_id WHEN 1 THEN 'Analysis-Role/s' || user_id
+  WHEN 2 THEN 'Cust%Role/s' || (user_id % 100) || '_' ELSE 'nobody-' || user_id END"""
+
+
+@query(
+    "agg_24_usage_by_many_patterns",
+    _VP + f""", patterns AS (SELECT DISTINCT {_USER_PATTERN} AS pattern FROM events
+      UNION SELECT unnest(['%', '_', 'Chatbot', 'user/dev_'])),
+    arns AS (SELECT arn, model_name, COUNT(*) AS n, SUM(tin) AS tin, SUM(tout) AS tout FROM v1m WHERE {_DAYS} GROUP BY 1, 2),
+    g AS (SELECT p.pattern, v.model_name, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS call_count,
+      CAST(COALESCE(SUM(tin), 0) AS BIGINT) AS total_input_tokens,
+      CAST(COALESCE(SUM(tout), 0) AS BIGINT) AS total_output_tokens
+      FROM patterns p LEFT JOIN arns v ON v.arn LIKE '%' || p.pattern || '%' GROUP BY ALL)
+    SELECT pattern, CAST(SUM(call_count) AS BIGINT) AS call_count,
+    CAST(SUM(total_input_tokens) AS BIGINT) AS total_input_tokens,
+    CAST(SUM(total_output_tokens) AS BIGINT) AS total_output_tokens,
+    round(SUM({_COST}), 8) AS estimated_cost_usd
+    FROM g JOIN unit u ON g.model_name IS NOT DISTINCT FROM u.model_name GROUP BY pattern""",
+)
+def _(spark, folder):
+    """One pattern for each user of the events, and some with wildcards only."""
+    own = views.table(spark, folder, "events").select(F.expr(_USER_PATTERN).alias("pattern"))
+    more = spark.createDataFrame([("%",), ("_",), ("Chatbot",), ("user/dev_",)], "pattern string")
+    return _cents(invocations.by_pattern_table(_cells(spark, folder), own.union(more)))
+
+
 @query(
     "agg_25_calendar_trends",
     _V + " UNION ALL ".join(

@@ -3,7 +3,7 @@
 from datetime import UTC, datetime
 
 from ..functions import fields
-from ..operators import filters, invocations, tagged
+from ..operators import filters, invocations, sketches, tagged
 from . import views
 from .registry import query, rounded
 
@@ -183,6 +183,19 @@ def _(spark, folder):
     return rounded(sizes, 6, "avg_output", "median_output", "p95_output")
 
 
+@query(
+    "agg_18_output_sizes_of_a_range",
+    _V + """ SELECT application_name, CAST(MIN(tout) AS BIGINT) AS min_output, CAST(MAX(tout) AS BIGINT) AS max_output,
+    round(AVG(CAST(tout AS DOUBLE)), 6) AS avg_output, CAST(quantile_disc(tout, 0.5) AS BIGINT) AS median_output,
+    CAST(quantile_disc(tout, 0.95) AS BIGINT) AS p95_output FROM v1
+    WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' GROUP BY application_name""",
+)
+def _(spark, folder):
+    """Merged from sketches of hours: exact up to sketches.SIZE_K calls of an application, close beyond."""
+    hours = sketches.size_sketches(_calls(spark, folder))
+    return rounded(sketches.sizes_between(hours, _FIRST, _BEFORE), 6, "avg_output")
+
+
 @query(
     "agg_19_tenant_bill",
     _V + f""" SELECT tenant_id, {_TOKENS} FROM v1 WHERE ts >= TIMESTAMP '2024-01-08'
