@@ -3,7 +3,9 @@ import re
 
 import pytest
 
+from tokentally.operators import invocations
 from tokentally.operators import patterns as p
+from tokentally.plans import views
 
 
 def frames(spark, names, texts):
@@ -54,6 +56,14 @@ def test_the_gram_is_the_one_that_fewest_patterns_share(spark):
     assert len(set(grams)) == 100
 
 
+def test_many_patterns_in_a_list_equal_few(spark, tables, monkeypatch):
+    cells = invocations.as_cells(views.invocations(spark, tables))
+    texts = ["Chatbot", "dev1", "role/%_Role", "nobody", "dev1"]
+    few = invocations.by_pattern(cells, texts).collect()
+    monkeypatch.setattr(invocations, "MANY_PATTERNS", 2)
+    assert invocations.by_pattern(cells, texts).collect() == few and len(few) == 5
+
+
 @pytest.mark.parametrize("names, texts", [([], ["a"]), (["a"], []), ([], []), ([None], [None])])
 def test_empty_tables(spark, names, texts):
     assert found(spark, names, texts) == []

@@ -11,6 +11,8 @@ from . import pricing
 from .filters import like_pattern
 from .patterns import matches
 
+# Beyond so many patterns, names are looked up in an index instead of being compared with each.
+MANY_PATTERNS = 50
 # Sums in every usage table.
 _SUMS = ("call_count", "total_input_tokens", "total_output_tokens")
 
@@ -212,9 +214,14 @@ def by_pattern(
     """One summary per ARN pattern, in one pass; a pattern nobody matches is a row of zeros.
 
     A call counts for every pattern it matches, as in one run per pattern. Each cell is matched where
-    it is read, and what is shuffled are sums per pattern and model.
+    it is read, and what is shuffled are sums per pattern and model. More than MANY_PATTERNS go through
+    `by_pattern_table`.
     """
     named = list(dict.fromkeys(patterns))
+    if len(named) > MANY_PATTERNS:
+        table = cells.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+        found = by_pattern_table(cells, table, region)
+        return table.join(found, "pattern").orderBy("pattern")
     hits = F.array(*(F.when(like_pattern(F.col("arn"), p), p) for p in named))
     matched = cells.select("model_id", *_SUMS, F.explode(hits).alias("pattern")).where("pattern is not null")
     priced = pricing.with_cost(_per_model(matched, "pattern"), region=region, exact=True)

@@ -4,6 +4,7 @@ from datetime import UTC, datetime
 
 from ..functions import fields
 from ..operators import filters, invocations, sketches, tagged
+from ..operators.heaviest import heaviest
 from . import views
 from .registry import query, rounded
 
@@ -244,6 +245,19 @@ def _(spark, folder):
     return tagged.top_users(_calls(spark, folder))
 
 
+@query(
+    "ord_03_heaviest_users",
+    _V + f""" SELECT tenant_id, user_id, {_TOKENS}, COUNT(*) AS requests FROM v1 GROUP BY ALL
+    ORDER BY total_tokens DESC, tenant_id NULLS FIRST, user_id NULLS FIRST LIMIT 10""",
+)
+def _(spark, folder):
+    """The same users without shuffling all of them."""
+    calls = _calls(spark, folder).select(
+        *(fields.metadata(k).alias(k) for k in ("tenant_id", "user_id")), fields.total_tokens().cast("long").alias("total_tokens")
+    )
+    return heaviest(calls, ("tenant_id", "user_id"), "total_tokens", 10)
+
+
 @query(
     "met_07_token_share_by_application",
     _V + f""" SELECT application_name, {_TOKENS},
