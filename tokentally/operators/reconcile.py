@@ -19,14 +19,19 @@ def metric_totals(points: DataFrame) -> DataFrame:
     return grouped.where(F.col("invocations") > 0)
 
 
-def log_totals(calls: DataFrame) -> DataFrame:
-    """A log in the layout of the metric points: one row per call."""
-    return calls.select(
+def log_columns() -> list[Column]:
+    """The layout of the metric points, from a call."""
+    return [
         fields.model_name(F.col("modelId")).alias("model"),
         F.lit(1).cast("bigint").alias("invocations"),
         fields.or_zero(fields.input_tokens()).cast("bigint").alias("input_tokens"),
         fields.or_zero(fields.output_tokens()).cast("bigint").alias("output_tokens"),
-    )
+    ]
+
+
+def log_totals(calls: DataFrame) -> DataFrame:
+    """A log in the layout of the metric points: one row per call."""
+    return calls.select(*log_columns())
 
 
 def compare_sources(metrics: DataFrame, log: DataFrame) -> DataFrame:

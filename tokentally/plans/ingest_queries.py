@@ -1,16 +1,22 @@
-"""Queries over log files that Spark writes from the events: sorting broken ones, reading bit by bit, late ones."""
+"""Queries over files that Spark writes from the events: broken lines, waves of files, late records, stored
+tables, and streams of two sides."""
 
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..functions import fields
 from ..functions.periods import Period
+from ..operators import reconcile
 from ..sources import quarantine
 from ..sources.ingest import Archive
+from ..sources.invocations import compact_clustered, read_compacted
 from ..sources.shared import shared_folder
 from ..sources.sinks import write_day_files
-from ..streaming import late, trends
+from ..streaming import jobs, late, trends
+from ..streaming.reconcile import compare_by_hour
 from . import views
 from .registry import query
 
@@ -95,3 +101,62 @@ def _(spark, folder):
         calls = views.invocation_stream(spark, f"{source}/*.parquet", "*.parquet")
         late.write_windows(trends.with_event_time(calls), target, f"{target}_checkpoint").awaitTermination()
     return late.read_windows(spark, target).all()
+
+
+@query(
+    "flt_03_identity_in_clustered_table",
+    _V + """ SELECT strftime(ts, '%Y/%m/%d') AS day, COUNT(*) AS calls, CAST(SUM(tin) AS BIGINT) AS input_tokens FROM v1
+      WHERE arn = 'arn:aws:iam::111111111111:role/Chatbot-Role' GROUP BY 1""",
+)
+def _(spark, folder):
+    """The log is stored along identity and time; row groups without the identity are not read."""
+    calls = views.invocations(spark, folder)
+    padded = calls.withColumns({k: F.lpad(k, 2, "0") for k in ("month", "day")})
+    target = shared_folder(spark, "clustered")
+    compact_clustered(padded, target)
+    stored = read_compacted(spark, target, schemas.TAGGED_INVOCATION)
+    own = stored.where(F.col("identity.arn") == "arn:aws:iam::111111111111:role/Chatbot-Role")
+    return own.groupBy(_day()).agg(
+        F.count(F.lit(1)).alias("calls"), F.sum(F.col("input.inputTokenCount")).alias("input_tokens")
+    )
+
+
+_SIDE = """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, model_name AS model, CAST(COUNT(*) AS BIGINT) AS invocations,
+  CAST(COALESCE(SUM(tin), 0) AS BIGINT) AS input_tokens, CAST(COALESCE(SUM(tout), 0) AS BIGINT) AS output_tokens"""
+_COUNTS = ("invocations", "input_tokens", "output_tokens")
+_END = "no model"
+
+
+def _points(calls: DataFrame) -> DataFrame:
+    return calls.select(fields.event_time().alias("event_time"), *reconcile.log_columns())
+
+
+@query(
+    "joi_04_compare_by_hour_stream",
+    "WITH" + views.SQL_INVOCATIONS + "," + views.SQL_SIDES + f""",
+    a AS ({_SIDE} FROM side_a GROUP BY 1, 2), b AS ({_SIDE} FROM side_b GROUP BY 1, 2),
+    j AS (SELECT coalesce(a.hour, b.hour) AS hour, CASE WHEN a.hour IS NULL THEN b.model ELSE a.model END AS model,
+      {", ".join(f"coalesce({side}.{c}, 0) AS {name}_{c}" for side, name in (("a", "metric"), ("b", "log")) for c in _COUNTS)}
+      FROM a FULL JOIN b ON a.hour = b.hour AND a.model IS NOT DISTINCT FROM b.model)
+    SELECT *, {", ".join(f"log_{c} - metric_{c} AS diff_{c}" for c in _COUNTS)},
+      {" AND ".join(f"log_{c} = metric_{c}" for c in _COUNTS)} AS matches FROM j""",
+)
+def _(spark, folder):
+    """All calls as metrics, and a log that has lost some; points far ahead close the last hours."""
+    source, result = shared_folder(spark, "points"), shared_folder(spark, "compared")
+    schema = None
+    for side, calls in zip(("metrics", "log"), views.two_sides(spark, folder), strict=True):
+        points = _points(calls)
+        schema = points.schema
+        points.write.parquet(f"{source}/{side}/points")
+    newest = spark.read.parquet(f"{source}/metrics/points").agg(F.max("event_time").alias("at"))
+    for wave in range(4):
+        streams = [spark.readStream.schema(schema).parquet(f"{source}/{side}/*") for side in ("metrics", "log")]
+        compared = compare_by_hour(*streams)
+        jobs.write_stream(compared, f"{result}/table", f"{result}/checkpoint").awaitTermination()
+        ahead = F.col("at") + F.make_dt_interval(F.lit(30 * (wave + 1)))
+        ends = [F.lit(_END).alias("model"), *(F.lit(1).cast("long").alias(c) for c in _COUNTS)]
+        for side in ("metrics", "log"):
+            newest.select(ahead.alias("event_time"), *ends).write.parquet(f"{source}/{side}/end{wave}")
+    found = jobs.read_result(spark, f"{result}/table", compared.schema)
+    return found.where(~F.col("model").eqNullSafe(_END))
