@@ -72,6 +72,25 @@ def test_odd_rows(spark):
     assert tokens_through_files(docs.limit(0)).collect() == []
 
 
+def test_starts_follow_the_files_whatever_ids_repeat(spark, tmp_path):
+    """One id, null or not, with many different texts: starts are those of the ids read file by file."""
+    rows = [(chance, "w " * ((7 * k) % 23) + str(k)) for k in range(400) for chance in (None, 3, 3 if k % 2 else k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "t")
+    write_tokens(tokenized(docs), path)
+    stored = read_tokens(spark, path)
+    assert stored.where("doc_id IS NULL").select("shard").distinct().count() > 1  # one id is several tasks' work
+    assert stored.where("doc_id = 3").select("shard").distinct().count() > 1
+    start, expected_rows, seen = 0, [], []
+    for row in stored.orderBy("shard", "place").collect():
+        crc = zlib.crc32(np.array(row.ids, dtype="<u4").tobytes())
+        expected_rows.append((row.doc_id, start, len(row.ids), crc))
+        start += len(row.ids)
+        seen.append(-1 if row.doc_id is None else row.doc_id)
+    assert seen == sorted(seen) and len(seen) == 1200
+    assert sorted(map(tuple, token_index(stored).collect()), key=lambda r: r[1]) == expected_rows
+
+
 def test_files_are_read_by_ranges(spark, tmp_path):
     docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     write_tokens(tokenized(docs), str(tmp_path / "t"))

@@ -1,9 +1,10 @@
 """Operator 1: token ids of documents in ORC files, in document order.
 
-Each row holds doc_id, the ids with an end id, and their number. ORC stores the ids with integer
+Each row holds doc_id, the ids with an end id, their number, and its place in the file's range. ORC stores the ids with integer
 run-length encoding; row indexes and a Bloom filter on doc_id let readers skip stripes and row groups,
-and stripes are read in parallel. Documents are dealt by ranges of doc_id, so each file holds a range
-and the files are in ascending order. Texts, not ids, go through that one shuffle.
+and stripes are read in parallel. Documents are dealt by ranges of doc_id and a hash of the text, so each
+file holds a range, the files are in ascending order, and an id that very many rows share (or null) is
+split over several. Texts, not ids, go through that one shuffle.
 """
 
 from __future__ import annotations
@@ -36,30 +37,34 @@ ORC_OPTIONS = {
 
 
 def tokenized(documents: DataFrame, vocabulary: str | None = None, end: int = END_ID) -> DataFrame:
-    """doc_id, ids, n_tokens of every document, sorted by doc_id within ranges of doc_id.
+    """doc_id, ids, n_tokens, place of every document, sorted by doc_id within ranges of it.
 
-    A null or empty text has the end id only. A null doc_id sorts first. Repeated rows stay, rows
-    with one doc_id in the order of their texts. Other columns are dropped.
+    place: number of the row in its range, from 0. A null or empty text has the end id only. A null
+    doc_id sorts first. Repeated rows stay, rows with one doc_id in the order of their texts' hashes.
+    Other columns are dropped.
     """
     name = vocabulary or VOCABULARY
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(public_tokenizers.path(name))
+        own, place = encoder(public_tokenizers.path(name)), 0
         try:
             for batch in batches:
                 for k in range(0, batch.num_rows, ROWS):
                     docs, texts = batch.slice(k, ROWS).columns
                     ids = own.encode(texts, end)
                     sizes = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([docs, ids, sizes], ["doc_id", "ids", "n_tokens"])
+                    places = pa.array(np.arange(place, place + len(docs)))
+                    place += len(docs)
+                    yield pa.RecordBatch.from_arrays([docs, ids, sizes, places], ["doc_id", "ids", "n_tokens", "place"])
         finally:
             own.forget()
 
     return (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long")
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+        .repartitionByRange("doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie", "text")
+        .select("doc_id", "text")
+        .mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, place long")
     )
 
 
@@ -70,7 +75,7 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Token rows of a folder; bounds on doc_id are checked against files, stripes and row groups."""
-    rows = spark.read.schema("doc_id long, ids array<int>, n_tokens long, shard int").orc(path)
+    rows = spark.read.schema("doc_id long, ids array<int>, n_tokens long, place long, shard int").orc(path)
     if first is not None:
         rows = rows.where(F.col("doc_id") >= first)
     if last is not None:
@@ -86,21 +91,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crcs = [zlib.crc32(values[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
         counts = pa.array(np.diff(places).astype(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), counts, pa.array(crcs, pa.int64())],
-            ["doc_id", "shard", "n_tokens", "ids_crc32"],
+            [batch.column(0), batch.column(2), batch.column(3), counts, pa.array(crcs, pa.int64())],
+            ["doc_id", "shard", "place", "n_tokens", "ids_crc32"],
         )
 
 
 def token_index(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of stored token rows.
 
-    start: ids of all documents before it. It is summed within each file's range and added to the
-    sum of the ranges before, of which there is one row for each file.
+    start: ids of all documents before it, in the order of the files. It is summed within each file's
+    range, by place, and added to the sum of the ranges before, of which there is one row for each file.
     """
-    rows = tokens.select("doc_id", "ids", "shard").mapInArrow(
-        _digests, "doc_id long, shard int, n_tokens long, ids_crc32 long"
+    rows = tokens.select("doc_id", "ids", "shard", "place").mapInArrow(
+        _digests, "doc_id long, shard int, place long, n_tokens long, ids_crc32 long"
     )
-    order = Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32")
+    order = Window.partitionBy("shard").orderBy("place")
     within = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = (
