@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ def plain(docs, items):
     out = []
     for doc, text in docs:
         own = words_of(text)
-        pairs = set(zip(own, own[1:]))
+        pairs = set(zip(own, own[1:])) | set(own)
         for item, wanted in items:
             words = words_of(wanted)
-            # Edits to a fifth of the words leave two of them side by side.
-            if len(words) >= dc.LEAST_WORDS and set(zip(words, words[1:])) & pairs:
+            # Edits to a fifth of the words leave two of them side by side; one word has no neighbour.
+            if words and (set(zip(words, words[1:])) or set(words)) & pairs:
                 edits = distance(words, own)
                 if edits <= len(words) // 5:
                     out.append((doc, item, len(words), edits))
@@ -110,6 +111,73 @@ def test_a_shared_run_without_a_candidate():
         assert dc.find_items(held, chunk.hashes(), chunk.bounds) == []
 
 
+def test_short_items_are_found_exactly_as_they_are(spark):
+    chance = random.Random(12)
+    word = lambda: chance.choice("abcdefghij") + chance.choice("abcdefghij")
+    docs = [(k, " ".join(word() for _ in range(chance.randrange(0, 25)))) for k in range(120)]
+    items = [(n, " ".join(word() for _ in range(n % 4 + 1))) for n in range(40)]
+    items += [(100 + k, " ".join(docs[k][1].split()[3:7])) for k in range(10)] + [(200, "!?")]
+    got = found(spark, docs, items)
+    assert got == plain(docs, items) and {r[2] for r in got} >= {1, 2, 4} and {r[3] for r in got} == {0}
+
+
+def test_items_that_share_an_opening_cost_little():
+    """Thousands of items begin like a text that holds none of them, or one."""
+    chance = random.Random(8)
+    opening = "which of the following statements is true".split()
+    text = [f"t{chance.randrange(3000)}" for _ in range(370)]
+    text[100:100] = opening
+    text[200:200] = opening + [f"own{k}" for k in range(9)]
+    alike = [" ".join(opening + [f"w{chance.randrange(9000)}" for _ in range(9)]) for _ in range(8000)]
+    other = [" ".join(f"w{chance.randrange(9000)}" for _ in range(16)) for _ in range(8000)]
+    alike[4321] = " ".join(opening + [f"own{k}" for k in range(9)])
+    seconds = {}
+    for name, texts in (("other", other), ("alike", alike)):
+        held = dc.Items(list(range(8000)), texts)
+        [chunk] = dc.word_chunks(pa.array([" ".join(text)]))
+        times = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            hits = dc.find_items(held, chunk.hashes(), chunk.bounds)
+            times.append(time.perf_counter() - begin)
+        seconds[name] = min(times)
+        assert [(h[1], h[2], h[3]) for h in hits] == ([(4321, 0, 200)] if name == "alike" else [])
+    assert seconds["alike"] < 1.0, seconds  # it took more than a minute
+
+
+def test_stretches_with_too_few_words_are_no_match_by_the_exact_distance():
+    """The filter before the exact distance drops nothing within the bound."""
+    chance = random.Random(5)
+    for _ in range(300):
+        size = chance.randrange(1, 30)
+        item = [chance.randrange(12) for _ in range(size)]
+        run = [chance.randrange(12) for _ in range(chance.randrange(1, 40))]
+        if chance.random() < 0.7:
+            at = chance.randrange(len(run) + 1)
+            run[at:at] = [int(w) if str(w).isdigit() else 99 for w in edited(item, size // 5, chance)]
+        held = dc.Items([], [])
+        held.words = [np.array(item, np.uint64)]
+        words, bounds = np.array(run, np.uint64), np.array([0, len(run)])
+        windows = np.array([[0, s] for s in range(-(size // 5), len(run) + size // 5 - size + 1)]).reshape(-1, 2)
+        if not len(windows):
+            continue
+        found_ = np.array([[k, 0] for k in range(len(windows))])
+        regions = dc._regions(held, words, bounds, size, windows, found_)
+        if distance(item, run) <= size // 5:
+            assert min(dc.best_run(held.words[0], words[low:high])[0] for _, _, low, high in regions.tolist()) == distance(item, run)
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(30)], "doc_id long, text string")
+    items = docs.select(F.col("doc_id").alias("item_id"), "text")
+    scans = []
+    real = dc._scan
+    monkeypatch.setattr(dc, "_scan", lambda d, held: scans.append(len(held.ids)) or real(d, held))
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 10 * 16 * dc.WALKS * dc.TABLES)
+    assert sorted((r.doc_id, r.item_id) for r in dc.matches(docs, items).collect()) == [(k, k) for k in range(30)]
+    assert len(scans) >= 3 and sum(scans) == 30
+
+
 def test_odd_rows(spark, monkeypatch):
     ten = "One two three four five six seven eight nine ten"
     docs = [
@@ -125,11 +193,11 @@ def test_odd_rows(spark, monkeypatch):
     expected = key(
         (doc, item, len(words_of(t)), distance(words_of(t), words_of(text)))
         for doc, text in docs for item, t in items
-        if len(words_of(t)) >= 5 and distance(words_of(t), words_of(text)) <= len(words_of(t)) // 5
+        if words_of(t) and distance(words_of(t), words_of(text)) <= len(words_of(t)) // 5
     )
     assert got == expected
     kept = dc.clean_documents(d, b)
-    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 7, 9]
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 7]
     monkeypatch.setattr(dc, "BLOCK_WORDS", 9)  # several blocks
     assert key((r.doc_id, r.item_id, r.n_words, r.edits) for r in dc.matches(d, b).collect()) == expected
     assert dc.matches(d.limit(0), b).collect() == dc.matches(d, b.limit(0)).collect() == []

@@ -12,10 +12,12 @@ lower-cased, so punctuation and layout make no difference.
    distance. WALKS walks, each with TABLES samples of SAMPLED steps, are looked up among the items' own:
    a window and an item are candidates if all steps of a sample agree.
 3. Candidates are verified by the exact edit distance between the item and the best run around the window.
+   An item within its bound has all but so many of its words there; candidates without them are told
+   first, many at once, so items that only share an opening with a text cost little.
 
 WALKS and TABLES are chosen so that items with as many random edits as the bound allows are found with
 a probability above 0.99 (a test measures it). Items are the broadcast side: they are dealt into blocks
-of at most about BLOCK_WORDS words, and documents are scanned for one block after another.
+of about BLOCK_WORDS words and BLOCK_BYTES bytes at most, and documents are scanned for one after another.
 """
 
 from __future__ import annotations
@@ -34,17 +36,19 @@ from .texts import PUNCTUATION, Chunk, Powers, chunks, constants, mix, ragged, r
 
 #: One edit is allowed for so many words of an item.
 WORDS_PER_EDIT = 5
-#: Items with fewer words are too common to tell anything, and not looked for.
-LEAST_WORDS = 5
+#: Items with fewer words are not looked for: all are, those too short for an edit exactly as they are.
+LEAST_WORDS = 1
 WALKS = 8
 TABLES = 12
 SAMPLED = 2
-#: Words of the items of a block.
+#: Words of the items of a block, and bytes of its runs and keys, about.
 BLOCK_WORDS = 4_000_000
+BLOCK_BYTES = 64 << 20
 #: Bits of the table that tells most runs of a document apart from those of items.
 SIEVE_BITS = 22
-#: Windows walked at once.
+#: Windows walked at once, and words of items and windows compared at once.
 WINDOWS = 1 << 14
+COMPARED = 1 << 21
 
 _RUNS = Powers(81)
 _U = np.uint64
@@ -156,19 +160,26 @@ def _windows(items: Items, words: np.ndarray, bounds: np.ndarray) -> dict[int, n
         for n in np.unique(size).tolist():
             mine = size == n
             edits = allowed(n)
-            starts = (start[mine][:, None] + np.arange(-edits, edits + 1)[None, :]).ravel()
-            of = np.repeat(text[mine], 2 * edits + 1)
+            # Many items may lay a window at one start; each is walked once.
+            of, base = _distinct(text[mine], start[mine])
+            starts = (base[:, None] + np.arange(-edits, edits + 1)[None, :]).ravel()
+            of = np.repeat(of, 2 * edits + 1)
             # A window may run over an end of the text by the edits allowed.
             fits = (starts + edits >= bounds[of]) & (starts + n - edits <= bounds[of + 1])
-            pairs = np.unique(np.stack([of[fits], starts[fits]], axis=1), axis=0)
-            found.setdefault(n, []).append(pairs)
-    return {n: np.unique(np.concatenate(x), axis=0) for n, x in found.items()}
+            found.setdefault(n, []).append(np.stack([of[fits], starts[fits]]))
+    return {n: np.stack(_distinct(*np.concatenate(x, axis=1)), axis=1) for n, x in found.items()}
+
+
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of whole numbers (below 2**31 in size), in order."""
+    keys = np.unique((first.astype(np.int64) << 32) + (second.astype(np.int64) + (1 << 31)))
+    return keys >> 32, (keys & ((1 << 32) - 1)) - (1 << 31)
 
 
 def _candidates(
     items: Items, words: np.ndarray, bounds: np.ndarray, size: int, windows: np.ndarray
 ) -> np.ndarray:
-    """Distinct (text, start, item) of windows that agree with an item on a sample."""
+    """Distinct (window, item) that agree on a sample."""
     text, start = windows.T
     low, high = np.maximum(start, bounds[text]), np.minimum(start + size, bounds[text + 1])
     rows = []
@@ -180,9 +191,47 @@ def _candidates(
             count = np.searchsorted(known, keys[:, table], "right") - first
             hit = np.flatnonzero(count)
             if len(hit):
-                who = np.repeat(hit, count[hit])
-                rows.append(np.stack([text[who], start[who], own[ragged(first[hit], count[hit])]], axis=1))
-    return np.unique(np.concatenate(rows), axis=0) if rows else np.empty((0, 3), dtype=np.int64)
+                rows.append(np.stack([np.repeat(hit, count[hit]), own[ragged(first[hit], count[hit])]]))
+    if not rows:
+        return np.empty((0, 2), dtype=np.int64)
+    return np.stack(_distinct(*np.concatenate(rows, axis=1)), axis=1)
+
+
+def _regions(
+    items: Items, words: np.ndarray, bounds: np.ndarray, size: int, windows: np.ndarray, found: np.ndarray
+) -> np.ndarray:
+    """text, item, low, high of the stretches of words around candidates that may hold an item.
+
+    Windows of one text and item that overlap are one stretch. A stretch with too few of the item's words
+    goes: an item within its bound has at least `size` less the edits of them.
+    """
+    edits = allowed(size)
+    text, start = windows[found[:, 0]].T
+    item = found[:, 1]
+    order = np.lexsort((start, item, text))
+    text, item, start = text[order], item[order], start[order]
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(text)) - 1
+    text, item = text[at], item[at]
+    low = np.maximum(start[at] - edits, bounds[text])
+    high = np.minimum(start[last] + size + 2 * edits, bounds[text + 1])
+    few = np.empty(len(text), dtype=bool)
+    width = high - low
+    by_width = np.argsort(width, kind="stable")
+    first = 0
+    while first < len(by_width):
+        # As many stretches as fit, each filled up to the longest of them with its own last word.
+        step = max(1, COMPARED // (size * int(width[by_width[min(first + 255, len(by_width) - 1)]])))
+        some = by_width[first : first + min(step, 256)]
+        wide = int(width[some].max())
+        place = np.minimum(low[some][:, None] + np.arange(wide), high[some][:, None] - 1)
+        wanted = np.stack([items.words[k] for k in item[some].tolist()])
+        there = (wanted[:, :, None] == words[place][:, None, :]).any(axis=2)
+        few[some] = there.sum(axis=1) < size - edits
+        first += len(some)
+    return np.stack([text, item, low, high], axis=1)[~few]
 
 
 def edit_distances(item: np.ndarray, words: np.ndarray, anywhere: bool) -> np.ndarray:
@@ -217,17 +266,7 @@ def find_items(items: Items, words: np.ndarray, bounds: np.ndarray) -> list[tupl
             found = _candidates(items, words, bounds, size, windows[k : k + WINDOWS])
             if not len(found):
                 continue
-            order = np.lexsort((found[:, 1], found[:, 2], found[:, 0]))
-            found = found[order]
-            # Windows of one text and item that overlap are verified together.
-            new = np.ones(len(found), dtype=bool)
-            new[1:] = (found[1:, [0, 2]] != found[:-1, [0, 2]]).any(axis=1)
-            new[1:] |= found[1:, 1] - found[:-1, 1] > size
-            at = np.flatnonzero(new)
-            for x, y in zip(at, np.append(at[1:], len(found)), strict=True):
-                text, start, item = found[x].tolist()
-                low = max(start - edits, int(bounds[text]))
-                high = min(int(found[y - 1, 1]) + size + 2 * edits, int(bounds[text + 1]))
+            for text, item, low, high in _regions(items, words, bounds, size, windows[k : k + WINDOWS], found).tolist():
                 distance, first, end = best_run(items.words[item], words[low:high])
                 first_word = low - int(bounds[text])
                 mine = (distance, first + first_word, end + first_word)
@@ -264,14 +303,16 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, tie, item_id, n_words, edits, first, last: the best run of words for each document and item.
 
     n_words: words of the item; first and last: places (from 0) of the document's words. Null or empty
-    texts match nothing, and items with fewer than LEAST_WORDS words are not looked for. Rows that
-    repeat in either table give repeated rows. tie is a hash of the document's text.
+    texts match nothing, and items without words are not looked for. Rows that repeat in either table give repeated rows. tie is a hash of the document's text.
     """
     items = written(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null"), "items"
     )
     count = F.coalesce(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")).cast("long")), F.lit(0))
-    blocks = max(1, math.ceil(items.agg(count).first()[0] / BLOCK_WORDS))
+    words, rows = items.agg(count, F.count(F.lit(1))).first()
+    # A run and its place are 24 bytes a word, the word itself 8; a key and its item 16 bytes in each table.
+    held = 32 * words + 16 * WALKS * TABLES * rows
+    blocks = max(1, math.ceil(words / BLOCK_WORDS), math.ceil(held / BLOCK_BYTES))
     texts = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"
     )
