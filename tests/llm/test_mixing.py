@@ -1,7 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tokentally.llm import mixing
 from tokentally.llm.mixing import mix_table, mixed, source_sizes, with_targets
 
 
@@ -62,3 +64,15 @@ def test_odd_rows(spark):
     emitted = mixed(docs)
     assert emitted.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in emitted.collect()) == sum(r[4] for r in got)
+
+
+@pytest.mark.parametrize("identity", ["CAST(NULL AS LONG)", "id * 1000", "id"])
+def test_null_and_spaced_ids_are_dealt_evenly(spark, monkeypatch, identity):
+    """No group of documents that are ranked together is much larger than meant."""
+    monkeypatch.setattr(mixing, "GROUP", 100)
+    docs = spark.range(10_000).selectExpr(f"{identity} AS doc_id", "concat('a b c d ', id) AS text", "'s' AS source")
+    groups = mixing._rows(docs).groupBy(F.col("spread") % 100).count()
+    sizes = [r["count"] for r in groups.collect()]
+    assert len(sizes) == 100 and max(sizes) < 160
+    taken = [r.taken for r in mix_table(docs).collect()]
+    assert len(taken) == 10_000 and abs(sum(taken) - 1.5 * 50_000) <= 100 * 5

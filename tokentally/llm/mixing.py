@@ -87,9 +87,11 @@ def with_targets(sources: DataFrame, share: float = SHARE, most: float = MOST) -
 
 
 def with_copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds source_size, target and copies to rows with doc_id, source, size and any others.
+    """Adds source_size, target and copies to the rows of `_rows`.
 
-    Rows that repeat a doc_id get draws of their own. A source without words is taken 0 times.
+    Rows that repeat a doc_id get draws of their own. A source without words is taken 0 times. Each draw by
+    itself is uniform, so the chance of the extra copy is the fraction of the rate; draws of one group
+    are not independent.
     """
     small = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     other = sources.select(F.col("source").alias("of_source"), "source_size", "n_docs", "target")
@@ -97,7 +99,7 @@ def with_copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
         F.broadcast(other) if small else other, F.col("source").eqNullSafe(F.col("of_source")), "left"
     )
     groups = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / GROUP))
-    salt = F.pmod(F.coalesce("doc_id", F.lit(0)), groups)
+    salt = F.pmod("spread", groups)
     stratum = F.concat_ws(
         "|", F.coalesce("source", F.lit("")), F.length(F.bin("size")).cast("string"), salt.cast("string")
     )
@@ -113,16 +115,23 @@ def with_copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
             "copies",
             F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0),
         )
-        .drop("of_source", "n_docs", "stratum", "rank", "start", "rate", "draw")
+        .drop("of_source", "n_docs", "spread", "stratum", "rank", "start", "rate", "draw")
     )
 
 
+def _spread(documents: DataFrame) -> Column:
+    """A number that deals documents evenly into groups: by a hash of the id, without one of the text."""
+    known = F.coalesce(documents["doc_id"].cast("long").cast("string"), documents["text"], F.lit(""))
+    return F.conv(F.substring(F.md5(known), 1, 8), 16, 10).cast("long").alias("spread")
+
+
 def _rows(documents: DataFrame, *more: Column) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         words(F.col("text")).alias("size"),
         F.xxhash64("text").alias("tie"),
+        _spread(documents),
         *more,
     )
 

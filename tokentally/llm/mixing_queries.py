@@ -8,7 +8,8 @@ from .registry import query, table
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT AS spread
   FROM documents),
 sums AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
@@ -32,7 +33,7 @@ targets AS (
 strata AS (
   SELECT doc_id, size, s.source, source_size, target,
          concat_ws('|', coalesce(s.source, ''), length(bin(size)),
-                   coalesce(doc_id, 0) % greatest(1, ceil(n_docs / 100000.0))::BIGINT) AS stratum
+                   spread % greatest(1, ceil(n_docs / 100000.0))::BIGINT) AS stratum
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 draws AS (
   SELECT *, ('0x' || substr(md5(stratum), 1, 8))::BIGINT / 4294967296.0::DOUBLE
