@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
+from .groups import BATCH_BYTES, settings
 from .pieces import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Documents whose ids a task holds at once.
+#: Documents whose ids a task holds at once, and bytes of the batches of texts it gets them in.
 ROWS = 500
+BATCH = 4 << 20
 
 # Options of the ORC writer.
 ORC_OPTIONS = {
@@ -124,5 +126,6 @@ def tokens_through_files(documents: DataFrame) -> DataFrame:
     """Encode, write in the shared folder, read back, and index what the files hold."""
     spark = documents.sparkSession
     path = shared_folder(spark, "tokens")
-    write_tokens(tokenized(documents), path)
+    with settings(spark, {BATCH_BYTES: str(BATCH)}):
+        write_tokens(tokenized(documents), path)
     return token_index(read_tokens(spark, path))
