@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -104,3 +105,19 @@ def test_odd_rows(spark):
         [(3, 0, "Proprietary")] * 2 + [(None, 0, "MIT")] + [(4, k, "Proprietary") for k in (1, 2, 3)], key=str
     )
     assert ls.scan_licenses(docs.limit(0)).collect() == []
+
+
+def test_no_template_within_the_differences_allowed_saves_too_little():
+    """As many words replaced as the bound allows, between words that do not compress."""
+    chance = random.Random(1)
+    other = lambda: "".join(chance.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(chance.randrange(2, 12)))
+    prepared = ls.Templates()
+    for k, (_, text) in enumerate(ls.TEMPLATES):
+        for _ in range(20):
+            own = text.split()
+            edits = len(own) // ls.WORDS_PER_DIFFERENCE
+            for j in range(edits):
+                own[int((j + chance.random()) * len(own) / edits)] = other()
+            block = [other() for _ in range(edits + 2)] + own + [other() for _ in range(edits + 2)]
+            *saved, alone = prepared.saved(" ".join(block)).tolist()
+            assert saved[k] > 1.8 * ls.LEAST_SAVED * alone, text
