@@ -56,6 +56,36 @@ def test_shared_passages_runs_and_periods(spark):
     assert any(r[2] for r in got) and any(not r[2] for r in got)
 
 
+def test_ranges_dealt_twice_give_the_same(spark, monkeypatch):
+    """Many ranges, reached over a few coarse ones, in many packs; and as many as the text asks for."""
+    chance = random.Random(11)
+    passage = [f"p{chance.randrange(30)}" for _ in range(60)]
+    rows = [
+        (k, " ".join([f"w{chance.randrange(40)}" for _ in range(chance.randrange(90))] + passage * (k % 3 == 0)))
+        for k in range(150)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    expected = plain(rows)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 500)
+    assert substrings._parts(docs) > 50
+    assert found(docs) == expected
+    monkeypatch.setattr(substrings, "MOST_PARTS", 6)
+    monkeypatch.setattr(substrings, "PACK_BYTES", 2_000)
+    monkeypatch.setattr(substrings, "PART_BYTES", 16)
+    assert found(docs) == expected
+
+
+def test_packs_do_not_grow_with_the_ranges(spark, monkeypatch):
+    """A corpus said to be a thousand times larger has packs of the same size."""
+    asked = []
+    pack = substrings._pack
+    monkeypatch.setattr(substrings, "_pack", lambda *a: asked.append(a) or pack(*a))
+    rows = spark.createDataFrame([(1, 2, bytes(8))], "k1 long, k2 long, values binary")
+    for parts in (substrings.MOST_PARTS, 1000 * substrings.MOST_PARTS):
+        assert [bytes(r.flags) for r in substrings.repeated(rows, 1, parts).limit(0).collect()] == []
+    assert max(enough for *_, enough in asked) == substrings.PART_BYTES * substrings.MOST_PARTS
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{k}" for k in range(50_000))
     rows = [

@@ -11,7 +11,9 @@ sequence that also starts elsewhere, in the same document too.
 
 Names and windows are counted in packs: distinct values of about a megabyte of texts travel as sorted
 binary runs to ranges of values, and flags travel back. A value that very many documents hold is sent
-once for each pack, and no row stands for a single word.
+once for each pack, and no row stands for a single word. There is a range for each 16 MB of text, so the
+share of a task does not grow with the corpus. Beyond 4,096 ranges, packs are dealt to coarse ones and
+the runs of a coarse range to fine ones, so packs do not grow either.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ WIDTH = 35
 #: Bytes of values that make a pack, and bytes for each part that values are dealt to, at least.
 PACK_BYTES = 256 << 10
 PART_BYTES = 512
+#: Bytes of text for each range of values, about. The values of a range are counted at once.
+RANGE_BYTES = 16 << 20
+#: Ranges that the values of documents are dealt to at most; more are reached by a second dealing.
+MOST_PARTS = 4096
 
 _ONE, _TWO = Powers(61), Powers(62)
 _KEYS = ["k1", "k2"]
@@ -62,12 +68,24 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[first], place, np.diff(np.append(first, len(values)))
 
 
-def repeated(rows: DataFrame, width: int, parts: int) -> DataFrame:
-    """k1, k2, flags: for each row's values (binary, `width` numbers of 64 bits each), whether a value
-    occurs elsewhere too. Rows with one key hold the same values, and one of them is returned."""
-    enough = max(PACK_BYTES, PART_BYTES * parts)
+def _pack(width: int, parts: int, enough: int):
+    """Packs of rows k1, k2, values: a run of sorted distinct values for each range, and a layout."""
+
+    def one(uid: int, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        values = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(-1, width)
+        distinct, place, _ = _distinct(values)
+        part = ((distinct[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(first[1:], len(part))
+        out = [
+            (0, p, uid, distinct[a:b].tobytes(), None, None, None)
+            for p, a, b in zip(part[first].tolist(), first.tolist(), ends.tolist())
+        ]
+        sizes = [len(h[2]) // (8 * width) for h in held]
+        out.append((1, uid % parts, uid, place.tobytes(), [h[0] for h in held], [h[1] for h in held], sizes))
+        return _packed(out)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 32
         held: list[tuple[int, int, bytes]] = []
         size = 0
@@ -76,25 +94,18 @@ def repeated(rows: DataFrame, width: int, parts: int) -> DataFrame:
                 held.append(key)
                 size += len(key[2])
                 if size >= enough:
-                    yield one_pack(uid, held)
+                    yield one(uid, held)
                     uid, held, size = uid + 1, [], 0
         if held:
-            yield one_pack(uid, held)
+            yield one(uid, held)
 
-    def one_pack(uid: int, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        values = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(-1, width)
-        distinct, place, _ = _distinct(values)
-        part = ((distinct[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        out = [
-            (0, p, uid, distinct[cuts[p] : cuts[p + 1]].tobytes(), None, None, None)
-            for p in np.flatnonzero(np.diff(cuts)).tolist()
-        ]
-        sizes = [len(h[2]) // (8 * width) for h in held]
-        out.append((1, uid % parts, uid, place.tobytes(), [h[0] for h in held], [h[1] for h in held], sizes))
-        return _packed(out)
+    return scan
+
+
+def _count(width: int):
+    """Runs of a range become flags: whether the value is in another run, too. Layouts pass."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["part"]):
             kinds = table.column("kind").to_numpy()
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -112,38 +123,71 @@ def repeated(rows: DataFrame, width: int, parts: int) -> DataFrame:
                     [(0, part, u, f.tobytes(), None, None, None) for u, f in zip(uids, flags, strict=True)]
                 )
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["uid"]):
-            content = table.column("content").to_pylist()
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                place = np.frombuffer(content[low], np.uint32)  # the layout is first
-                flags = np.frombuffer(b"".join(content[low + 1 : high]), bool)
-                flags = (flags | (np.bincount(place, minlength=len(flags)) > 1))[place] if len(place) else flags
-                k1, k2, sizes = (table.column(c)[low].values for c in ("k1", "k2", "sizes"))
-                ends = np.cumsum(sizes.to_numpy())
-                own = [x.tobytes() for x in np.split(flags, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([k1, k2, pa.array(own, pa.binary())], ["k1", "k2", "flags"])
-
-    counted = (
-        rows.select("k1", "k2", "values")
-        .mapInArrow(pack, _PACKED)
-        .repartition("part")
-        .sortWithinPartitions("part")
-        .mapInArrow(count, _PACKED)
+    return scan
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The flags of packs, each after its layout, as rows k1, k2, flags."""
+    for table, bounds in whole_groups(batches, ["uid"]):
+        content = table.column("content").to_pylist()
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            place = np.frombuffer(content[low], np.uint32)  # the layout is first
+            flags = np.frombuffer(b"".join(content[low + 1 : high]), bool)
+            flags = (flags | (np.bincount(place, minlength=len(flags)) > 1))[place] if len(place) else flags
+            k1, k2, sizes = (table.column(c)[low].values for c in ("k1", "k2", "sizes"))
+            ends = np.cumsum(sizes.to_numpy())
+            own = [x.tobytes() for x in np.split(flags, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([k1, k2, pa.array(own, pa.binary())], ["k1", "k2", "flags"])
+
+
+def _counted(packs: DataFrame, width: int, parts: int) -> DataFrame:
+    by_part = packs.repartition(parts, "part") if parts > _partitions(packs) else packs.repartition("part")
+    return by_part.sortWithinPartitions("part").mapInArrow(_count(width), _PACKED)
+
+
+def _unpacked(counted: DataFrame) -> DataFrame:
+    by_pack = counted.repartition("uid").sortWithinPartitions("uid", F.desc("kind"), "part")
+    return by_pack.mapInArrow(_unpack, "k1 long, k2 long, flags binary")
+
+
+def repeated(rows: DataFrame, width: int, parts: int) -> DataFrame:
+    """k1, k2, flags: for each row's values (binary, `width` numbers of 64 bits each), whether a value
+    occurs elsewhere too. Rows with one key hold the same values, and one of them is returned.
+
+    With more ranges than MOST_PARTS, the runs that packs send to a coarse range are themselves rows to pack,
+    by coarse range, for the fine ones; their flags go back to the packs that sent them.
+    """
+    coarse = min(parts, MOST_PARTS)
+    packs = rows.select("k1", "k2", "values").mapInArrow(
+        _pack(width, coarse, max(PACK_BYTES, PART_BYTES * coarse)), _PACKED
     )
-    flags = (
-        counted.repartition("uid")
-        .sortWithinPartitions("uid", F.desc("kind"), "part")
-        .mapInArrow(unpack, "k1 long, k2 long, flags binary")
+    if parts == coarse:
+        return _unpacked(_counted(packs, width, parts)).groupBy(*_KEYS).agg(F.first("flags").alias("flags"))
+    packs = written(packs, "packs")  # read for runs and for layouts
+    share = -(-parts // coarse)
+    runs = packs.where("kind = 0").select(
+        F.col("uid").alias("k1"), F.col("part").cast("long").alias("k2"), F.col("content").alias("values")
     )
-    return flags.groupBy(*_KEYS).agg(F.first("flags").alias("flags"))
+    runs = runs.repartition("k2", F.pmod(F.xxhash64("k1"), F.lit(share))).sortWithinPartitions("k2", "k1")
+    again = runs.mapInArrow(_pack(width, parts, max(PACK_BYTES, PART_BYTES * share)), _PACKED)
+    flags = _unpacked(_counted(again, width, parts)).select(
+        F.lit(0).alias("kind"), F.col("k2").cast("int").alias("part"), F.col("k1").alias("uid"),
+        F.col("flags").alias("content"), *(F.lit(None).cast(packs.schema[c].dataType).alias(c) for c in _PACKED_NAMES[4:]),
+    )
+    counted = packs.where("kind = 1").unionByName(flags)
+    return _unpacked(counted).groupBy(*_KEYS).agg(F.first("flags").alias("flags"))
 
 
-def _parts(df: DataFrame) -> int:
-    """Ranges of values: as many as there are shuffle partitions."""
+def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _parts(texts: DataFrame) -> int:
+    """Ranges of values: one for each RANGE_BYTES of text, as many as there are shuffle partitions at least."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(_partitions(texts), -(-size // RANGE_BYTES))
+
+
 def _usable(chunk: Chunk, hashes: np.ndarray, width: int) -> tuple[Symbols, np.ndarray]:
     """The symbols whose context lies in a window of their own text, and how many each text has."""
     symbols = recompress(hashes, chunk.bounds)
