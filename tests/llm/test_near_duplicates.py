@@ -125,3 +125,18 @@ def test_rows_without_id_go_too(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in nd.without_near_duplicates(docs).collect())
     assert kept == [(0, ""), (0, ""), (0, "a b c"), (4, text + " end")]
+
+
+def test_sets_with_equal_halves_of_their_keys_stay_apart(spark, monkeypatch):
+    """Every set has the same low 64 bits, or the same high ones: groups are as without."""
+    chance = random.Random(6)
+    rows = []
+    for k in range(40):
+        words = [f"w{chance.randrange(10**6)}" for _ in range(120)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words, "end"])), (3 * k + 2, " ".join(words).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = nd._set_key
+    expected = plain_groups(rows)
+    for same in (lambda k: (k[0], 7), lambda k: (7, k[1])):
+        monkeypatch.setattr(nd, "_set_key", lambda found, same=same: same(key(found)))
+        assert found(docs) == expected

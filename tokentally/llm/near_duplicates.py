@@ -16,7 +16,7 @@ distance bound that fits it; the numbers below are those of 0.85.
    the same nodes (a forest), so the number of rows stays proportional to the nodes.
 5. Components of the links give each document the smallest document it can reach.
 
-Shingles and sets are 64-bit hashes; sets are told apart by 128 bits.
+Shingles are 64-bit hashes; sets are told apart by 128 bits, and the nodes of distinct sets are numbered.
 """
 
 from __future__ import annotations
@@ -103,30 +103,30 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, tie, n_shingles, high, node, signature of every document.
+    """doc_id, tie, n_shingles, high, low, signature of every document.
 
-    (high, node) is the key of its set; they and the signature are null without words.
+    (high, low) is the key of its set; they and the signature are null without words.
     tie is a hash of the text.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, highs, nodes, signs = [], [], [], []
+            sizes, highs, lows, signs = [], [], [], []
             for found in _sets(batch.column(2)):
                 sizes.append(len(found))
-                high, node = _set_key(found) if len(found) else (None, None)
+                high, low = _set_key(found) if len(found) else (None, None)
                 highs.append(high)
-                nodes.append(node)
+                lows.append(low)
                 signs.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(highs, pa.int64()),
-                 pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())],
-                ["doc_id", "tie", "n_shingles", "high", "node", "signature"],
+                 pa.array(lows, pa.int64()), pa.array(signs, pa.binary())],
+                ["doc_id", "tie", "n_shingles", "high", "low", "signature"],
             )
 
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text"
-    ).mapInArrow(scan, "doc_id long, tie long, n_shingles long, high long, node long, signature binary")
+    ).mapInArrow(scan, "doc_id long, tie long, n_shingles long, high long, low long, signature binary")
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -268,15 +268,16 @@ def _links(rule: Rule):
     return scan
 
 
-def _shingle_sets(documents: DataFrame) -> DataFrame:
-    """node and shingles (64-bit numbers one after another) of documents."""
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """node and shingles (64-bit numbers one after another) of rows node, high, low, text whose text has the key."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, content, size = [], [], 0
-            for found in _sets(batch.column(0)):
-                if len(found):
-                    nodes.append(_set_key(found)[1])
+            *keys, texts = batch.columns
+            for node, high, low, found in zip(*(k.to_pylist() for k in keys), _sets(texts), strict=True):
+                if len(found) and _set_key(found) == (high, low):
+                    nodes.append(node)
                     content.append(found.tobytes())
                     size += len(content[-1])
                 if size > 16 << 20:
@@ -284,7 +285,7 @@ def _shingle_sets(documents: DataFrame) -> DataFrame:
                     nodes, content, size = [], [], 0
             yield _set_rows(nodes, content)
 
-    return documents.select("text").mapInArrow(scan, "node long, shingles binary")
+    return texts.select("node", "high", "low", "text").mapInArrow(scan, "node long, shingles binary")
 
 
 def _set_rows(nodes: list[int], content: list[bytes]) -> pa.RecordBatch:
@@ -317,25 +318,27 @@ def _by_cell(rows: DataFrame) -> DataFrame:
 
 
 def set_nodes(prints: DataFrame) -> DataFrame:
-    """node, signature and one of its documents (doc_id, tie; the smallest) for each distinct set."""
+    """node (a number of its own), high, low, signature, smallest (doc_id) and one of its documents (of, of_tie)
+    for each distinct set."""
+    one = F.min(F.struct("doc_id", "tie")).alias("one")
+    sets = prints.where("low is not null").groupBy("high", "low", "signature").agg(one, F.min("doc_id").alias("smallest"))
     return written(
-        prints.where("node is not null")
-        .groupBy("high", "node", "signature")
-        .agg(F.min(F.struct("doc_id", "tie")).alias("one"), F.min("doc_id").alias("low"))
-        .select("node", "signature", "low", F.col("one.doc_id").alias("of"), F.col("one.tie").alias("of_tie")),
+        sets.select(
+            F.monotonically_increasing_id().alias("node"), "high", "low", "signature", "smallest",
+            F.col("one.doc_id").alias("of"), F.col("one.tie").alias("of_tie"),
+        ),
         "nodes",
-    )
+    )
 
 
 def similar_links(documents: DataFrame, nodes: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Links (a, b) between nodes that connect all nodes of similar documents."""
     columns = "key long, i int, j int, block int, symbol int, node long, signature binary"
     close = written(_by_cell(_cells(nodes, rule)).mapInArrow(_with_pairs(rule), columns), "cells")
-    chosen = nodes.join(close.select("node").distinct(), "node", "left_semi").select("of", "of_tie")
+    chosen = nodes.join(close.select("node").distinct(), "node", "left_semi")
+    chosen = chosen.select("node", "high", "low", "of", "of_tie")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    texts = texts.join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left_semi"
-    )
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")))
     sets = _shingle_sets(texts).groupBy("node").agg(F.first("shingles").alias("shingles"))
     return _by_cell(close.join(sets, "node")).mapInArrow(_links(rule), "a long, b long")
 
@@ -351,13 +354,17 @@ def near_duplicates(documents: DataFrame, rule: Rule = RULE) -> DataFrame:
     prints = written(fingerprints(documents), "fingerprints")
     nodes = set_nodes(prints)
     found = components(similar_links(documents, nodes, rule))
-    joined = nodes.select("node", "low").join(found, "node", "left")
-    joined = joined.withColumn("group", F.coalesce("component", "node"))
-    lowest = joined.groupBy("group").agg(F.min("low").alias("component_id"))
-    of_node = joined.join(lowest, "group").select("node", "group", "component_id")
+    linked = found.join(nodes.select("node", "smallest"), "node")
+    lowest = linked.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    # Written, so that the nodes of a very large component meet its one row in a join that Spark may split.
+    of_node = found.join(written(lowest, "lowest"), "component")
+    of_set = nodes.join(of_node, "node", "left").select(
+        "high", "low", "node", F.coalesce("component", "node").alias("group"),
+        F.when(F.col("component").isNull(), F.col("smallest")).otherwise(F.col("component_id")).alias("component_id"),
+    )
     return (
-        prints.drop("high", "signature")
-        .join(of_node, "node", "left")
+        prints.drop("signature")
+        .join(of_set, ["high", "low"], "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         .select("doc_id", "tie", "n_shingles", "component_id", "kept", "node", "group")
