@@ -64,6 +64,21 @@ def test_hot_pairs_and_packs(spark, monkeypatch):
     check(lm.score_documents(docs, targets.union(targets)).collect(), plain(rows, set(range(0, 60, 3))))
 
 
+def test_parts_dealt_twice_give_the_same(spark, monkeypatch):
+    for name, value in {"PACK_WORDS": 100, "PACK_PAIRS": 1, "PART_WORDS": 40, "MOST_PARTS": 3}.items():
+        monkeypatch.setattr(lm, name, value)
+    rows = [(k, " ".join(["hot pair"] * 30 + [f"w{(k * j) % 400}" for j in range(1, 20)])) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, "one")], "doc_id long, text string").repartition(4)
+    targets = docs.where("doc_id % 3 = 0").select("doc_id")
+    expected = plain([*rows, (60, None), (61, "one")], set(range(0, 61, 3)))
+    check(lm.score_documents(docs, targets).collect(), expected)
+
+
+def test_packs_do_not_grow_with_the_corpus():
+    """At 100 TB, some 20 trillion words, packs are as large as at 30 GB or about."""
+    assert lm.pack_words(20_000_000) == lm.pack_words(lm.MOST_PARTS) <= 2 * lm.PACK_WORDS
+
+
 def test_targets_beyond_the_broadcast_are_joined(spark, monkeypatch):
     rows = [(k, f"a b{k % 7} c{k % 3} a") for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -42,6 +42,8 @@ ADDED = 0.1
 #: Words that make a pack of documents, and words for each part that pairs are dealt to, at least.
 PACK_WORDS = 1 << 18
 PACK_PAIRS = 128
+#: Parts that packs are dealt to at most; more are reached by a second dealing.
+MOST_PARTS = 4096
 #: Up to so many target ids are broadcast (some 50 MB); beyond, they are joined, and texts shuffled for it.
 BROADCAST_TARGETS = 2_000_000
 #: Words for each part of the hash ranges, about: what a task adds up at once.
@@ -207,10 +209,14 @@ class Pack:
         return np.unique(mix(mix(names[self.before[rare]]) + names[self.words[rare]]), return_inverse=True)
 
 
-def _cuts(hashes: np.ndarray, parts: int) -> list[int]:
-    """Where each range of sorted hashes begins, and the end."""
-    part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1).astype(np.uint64)).tolist()
+def _cuts(hashes: np.ndarray, parts: int, first: int = 0, last: int | None = None) -> list[int]:
+    """Where each range of sorted hashes begins, from the range `first` to `last`, and the end."""
+    bounds = np.arange(first, parts + 1 if last is None else last + 2).astype(np.uint64)
+    return np.searchsorted(_ranges(hashes, parts), bounds).tolist()
+
+
+def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
 def _pack(words: bytes, sizes: np.ndarray, target: np.ndarray, known: bytes) -> Pack:
@@ -294,22 +300,44 @@ def _counts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], _COUNT_NAMES)
 
 
-def _added_up(hashes: list[bytes], counts: list[bytes], width: int) -> list[bytes]:
-    """For runs of hashes with `width` counts each, the same runs' sums over all of them (exact to 2**53)."""
+def _sums(hashes: list[bytes], counts: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of hashes with `width` counts each: the runs, their distinct hashes, the place of each
+    hash among these, and the sums (exact to 2**53)."""
     runs = [unsqueezed(h) for h in hashes]
     own = np.concatenate([unsqueezed_counts(c, width) for c in counts])
     distinct, place = np.unique(np.concatenate(runs), return_inverse=True)
     sums = np.stack([np.bincount(place, own[:, k], len(distinct)) for k in range(width)], axis=1).astype(np.int64)
+    return runs, distinct, place, sums
+
+
+def _added_up(hashes: list[bytes], counts: list[bytes], width: int) -> list[bytes]:
+    """For runs of hashes with `width` counts each, the same runs' sums over all of them."""
+    runs, _, place, sums = _sums(hashes, counts, width)
     ends = np.cumsum([len(run) for run in runs]).tolist()
     return [squeezed_counts(sums[place[x:y]]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
-    """uid, part, seen, alone: for each pack's distinct rare pairs of a part, in order, how often target and
-    background documents of the whole corpus hold them (two numbers each); for its words that are not
-    hot, how often both hold them and have them before another word (four)."""
+def _emitted(uid: int, parts: int, pairs: np.ndarray, known: np.ndarray, seen: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that has some of the sorted hashes, with their counts."""
+    found = np.concatenate([_ranges(pairs, parts), _ranges(known, parts)])
+    first, last = (int(found.min()), int(found.max())) if len(found) else (0, 0)
+    x, y = _cuts(pairs, parts, first, last), _cuts(known, parts, first, last)
+    return _counts(
+        [
+            (
+                uid, p, squeezed(pairs[a:b]), squeezed(known[c:d]),
+                squeezed_counts(seen[a:b]), squeezed_counts(alone[c:d]),
+            )
+            for p, (a, b, c, d) in enumerate(zip(x[:-1], x[1:], y[:-1], y[1:], strict=True), first)
+            if a < b or c < d
+        ]
+    )
+
+
+def _of_packs(parts: int):
+    """The counts of each pack by parts."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, pack in _packs(batch):
                 marks = [pack.target[pack.owner] == mark for mark in (True, False)]
@@ -319,37 +347,80 @@ def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
                 size = HOT + len(pack.known)
                 alone = [np.bincount(x, m, size)[HOT:] for x in (pack.words, pack.before) for m in marks]
                 seen, alone = seen.astype(np.int64), np.stack(alone, axis=1).astype(np.int64)
-                x, y, known = _cuts(pairs, parts), _cuts(pack.known, parts), pack.known
-                yield _counts(
-                    [
-                        (
-                            uid, p, squeezed(pairs[a:b]), squeezed(known[c:d]),
-                            squeezed_counts(seen[a:b]), squeezed_counts(alone[c:d]),
-                        )
-                        for p, (a, b, c, d) in enumerate(zip(x[:-1], x[1:], y[:-1], y[1:], strict=True))
-                        if a < b or c < d
-                    ]
-                )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["part"], SLAB):
-            uids, of = table.column("uid").to_pylist(), table.column("part").to_pylist()
+                yield _emitted(uid, parts, pairs, pack.known, seen, alone)
+
+    return scan
+
+
+def _of_runs(parts: int):
+    """The counts of each id's runs, added up, by parts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, ["id"], SLAB):
+            ids = table.column("id").to_pylist()
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = table.slice(low, high - low)
                 pairs, singles, seen, alone = (own.column(c).to_pylist() for c in _COUNT_NAMES[2:])
-                seen, alone = _added_up(pairs, seen, 2), _added_up(singles, alone, 4)
-                yield _counts(
-                    [(u, of[low], None, None, x, y) for u, x, y in zip(uids[low:high], seen, alone, strict=True)]
-                )
+                _, pairs, _, seen = _sums(pairs, seen, 2)
+                _, known, _, alone = _sums(singles, alone, 4)
+                yield _emitted(ids[low], parts, pairs, known, seen, alone)
 
-    return (
-        packs.select("uid", "sizes", "target", "known", "words")
-        .mapInArrow(emit, _COUNTS)
-        .repartition("part")
-        .sortWithinPartitions("part", "uid")
-        .mapInArrow(add, _COUNTS)
-        .drop("pairs", "singles")
-    )
+    return scan
+
+
+def _back_to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each id's runs, then its sums by part: the runs with these sums."""
+    for table, bounds in whole_groups(batches, ["id"], SLAB):
+        is_sum = table.column("is_sum").to_numpy()
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            cut = low + int(np.count_nonzero(~is_sum[low:high]))
+            runs, sums = table.slice(low, cut - low), table.slice(cut, high - cut)
+            out = []
+            for name, of, width in (("pairs", "seen", 2), ("singles", "alone", 4)):
+                own = [unsqueezed(h) for h in runs.column(name).to_pylist()]
+                distinct = np.unique(np.concatenate(own))
+                total = _joined(sums.column(of).to_pylist(), width)
+                out.append([squeezed_counts(total[np.searchsorted(distinct, run)]) for run in own])
+            uids, parts = runs.column("uid").to_pylist(), runs.column("part").to_pylist()
+            yield _counts([(u, p, None, None, x, y) for u, p, x, y in zip(uids, parts, *out, strict=True)])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each part, for the rows that sent counts."""
+    for table, bounds in whole_groups(batches, ["part"], SLAB):
+        uids, of = table.column("uid").to_pylist(), table.column("part").to_pylist()
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = table.slice(low, high - low)
+            pairs, singles, seen, alone = (own.column(c).to_pylist() for c in _COUNT_NAMES[2:])
+            seen, alone = _added_up(pairs, seen, 2), _added_up(singles, alone, 4)
+            yield _counts([(u, of[low], None, None, x, y) for u, x, y in zip(uids[low:high], seen, alone, strict=True)])
+
+
+def _added(counts: DataFrame) -> DataFrame:
+    return counts.repartition("part").sortWithinPartitions("part", "uid").mapInArrow(_add, _COUNTS)
+
+
+def pair_counts(packs: DataFrame, parts: int) -> DataFrame:
+    """uid, part, seen, alone: for each pack's distinct rare pairs of a part, in order, how often target and
+    background documents of the whole corpus hold them (two numbers each); for its words that are not
+    hot, how often both hold them and have them before another word (four).
+
+    More than MOST_PARTS are reached in two dealings: the runs that packs send to a coarse part are added up in
+    shares of about a part's size, these are dealt to the fine parts, and their sums go back to the runs.
+    """
+    coarse = min(parts, MOST_PARTS)
+    sent = packs.select("uid", "sizes", "target", "known", "words").mapInArrow(_of_packs(coarse), _COUNTS)
+    if parts == coarse:
+        return _added(sent).drop("pairs", "singles")
+    shares = -(-parts // coarse)
+    share = F.col("part").cast("long") * shares + F.pmod(F.xxhash64("uid"), F.lit(shares))
+    runs = written(sent.withColumn("id", share), "runs")
+    by_id = runs.repartition("id").sortWithinPartitions("id", "uid")
+    sums = _added(by_id.mapInArrow(_of_runs(parts), _COUNTS)).withColumn("id", F.col("uid"))
+    both = runs.withColumns({"seen": F.lit(None).cast("binary"), "alone": F.lit(None).cast("binary"), "is_sum": F.lit(False)})
+    both = both.unionByName(sums.withColumn("is_sum", F.lit(True)))
+    back = both.repartition("id").sortWithinPartitions("id", "is_sum", "part", "uid")
+    return back.mapInArrow(_back_to_runs, _COUNTS).drop("pairs", "singles")
 
 
 def _joined(counts: list[bytes], width: int) -> np.ndarray:
@@ -397,6 +468,11 @@ def scored(packs: DataFrame, model: Model, parts: int) -> DataFrame:
     )
 
 
+def pack_words(parts: int) -> int:
+    """Words of a pack: enough pairs for each part that it is dealt to."""
+    return max(PACK_WORDS, PACK_PAIRS * min(parts, MOST_PARTS))
+
+
 def score_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score of every document.
 
@@ -414,8 +490,8 @@ def score_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     with short_lived_tables(spark), settings(spark, {BATCH_BYTES: str(BATCH), TABLE_CODEC: "zstd"}):
         hot, size, total = vocabulary(documents)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
-        # Sorted, so that packs are the same if a task is run again. A pack has enough pairs for each part.
-        packs = packed(marked.sortWithinPartitions("doc_id", "tie"), max(PACK_WORDS, PACK_PAIRS * parts), hot)
+        # Sorted, so that packs are the same if a task is run again.
+        packs = packed(marked.sortWithinPartitions("doc_id", "tie"), pack_words(parts), hot)
         packs = written(packs, "packs")
         sums = written(scored(packs, count_model(packs, size), parts), "scores", kept=True)
     mean = [F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")) for c in ("target_bits", "rest_bits")]
