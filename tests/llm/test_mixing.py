@@ -76,3 +76,17 @@ def test_null_and_spaced_ids_are_dealt_evenly(spark, monkeypatch, identity):
     assert len(sizes) == 100 and max(sizes) < 160
     taken = [r.taken for r in mix_table(docs).collect()]
     assert len(taken) == 10_000 and abs(sum(taken) - 1.5 * 50_000) <= 100 * 5
+
+
+def test_repeated_rows_are_mixed_as_often_as_drawn(spark):
+    """Many equal rows, some with another column of their own; taken together as the table of draws says."""
+    rows = [(k % 40, f"a b c {k % 20}", "one", k) for k in range(400)] + [(None, "x y", None, k) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(6)
+    expected, got = {}, {}
+    for r in mix_table(docs).collect():
+        expected[r.doc_id] = expected.get(r.doc_id, 0) + r.taken
+    emitted = mixed(docs)
+    assert emitted.columns == docs.columns
+    for r in emitted.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert got == {doc: n for doc, n in expected.items() if n}

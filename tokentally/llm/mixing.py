@@ -125,14 +125,13 @@ def _spread(documents: DataFrame) -> Column:
     return F.conv(F.substring(F.md5(known), 1, 8), 16, 10).cast("long").alias("spread")
 
 
-def _rows(documents: DataFrame, *more: Column) -> DataFrame:
+def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "source",
         words(F.col("text")).alias("size"),
         F.xxhash64("text").alias("tie"),
         _spread(documents),
-        *more,
     )
 
 
@@ -150,10 +149,34 @@ def mix_table(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The documents with all their columns, each as often as the mix takes it."""
-    targets = with_targets(source_sizes(_rows(documents)))
-    rows = _rows(documents, F.struct(*(documents[c] for c in documents.columns)).alias("document"))
-    taken = with_copies(rows, targets).where(F.col("copies") > 0)
+    """The documents with all their columns, each as often as the mix takes it.
+
+    Draws are made on rows without texts, and met with the documents by id, source and text. Rows that agree in
+    these are taken together as often as their draws say: each the fewest times that one of them is, and one
+    of them for all the rest.
+    """
+    rows = written(_rows(documents), "sizes")
+    keys = ["of_id", "of_source", "of_tie"]
+    drawn = with_copies(rows, with_targets(source_sizes(rows))).select(
+        F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("tie").alias("of_tie"), "copies"
+    )
+    counts = written(
+        drawn.groupBy(*keys)
+        .agg(F.min("copies").alias("each"), (F.sum("copies") - F.count("copies") * F.min("copies")).alias("rest"))
+        .where("each > 0 OR rest > 0"),
+        "copies",
+    )
+    found = documents.select(
+        F.struct(*(documents[c] for c in documents.columns)).alias("document"),
+        F.col("doc_id").cast("long").alias("id"), F.col("source").alias("from"), F.xxhash64("text").alias("tie"),
+    )
+    met = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(("id", "from", "tie"), keys, strict=True)]
+    taken = found.join(counts.where("each > 0"), met).select("document", F.col("each").alias("copies"))
+    more = counts.where("rest > 0")
+    if not more.isEmpty():
+        one = found.join(more, met).groupBy(*keys)
+        one = one.agg(F.first("document").alias("document"), F.first("rest").alias("copies"))
+        taken = taken.unionByName(one.select("document", "copies"))
     return taken.select(
         "document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     ).select("document.*")
