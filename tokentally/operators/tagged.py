@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_REGION, FORBIDDEN_METADATA, REQUIRED_METADATA
@@ -214,3 +214,37 @@ def metadata_violations(df: DataFrame) -> DataFrame:
         F.concat_ws(",", *unwanted).alias("forbidden_keys"),
     )
     return found.where((F.col("missing_keys") != "") | (F.col("forbidden_keys") != ""))
+
+
+def sizes_between(calls: DataFrame, first: datetime, before: datetime) -> DataFrame:
+    """Smallest, largest, mean, median and 95th percentile output per application of the calls with
+    `first <= event time < before`, all exact. A percentile q is the ceil(n * q)-th smallest size of the n
+    calls with a size; an application whose calls have none gets NULLs."""
+    size = fields.output_tokens().cast("long")
+    rows = filters.in_event_time(calls, first, before).select(fields.metadata(_APPLICATION).alias(_APPLICATION), size.alias("size"))
+    stats = rows.groupBy(_APPLICATION).agg(
+        F.min("size").alias("min_output"),
+        F.max("size").alias("max_output"),
+        F.try_divide(F.sum("size"), F.count("size")).alias("avg_output"),
+    )
+    # Calls per size, then running counts over the sizes of an application: no call is held at once.
+    app = Window.partitionBy(_APPLICATION)
+    counted = rows.where(F.col("size").isNotNull()).groupBy(_APPLICATION, "size").agg(F.count(F.lit(1)).alias("c"))
+    running = counted.select(
+        _APPLICATION,
+        "size",
+        F.sum("c").over(app.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
+        "c",
+        F.sum("c").over(app).alias("n"),
+    )
+
+    def quantile(q: float) -> Column:
+        position = F.ceil(F.col("n") * F.lit(q))
+        return F.max(F.when((F.col("upto") - F.col("c") < position) & (position <= F.col("upto")), F.col("size")))
+
+    found = running.groupBy(F.col(_APPLICATION).alias("found")).agg(
+        quantile(0.5).alias("median_output"), quantile(0.95).alias("p95_output")
+    )
+    return stats.join(found, stats[_APPLICATION].eqNullSafe(found["found"]), "left").select(
+        _APPLICATION, "min_output", "max_output", "avg_output", "median_output", "p95_output"
+    )
